@@ -1,0 +1,325 @@
+"""The ten operators against brute force, exact round trips or held-out accuracy, with the defined edge cases."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import public_tokenizers as P
+from pyspark.sql import functions as F
+
+from klangwerk.llm import bpe, bpe_ranks, decontam, feistel, langid, licenses, lineclean, ngramjoin, pii, tokenbin, unitdedup
+from klangwerk.llm.queries import QUERIES
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, n long, words string"
+LONG = "lorem ipsum dolor " * 20000
+EDGE = [
+    (1, None, None, None, None, "x", 1, "w"), (2, "", "en", "s", 0, None, None, None), (3, " \n\t ", "en", "s", 3, None, None, None),
+    (4, "one two", "en", "s", 7, None, None, None), (4, "one two", "en", "s", 7, None, None, None), (None, "a null id", None, None, None, None, None, None),
+    (6, LONG, "en", "s", len(LONG), None, None, None), (7, "x" * 3000 + " 1 2 3 " + "9" * 3000, "de", "s", 0, None, None, None),
+    (8, "Ünïcödé 漢字 😀😀    don't we'll 123456 !!??\r\n\n\n  end  ", "de", "s", 0, None, None, None),
+    (9, "Mail a.b+c@x-y.example.org, call +1 (212) 555-0100, pay 4111 1111 1111 1111 from 10.0.0.255 or 10.0.0.256.", "en", "s", 0, None, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def edge_dir(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("edge")
+    spark.createDataFrame(EDGE, SCHEMA).coalesce(2).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (None, "x y z")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return str(d)
+
+
+@pytest.fixture(scope="module")
+def empty_dir(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("empty")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return str(d)
+
+
+def texts(spark, sf):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_empty_table(spark, empty_dir, name):
+    assert QUERIES[name](spark, empty_dir).collect() == []
+
+
+@pytest.mark.parametrize("name", [x for x in QUERIES if not x.startswith("op7")])
+def test_edge_rows_all_return(spark, edge_dir, name):
+    rows = QUERIES[name](spark, edge_dir).collect()
+    least = len(EDGE) - 1 if name.startswith("op5") else len(EDGE)  # there, equal rows are one document
+    assert len(rows) == least and {r.doc_id for r in rows} == {r[0] for r in EDGE}
+
+
+def test_op1_files_match_the_library(spark, edge_dir, sf):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    for d in (edge_dir, sf):
+        docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+        got = sorted(QUERIES["op1_bitplane_ids"](spark, d).collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in got] == sorted((x for x, _ in docs), key=lambda x: (x is not None, x))
+        ids = {}
+        for x, text in docs:
+            ids[x] = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        start = 0
+        for r in got:
+            assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids[r.doc_id]), zlib.crc32(ids[r.doc_id].tobytes()))
+            start += r.n_tokens
+
+
+def test_planes_round_trip():
+    rng = np.random.default_rng(1)
+    for n in (1, 7, 8, 9, 65536):
+        for top in (1, 2, 50257, 2**32):
+            ids = rng.integers(0, top, n, dtype=np.uint64).astype("<u4")
+            assert (tokenbin.from_planes(tokenbin.to_planes(ids), n) == ids).all()
+
+
+def brute_line(text):
+    text = text or ""
+    ws = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    win = Counter(tuple(ws[i : i + 3]) for i in range(len(ws) - 2))
+    inside = {i + k for i in range(len(ws) - 2) if win[tuple(ws[i : i + 3])] > 1 for k in range(3)}
+    return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text), dup, len(inside), len(ws) < 50 or 100 * len(inside) > 50 * len(ws)
+
+
+def test_op2_base(spark, edge_dir, sf):
+    for d in (edge_dir, sf):
+        want = {(r.doc_id, *brute_line(r.text)) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+        rows = QUERIES["op2_line_first_cleaning"](spark, d).collect()
+        assert {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows} == want
+        assert not any(r.base_failed and r.kept for r in rows)
+
+
+def test_op2_lines():
+    assert lineclean.line_fails("Home | About | Contact | Help") == "navigation"
+    assert lineclean.line_fails("All rights reserved.") == "boilerplate"
+    assert lineclean.line_fails("no end here") == "punctuation"
+    assert lineclean.line_fails('He said "yes."') is None
+    good = "This is a sound sentence with some words in it.\n" * 3 + " ".join(f"w{i}" for i in range(60)) + "."
+    assert lineclean.judge(good)[9] is True
+    assert lineclean.judge(good + "\n" + "menu entry without an end " * 40)[9] is False
+
+
+def test_op3_matches_the_library(spark, edge_dir, sf):
+    import tiktoken
+
+    ranks = bpe_ranks.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for d in (edge_dir, sf):
+        want = set()
+        for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+            ids = enc.encode_ordinary(r.text or "")
+            want.add((r.doc_id, len(ids), sha(" ".join(map(str, ids)).encode()), sha((r.text or "").encode())))
+        assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op3_byte_bpe"](spark, d).collect()} == want
+    encoded = bpe.encode(spark.read.parquet(f"{edge_dir}/documents.parquet"), P.path("byte_bpe_50k.tiktoken"))
+    back = {r.doc_id: bytes(r.bytes) for r in bpe.decode(encoded, P.path("byte_bpe_50k.tiktoken")).collect()}
+    assert back[8] == EDGE[8][1].encode()
+
+
+def shingles(text):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} if len(ws) >= 5 else {tuple(ws)} if ws else set()
+
+
+def brute_components(rows):
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    posting = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            posting[x].append(i)
+    for i, s in enumerate(sets):
+        both = Counter(j for x in s for j in posting[x] if j < i)
+        for j, n in both.items():
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                parent[find(i)] = find(j)
+    low = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        low[find(i)].append(d)
+    return Counter((d, len(sets[i]), min((x for x in low[find(i)] if x is not None), default=None)) for i, (d, _) in enumerate(rows))
+
+
+def mutated(rng, words, k):
+    out = list(words)
+    for _ in range(k):
+        at = rng.integers(0, len(out))
+        out[at : at + 1] = [[f"m{rng.integers(1e6)}"], [], [out[at], f"m{rng.integers(1e6)}"]][rng.integers(3)]
+    return out
+
+
+def test_op4_components(spark, sf, edge_dir):
+    rng = np.random.default_rng(7)
+    base = [[f"w{rng.integers(400)}" for _ in range(rng.integers(3, 120))] for _ in range(12)]
+    passage = [f"p{i}" for i in range(40)]
+    made = [" ".join(mutated(rng, base[rng.integers(12)], rng.integers(0, 8))) for _ in range(250)]
+    made += [" ".join(passage + [f"u{rng.integers(1e6)}" for _ in range(rng.integers(4, 30))]) for _ in range(60)]
+    made += ["One TWO three", "one two THREE", "one two", "", None, " "]
+    planted = [(int(i), t) for i, t in enumerate(made)] + [(None, made[0]), (3, made[5])]
+    for rows in (planted, list(texts(spark, sf).items()), [(r[0], r[1]) for r in EDGE]):
+        got = ngramjoin.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        want = brute_components(rows)
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
+
+
+def test_op5_repeats(spark):
+    line = " ".join(f"Word{i}," for i in range(60))
+    rows = [(1, f"first.\n{line}\nlast."), (2, f"{line.upper()}"), (3, "clean text that nobody repeats " * 6), (4, f"a\n{line}\nb\n{line}"), (None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.removed) for r in unitdedup.repeated_units(docs).collect()}
+    n = len(line)
+    assert got == {1: (0, ""), 2: (1, f"0:{n}"), 3: (0, ""), 4: (2, f"2:{2 + n},{n + 5}:{2 * n + 5}"), None: (0, ""), 5: (0, "")}
+    clean = {r.doc_id: r.text for r in unitdedup.cleaned(docs).collect()}
+    assert clean[4] == "a\nb\n" and clean[1] == rows[0][1] and clean[None] is None
+
+
+def test_op6_is_a_permutation(spark, sf, edge_dir):
+    for n in (1, 2, 5, 26, 1000):
+        at = sorted(r.at for r in spark.range(n).select(feistel.permute(F.col("id"), n, 3).alias("at")).collect())
+        assert at == list(range(n))
+    for d in (sf, edge_dir):
+        docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+        rows = QUERIES["op6_feistel_shards"](spark, d).collect()
+        assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in docs)
+        slots = defaultdict(list)
+        for r in rows:
+            slots[r.shard].append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(map(len, slots.values())) - min(len(slots[k]) for k in range(8)) <= 1
+        assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, QUERIES["op6_feistel_shards"](spark, d).collect()), key=str)
+
+
+def test_op7_finds_all_verified_windows(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: f"v{rng.integers(3000)}"
+    items = [(i, " ".join(word() for _ in range(rng.integers(15, 60)))) for i in range(30)] + [(90, "two words"), (91, None), (92, "")]
+    docs = []
+    for d in range(120):
+        body = [word() for _ in range(rng.integers(5, 200))]
+        if d % 3 == 0:
+            at = rng.integers(0, len(body))
+            body[at:at] = mutated(rng, items[d % 30][1].upper().split(), int(d % 9 == 0))
+        docs.append((d, " ".join(body)))
+    docs += [(500, "Two Words"), (501, None), (502, "two, words")]
+    got = {(r.doc_id, r.item_id) for r in decontam.find_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+    def grams(ws):
+        return Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4)) if len(ws) >= 5 else Counter([tuple(ws)] if ws else [])
+
+    want = set()
+    for i, t in items:
+        item = (t or "").lower().split()
+        g = grams(item)
+        for d, text in docs:
+            ws = (text or "").lower().split()
+            for at in range(max(1, len(ws) - len(item) + 1)):
+                w = grams(ws[at : at + len(item)])
+                if item and w and sum((w & g).values()) >= 0.75 * sum((w | g).values()):
+                    want.add((d, i))
+    assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_op8_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = [r for r in QUERIES["op8_segmentation_unigram_langid"](spark, d).collect() if r.held_out]
+    assert rows and sum(r.lang_pred == lang[r.doc_id] for r in rows) >= 0.97 * len(rows)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_op8_forward_sums_all_segmentations():
+    model = langid.PieceModel(["a", "b", "ab", "ba", "aba"], ["x"])
+
+    def brute(w):
+        if not w:
+            return 1.0
+        total = 0.0
+        for k in range(1, len(w) + 1):
+            if w[:k] in ("a", "b", "ab", "ba", "aba"):
+                total += model.p[0, ["a", "b", "ab", "ba", "aba"].index(w[:k])] * brute(w[k:])
+            elif k == 1:
+                total += langid.FLOOR * brute(w[1:])
+        return total
+
+    words = ["a", "ab", "abab", "cab", "abaabaabaabaabab"]
+    assert np.allclose(np.exp(model.log_probs(words))[:, 0], [brute(w) for w in words])
+    before = model.p.copy()
+    model.fit({"x": {"abab": 10, "b": 1}})
+    assert abs(model.p[0, :-2].sum() - 1) < 1e-9 and not np.allclose(before, model.p)
+
+
+def test_op9_base(spark, sf, edge_dir):
+    for d in (sf, edge_dir):
+        got = {(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in QUERIES["op9_license_index"](spark, d).collect()}
+        want = set()
+        for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+            ws = re.findall(licenses.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+            at = [(i, label) for p, label in licenses.BASE_PHRASES for i in range(len(ws)) if ws[i : i + len(p.split())] == p.split()]
+            want.add((r.doc_id, len(ws), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))))
+        assert got == want
+
+
+def test_op9_templates(spark):
+    rows = [(i, f"Some code.\n{t.text}.") for i, t in enumerate(licenses.TEMPLATES)] + [(99, "The license of the free person is not here, and the software is granted to none.")]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(t.label in got[i] for i, t in enumerate(licenses.TEMPLATES)) and got[99] == [""]
+
+
+def brute_pii(text):
+    text, out = text or "", []
+    luhn = lambda s: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+    pats = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+            ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+    for k, (kind, p) in enumerate(pats):
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")) or kind == "card" and not (14 <= len(digits) <= 19 and luhn(digits)) or kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return ",".join(x for _, _, x in sorted(out))
+
+
+TRICKY = ["a@b.c@d.e x@y", "é1.2.3.4.5.6.7.8 001.2.3.0255 300.1.1.1", "+1 (222) 333-4444) +12 +1234567890123456 4111-1111-1111-1111-", "😀 4111111111111111 5 6",
+          "x@y.z%q@r.st..u", "1-2 3-4 5", "+ 1 +1234567890.", "a.b@c.d.", "7" * 40 + " 4242 4242 4242 4242"]
+
+
+def test_op10_base(spark, sf, edge_dir, tmp_path):
+    spark.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for d in (sf, edge_dir, str(tmp_path)):
+        want = {}
+        for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+            want[r.doc_id] = brute_pii(r.text)
+        for r in QUERIES["op10_information_sanitisation"](spark, d).collect():
+            assert r.base_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest(), (r, want[r.doc_id])
+            assert set(filter(None, want[r.doc_id].split(","))) <= set(r.spans.split(","))
+
+
+def test_op10_disclosure(spark):
+    rows = [(i, f"On day {i} the office wrote to Zanzibarus about code{i}: boss@corp.example.com and the others x{i}y.") for i in range(6)]
+    rows += [(100 + i, f"the office and the others saw thing{i} on day {i}") for i in range(40)] + [(200, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ".rstrip(", "))
+    got = {r.doc_id: r for r in pii.detect(docs).collect()}
+    text = dict(rows)
+    shown = {text[i][s.begin : s.end] for i in range(6) for s in got[i].terms}
+    assert "Zanzibarus" in shown and not shown & {"the", "office", "others"}
+    assert all(not got[100 + i].terms and not got[100 + i].base for i in range(40))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert "<EMAIL>" in clean[0] and "<TERM>" in clean[0] and "Zanzibarus" not in clean[0] and clean[100] == text[100] and clean[200] is None
