@@ -324,12 +324,20 @@ def _fits(a: str, b: str):
     return F.expr(f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})")
 
 
+def _reaches(a: str, b: str):
+    """Positional filter of a shared shingle, exact for the first one that a pair shares: that one and all after it in the
+    smaller rest must make up the overlap that the similarity asks for.  Later shared shingles may fail it without harm."""
+    return F.expr(f"(1 + least(n_{a} - place_{a}, n_{b} - place_{b}) - 1) * {100 + PERCENT} >= (n_{a} + n_{b}) * {PERCENT}")
+
+
 def class_links(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between classes that give the components of all links."""
     groups = settle(prefixes.groupBy("prefix", "n").agg(F.min(F.struct("digest", "tokens", "places")).alias("first")).select("prefix", "n", "first.*"), "groups")
-    exploded = groups.select("digest", "n", F.explode("tokens").alias("token"))
-    pivots = exploded.groupBy("token").agg(F.min(F.struct("n", "digest")).alias("pivot"), F.count("*").alias("groups")).where("groups > 1").select("token", F.col("pivot.digest").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
-    named = exploded.join(pivots, "token").where(F.col("digest") != F.col("pivot")).where(_fits("n", "pivot_n")).groupBy("digest", "pivot").agg(F.count("*").alias("times"))
+    exploded = groups.select("digest", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("digest", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
+    pivots = (exploded.groupBy("token").agg(F.min(F.struct("n", "digest", "place")).alias("pivot"), F.count("*").alias("groups")).where("groups > 1")
+              .select("token", F.col("pivot.digest").alias("pivot"), F.col("pivot.n").alias("n_p"), F.col("pivot.place").alias("place_p")))
+    named = (exploded.select("digest", F.col("n").alias("n_x"), "token", F.col("place").alias("place_x")).join(pivots, "token").where(F.col("digest") != F.col("pivot"))
+             .where(_fits("n_x", "n_p")).where(_reaches("x", "p")).groupBy("digest", "pivot").agg(F.count("*").alias("times")))
     stars = named.groupBy("digest").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("b")).select(F.col("digest").alias("a"), "b")
     members = prefixes.join(groups.select("prefix", "n", F.col("digest").alias("b")), ["prefix", "n"]).where("digest != b").select(F.col("digest").alias("a"), "b")
     links = settle(verified(stars.unionByName(members), sets), "star-links")
@@ -341,10 +349,7 @@ def class_links(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
     open_tokens = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
     rows = settle(rows.join(open_tokens, "token", "left_semi"), "open")
     a, b = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "label", "place")), "token") for s in "ab")
-    # shared shingles: those before this place in both, this one, and those after it
-    most = F.expr("least(place_a, place_b) + 1 + least(n_a - place_a, n_b - place_b) - 1")
-    enough = most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT
-    pairs = a.join(b, "token").where("label_a < label_b").where(_fits("n_a", "n_b")).where(enough).select("gid_a", "gid_b", "label_a", "label_b").distinct()
+    pairs = a.join(b, "token").where("label_a < label_b").where(_fits("n_a", "n_b")).where(_reaches("a", "b")).select("gid_a", "gid_b", "label_a", "label_b").distinct()
     member = placed.join(parts.select("prefix", "n", "label", "gid"), ["prefix", "n", "label"]).select("gid", "digest")
     expanded = (pairs.join(member.select(F.col("gid").alias("gid_a"), F.col("digest").alias("a")), "gid_a")
                 .join(member.select(F.col("gid").alias("gid_b"), F.col("digest").alias("b")), "gid_b").select("a", "b"))
