@@ -330,18 +330,34 @@ def _reaches(a: str, b: str):
     return F.expr(f"(1 + least(n_{a} - place_{a}, n_{b} - place_{b}) - 1) * {100 + PERCENT} >= (n_{a} + n_{b}) * {PERCENT}")
 
 
+#: Rounds of stars before pairs across components are listed; a few suffice, and more never change the result.
+STAR_ROUNDS = 5
+
+
 def class_links(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between classes that give the components of all links."""
+    """Links between classes that give the components of all links.
+
+    In each round every shingle that still joins several components names one class as pivot, another one each time, and a
+    class is compared with the pivot that most of its shingles name: as many pairs a round as there are groups."""
     groups = settle(prefixes.groupBy("prefix", "n").agg(F.min(F.struct("digest", "tokens", "places")).alias("first")).select("prefix", "n", "first.*"), "groups")
-    exploded = groups.select("digest", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("digest", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
-    pivots = (exploded.groupBy("token").agg(F.min(F.struct("n", "digest", "place")).alias("pivot"), F.count("*").alias("groups")).where("groups > 1")
-              .select("token", F.col("pivot.digest").alias("pivot"), F.col("pivot.n").alias("n_p"), F.col("pivot.place").alias("place_p")))
-    named = (exploded.select("digest", F.col("n").alias("n_x"), "token", F.col("place").alias("place_x")).join(pivots, "token").where(F.col("digest") != F.col("pivot"))
-             .where(_fits("n_x", "n_p")).where(_reaches("x", "p")).groupBy("digest", "pivot").agg(F.count("*").alias("times")))
-    stars = named.groupBy("digest").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("b")).select(F.col("digest").alias("a"), "b")
-    members = prefixes.join(groups.select("prefix", "n", F.col("digest").alias("b")), ["prefix", "n"]).where("digest != b").select(F.col("digest").alias("a"), "b")
-    links = settle(verified(stars.unionByName(members), sets), "star-links")
-    labels = connected(links, "star")
+    rows = groups.select("digest", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("digest", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
+    links, labels = None, groups.select("digest", F.col("digest").alias("label"))
+    for k in range(STAR_ROUNDS):
+        placed = rows.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        pivot = F.min(F.struct(F.xxhash64("digest", F.lit(k)), "digest", "n", "place", "label")).alias("p")
+        pivots = placed.groupBy("token").agg(pivot, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select(
+            "token", F.col("p.digest").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.place").alias("place_p"), F.col("p.label").alias("label_p"))
+        named = (placed.select("digest", F.col("n").alias("n_x"), "token", F.col("place").alias("place_x"), "label").join(pivots, "token").where("label != label_p")
+                 .where(_fits("n_x", "n_p")).where(_reaches("x", "p")).groupBy("digest", "pivot").agg(F.count("*").alias("times")))
+        pairs = named.groupBy("digest").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("b")).select(F.col("digest").alias("a"), "b")
+        if k == 0:
+            pairs = pairs.unionByName(prefixes.join(groups.select("prefix", "n", F.col("digest").alias("b")), ["prefix", "n"]).where("digest != b").select(F.col("digest").alias("a"), "b"))
+        new = settle(verified(pairs, sets), "star-links")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        labels = connected(links, "star")
+    links = links if links is not None else new
     # what is left: pairs of classes in different components, by groups within one component
     placed = prefixes.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     parts = settle(placed.groupBy("prefix", "n", "label").agg(F.min("tokens").alias("tokens"), F.min("places").alias("places"), F.min("digest").alias("gid")), "parts")
