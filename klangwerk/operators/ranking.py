@@ -83,7 +83,7 @@ def near_tie_bands(df: DataFrame, keys: list[str], score: str, tie: list[str], w
     """WN-09: rows by falling score; a new band begins where the score is more than ``width`` below its band's first."""
     from pyspark.sql.types import LongType, StructType
 
-    schema = StructType(df.schema.fields).add(name, LongType())
+    schema = StructType([*df.schema.fields]).add(name, LongType())
 
     def run(pdf):
         pdf = pdf.sort_values([score, *tie], ascending=[False] + [True] * len(tie), kind="stable")
@@ -102,7 +102,7 @@ def capped_greedy(df: DataFrame, key: str, order: str, caps: dict[str, int], lim
     by definition; cut groups with `top_per_group` first where they may be large."""
     from pyspark.sql.types import LongType, StructType
 
-    schema = StructType(df.schema.fields).add(rank, LongType())
+    schema = StructType([*df.schema.fields]).add(rank, LongType())
 
     def run(pdf):
         pdf = pdf.sort_values(order, kind="stable")

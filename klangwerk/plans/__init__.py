@@ -1,6 +1,6 @@
 """Named queries over the driver's tables."""
 
-from . import corpus, relational
+from . import corpus, phonetic, relational
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "relational"]
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "phonetic", "relational"]
