@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontam, feistel, langid, licenses, lineclean, ngramjoin, pii, tokenbin, unitdedup
 from .common import read_table
+from .oracle import ORACLE_SQL
 
-QUERIES, ORACLE_SQL = {}, {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+QUERIES = {}
 
 
 def _query(f):
@@ -42,7 +45,7 @@ def op3_byte_bpe(docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_ngram_jaccard_join(docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngramjoin.components(docs)
+    return ngramjoin.components(docs).drop("class_digest")
 
 
 @_query
@@ -62,12 +65,10 @@ def op7_simhash_decontamination(docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_segmentation_unigram_langid(docs: DataFrame, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    marked = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    model = langid.train(docs.where(~F.coalesce(held_out, F.lit(False))), public_tokenizers.path("piece_bpe_32k.model"))
-    del marked
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.train(docs.where(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
     predicted = langid.predict(docs, model)
-    return predicted.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 @_query
