@@ -1,6 +1,6 @@
 """Named queries over the driver's tables."""
 
-from . import corpus, phonetic, relational
+from . import corpus, more, phonetic, relational
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "phonetic", "relational"]
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "more", "phonetic", "relational"]
