@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding (operator 3).
 
 Texts are split into words by the vocabulary's pattern.  Documents are gathered into blocks of bounded size, each with
-its distinct words as byte arrays; Spark higher-order functions fold the ranked merges over every distinct word of a
-block, looking ranks up in the vocabulary's literal rank map; the ids of the words then make up the ids of the documents.
-Decoding concatenates the binary pieces of the ids.
+its distinct words as byte arrays and, for each word, the ranks of the merges whose tokens it contains.  Spark
+higher-order functions fold the ranked merges over every distinct word of a block, by the vocabulary's literal rank map:
+a word is the row of its marks ``<id>``, and the merge of rank k rewrites ``<left><right>`` as ``<k>``.  The ids of the
+words then make up the ids of the documents.  Decoding concatenates the binary pieces of the ids.
 
 There is no shuffle: a block is built, folded and taken apart within one task, so the work grows with the input and a
 lost executor costs its own tasks only.  The rank map depends on the vocabulary alone (at most 65,536 tokens, checked) and
-reaches the executors as a broadcast row of three arrays.
+reaches the executors as a broadcast row of arrays.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded alike; an empty table
 gives an empty result; other columns are ignored.
@@ -22,80 +23,43 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe_ranks import NO_RANK, RankTable, rank_table
+from .bpe_ranks import MergeFinder, RankTable, rank_table
 from .tokenbin import WORD
 from .wordcodes import gather, list_codes
 
 #: Words (with repeats) and distinct bytes after which a block is closed.
 BLOCK_WORDS, BLOCK_BYTES = 6_000_000, 8_000_000
-_BLOCK = "docs array<long>, lengths array<int>, codes binary, words array<array<int>>, one int"
+_BLOCK = "docs array<long>, lengths array<int>, codes binary, words array<struct<bytes:array<int>,merges:array<int>>>, one int"
 
 
 def rank_row(spark: SparkSession, table: RankTable) -> DataFrame:
-    """The rank map as one row: by pair of bytes, and by pair of ids in two slots."""
-    ranks = {t: i for i, t in enumerate(table.tokens)}
-    pairs = [ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)]
-    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-    row = pa.table({"slots_a": pa.array([list(table.first)], longs), "slots_b": pa.array([list(table.second)], longs),
-                    "byte_pairs": pa.array([pairs], ints), "byte_ids": pa.array([list(table.byte_ids)], ints), "one": pa.array([1], pa.int32())})
+    """The rank map as one row: marks of the bytes; by rank, the marks that are merged and the mark that they become."""
+    mark, text = "<{}>".format, pa.list_(pa.string())
+    row = pa.table({"byte_marks": pa.array([[mark(i) for i in table.byte_ids]], text), "merged": pa.array([[mark(p[0]) + mark(p[1]) if p else "" for p in table.parts]], text),
+                    "marks": pa.array([[mark(k) for k in range(len(table.tokens))]], text), "one": pa.array([1], pa.int32())})
     return spark.createDataFrame(row)
 
 
-def _bind(value: Column, f) -> Column:
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+def fold_word(word: Column) -> Column:
+    """Ids of a word (bytes, merges): its merges are applied in rank order, each to all its places from the left."""
+    start = F.array_join(F.transform(word["bytes"], lambda b: F.get("byte_marks", b)), "")
+    folded = F.aggregate(word["merges"], start, lambda s, k: F.replace(s, F.get("merged", k), F.get("marks", k)), lambda s: F.substring(s, F.lit(2), F.length(s) - 2))
+    return F.transform(F.split(folded, "><"), lambda x: x.cast("int"))
 
 
-def _rank(left: Column, right: Column, table: RankTable) -> Column:
-    """Rank of a pair of ids, NO_RANK if they do not merge."""
-
-    def held(slot: Column, key: Column, other: Column) -> Column:
-        return _bind(slot, lambda x: F.when(F.shiftright(x, 16) == key, x.bitwiseAND(F.lit(65535).cast("long")).cast("int")).otherwise(other))
-
-    return _bind(left * F.lit(65536).cast("long") + right, lambda key: held(
-        F.get("slots_a", (key % len(table.first)).cast("int")), key,
-        held(F.get("slots_b", (key % len(table.second)).cast("int")), key, F.lit(NO_RANK))))
-
-
-def fold_word(word: Column, table: RankTable) -> Column:
-    """Ids of a word given as an array of byte values: its lowest-ranked pair, leftmost first, is merged until none is left.
-
-    The state holds the ids and the rank of every neighbouring pair; a merge replaces two ids and re-ranks two pairs.
-    """
-    last = F.lit(1 << 30)
-
-    def merge(state: Column, at: Column) -> Column:
-        p, r = state["p"], state["r"]
-        none = F.array().cast("array<int>")
-
-        def with_id(new: Column) -> Column:
-            before = F.when(at > 1, F.concat(F.slice(r, F.lit(1), at - 2), F.array(_rank(F.get(p, at - 2), new, table)))).otherwise(none)
-            after = F.when(at < F.size(r), F.concat(F.array(_rank(new, F.get(p, at + 1), table)), F.slice(r, at + 2, last))).otherwise(none)
-            return F.struct(F.concat(F.slice(p, F.lit(1), at - 1), F.array(new), F.slice(p, at + 2, last)).alias("p"), F.concat(before, after).alias("r"))
-
-        return _bind(F.get(r, at - 1), with_id)
-
-    start = F.struct(
-        F.transform(word, lambda b: F.get("byte_ids", b)).alias("p"),
-        F.zip_with(F.slice(word, F.lit(1), F.size(word) - 1), F.slice(word, F.lit(2), last), lambda a, b: F.get("byte_pairs", a * 256 + b)).alias("r"))
-    folded = F.aggregate(F.sequence(F.lit(2), F.size(word)), start,
-                         lambda s, _: F.when(F.array_min(s["r"]) >= NO_RANK, s).otherwise(_bind(F.array_position(s["r"], F.array_min(s["r"])).cast("int"), lambda at: merge(s, at))),
-                         lambda s: s["p"])
-    return F.when(F.size(word) < 2, F.transform(word, lambda b: F.get("byte_ids", b))).otherwise(folded)
-
-
-def _blocks(batches):
+def _blocks(batches, tokens):
     """Batches of (doc_id, words) to rows of _BLOCK."""
+    finder = MergeFinder(tokens)
     number, words, docs, lengths, codes, n_words, n_bytes = {}, [], [], [], [], 0, 0
 
     def row():
-        joined = pa.array(words, pa.binary())
         raw = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int32)
-        offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(raw))
-        del joined
+        merges, edges = finder.find(words)
+        own = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(w) for w in words])]), pa.int32()), pa.array(raw)),
+                                          pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(merges))], ["bytes", "merges"])
         wrap = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if kind else values)
         flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-        return pa.RecordBatch.from_arrays([wrap(docs, pa.int64()), wrap(lengths, pa.int32()), pa.array([flat.astype("<i4").tobytes()]), wrap(lists, None), pa.array([1], pa.int32())],
+        return pa.RecordBatch.from_arrays([wrap(docs, pa.int64()), wrap(lengths, pa.int32()), pa.array([flat.astype("<i4").tobytes()]), wrap(own, None), pa.array([1], pa.int32())],
                                           ["docs", "lengths", "codes", "words", "one"])
 
     for b in batches:
@@ -133,8 +97,9 @@ def fold_blocks(docs: DataFrame, table: RankTable) -> DataFrame:
     """Blocks of documents with the ids of their distinct words."""
     text = F.coalesce("text", F.lit(""))
     listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"))
-    blocks = listed.mapInArrow(_blocks, _BLOCK).join(F.broadcast(rank_row(docs.sparkSession, table)), "one")
-    return blocks.select("docs", "lengths", "codes", F.transform("words", lambda w: fold_word(w, table)).alias("folded"))
+    tokens = table.tokens
+    blocks = listed.mapInArrow(lambda batches: _blocks(batches, tokens), _BLOCK).join(F.broadcast(rank_row(docs.sparkSession, table)), "one")
+    return blocks.select("docs", "lengths", "codes", F.transform("words", fold_word).alias("folded"))
 
 
 def _ids_of(row: pa.RecordBatch, i: int) -> tuple[list, np.ndarray, np.ndarray]:
