@@ -65,3 +65,12 @@ def ascii_lower(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Words between ASCII white space; none for null or blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+
+
+#: Rows of ids up to which a settled table of ids is broadcast; beyond it the same join is a shuffle join.
+MAX_BROADCAST_IDS = 500_000
+
+
+def small_side(ids: DataFrame) -> DataFrame:
+    """A settled table of ids, marked for broadcast if it is counted to be small."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids

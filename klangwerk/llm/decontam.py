@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle, small_side
 from .wordcodes import hashed_words
 
 SHINGLE = 5
@@ -210,5 +211,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, in which no item was found."""
-    found = contaminated(docs, benchmark).select(F.col("doc_id").alias("_found"))
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_found")), "left_anti")
+    found = settle(contaminated(docs, benchmark).select(F.col("doc_id").alias("_found")), "contaminated")
+    return docs.join(small_side(found), docs["doc_id"].cast("long").eqNullSafe(F.col("_found")), "left_anti")

@@ -34,15 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, settle
+from .common import remove, settle, small_side
 from .decontam import SHINGLE, shingle_hashes
 from .wordcodes import hashed_words
 
 PERCENT = 75
 BLOCK_DOCS, BLOCK_BYTES = 4000, 12_000_000
 REPEATED = 0xFFFF  # in place of a document's number: the shingle is in several documents of the block
-#: Class keys up to which they are broadcast to the pass that reads the survivors' texts; beyond it that pass is a shuffle join.
-MAX_BROADCAST_CLASSES = 500_000
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,10 +166,9 @@ def _surviving(_, docs, counts):
 
 def _survivor_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Blocks of the classes' sets, each class once: digests, sizes and shingles."""
-    few = classes.count() <= MAX_BROADCAST_CLASSES
-    wanted = classes.select(F.col("rep").alias("_rep"), F.col("digest").alias("_digest"))
+    wanted = small_side(classes).select(F.col("rep").alias("_rep"), F.col("digest").alias("_digest"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    joined = texts.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("_digest", "text")
+    joined = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("_digest", "text")
 
     def run(batches):
         for b in batches:
@@ -393,6 +390,7 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, without those whose component has a smaller doc_id."""
-    gone = components(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """The documents, all columns, without those whose component has a smaller doc_id; rows that share a doc_id stay if one does."""
+    fate = components(docs).groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("goes"))
+    gone = settle(fate.where("goes").select(F.col("doc_id").alias("_gone")), "gone")
+    return docs.join(small_side(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
