@@ -28,7 +28,7 @@ from .tokenbin import WORD
 from .wordcodes import gather, list_codes
 
 #: Words (with repeats) and distinct bytes after which a block is closed.
-BLOCK_WORDS, BLOCK_BYTES = 6_000_000, 8_000_000
+BLOCK_WORDS, BLOCK_BYTES = 2_000_000, 4_000_000
 _BLOCK = "docs array<long>, lengths array<int>, codes binary, words array<struct<bytes:array<int>,merges:array<int>>>, one int"
 
 
@@ -54,7 +54,9 @@ def _blocks(batches, tokens):
 
     def row():
         raw = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int32)
-        merges, edges = finder.find(words)
+        found = [finder.find(words[k : k + 50_000]) for k in range(0, len(words), 50_000)]
+        merges = np.concatenate([m for m, _ in found])
+        edges = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(e) for _, e in found]))])
         own = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(w) for w in words])]), pa.int32()), pa.array(raw)),
                                           pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(merges))], ["bytes", "merges"])
         wrap = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if kind else values)
@@ -102,17 +104,18 @@ def fold_blocks(docs: DataFrame, table: RankTable) -> DataFrame:
     return blocks.select("docs", "lengths", "codes", F.transform("words", fold_word).alias("folded"))
 
 
-def _ids_of(row: pa.RecordBatch, i: int) -> tuple[list, np.ndarray, np.ndarray]:
-    """doc_ids, all ids of a block and where each document's ids start."""
-    docs, lengths = row.column(0)[i].values.to_pylist(), row.column(1)[i].values.to_numpy()
+def _ids_of(row: pa.RecordBatch, i: int):
+    """(doc_ids, all their ids, where each document's begin) of a block, some hundred documents at a time."""
+    docs, lengths = row.column(0)[i].values.to_pylist(), row.column(1)[i].values.to_numpy().astype(np.int64)
     codes = np.frombuffer(row.column(2)[i].as_py(), dtype="<i4")
     folded = row.column(3)[i].values
     begin = folded.offsets.to_numpy().astype(np.int64)
-    flat = folded.values.to_numpy(zero_copy_only=False)
-    size = np.diff(begin)
-    ids = gather(flat, begin[:-1], size, codes)
-    past = np.concatenate([[0], np.cumsum(size[codes])])
-    return docs, ids, past[np.concatenate([[0], np.cumsum(lengths)])]
+    flat, size, words = folded.values.to_numpy(zero_copy_only=False), np.diff(begin), np.concatenate([[0], np.cumsum(lengths)])
+    for k in range(0, len(docs), 500):
+        end = min(len(docs), k + 500)
+        own = codes[words[k] : words[end]]
+        past = np.concatenate([[0], np.cumsum(size[own])])
+        yield docs[k:end], gather(flat, begin[:-1], size, own), past[words[k : end + 1] - words[k]]
 
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -122,8 +125,8 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                doc_ids, ids, starts = _ids_of(b, i)
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+                for doc_ids, ids, starts in _ids_of(b, i):
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
     return fold_blocks(docs, table).mapInArrow(run, "doc_id long, ids array<int>")
 

@@ -169,8 +169,11 @@ def _best(model: PieceModel | None, distinct: list[str], codes: np.ndarray, star
     n = np.diff(starts)
     if model is None or not len(codes):
         return ["und"] * len(n), np.zeros(len(n))
-    table = np.vstack([model.log_probs(distinct)[codes], np.zeros((1, len(model.languages)))])
-    sums = np.add.reduceat(table, starts[:-1], axis=0)
+    table, sums = model.log_probs(distinct), np.zeros((len(n), len(model.languages)))
+    for i in range(0, len(n), 500):  # bounds the scores held at once
+        j = min(len(n), i + 500)
+        own = np.vstack([table[codes[starts[i] : starts[j]]], np.zeros((1, len(model.languages)))])
+        sums[i:j] = np.add.reduceat(own, starts[i:j] - starts[i], axis=0)
     post = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
     return [model.languages[k] if m else "und" for k, m in zip(sums.argmax(axis=1), n)], np.where(n > 0, post, 0.0)
 

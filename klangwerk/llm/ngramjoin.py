@@ -303,19 +303,29 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def connected(links: DataFrame, name: str) -> DataFrame:
-    """digest and label (smallest digest of its component) of every linked class: labels spread along links, then jump."""
+    """digest and label (smallest digest of its component) of everything linked: labels spread along links, then jump."""
     both = settle(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
     labels = settle(both.groupBy(F.col("a").alias("digest")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-labels")
     while True:
-        near = both.join(labels.select(F.col("digest").alias("b"), "label"), "b").groupBy(F.col("a").alias("digest")).agg(F.min("label").alias("seen"))
-        spread = labels.join(near, "digest", "left").select("digest", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        target = labels.select(F.col("digest").alias("label"), F.col("label").alias("further"))
+        known = small_side(labels)
+        seen = both.join(known.select(F.col("digest").alias("b"), "label"), "b").select(F.col("a").alias("digest"), "label", F.lit(None).cast("binary").alias("old"))
+        spread = labels.select("digest", "label", F.col("label").alias("old")).unionByName(seen).groupBy("digest").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        target = known.select(F.col("digest").alias("label"), F.col("label").alias("further"))
         moved = settle(spread.join(target, "label", "left").select("digest", "old", F.least("label", "further").alias("label")), f"{name}-labels")
         labels = moved.select("digest", "label")
         if moved.where(F.col("old") != F.col("label")).isEmpty():
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """labels (digest, label) after new links: the graph of labels is far smaller than that of classes."""
+    own = small_side(labels)
+    at = lambda side: own.select(F.col("digest").alias(side), F.col("label").alias(f"label_{side}"))
+    edges = links.join(at("a"), "a").join(at("b"), "b").where("label_a != label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+    moves = small_side(connected(edges, name)).select(F.col("digest").alias("label"), F.col("label").alias("new"))
+    return settle(labels.join(moves, "label", "left").select("digest", F.coalesce("new", "label").alias("label")), f"{name}-merged")
+
+
 def _fits(a: str, b: str):
     """Size filter of a pair."""
     return F.expr(f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})")
@@ -328,19 +338,19 @@ def _reaches(a: str, b: str):
 
 
 #: Rounds of stars before pairs across components are listed; a few suffice, and more never change the result.
-STAR_ROUNDS = 5
+STAR_ROUNDS = 4
 
 
-def class_links(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between classes that give the components of all links.
+def class_labels(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
+    """digest and component label of every class with a prefix.
 
     In each round every shingle that still joins several components names one class as pivot, another one each time, and a
     class is compared with the pivot that most of its shingles name: as many pairs a round as there are groups."""
     groups = settle(prefixes.groupBy("prefix", "n").agg(F.min(F.struct("digest", "tokens", "places")).alias("first")).select("prefix", "n", "first.*"), "groups")
     rows = groups.select("digest", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("digest", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
-    links, labels = None, groups.select("digest", F.col("digest").alias("label"))
+    labels = settle(prefixes.select("digest", F.col("digest").alias("label")), "labels")
     for k in range(STAR_ROUNDS):
-        placed = rows.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        placed = rows.join(small_side(labels), "digest")
         pivot = F.min(F.struct(F.xxhash64("digest", F.lit(k)), "digest", "n", "place", "label")).alias("p")
         pivots = placed.groupBy("token").agg(pivot, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select(
             "token", F.col("p.digest").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.place").alias("place_p"), F.col("p.label").alias("label_p"))
@@ -349,24 +359,23 @@ def class_links(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = named.groupBy("digest").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("b")).select(F.col("digest").alias("a"), "b")
         if k == 0:
             pairs = pairs.unionByName(prefixes.join(groups.select("prefix", "n", F.col("digest").alias("b")), ["prefix", "n"]).where("digest != b").select(F.col("digest").alias("a"), "b"))
-        new = settle(verified(pairs, sets), "star-links")
-        if new.isEmpty():
+        links = settle(verified(pairs, sets), "star-links")
+        if links.isEmpty():
             break
-        links = new if links is None else links.unionByName(new)
-        labels = connected(links, "star")
-    links = links if links is not None else new
+        labels = merged(labels, links, "star")
     # what is left: pairs of classes in different components, by groups within one component
-    placed = prefixes.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    placed = prefixes.join(small_side(labels), "digest")
     parts = settle(placed.groupBy("prefix", "n", "label").agg(F.min("tokens").alias("tokens"), F.min("places").alias("places"), F.min("digest").alias("gid")), "parts")
     rows = parts.select("gid", "n", "label", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("gid", "n", "label", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
     open_tokens = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
     rows = settle(rows.join(open_tokens, "token", "left_semi"), "open")
     a, b = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "label", "place")), "token") for s in "ab")
-    pairs = a.join(b, "token").where("label_a < label_b").where(_fits("n_a", "n_b")).where(_reaches("a", "b")).select("gid_a", "gid_b", "label_a", "label_b").distinct()
+    pairs = a.join(b, "token").where("label_a < label_b").where(_fits("n_a", "n_b")).where(_reaches("a", "b")).select("gid_a", "gid_b").distinct()
     member = placed.join(parts.select("prefix", "n", "label", "gid"), ["prefix", "n", "label"]).select("gid", "digest")
     expanded = (pairs.join(member.select(F.col("gid").alias("gid_a"), F.col("digest").alias("a")), "gid_a")
                 .join(member.select(F.col("gid").alias("gid_b"), F.col("digest").alias("b")), "gid_b").select("a", "b"))
-    return links.unionByName(settle(verified(expanded, sets), "cross-links"))
+    links = settle(verified(expanded, sets), "cross-links")
+    return labels if links.isEmpty() else merged(labels, links, "cross")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -382,8 +391,8 @@ def components(docs: DataFrame) -> DataFrame:
     set_blocks = settle(_set_blocks(sets), "set-blocks")
     prefixes = settle(set_blocks.groupBy("block").cogroup(_frequencies(set_blocks, buckets).groupBy("block"))
                       .applyInPandas(_prefixes(buckets), "digest binary, n int, prefix binary, tokens array<long>, places array<int>"), "prefixes")
-    labels = connected(class_links(prefixes, sets), "all")
-    placed = classes.select("digest", "rep").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    labels = class_labels(prefixes, sets)
+    placed = classes.select("digest", "rep").join(small_side(labels), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     smallest = placed.groupBy("label").agg(F.min("rep").alias("component"))
     of_class = settle(placed.join(smallest, "label").select("digest", "component"), "components")
     return every.join(of_class, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.hex("digest").alias("class_digest"))

@@ -34,6 +34,8 @@ from .wordcodes import gather, list_codes
 
 MAGIC = b"BPT1"
 BLOCK = 1 << 16
+#: Documents whose words, and words whose ids, are held as arrays at once.
+SLICE_DOCS, ENCODE_WORDS, MAX_KNOWN = 1000, 8192, 400_000
 #: The pattern by which the tokenizer's own pre-tokenizer splits a text, with white space as Unicode has it.
 WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -55,15 +57,23 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return out
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which the vocabulary file writes each byte: printable ones stand for themselves, others follow from U+0100."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 class WordIds:
-    """Ids of words, kept as one flat array; new words are encoded in batches by the tokenizers library."""
+    """Ids of words, kept as one flat array; new words go through the BPE model of the tokenizers library.
+
+    A word is what the tokenizer's pre-tokenizer would hand to its model, so special tokens' strings are ordinary text."""
 
     def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model = Tokenizer.from_file(tokenizer_path).model
+        self.letters = byte_letters()
         self.known: dict[str, int] = {}
         self.begin, self.length, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
@@ -77,8 +87,11 @@ class WordIds:
 
     def add(self, words: list[str]) -> np.ndarray:
         """Codes of the words in self.begin and self.length."""
-        if fresh := [w for w in words if w not in self.known]:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        tokenize, letters = self.model.tokenize, self.letters
+        fresh_words = [w for w in words if w not in self.known]
+        for at in range(0, len(fresh_words), ENCODE_WORDS):
+            fresh = fresh_words[at : at + ENCODE_WORDS]
+            ids = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in fresh]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             k, total = len(self.known), int(lengths.sum())
             self._room("flat", self.used + total)[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
@@ -91,7 +104,7 @@ class WordIds:
     def encode(self, lists: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, each row's followed by end_id, and the ids of each row."""
         distinct, codes, starts = list_codes(lists)
-        if len(self.known) > 1_000_000:  # bounds a task's memory; words are simply encoded again
+        if len(self.known) > MAX_KNOWN:  # bounds a task's memory; words are simply encoded again
             self.known, self.used = {}, 0
         codes = self.add(distinct)[codes] if len(codes) else codes.astype(np.int64)
         ids = gather(self.flat, self.begin, self.length, codes)
@@ -132,20 +145,22 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, level: int
                 store.create_dir(path)
                 out = store.open_output_stream(f"{path}/{name}")
                 out.write(MAGIC)
-            ids, lengths = encoder.encode(b.column(1), end_id)
-            rows.append((b.column(0), total + np.cumsum(lengths) - lengths, lengths))
-            total += len(ids)
-            kept = np.concatenate([kept, ids])
-            whole = len(kept) // BLOCK * BLOCK
-            for i in range(0, whole, BLOCK):
-                put(kept[i : i + BLOCK])
-            kept = kept[whole:]
+            for at_row in range(0, b.num_rows, SLICE_DOCS):
+                part_rows = b.slice(at_row, SLICE_DOCS)
+                ids, lengths = encoder.encode(part_rows.column(1), end_id)
+                rows.append((part_rows.column(0).to_pylist(), total + np.cumsum(lengths) - lengths, lengths))
+                total += len(ids)
+                kept = np.concatenate([kept, ids])
+                whole = len(kept) // BLOCK * BLOCK
+                for i in range(0, whole, BLOCK):
+                    put(kept[i : i + BLOCK])
+                kept = kept[whole:]
         if out is None:
             return
         if len(kept):
             put(kept)
         out.close()
-        listed = [{"doc_id": d, "begin": int(x), "n": int(n)} for ids, begin, lengths in rows for d, x, n in zip(ids.to_pylist(), begin, lengths)]
+        listed = [{"doc_id": d, "begin": int(x), "n": int(n)} for ids, begin, lengths in rows for d, x, n in zip(ids, begin, lengths)]
         schema = pa.schema([("file", pa.string()), ("part", pa.int64()), ("n_ids", pa.int64()),
                             ("chunks", pa.list_(pa.struct([("begin", pa.int64()), ("n", pa.int32()), ("planes", pa.list_(pa.int32()))]))),
                             ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("begin", pa.int64()), ("n", pa.int32())])))])
