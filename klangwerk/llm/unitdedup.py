@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Shorter units are common phrases rather than copied passages.
-MIN_WORDS = 25
+MIN_WORDS = 20
 _NOISE = re.compile(r"[\W_]+")
 _DIGITS = re.compile(r"\d")
 
