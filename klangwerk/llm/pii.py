@@ -110,7 +110,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return one.select("doc_id", "text_hash", F.transform("found", widen).alias("spans"))
 
 
-#: Terms up to which their set is broadcast to the pass that counts them; beyond it the counts are joined.
+#: Terms (and documents with disclosing terms) up to which their set is broadcast; beyond it the join is a shuffle join.
 MAX_BROADCAST_TERMS = 100_000
 
 
@@ -129,9 +129,9 @@ def disclosing(docs: DataFrame, spans: DataFrame) -> DataFrame:
     counts = of_pair.sparkSession.createDataFrame([], "term string, n_term long")
     if n_terms:
         own = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}[\p{L}\p{N}'-]*[\p{L}\p{N}]"), F.lit(0)))
-        listed = docs.select(F.explode(own).alias("term"))
-        listed = listed.join(F.broadcast(wanted), "term", "left_semi") if n_terms <= MAX_BROADCAST_TERMS else listed
-        counts = listed.groupBy("term").agg(F.count("*").alias("n_term"))
+        # counted before they are chosen: a join below the count would carry a row for every document of a frequent term
+        counted = docs.select(F.explode(own).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+        counts = counted.join(F.broadcast(wanted) if n_terms <= MAX_BROADCAST_TERMS else wanted, "term")
     n = F.lit(float(max(n_docs, 1)))
     pmi = F.log(F.col("n_pair") * n / (F.col("n_entity") * F.greatest("n_term", "n_pair")))
     ic = -F.log(F.col("n_entity") / n)
