@@ -28,7 +28,9 @@ from .tokenbin import WORD
 from .wordcodes import gather, list_codes
 
 #: Words (with repeats) and distinct bytes after which a block is closed.
-BLOCK_WORDS, BLOCK_BYTES = 2_000_000, 4_000_000
+BLOCK_WORDS, BLOCK_BYTES = 1_000_000, 1_600_000
+#: Documents whose words are held as arrays at once.
+SLICE_DOCS = 1000
 _BLOCK = "docs array<long>, lengths array<int>, codes binary, words array<struct<bytes:array<int>,merges:array<int>>>, one int"
 
 
@@ -64,7 +66,7 @@ def _blocks(batches, tokens):
         return pa.RecordBatch.from_arrays([wrap(docs, pa.int64()), wrap(lengths, pa.int32()), pa.array([flat.astype("<i4").tobytes()]), wrap(own, None), pa.array([1], pa.int32())],
                                           ["docs", "lengths", "codes", "words", "one"])
 
-    for b in batches:
+    for b in (batch.slice(k, SLICE_DOCS) for batch in batches for k in range(0, batch.num_rows, SLICE_DOCS)):
         distinct, own, starts = list_codes(b.column(1))
         ids = b.column(0).to_pylist()
         size = np.diff(starts)
@@ -153,19 +155,26 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def _listed(ids: np.ndarray, starts: np.ndarray) -> list[list[int]]:
+    flat = ids.tolist()
+    return [flat[i:j] for i, j in zip(starts.tolist(), starts[1:].tolist())]
+
+
 def encode_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     """Per document: number of ids, digest of the ids and digest of what they decode to."""
-    tokens = pieces(ranks_path)
+    table = rank_table(ranks_path)
+    tokens = table.tokens
 
     def run(batches):
         digits = [str(i) for i in range(len(tokens))]
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            rows = [(len(x), sha(" ".join(map(digits.__getitem__, x)).encode()), sha(decode_ids(x, tokens))) for x in (ids or [] for ids in b.column(1).to_pylist())]
-            cols = list(zip(*rows)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for i in range(b.num_rows):
+                for doc_ids, flat, starts in _ids_of(b, i):
+                    rows = [(len(x), sha(" ".join(map(digits.__getitem__, x)).encode()), sha(decode_ids(x, tokens))) for x in _listed(flat, starts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encode(docs, ranks_path).mapInArrow(run, DIGEST)
+    return fold_blocks(docs, table).mapInArrow(run, DIGEST)
 
 
 CHECKED = "doc_id long, ids array<int>, n_tokens long, text_sha256 string"
@@ -173,12 +182,15 @@ CHECKED = "doc_id long, ids array<int>, n_tokens long, text_sha256 string"
 
 def encode_with_check(docs: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, ids, n_tokens and the digest of the decoded bytes of every document."""
-    tokens = pieces(ranks_path)
+    table = rank_table(ranks_path)
+    tokens = table.tokens
 
     def run(batches):
         for b in batches:
-            listed = [x or [] for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, listed), pa.int64()),
-                                              pa.array([hashlib.sha256(decode_ids(x, tokens)).hexdigest() for x in listed], pa.string())], ["doc_id", "ids", "n_tokens", "text_sha256"])
+            for i in range(b.num_rows):
+                for doc_ids, flat, starts in _ids_of(b, i):
+                    digests = [hashlib.sha256(decode_ids(x, tokens)).hexdigest() for x in _listed(flat, starts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32())), pa.array(np.diff(starts), pa.int64()), pa.array(digests, pa.string())],
+                                                     ["doc_id", "ids", "n_tokens", "text_sha256"])
 
-    return encode(docs, ranks_path).mapInArrow(run, CHECKED)
+    return fold_blocks(docs, table).mapInArrow(run, CHECKED)
