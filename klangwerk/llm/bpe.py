@@ -28,7 +28,7 @@ from .tokenbin import WORD
 from .wordcodes import gather, list_codes
 
 #: Words (with repeats) and distinct bytes after which a block is closed.
-BLOCK_WORDS, BLOCK_BYTES = 1_000_000, 1_600_000
+BLOCK_WORDS, BLOCK_BYTES = 700_000, 1_200_000
 #: Documents whose words are held as arrays at once.
 SLICE_DOCS = 1000
 _BLOCK = "docs array<long>, lengths array<int>, codes binary, words array<struct<bytes:array<int>,merges:array<int>>>, one int"
