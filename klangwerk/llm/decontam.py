@@ -8,6 +8,10 @@ BLOCKS blocks, and each block's table lists the items for every block value with
 within the radius are verified exactly: the weighted Jaccard similarity (sum of minima over sum of maxima of shingle
 counts) of the item and the best-aligned window of the item's length near the hit must reach ``MIN_SIMILARITY``.
 
+A fingerprint of few shingles says little, so items of up to ``LOOKED_UP`` shingles are not fingerprinted: every shingle
+of the documents is looked up among theirs, and each window of the item's exact length, at every word, that holds enough
+of them is verified.  For these items all windows that reach MIN_SIMILARITY are found.
+
 The benchmark is sent to the tasks in blocks of ``ITEMS_PER_PASS`` items, so what is broadcast has a fixed bound however
 large the benchmark is.  One pass over the documents per block and no shuffle; no row meets another row.
 
@@ -27,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, small_side
-from .wordcodes import hashed_words
+from .wordcodes import gather, hashed_words
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.75
 RADIUS = 16  # bits of 64
 BLOCKS = 4
 STRIDE = 4  # words between windows
+LOOKED_UP = 24  # shingles of an item up to which its own shingles are looked up
 ITEMS_PER_PASS = 4096
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
@@ -108,12 +113,57 @@ class HammingIndex:
                     yield w, 64 * column + bit
 
 
+class ShingleLookup:
+    """The shingles of short items (id, shingle hashes); finds every window of an item's length that is similar enough."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.items = [(item, Counter(x.tolist()), len(x)) for item, x in items]
+        pairs = sorted((k, i) for i, (_, counts, _) in enumerate(self.items) for k in counts)
+        self.keys, self.begin = np.unique(np.array([k for k, _ in pairs], np.uint64), return_index=True)
+        self.begin = np.append(self.begin, len(pairs))
+        self.owners = np.array([i for _, i in pairs], np.int64)
+        self.maybe = np.zeros(1 << 20, bool)  # by low bits: most shingles of the documents end here
+        self.maybe[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def _hits(self, x: np.ndarray):
+        """(item number, places in order) of the items of which any shingle stands in x."""
+        at = np.flatnonzero(self.maybe[(x & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        key = np.minimum(np.searchsorted(self.keys, x[at]), len(self.keys) - 1)
+        same = self.keys[key] == x[at]
+        at, key = at[same], key[same]
+        n = self.begin[key + 1] - self.begin[key]
+        owner = gather(self.owners, self.begin[:-1], np.diff(self.begin), key)
+        order = np.argsort(owner, kind="stable")
+        owner, at = owner[order], np.repeat(at, n)[order]
+        for part in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
+            if len(part):
+                yield int(owner[part[0]]), at[part]
+
+    def windows(self, x: np.ndarray, starts: np.ndarray):
+        """(row, item, similarity, first word, words) of each similar window."""
+        for i, at in self._hits(x):
+            item, counts, n = self.items[i]
+            least = int(np.ceil(MIN_SIMILARITY * n))  # similar windows hold so many hits, also where the text is shorter
+            for j in np.flatnonzero(at[least - 1 :] - at[: max(0, len(at) - least + 1)] < n).tolist():
+                row = int(np.searchsorted(starts, at[j], side="right")) - 1
+                lo, end = int(starts[row]), int(starts[row + 1]) - SHINGLE + 1
+                before = int(at[j - 1]) if j else -1
+                if end - lo < n:
+                    places = [lo] if before < lo else []
+                else:  # those whose first hit is this one
+                    places = range(max(lo, before + 1, int(at[j + least - 1]) - n + 1), min(end - n, int(at[j])) + 1)
+                for p in places:
+                    stop = min(p + n, end)
+                    if stop > p and (alike := similarity(x[p:stop], counts)) >= MIN_SIMILARITY:
+                        yield row, item, alike, p - lo, stop - p + SHINGLE - 1
+
+
 class Items:
     """A block of benchmark items, by window length."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         h, starts = hashed_words(pa.array(texts, pa.string()))
-        self.short, grouped = defaultdict(list), defaultdict(list)  # by number of words; by window length
+        self.short, looked_up, grouped = defaultdict(list), [], defaultdict(list)  # by number of words; any; by window length
         for i, item in enumerate(ids):
             own = h[starts[i] : starts[i + 1]]
             if not len(own):
@@ -121,8 +171,11 @@ class Items:
             x = shingle_hashes(own)
             if len(own) < SHINGLE:
                 self.short[len(own)].append((item, x[0]))
+            elif len(x) <= LOOKED_UP:
+                looked_up.append((item, x))
             else:
                 grouped[window_length(len(x))].append((item, x))
+        self.looked_up = ShingleLookup(looked_up) if looked_up else None
         self.classes = {w: (HammingIndex(np.array([simhash(x) for _, x in own], np.uint64)), [(i, Counter(x.tolist()), len(x)) for i, x in own]) for w, own in grouped.items()}
 
     def matches(self, texts: pa.Array) -> dict[tuple[int, int], tuple[float, int, int]]:
@@ -145,6 +198,11 @@ class Items:
         if len(h) < SHINGLE:
             return best
         x = shingle_hashes(h)
+        if self.looked_up:
+            for row, item, alike, first, n in self.looked_up.windows(x, starts):
+                put(row, item, (alike, -first, n))
+        if not self.classes:
+            return best
         whole = -(-len(x) // STRIDE) * STRIDE
         bits = np.zeros((whole, 64), np.uint8)
         bits[: len(x)] = _bits(x)

@@ -237,6 +237,47 @@ def test_op7_finds_all_verified_windows(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_op7_finds_every_copy_of_short_items():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    items = [[f"i{rng.integers(3000)}" for _ in range(n)] for n in range(5, 30) for _ in range(2)] + [["a"] * 9, ["a", "b"] * 6]
+    found = decontam.Items(list(range(len(items))), [" ".join(x) for x in items])
+    for i, item in enumerate(items):
+        body = [f"v{rng.integers(3000)}" for _ in range(40)]
+        copies = [" ".join(body[:at] + item + body[at:]) for at in range(41)] + [" ".join(item), " ".join(item[:-1])]
+        got = found.matches(pa.array(copies, pa.string()))
+        assert all(got[row, i] == (1.0, -row, len(item)) for row in range(41)) and got[41, i] == (1.0, 0, len(item))
+        n, cut = Counter(zip(*(item[k:] for k in range(5)))), Counter(zip(*(item[k:-1] for k in range(5))))
+        alike = sum((n & cut).values()) / sum((n | cut).values())
+        assert ((42, i) in got) == (alike >= 0.75)
+
+
+def test_op7_short_items_equal_brute_force():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    items = [[f"i{rng.integers(60)}" for _ in range(rng.integers(5, 29))] for _ in range(30)]
+    texts = []
+    for _ in range(150):
+        body = [f"v{rng.integers(60)}" for _ in range(rng.integers(0, 30))]
+        at = rng.integers(0, len(body) + 1)
+        body[at:at] = mutated(rng, items[rng.integers(30)], rng.integers(0, 3))
+        texts.append(" ".join(body))
+    got = decontam.Items(list(range(30)), [" ".join(x) for x in items]).matches(pa.array(texts, pa.string()))
+    grams = lambda ws: Counter(tuple(ws[k : k + 5]) for k in range(len(ws) - 4))
+    want = {}
+    for row, text in enumerate(texts):
+        ws = text.split()
+        for i, item in enumerate(items):
+            g = grams(item)
+            for at in range(max(1, len(ws) - len(item) + 1)):
+                w = grams(ws[at : at + len(item)])
+                if w and (alike := sum((w & g).values()) / sum((w | g).values())) >= 0.75 and (alike, -at) > want.get((row, i), (0.0,)):
+                    want[row, i] = (alike, -at, min(len(item), len(ws)))
+    assert len(want) > 40 and got == want
+
+
 def test_op8_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
