@@ -16,7 +16,8 @@ The benchmark is sent to the tasks in blocks of ``ITEMS_PER_PASS`` items, so wha
 large the benchmark is.  One pass over the documents per block and no shuffle; no row meets another row.
 
 Defined cases: words are lower-cased A-Z between ASCII white space; null or blank texts and items match nothing; texts or
-items of fewer than five words count as one shingle; repeated rows match alike; an empty table on either side gives an
+items of fewer than five words count as one shingle; repeated rows match alike, those of one item_id as one item; each
+row with a null item_id is an item of its own, with a null item_id in the result; an empty table on either side gives an
 empty result; other columns are ignored.
 """
 
@@ -164,7 +165,9 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str | None]):
         h, starts = hashed_words(pa.array(texts, pa.string()))
         self.short, looked_up, grouped = defaultdict(list), [], defaultdict(list)  # by number of words; any; by window length
-        for i, item in enumerate(ids):
+        first = {}
+        for i, name in enumerate(ids):
+            item = i if name is None else first.setdefault(name, i)  # rows of one id are one item
             own = h[starts[i] : starts[i + 1]]
             if not len(own):
                 continue
@@ -179,7 +182,7 @@ class Items:
         self.classes = {w: (HammingIndex(np.array([simhash(x) for _, x in own], np.uint64)), [(i, Counter(x.tolist()), len(x)) for i, x in own]) for w, own in grouped.items()}
 
     def matches(self, texts: pa.Array) -> dict[tuple[int, int], tuple[float, int, int]]:
-        """(row, item) to (similarity, first word, words) of the best window."""
+        """(row, place of the item in ids) to (similarity, first word, words) of the best window."""
         h, starts = hashed_words(texts)
         best = {}
 
@@ -247,13 +250,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     found = items.matches(part.column(1))
                     if found:
                         doc_ids = part.column(0).to_pylist()
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*((doc_ids[row], item, -at, n, alike) for (row, item), (alike, at, n) in sorted(found.items()))),
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*((doc_ids[row], ids[item], -at, n, alike) for (row, item), (alike, at, n) in sorted(found.items()))),
                                                                                     (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
         return texts.mapInArrow(run, MATCHES)
 
     out, rows = None, []
-    for r in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         rows.append((r[0], r[1]))
         if len(rows) == ITEMS_PER_PASS:
             out, rows = one_pass(rows) if out is None else out.unionByName(one_pass(rows)), []
@@ -264,7 +267,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_items and best similarity of the documents in which an item was found."""
-    return find_matches(docs, benchmark).groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.max("similarity").alias("similarity"))
+    return find_matches(docs, benchmark).groupBy("doc_id").agg((F.countDistinct("item_id") + F.count_if(F.col("item_id").isNull())).alias("n_items"), F.max("similarity").alias("similarity"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -237,6 +237,16 @@ def test_op7_finds_all_verified_windows(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_op7_items_without_id(spark):
+    a, b = "one passage of nine words that has no id", "another such passage that has none and stands elsewhere"
+    items = spark.createDataFrame([(None, a), (None, b), (4, a), (4, b), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"{a} z {b}"), (3, "nothing of the kind stands here at all")], "doc_id long, text string")
+    found = decontam.find_matches(docs, items)
+    assert Counter((r.doc_id, r.item_id) for r in found.collect()) == Counter({(1, None): 1, (1, 4): 1, (2, None): 2, (2, 4): 1})
+    assert {r.doc_id: r.n_items for r in decontam.contaminated(docs, items).collect()} == {1: 2, 2: 3}
+    assert [r.doc_id for r in decontam.remove_contaminated(docs, items.where("item_id IS NULL")).collect()] == [3]
+
+
 def test_op7_finds_every_copy_of_short_items():
     import pyarrow as pa
 
