@@ -1,15 +1,17 @@
 """Personal data by patterns and by information-theoretic sanitisation (operator 10; DataFrame functions only).
 
 Emails, IP addresses, card numbers and phone numbers are found by pattern and checked (octets, Luhn, digits).  Their
-values are the protected entities.  Words near a mention are terms; corpus co-occurrence estimates how much a term tells
-about an entity: with probabilities as shares of documents, the disclosure of term t about entity c is
-PMI(c; t) / IC(c) = log(p(c,t) / (p(c) p(t))) / -log p(c), which is 1 when t never occurs without c.  Terms above the
-threshold are generalised (digits and initials to a class) or removed wherever they stand near that entity.  A pair must
-occur in MIN_SUPPORT different contexts, so copies of one document prove nothing.
-
-The texts are read once for the patterns and once for the document frequencies of terms.  Only documents with mentions
-are exploded, into at most 2 * CONTEXT characters a mention; counts combine before each shuffle, so an entity or term
-that is in a third of all documents costs a row per task; joins are plain equi-joins that adaptive execution may split.
+values are the protected entities.  All words of a document with mentions, wherever they stand, are its terms; corpus co-occurrence
+estimates how much a term tells about an entity: with probabilities as shares of documents, the disclosure of term t about
+entity c is PMI(c; t) / IC(c) = log(p(c,t) / (p(c) p(t))) / -log p(c), which is 1 when t never occurs without c.  Every
+occurrence of a term above the threshold is generalised (digits and initials to a class) or removed in the documents of
+that entity.  A pair must occur in MIN_SUPPORT different texts, so exact copies of one document prove nothing; near copies
+count as different texts.
+
+The texts are read for the mentions and terms, for the document frequencies of terms, and to place what was found.  Equal
+texts count as one row with their number of documents, and only entities of MIN_SUPPORT texts are joined with the distinct
+words of their texts; counts combine before each shuffle, so an entity or term that is in a third of all documents costs a
+row per task; joins are plain equi-joins that adaptive execution may split.
 
 Defined cases: null is an empty text; matches that fail their check are dropped without another try; rows that repeat
 doc_id and text count once and get the same spans; an empty table gives an empty result; other columns are ignored.
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, small_side
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns, written so that no run of characters is read from more than one start and none recurses.
@@ -32,10 +34,10 @@ PATTERNS = {
 }
 #: A character or pair that every match holds: texts without it skip the pattern.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-CONTEXT = 60  # characters on each side of a mention
+WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}'-]*[\p{L}\p{N}]"
 MIN_TERM = 3  # characters of a term
 THRESHOLD = 0.9  # disclosure
-MIN_SUPPORT = 3  # different contexts of a pair
+MIN_SUPPORT = 3  # different texts of a pair
 _SPAN = "struct<kind:string,begin:int,end:int,value:string>"
 
 
@@ -81,79 +83,100 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(placed)
 
 
-def _terms(context: Column, offset: Column, whole_left: Column, whole_right: Column) -> Column:
-    """array<struct<term, begin, end>> of the words of a context, without those cut off at its outer end."""
-    parts = F.split(context, r"\s")
-    placed = F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"), F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, q: n + F.length(q) + 1).alias("at")))
-    inner = F.filter(placed, lambda x: (whole_left | (x["i"] > 0)) & (whole_right | (x["i"] < F.size(parts) - 1)))
-    bare = F.transform(inner, lambda x: F.struct(F.regexp_extract(x["p"], r"^[^\p{L}\p{N}]*+(.*?)[^\p{L}\p{N}]*$", 1).alias("w"),
-                                                 (offset + x["at"] + F.length(F.regexp_extract(x["p"], r"^([^\p{L}\p{N}]*+)", 1))).alias("begin")))
-    words = F.filter(bare, lambda x: (F.length(x["w"]) >= MIN_TERM) & x["w"].rlike(r"^\p{L}[\p{L}\p{N}'-]*$"))
-    return F.transform(words, lambda x: F.struct(F.lower(x["w"]).alias("term"), x["begin"].alias("begin"), (x["begin"] + F.length(x["w"])).alias("end")))
+def _words(text: Column) -> Column:
+    """The distinct terms of a text, lower case; those inside an email (no other kind holds letters) are left out."""
+    found = F.regexp_extract_all(F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text), F.lit(WORD), F.lit(0))
+    return F.array_distinct(F.transform(F.filter(F.array_distinct(found), lambda w: F.length(w) >= MIN_TERM), F.lower))
+
 
+def _places(text: Column, terms: Column, found: Column) -> Column:
+    """array<struct<begin, end>> of all occurrences of terms outside the mentions."""
+    values, between = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD)
+    empty = F.struct(F.array().cast("array<struct<begin:int,end:int>>").alias("out"), F.lit(0).alias("at"))
+
+    def step(state: Column, pair: Column) -> Column:
+        begin = state["at"] + F.length(pair["gap"])
+        end = begin + F.length(pair["value"])
+        hit = F.array_contains(terms, F.lower(pair["value"]))
+        return F.struct(F.when(hit, F.concat(state["out"], F.array(F.struct(begin.alias("begin"), end.alias("end"))))).otherwise(state["out"]).alias("out"), end.alias("at"))
+
+    pairs = F.arrays_zip(values.alias("value"), F.slice(between, F.lit(1), F.size(values)).alias("gap"))
+    every = F.aggregate(pairs, empty, step, lambda s: s["out"])
+    return F.filter(every, lambda t: ~F.exists(found, lambda s: (s["begin"] < t["end"]) & (t["begin"] < s["end"])))
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and spans, each with its entity (digest of kind and normalised value) and the terms around it."""
+
+def find_mentions(docs: DataFrame) -> DataFrame:
+    """A row per document: doc_id, text_hash, entities (digests of kind and normalised value) and, if it has any, its terms."""
     text = F.coalesce("text", F.lit(""))
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text.alias("text"), base_spans(text).alias("found"))
 
-    def widen(s: Column) -> Column:
-        from_ = F.greatest(s["begin"] - CONTEXT, F.lit(0))
-        left = F.substring(F.col("text"), from_ + 1, s["begin"] - from_)
-        right = F.substring(F.col("text"), s["end"] + 1, F.lit(CONTEXT))
+    def entity(s: Column) -> Column:
         value = F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(F.regexp_replace(s["value"], "[^0-9]", ""))
-        return F.struct(
-            s["kind"].alias("kind"), s["begin"].alias("begin"), s["end"].alias("end"),
-            F.xxhash64(s["kind"], value).alias("entity"), F.xxhash64(left, right).alias("context"),
-            F.concat(_terms(left, from_, from_ == 0, F.lit(True)), _terms(right, s["end"], F.lit(True), s["end"] + CONTEXT >= F.length("text"))).alias("terms"))
+        return F.xxhash64(s["kind"], value)
 
-    return one.select("doc_id", "text_hash", F.transform("found", widen).alias("spans"))
+    return one.select("doc_id", "text_hash", F.array_distinct(F.transform("found", entity)).alias("entities"), F.when(F.size("found") > 0, _words(F.col("text"))).alias("terms"))
 
 
-#: Terms (and documents with disclosing terms) up to which their set is broadcast; beyond it the join is a shuffle join.
+#: Terms (or terms of all documents that have disclosing ones) up to which their set is broadcast; beyond it the join is a
+#: shuffle join.
 MAX_BROADCAST_TERMS = 100_000
+MAX_BROADCAST_TEXT_TERMS = 1_000_000
+
+
+def _bounded(df: DataFrame, n: int, most: int = MAX_BROADCAST_TERMS) -> DataFrame:
+    return F.broadcast(df) if n <= most else df
 
 
-def disclosing(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def _near(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """entity, text_hash, n_docs and terms of each distinct text and entity; n_entity of the entities of enough texts."""
+    mentions = settle(find_mentions(docs), "mentions")
+    texts = mentions.where(F.size("entities") > 0).groupBy("text_hash").agg(
+        F.countDistinct(F.struct("doc_id")).alias("n_docs"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    texts = settle(texts, "texts")
+    near = texts.select("text_hash", "n_docs", "terms", F.explode("entities").alias("entity"))
+    # an entity of fewer texts has no term of enough of them
+    of_entity = settle(near.groupBy("entity").agg(F.sum("n_docs").alias("n_entity"), F.count("*").alias("support")).where(F.col("support") >= MIN_SUPPORT), "entities")
+    return near.join(small_side(of_entity.select("entity")), "entity", "left_semi"), of_entity.drop("support")
+
+
+def disclosing(docs: DataFrame, near: DataFrame, of_entity: DataFrame) -> DataFrame:
     """entity, term and disclosure of all pairs above the threshold."""
-    near = (spans.where(F.size("spans") > 0).select("doc_id", "text_hash", F.explode("spans").alias("s"))
-            .select("doc_id", "text_hash", "s.entity", "s.context", F.explode("s.terms.term").alias("term")))
-    seen = near.groupBy("entity", "term", "context").agg(F.min(F.struct("doc_id", "text_hash")).alias("doc"))
-    pairs = settle(seen.groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= MIN_SUPPORT), "pairs")
+    of_pair = settle(near.select("entity", "n_docs", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("n_docs").alias("n_pair"), F.count("*").alias("support"))
+                     .where(F.col("support") >= MIN_SUPPORT).drop("support"), "pairs")
     n_docs = docs.count()
-    mentions = spans.where(F.size("spans") > 0).select("doc_id", "text_hash", F.explode(F.array_distinct("spans.entity")).alias("entity")).distinct()
-    of_entity = mentions.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    of_pair = near.join(pairs, ["entity", "term"], "left_semi").select("entity", "term", "doc_id", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_pair"))
-    wanted = pairs.select("term").distinct()
+    wanted = of_pair.select("term").distinct()
     n_terms = wanted.count()
     counts = of_pair.sparkSession.createDataFrame([], "term string, n_term long")
     if n_terms:
-        own = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}[\p{L}\p{N}'-]*[\p{L}\p{N}]"), F.lit(0)))
         # counted before they are chosen: a join below the count would carry a row for every document of a frequent term
-        counted = docs.select(F.explode(own).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-        counts = counted.join(F.broadcast(wanted) if n_terms <= MAX_BROADCAST_TERMS else wanted, "term")
+        counted = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+        counts = counted.join(_bounded(wanted, n_terms), "term")
     n = F.lit(float(max(n_docs, 1)))
     pmi = F.log(F.col("n_pair") * n / (F.col("n_entity") * F.greatest("n_term", "n_pair")))
     ic = -F.log(F.col("n_entity") / n)
-    joined = of_pair.join(of_entity, "entity").join(counts, "term")
+    joined = of_pair.join(small_side(of_entity), "entity").join(counts, "term")
     return joined.select("entity", "term", F.when(ic > 0, pmi / ic).alias("disclosure")).where(F.col("disclosure") >= THRESHOLD)
 
 
-def term_spans(spans: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and terms (begin, end) that disclose an entity of their document."""
-    near = (spans.where(F.size("spans") > 0).select("doc_id", "text_hash", F.explode("spans").alias("s"))
-            .select("doc_id", "text_hash", "s.entity", F.explode("s.terms").alias("t")).select("doc_id", "text_hash", "entity", "t.term", "t.begin", "t.end"))
-    hit = near.join(pairs.select("entity", "term"), ["entity", "term"], "left_semi")
-    return hit.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("terms"))
+def _placed(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, with _found (base spans) and _places (begin, end of every disclosing term).
+
+    Base spans are found again in place, so only the terms of texts that have disclosing ones meet a join."""
+    near, of_entity = _near(docs)
+    pairs = settle(disclosing(docs, near, of_entity).select("entity", "term"), "disclosing")
+    own = near.select("text_hash", "entity", F.explode("terms").alias("term")).join(_bounded(pairs, pairs.count()), ["entity", "term"], "left_semi")
+    terms = settle(own.groupBy(F.col("text_hash").alias("_h")).agg(F.collect_set("term").alias("_terms")), "terms")
+    n = terms.agg(F.sum(F.size("_terms"))).first()[0] or 0
+    joined = docs.join(_bounded(terms, n, MAX_BROADCAST_TEXT_TERMS), F.xxhash64(docs["text"]) == F.col("_h"), "left")
+    found = joined.withColumn("_found", base_spans(F.coalesce("text", F.lit(""))))
+    none = F.array().cast("array<struct<begin:int,end:int>>")
+    return found.withColumn("_places", F.when(F.col("_terms").isNotNull(), _places(F.col("text"), F.col("_terms"), F.col("_found"))).otherwise(none)).drop("_h", "_terms")
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_hash, base (kind, begin, end) and terms (begin, end)."""
-    spans = settle(find_spans(docs), "spans")
-    terms = term_spans(spans, disclosing(docs, spans)).withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"})
-    base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["begin"].alias("begin"), s["end"].alias("end")))
-    joined = spans.join(terms, spans["doc_id"].eqNullSafe(F.col("_d")) & (spans["text_hash"] == F.col("_h")), "left")
-    return joined.select("doc_id", "text_hash", base.alias("base"), F.coalesce("terms", F.array().cast("array<struct<begin:int,end:int>>")).alias("terms"))
+    base = F.transform("_found", lambda s: F.struct(s["kind"].alias("kind"), s["begin"].alias("begin"), s["end"].alias("end")))
+    return _placed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), base.alias("base"), F.col("_places").alias("terms"))
 
 
 #: What stands in place of a match.
@@ -176,15 +199,8 @@ def _masked(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, with personal data masked and disclosing terms generalised or removed.
-
-    Base spans are found again in place, so only the few documents with disclosing terms meet a join."""
-    spans = settle(find_spans(docs), "spans")
-    terms = settle(term_spans(spans, disclosing(docs, spans)), "terms")
-    few = terms.count() <= MAX_BROADCAST_TERMS
-    terms = terms.withColumnsRenamed({"doc_id": "_d", "text_hash": "_h", "terms": "_terms"})
-    joined = docs.join(F.broadcast(terms) if few else terms, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left")
-    base = F.transform(base_spans(F.col("text")), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["kind"].alias("kind")))
-    extra = F.transform(F.coalesce("_terms", F.array().cast("array<struct<begin:int,end:int>>")), lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), F.lit("term").alias("kind")))
-    every = F.array_sort(F.concat(base, extra))
-    return joined.withColumn("text", F.when(F.size(every) > 0, _masked(F.col("text"), every)).otherwise(F.col("text"))).drop("_d", "_h", "_terms")
+    """The documents, all columns, with personal data masked and disclosing terms generalised or removed."""
+    base = F.transform("_found", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["kind"].alias("kind")))
+    extra = F.transform("_places", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), F.lit("term").alias("kind")))
+    every = _placed(docs).withColumn("_every", F.array_sort(F.concat(base, extra)))
+    return every.withColumn("text", F.when(F.size("_every") > 0, _masked(F.col("text"), F.col("_every"))).otherwise(F.col("text"))).drop("_found", "_places", "_every")

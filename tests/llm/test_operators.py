@@ -374,3 +374,18 @@ def test_op10_disclosure(spark):
     assert all(not got[100 + i].terms and not got[100 + i].base for i in range(40))
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert "<EMAIL>" in clean[0] and "<TERM>" in clean[0] and "Zanzibarus" not in clean[0] and clean[100] == text[100] and clean[200] is None
+
+
+def test_op10_terms_of_the_whole_document(spark):
+    fill = " ".join(["plain words that everyone writes"] * 10)
+    # far from the mention; again elsewhere, joined by punctuation; one fixed footer around the mention; a copy in three documents
+    rows = [(i, f"Zanzibarus met us on day {i}. {fill} (zanzibarus/us). {fill} Kind regards Quolander boss@corp.example.com Quolander office") for i in range(4)]
+    rows += [(10 + i, f"{fill} Werbalux wrote from one@only.example.com") for i in range(3)]
+    rows += [(100 + i, f"{fill} Kind regards from the office on day {i}, met us") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    shown = {r.doc_id: [text[r.doc_id][s.begin : s.end] for s in r.terms] for r in pii.detect(docs).collect()}
+    assert all(shown[i] == ["Zanzibarus", "zanzibarus", "Quolander", "Quolander"] for i in range(4))
+    assert all(not shown[i] for i in shown if i >= 10)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all(not re.search("zanzibarus|quolander|boss", clean[i], re.I) for i in range(4)) and "Werbalux wrote from <EMAIL>" in clean[10] and clean[100] == text[100]
