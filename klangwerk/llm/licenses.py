@@ -37,6 +37,8 @@ class Template:
     keys: tuple[str, ...]  # phrases that must stand near the place found
 
 
+_FSF = "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {} of the license or at your option any later version"
+
 #: Notices as they are commonly written, shortened to their characteristic sentences.
 TEMPLATES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
@@ -44,6 +46,8 @@ TEMPLATES = (
     Template("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", ("apache license",)),
     Template("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
     Template("gpl-2", "this program is free software under the terms of the gnu general public license version 2", ("gnu general public license", "version 2")),
+    Template("gpl-3", _FSF.format(3), ("gnu general public license", "version 3")),
+    Template("gpl-2", _FSF.format(2), ("gnu general public license", "version 2")),
     Template("lgpl", "under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
     Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),

@@ -334,6 +334,35 @@ def test_op9_templates(spark):
     assert all(t.label in got[i] for i, t in enumerate(licenses.TEMPLATES)) and got[99] == [""]
 
 
+FSF_NOTICE = """/* This file is part of Foobar.
+ *
+ * {} is free software{} you can redistribute it and/or modify
+ * it under the terms of the GNU{} General Public License as published by
+ * the Free Software Foundation{} version {} of the License{}
+ *
+ * {} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU{} General Public License for more details. */
+int main() { return 0; }"""
+LATER = ", or\n * (at your option) any later version."
+
+
+def test_op9_notices_as_written():
+    def labels(*parts):
+        text = FSF_NOTICE
+        for x in parts:
+            text = text.replace("{}", x, 1)
+        ws = re.findall(licenses.WORD, text.lower())
+        index = licenses._index()
+        at = [(i, index[1][w]) for i, w in enumerate(ws) if w in index[1]]
+        return licenses.scan_words([i for i, _ in at], [w for _, w in at], len(ws), [1.0] * len(index[0]), index)[5]
+
+    for name in ("This program", "Foobar", "The Foobar Library"):
+        assert labels(name, ";", "", "; either", "2", LATER, name, "") == "gpl-2"
+        assert labels(name, ":", "", ", either", "3", LATER, name, "") == "gpl-3"
+        assert labels(name, ";", "", ";", "2", ".", name, "") == "gpl-2"
+        assert labels(name, ";", " Lesser", "; either", "3", LATER, name, " Lesser") == "lgpl"
+
+
 def brute_pii(text):
     text, out = text or "", []
     luhn = lambda s: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
