@@ -6,13 +6,19 @@ posterior of the best language under equal priors.  Piece probabilities are esti
 maximisation: forward and backward sums give the expected count of each piece.
 
 Training reads about ``max_rows`` labelled rows of each language, chosen by a hash of the row (all rows where a language
-has fewer); the bound is a parameter.  Words are counted per task before they are summed.  Prediction is one pass over
-whole texts without a shuffle; a word is scored once per Arrow batch however often it occurs, and the forward recursion
-runs over all distinct words of one length together.
-
-Defined cases: a null text or one without letters gives ``und`` with score 0; rows without lang or text are never learned
-from; without any labelled row every text is ``und``; repeated rows are predicted alike; an empty table gives an empty
-result; other columns are ignored.
+has fewer); the bound is a parameter.  All words of these rows are learned from, of any length.  The word counts stay
+distributed: each round of the maximisation is a pass over them that returns expected counts of pieces, so the driver
+holds pieces x languages numbers and no words.  Prediction is one pass over whole texts without a shuffle, ``SLICE_DOCS``
+documents or ``SLICE_CHARS`` letters at a time; a word is scored once per slice however often it occurs, and the forward
+recursion runs over all distinct words of one length together.
+
+``gain`` compares the best language with the untrained piece model: at most 0 means that no language explains the text
+better than pieces drawn without regard to any language, as with noise or scripts that were never learned.
+
+Defined cases: a null text or one without letters gives ``und`` with score 0 and gain 0; rows without lang or text are
+never learned from; without any labelled row every text is ``und``; equal posteriors give the language that sorts first;
+repeated rows are predicted alike; an empty table gives an empty result; other columns are ignored.  The labels must be a
+set of languages: memory grows with their number.
 """
 
 from __future__ import annotations
@@ -21,15 +27,18 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordcodes import list_codes
+from .common import remove, settle
+from .wordcodes import list_codes, slices
 
-MAX_PIECE = 8  # letters
 EM_ROUNDS = 2
-EM_MAX_LETTERS = 40  # longer words are not learned from; they are scored like all others
 FLOOR = 1e-7  # probability of a piece never seen in a language, and of a single letter outside the vocabulary
+SLICE_DOCS, SLICE_CHARS = 1000, 4_000_000
+CHUNK_LETTERS = 400_000  # letters of equally long words that are scored together
+RESCALE = 16  # letters after which the sums of a word are brought back into range
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,7 +48,7 @@ def vocabulary_pieces(model_path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
     out = {sp.id_to_piece(i).replace("▁", "").lower() for i in range(sp.get_piece_size())}
-    return sorted(x for x in out if x.isalpha() and len(x) <= MAX_PIECE)
+    return sorted(x for x in out if x.isalpha())
 
 
 def _letters(words: list[str], n: int) -> np.ndarray:
@@ -54,85 +63,129 @@ def _by_length(words: list[str]) -> dict[int, list[int]]:
     return out
 
 
+class _Edges:
+    """Which piece each substring of equally long words is."""
+
+    def __init__(self, model: PieceModel, letters: np.ndarray):
+        self.model, self.n = model, letters.shape[1]
+        self.past = np.zeros((self.n + 1, len(letters)), np.uint64)  # hashes of all beginnings
+        with np.errstate(over="ignore"):
+            for i in range(self.n):
+                self.past[i + 1] = (self.past[i] + letters[:, i] + np.uint64(1)) * _BASE
+
+    def __call__(self, j: int, i: int) -> np.ndarray:
+        m = self.model
+        with np.errstate(over="ignore"):
+            h = self.past[i] - self.past[j] * m.powers[i - j]
+        at = m.slots[(h >> np.uint64(44)).astype(np.int64)]
+        some = np.flatnonzero(at)  # most substrings are no piece
+        out = np.full(len(h), m.unknown if i == j + 1 else m.none)
+        at = np.minimum(np.searchsorted(m.hashes, h[some]), len(m.hashes) - 1)
+        same = m.hashes[at] == h[some]
+        out[some[same]] = m.order[at[same]]
+        return out
+
+    def into(self, i: int) -> range:
+        return range(max(0, i - self.model.longest), i)
+
+    def out_of(self, j: int) -> range:
+        return range(j + 1, min(self.n, j + self.model.longest) + 1)
+
+
 class PieceModel:
-    """Piece probabilities per language, and the log probability of words in each of them."""
+    """Piece probabilities per language and of the untrained model, and the log probability of words in each of them."""
 
     def __init__(self, pieces: list[str], languages: list[str]):
-        self.languages = languages
+        self.languages, self.longest = languages, max(map(len, pieces))
         hashes = np.zeros(len(pieces), np.uint64)
-        for n, own in _by_length(pieces).items():
-            hashes[own] = self._hash(_letters([pieces[i] for i in own], n))
+        with np.errstate(over="ignore"):
+            for n, own in _by_length(pieces).items():
+                for column in _letters([pieces[i] for i in own], n).T:
+                    hashes[own] = (hashes[own] + column + np.uint64(1)) * _BASE
+            self.powers = np.cumprod(np.append(np.uint64(1), np.full(self.longest, _BASE)), dtype=np.uint64)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
+        self.slots = np.zeros(1 << 20, bool)
+        self.slots[(hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.unknown, self.none = len(pieces), len(pieces) + 1
         start = np.array([0.05 ** len(p) for p in pieces])
-        self.p = np.tile(np.append(start / start.sum(), [FLOOR, 0.0]), (len(languages), 1))  # then: unknown letter, no piece
+        self.p = np.tile(np.append(start / start.sum(), [FLOOR, 0.0]), (len(languages) + 1, 1))  # the last stays untrained
 
-    @staticmethod
-    def _hash(letters: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(letters), np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(letters.shape[1]):
-                h = (h + letters[:, i] + np.uint64(1)) * _BASE
-        return h
-
-    def _edges(self, letters: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """Of each substring of up to MAX_PIECE letters, which piece it is in each word."""
-        n, unknown, none = letters.shape[1], self.p.shape[1] - 2, self.p.shape[1] - 1
-        out = {}
-        with np.errstate(over="ignore"):
-            for j in range(n):
-                h = np.zeros(len(letters), np.uint64)
-                for i in range(j + 1, min(n, j + MAX_PIECE) + 1):
-                    h = (h + letters[:, i - 1] + np.uint64(1)) * _BASE
-                    at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                    out[j, i] = np.where(self.hashes[at] == h, self.order[at], unknown if i == j + 1 else none)
-        return out
+    def _chunks(self, words: list[str]):
+        """(indices, edges) of words of one length, some at a time."""
+        for n, own in _by_length(words).items():
+            step = max(1, CHUNK_LETTERS // n)
+            for k in range(0, len(own), step):
+                part = own[k : k + step]
+                yield part, _Edges(self, _letters([words[i] for i in part], n))
 
     def log_probs(self, words: list[str]) -> np.ndarray:
-        """A row per word, a column per language."""
-        out = np.zeros((len(words), len(self.languages)))
+        """A row per word, a column per language, then the untrained model."""
+        out = np.zeros((len(words), len(self.p)))
         p = np.ascontiguousarray(self.p.T)
-        for n, own in _by_length(words).items():
-            for k in range(0, len(own), 20_000):
-                part = own[k : k + 20_000]
-                edges = self._edges(_letters([words[i] for i in part], n))
-                alpha, shift = {0: np.ones((len(part), len(self.languages)))}, np.zeros((len(part), len(self.languages)))
-                for i in range(1, n + 1):
-                    alpha[i] = sum(alpha[j] * p[edges[j, i]] for j in range(max(0, i - MAX_PIECE), i))
-                    alpha.pop(i - MAX_PIECE, None)
-                    if i % 16 == 0:  # keeps long words in range
-                        top = np.maximum.reduce(list(alpha.values()))
-                        shift += np.log(top)
-                        alpha = {j: x / top for j, x in alpha.items()}
-                out[part] = np.log(alpha[n]) + shift
+        for part, edges in self._chunks(words):
+            alpha, shift = {0: np.ones((len(part), len(self.p)))}, np.zeros((len(part), len(self.p)))
+            for i in range(1, edges.n + 1):
+                alpha[i] = sum(alpha[j] * p[edges(j, i)] for j in edges.into(i))
+                alpha.pop(i - self.longest, None)
+                if i % RESCALE == 0:  # keeps long words in range
+                    top = np.maximum.reduce(list(alpha.values()))
+                    shift += np.log(top)
+                    alpha = {j: x / top for j, x in alpha.items()}
+            out[part] = np.log(alpha[edges.n]) + shift
+        return out
+
+    def expected(self, words: list[str], counts: np.ndarray, k: int) -> np.ndarray:
+        """Expected number of uses of each piece in words that occur so often, in the k-th language."""
+        p, out = self.p[k], np.zeros(self.p.shape[1])
+        for part, edges in self._chunks(words):
+            n, weight = edges.n, counts[part].astype(float)
+            # sums up to and from each place, each with the logarithm by which it was scaled
+            alpha, beta = np.ones((n + 1, len(part))), np.ones((n + 1, len(part)))
+            log_a, log_b = np.zeros((n + 1, len(part))), np.zeros((n + 1, len(part)))
+            for i in range(1, n + 1):
+                base = log_a[i - 1]
+                alpha[i] = sum(alpha[j] * (np.exp(log_a[j] - base) if n > RESCALE else 1.0) * p[edges(j, i)] for j in edges.into(i))
+                log_a[i] = base
+                if i % RESCALE == 0 and n > RESCALE:
+                    log_a[i] = base + np.log(alpha[i])
+                    alpha[i] = 1.0
+            total = np.log(alpha[n]) + log_a[n]
+            for j in range(n - 1, -1, -1):
+                base, uses = log_b[j + 1], 0.0
+                for i in edges.out_of(j):
+                    piece = edges(j, i)
+                    step = p[piece] * beta[i] * (np.exp(log_b[i] - base) if n > RESCALE else 1.0)
+                    uses = uses + step
+                    out += np.bincount(piece, weight * alpha[j] * step * np.exp(log_a[j] + base - total), minlength=len(out))
+                beta[j], log_b[j] = uses, base
+                if (n - j) % RESCALE == 0 and n > RESCALE:
+                    log_b[j] = base + np.log(beta[j])
+                    beta[j] = 1.0
         return out
 
+    def take(self, expected: np.ndarray) -> None:
+        """Probabilities from the expected counts (a row per language)."""
+        found = expected[:, : self.unknown]
+        found = np.maximum(found / np.maximum(found.sum(axis=1, keepdims=True), 1e-300), FLOOR)
+        self.p[:-1, : self.unknown] = found / found.sum(axis=1, keepdims=True)
+
     def fit(self, counts: dict[str, dict[str, int]], rounds: int = EM_ROUNDS) -> None:
-        """Expectation maximisation on the word counts of each language."""
-        grouped = []
-        for k, lang in enumerate(self.languages):
-            words = [w for w in counts.get(lang, {}) if len(w) <= EM_MAX_LETTERS]
-            for n, own in _by_length(words).items():
-                grouped.append((k, n, self._edges(_letters([words[i] for i in own], n)), np.array([counts[lang][words[i]] for i in own], float)))
+        """Expectation maximisation on word counts in memory."""
         for _ in range(rounds):
-            expected = np.zeros_like(self.p)
-            for k, n, edges, weight in grouped:
-                p = self.p[k]
-                alpha, beta = [np.ones(len(weight))], [None] * n + [np.ones(len(weight))]
-                for i in range(1, n + 1):
-                    alpha.append(sum(alpha[j] * p[edges[j, i]] for j in range(max(0, i - MAX_PIECE), i)))
-                for j in range(n - 1, -1, -1):
-                    beta[j] = sum(beta[i] * p[edges[j, i]] for i in range(j + 1, min(n, j + MAX_PIECE) + 1))
-                scale = weight / np.maximum(beta[0], 1e-300)
-                for (j, i), piece in edges.items():
-                    expected[k] += np.bincount(piece, alpha[j] * p[piece] * beta[i] * scale, minlength=self.p.shape[1])
-            found = expected[:, :-2]
-            found = np.maximum(found / np.maximum(found.sum(axis=1, keepdims=True), 1e-300), FLOOR)
-            self.p[:, :-2] = found / found.sum(axis=1, keepdims=True)
-
-
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
+            rows = [(list(counts.get(lang, {})), np.array(list(counts.get(lang, {}).values()))) for lang in self.languages]
+            self.take(np.array([self.expected(words, n, k) for k, (words, n) in enumerate(rows)]))
+
+
+def letter_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct runs of letters, lower case; the code of every run in order; where each text's begin."""
+    distinct, codes, starts = list_codes(pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL]+"))
+    real = np.array([w != "" for w in distinct], bool)
+    if real.all():
+        return distinct, codes, starts
+    keep = real[codes]
+    number = np.cumsum(real) - 1
+    return [w for w in distinct if w], number[codes[keep]], np.concatenate([[0], np.cumsum(keep)])[starts]
 
 
 def train(labelled: DataFrame, model_path: str, max_rows: int = 4000) -> PieceModel | None:
@@ -142,69 +195,90 @@ def train(labelled: DataFrame, model_path: str, max_rows: int = 4000) -> PieceMo
     if not sizes:
         return None
     chosen = F.lit(False)
-    drawn = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000))
+    drawn = F.xxhash64("doc_id", "lang", "text")  # any of 2**64 values: a share of them, however small, can be asked for
     for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & (drawn < int(1_000_000 * min(1.0, max_rows / n))))
+        chosen = chosen | ((F.col("lang") == lang) & (drawn <= int(-(2**63) + min(2**64 - 1, 2**64 * max_rows // n))))
 
     def count(batches):
-        for b in batches:
-            distinct, codes, starts = list_codes(b.column(1))
-            langs = np.repeat(np.array(b.column(0).to_pylist(), dtype=object), np.diff(starts))
+        for part in slices(batches, 1, SLICE_DOCS, SLICE_CHARS):
+            distinct, codes, starts = letter_words(part.column(1))
+            langs = np.repeat(np.array(part.column(0).to_pylist(), dtype=object), np.diff(starts))
             for lang in set(langs.tolist()):
                 n = np.bincount(codes[langs == lang], minlength=len(distinct))
                 own = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array([distinct[i] for i in own], pa.string()), pa.array(n[own])], ["lang", "word", "n"])
 
-    counts = defaultdict(dict)
-    summed = rows.where(chosen).select("lang", _words(F.col("text")).alias("w")).mapInArrow(count, "lang string, word string, n long")
-    for lang, word, n in summed.groupBy("lang", "word").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():
-        counts[lang][word] = n
+    summed = rows.where(chosen).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = settle(summed, "word-counts")
     model = PieceModel(vocabulary_pieces(model_path), sorted(sizes))
-    model.fit(counts)
+    for _ in range(EM_ROUNDS):
+        model.take(_expected(counts, model))
+    remove(labelled.sparkSession, counts)
     return model
 
 
-def _best(model: PieceModel | None, distinct: list[str], codes: np.ndarray, starts: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language and posterior of each text, from its words."""
+def _expected(counts: DataFrame, model: PieceModel) -> np.ndarray:
+    """A row of expected piece counts for each language: every task returns the sums over its words."""
+    number = {lang: k for k, lang in enumerate(model.languages)}
+
+    def run(batches):
+        total = np.zeros((len(number), model.p.shape[1]))
+        for b in batches:
+            words, n = b.column(1).to_pylist(), b.column(2).to_numpy()
+            langs = np.array([number[x] for x in b.column(0).to_pylist()], np.int64)
+            for k in np.unique(langs).tolist():
+                own = np.flatnonzero(langs == k)
+                total[k] += model.expected([words[i] for i in own], n[own], k)
+        k, piece = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[k, piece])], ["k", "piece", "n"])
+
+    out = np.zeros((len(number), model.p.shape[1]))
+    for k, piece, n in counts.select("lang", "word", "n").mapInArrow(run, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n")).collect():
+        out[k, piece] = n  # pieces x languages at most
+    return out
+
+
+def _best(model: PieceModel | None, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, posterior, gain per letter and number of words of each text."""
+    distinct, codes, starts = letter_words(texts)
     n = np.diff(starts)
     if model is None or not len(codes):
-        return ["und"] * len(n), np.zeros(len(n))
-    table, sums = model.log_probs(distinct), np.zeros((len(n), len(model.languages)))
-    for i in range(0, len(n), 500):  # bounds the scores held at once
-        j = min(len(n), i + 500)
-        own = np.vstack([table[codes[starts[i] : starts[j]]], np.zeros((1, len(model.languages)))])
-        sums[i:j] = np.add.reduceat(own, starts[i:j] - starts[i], axis=0)
-    post = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-    return [model.languages[k] if m else "und" for k, m in zip(sums.argmax(axis=1), n)], np.where(n > 0, post, 0.0)
+        return ["und"] * len(n), np.zeros(len(n)), np.zeros(len(n)), n
+    table = model.log_probs(distinct)
+    own = np.vstack([np.column_stack([table, np.fromiter(map(len, distinct), float, len(distinct))])[codes], np.zeros((1, table.shape[1] + 1))])
+    sums = np.add.reduceat(own, starts[:-1], axis=0)
+    scores, untrained, letters = sums[:, :-2], sums[:, -2], sums[:, -1]
+    top = scores.max(axis=1)
+    post, gain = 1.0 / np.exp(scores - top[:, None]).sum(axis=1), (top - untrained) / np.maximum(letters, 1)
+    return [model.languages[k] if m else "und" for k, m in zip(scores.argmax(axis=1), n)], np.where(n > 0, post, 0.0), np.where(n > 0, gain, 0.0), n
 
 
-PREDICTION = "doc_id long, lang_pred string, score double, n_words long"
+PREDICTION = "doc_id long, lang_pred string, score double, gain double, n_words long"
 
 
 def predict(docs: DataFrame, model: PieceModel | None) -> DataFrame:
-    """doc_id, lang_pred, score (posterior of the prediction) and n_words of every document."""
+    """doc_id, lang_pred, score (posterior of the prediction), gain and n_words of every document."""
 
     def run(batches):
-        for b in batches:
-            distinct, codes, starts = list_codes(b.column(1))
-            lang, score = _best(model, distinct, codes, starts)
-            n = np.diff(starts)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64())], ["doc_id", "lang_pred", "score", "n_words"])
+        for part in slices(batches, 1, SLICE_DOCS, SLICE_CHARS):
+            lang, score, gain, n = _best(model, part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gain, pa.float64()), pa.array(n, pa.int64())],
+                                             ["doc_id", "lang_pred", "score", "gain", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words(F.col("text")).alias("w")).mapInArrow(run, PREDICTION)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREDICTION)
 
 
 def with_prediction(docs: DataFrame, model: PieceModel | None) -> DataFrame:
-    """The documents, all columns, with lang_pred and score; the words never leave the task that reads the text."""
+    """The documents, all columns, with lang_pred, score and gain; the words never leave the task that reads the text."""
+    from pyspark.sql.types import DoubleType, StringType, StructType
 
-    def run(batches):
-        for b in batches:
-            listed = b.column(b.num_columns - 1)
-            distinct, codes, starts = list_codes(listed)
-            lang, score = _best(model, distinct, codes, starts)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+    at = docs.columns.index("text")
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
+    def run(batches):
+        for part in slices(batches, at, SLICE_DOCS, SLICE_CHARS):
+            lang, score, gain, _ = _best(model, part.column(at))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gain, pa.float64())],
+                                             [*part.schema.names, "lang_pred", "score", "gain"])
 
-    schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.withColumn("_words", _words(F.col("text"))).mapInArrow(run, schema)
+    schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()).add("gain", DoubleType())
+    return docs.mapInArrow(run, schema)

@@ -38,3 +38,17 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     real = np.array([w != "" for w in distinct])[codes]
     hashes = hash_array(np.array(distinct, dtype=object), categorize=False)[codes[real]]
     return hashes, np.concatenate([[0], np.cumsum(real)])[starts]
+
+
+def slices(batches, column: int, rows: int, size: int):
+    """Parts of the batches with at most so many rows and bytes of the text column (one row at least)."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        past = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < b.num_rows:
+            full = past[begin - 1] if begin else 0
+            end = min(begin + rows, max(begin + 1, int(np.searchsorted(past, full + size, side="right"))))
+            yield b.slice(begin, end - begin)
+            begin = end

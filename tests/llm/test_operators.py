@@ -296,25 +296,60 @@ def test_op8_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+PIECES = ["a", "b", "ab", "ba", "aba", "abababababab"]
+
+
+def brute_segmentations(w):
+    if not w:
+        return [[]]
+    heads = [w[:k] for k in range(1, len(w) + 1) if w[:k] in PIECES or k == 1]
+    return [[x, *rest] for x in heads for rest in brute_segmentations(w[len(x) :])]
+
+
+def brute_model(model, w, k=0):
+    """Probability of w and expected uses of each piece, over all its segmentations."""
+    each = [(s, np.prod([model.p[k, PIECES.index(x)] if x in PIECES else langid.FLOOR for x in s])) for s in brute_segmentations(w)]
+    total = sum(q for _, q in each)
+    return total, np.array([sum(q * s.count(x) for s, q in each) / total for x in PIECES])
+
+
 def test_op8_forward_sums_all_segmentations():
-    model = langid.PieceModel(["a", "b", "ab", "ba", "aba"], ["x"])
-
-    def brute(w):
-        if not w:
-            return 1.0
-        total = 0.0
-        for k in range(1, len(w) + 1):
-            if w[:k] in ("a", "b", "ab", "ba", "aba"):
-                total += model.p[0, ["a", "b", "ab", "ba", "aba"].index(w[:k])] * brute(w[k:])
-            elif k == 1:
-                total += langid.FLOOR * brute(w[1:])
-        return total
-
-    words = ["a", "ab", "abab", "cab", "abaabaabaabaabab"]
-    assert np.allclose(np.exp(model.log_probs(words))[:, 0], [brute(w) for w in words])
+    model = langid.PieceModel(PIECES, ["x"])
+    words = ["a", "ab", "abab", "cab", "abaabaabaabaabab", "abababababababababab"]
+    assert np.allclose(np.exp(model.log_probs(words))[:, 0], [brute_model(model, w)[0] for w in words])
+    assert np.allclose(model.log_probs(["ab" * 4000, "c" * 700])[1, 0], 700 * np.log(langid.FLOOR))
+    for n in (np.ones(6, int), np.array([3, 1, 4, 1, 5, 9])):
+        got = model.expected(words, n, 0)[: len(PIECES)]
+        assert np.allclose(got, sum(k * brute_model(model, w)[1] for k, w in zip(n, words)))
     before = model.p.copy()
-    model.fit({"x": {"abab": 10, "b": 1}})
-    assert abs(model.p[0, :-2].sum() - 1) < 1e-9 and not np.allclose(before, model.p)
+    model.fit({"x": {"abab": 10, "b": 1, "ab" * 300: 1}})
+    assert abs(model.p[0, :-2].sum() - 1) < 1e-9 and not np.allclose(before[0], model.p[0]) and np.allclose(before[1], model.p[1])
+
+
+def test_op8_equals_brute_force_and_learns_every_word(spark):
+    train = [(1, "abab ab b", "x"), (2, "ba ba baba", "y"), (3, "once " + "ab" * 40, "x"), (4, None, "y"), (5, "ab", None)]
+    docs = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    model = langid.train(docs, P.path("piece_bpe_32k.model"))
+    local = langid.PieceModel(langid.vocabulary_pieces(P.path("piece_bpe_32k.model")), ["x", "y"])
+    local.fit({"x": {"abab": 1, "ab": 1, "b": 1, "once": 1, "ab" * 40: 1}, "y": {"ba": 2, "baba": 1}})
+    assert model.languages == ["x", "y"] and np.allclose(model.p, local.p)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for i, text, _ in train:
+        if text:
+            s = model.log_probs(text.split()).sum(axis=0)
+            assert got[i].lang_pred == "xy"[int(s[:2].argmax())] and np.isclose(got[i].score, 1 / np.exp(s[:2] - s[:2].max()).sum())
+            assert np.isclose(got[i].gain, (s[:2].max() - s[2]) / sum(map(len, text.split()))) and got[i].n_words == len(text.split())
+    assert (got[4].lang_pred, got[4].score, got[4].gain) == ("und", 0.0, 0.0)
+
+
+def test_op8_defined_cases(spark, edge_dir):
+    rows = {r.doc_id: r for r in QUERIES["op8_segmentation_unigram_langid"](spark, edge_dir).collect()}
+    assert all((rows[i].lang_pred, rows[i].score) == ("und", 0.0) for i in (1, 2, 3)) and rows[6].lang_pred in ("en", "de")
+    docs = spark.createDataFrame([(1, "some text", None), (2, None, "en")], "doc_id long, text string, lang string")
+    assert langid.train(docs, P.path("piece_bpe_32k.model")) is None
+    assert {(r.lang_pred, r.score) for r in langid.predict(docs, None).collect()} == {("und", 0.0)}
+    tied = spark.createDataFrame([(1, "ab cd", "b"), (2, "ab cd", "a")], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in langid.predict(tied, langid.train(tied, P.path("piece_bpe_32k.model"))).collect()} == {("a", 0.5)}
 
 
 def test_op9_base(spark, sf, edge_dir):
