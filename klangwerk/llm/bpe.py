@@ -1,14 +1,16 @@
 """Byte-level BPE encoding and decoding (operator 3).
 
-Texts are split into words by the vocabulary's pattern.  Documents are gathered into blocks of bounded size, each with
-its distinct words as byte arrays and, for each word, the ranks of the merges whose tokens it contains.  Spark
-higher-order functions fold the ranked merges over every distinct word of a block, by the vocabulary's literal rank map:
-a word is the row of its marks ``<id>``, and the merge of rank k rewrites ``<left><right>`` as ``<k>``.  The ids of the
-words then make up the ids of the documents.  Decoding concatenates the binary pieces of the ids.
-
-There is no shuffle: a block is built, folded and taken apart within one task, so the work grows with the input and a
-lost executor costs its own tasks only.  The rank map depends on the vocabulary alone (at most 65,536 tokens, checked) and
-reaches the executors as a broadcast row of arrays.
+Texts are split into words by the vocabulary's pattern.  Each task gathers its documents into blocks of bounded size; a
+block carries the distinct words that the task has not met before, as byte arrays, and for each the ranks of the merges
+whose tokens it contains.  Spark higher-order functions fold the ranked merges over every such word by the vocabulary's
+literal rank map: a word is a string with one mark (a code point) for each id, and the merge of rank k rewrites the marks
+of its two parts as the mark of k.  The ids of the words then make up the ids of the documents.  Decoding concatenates the
+binary pieces of the ids.
+
+There is no shuffle: a block is built, folded and taken apart within one task, in order, so the work grows with the input
+and a lost executor costs its own tasks only.  What a task remembers of words is forgotten after ``MAX_KNOWN`` of them.
+The rank map depends on the vocabulary alone (at most 65,536 tokens, checked) and reaches the executors as a broadcast row
+of arrays.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded alike; an empty table
 gives an empty result; other columns are ignored.
@@ -20,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,44 +30,60 @@ from .bpe_ranks import MergeFinder, RankTable, rank_table
 from .tokenbin import WORD
 from .wordcodes import gather, list_codes
 
-#: Words (with repeats) and distinct bytes after which a block is closed.
+#: Words (with repeats) and bytes of new distinct words after which a block is closed.
 BLOCK_WORDS, BLOCK_BYTES = 700_000, 1_200_000
+#: Distinct words after which a task begins anew.
+MAX_KNOWN = 400_000
 #: Documents whose words are held as arrays at once.
 SLICE_DOCS = 1000
-_BLOCK = "docs array<long>, lengths array<int>, codes binary, words array<struct<bytes:array<int>,merges:array<int>>>, one int"
+_BLOCK = "docs array<long>, lengths array<int>, codes binary, words array<struct<bytes:array<int>,merges:array<int>>>, known int, one int"
+
+
+def mark(k: int) -> str:
+    """The code point that stands for an id; surrogates are left out."""
+    return chr(k + 1 if k + 1 < 0xD800 else k + 0x801)
+
+
+def unmarked(text: bytes) -> np.ndarray:
+    """The ids of marks, given as UTF-8."""
+    points = np.frombuffer(text.decode().encode("utf-32-le"), "<u4")
+    return (points - np.where(points < 0xD800, 1, 0x801)).astype(np.int32)
 
 
 def rank_row(spark: SparkSession, table: RankTable) -> DataFrame:
     """The rank map as one row: marks of the bytes; by rank, the marks that are merged and the mark that they become."""
-    mark, text = "<{}>".format, pa.list_(pa.string())
+    text = pa.list_(pa.string())
     row = pa.table({"byte_marks": pa.array([[mark(i) for i in table.byte_ids]], text), "merged": pa.array([[mark(p[0]) + mark(p[1]) if p else "" for p in table.parts]], text),
                     "marks": pa.array([[mark(k) for k in range(len(table.tokens))]], text), "one": pa.array([1], pa.int32())})
     return spark.createDataFrame(row)
 
 
 def fold_word(word: Column) -> Column:
-    """Ids of a word (bytes, merges): its merges are applied in rank order, each to all its places from the left."""
+    """Marks of the ids of a word (bytes, merges): its merges are applied in rank order, each to all its places from the left."""
     start = F.array_join(F.transform(word["bytes"], lambda b: F.get("byte_marks", b)), "")
-    folded = F.aggregate(word["merges"], start, lambda s, k: F.replace(s, F.get("merged", k), F.get("marks", k)), lambda s: F.substring(s, F.lit(2), F.length(s) - 2))
-    return F.transform(F.split(folded, "><"), lambda x: x.cast("int"))
+    return F.aggregate(word["merges"], start, lambda s, k: F.replace(s, F.get("merged", k), F.get("marks", k)))
+
+
+def _words_column(words: list[bytes], finder: MergeFinder) -> pa.StructArray:
+    """Words as their bytes and the merges that they may need."""
+    raw = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int32)
+    found = [finder.find(words[k : k + 50_000]) for k in range(0, len(words), 50_000)]
+    merges = np.concatenate([m for m, _ in found]) if found else np.zeros(0, np.int32)
+    edges = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(e) for _, e in found]))]) if found else [0]
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(w) for w in words])]), pa.int32()), pa.array(raw)),
+                                       pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(merges))], ["bytes", "merges"])
 
 
 def _blocks(batches, tokens):
-    """Batches of (doc_id, words) to rows of _BLOCK."""
+    """Batches of (doc_id, words) to rows of _BLOCK; codes number the distinct words of the task since it last began anew."""
     finder = MergeFinder(tokens)
-    number, words, docs, lengths, codes, n_words, n_bytes = {}, [], [], [], [], 0, 0
+    number, known, words, docs, lengths, codes, n_words, n_bytes = {}, 0, [], [], [], [], 0, 0
+    wrap = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if kind else values)
 
     def row():
-        raw = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int32)
-        found = [finder.find(words[k : k + 50_000]) for k in range(0, len(words), 50_000)]
-        merges = np.concatenate([m for m, _ in found])
-        edges = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(e) for _, e in found]))])
-        own = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(w) for w in words])]), pa.int32()), pa.array(raw)),
-                                          pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(merges))], ["bytes", "merges"])
-        wrap = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if kind else values)
         flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-        return pa.RecordBatch.from_arrays([wrap(docs, pa.int64()), wrap(lengths, pa.int32()), pa.array([flat.astype("<i4").tobytes()]), wrap(own, None), pa.array([1], pa.int32())],
-                                          ["docs", "lengths", "codes", "words", "one"])
+        return pa.RecordBatch.from_arrays([wrap(docs, pa.int64()), wrap(lengths, pa.int32()), pa.array([flat.astype("<i4").tobytes()]), wrap(_words_column(words, finder), None),
+                                           pa.array([known], pa.int32()), pa.array([1], pa.int32())], ["docs", "lengths", "codes", "words", "known", "one"])
 
     for b in (batch.slice(k, SLICE_DOCS) for batch in batches for k in range(0, batch.num_rows, SLICE_DOCS)):
         distinct, own, starts = list_codes(b.column(1))
@@ -75,49 +94,71 @@ def _blocks(batches, tokens):
             room = BLOCK_WORDS - n_words
             end = max(begin + 1, int(np.searchsorted(starts, starts[begin] + room, side="right")) - 1)
             piece = own[starts[begin] : starts[end]]
-            used = np.unique(piece)
             map_to = np.zeros(len(distinct), np.int32)
-            for u in used.tolist():
-                w = distinct[u].encode()
+            for u in np.flatnonzero(np.bincount(piece, minlength=len(distinct))).tolist():
+                w = distinct[u]
                 k = number.get(w)
                 if k is None:
-                    k = number[w] = len(words)
-                    words.append(w)
-                    n_bytes += len(w)
+                    k = number[w] = len(number)
+                    words.append(w.encode())
+                    n_bytes += len(words[-1])
                 map_to[u] = k
-            codes.append(map_to[piece] if len(piece) else np.zeros(0, np.int32))
+            codes.append(map_to[piece])
             docs += ids[begin:end]
             lengths += size[begin:end].tolist()
             n_words += len(piece)
             begin = end
             if n_words >= BLOCK_WORDS or n_bytes >= BLOCK_BYTES or begin < len(ids):
                 yield row()
-                number, words, docs, lengths, codes, n_words, n_bytes = {}, [], [], [], [], 0, 0
+                if len(number) > MAX_KNOWN:
+                    number = {}
+                known, words, docs, lengths, codes, n_words, n_bytes = len(number), [], [], [], [], 0, 0
     if docs:
         yield row()
 
 
 def fold_blocks(docs: DataFrame, table: RankTable) -> DataFrame:
-    """Blocks of documents with the ids of their distinct words."""
+    """Blocks of documents with the marks of the ids of their new words."""
     text = F.coalesce("text", F.lit(""))
     listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"))
     tokens = table.tokens
     blocks = listed.mapInArrow(lambda batches: _blocks(batches, tokens), _BLOCK).join(F.broadcast(rank_row(docs.sparkSession, table)), "one")
-    return blocks.select("docs", "lengths", "codes", F.transform("words", fold_word).alias("folded"))
-
-
-def _ids_of(row: pa.RecordBatch, i: int):
-    """(doc_ids, all their ids, where each document's begin) of a block, some hundred documents at a time."""
-    docs, lengths = row.column(0)[i].values.to_pylist(), row.column(1)[i].values.to_numpy().astype(np.int64)
-    codes = np.frombuffer(row.column(2)[i].as_py(), dtype="<i4")
-    folded = row.column(3)[i].values
-    begin = folded.offsets.to_numpy().astype(np.int64)
-    flat, size, words = folded.values.to_numpy(zero_copy_only=False), np.diff(begin), np.concatenate([[0], np.cumsum(lengths)])
-    for k in range(0, len(docs), 500):
-        end = min(len(docs), k + 500)
-        own = codes[words[k] : words[end]]
-        past = np.concatenate([[0], np.cumsum(size[own])])
-        yield docs[k:end], gather(flat, begin[:-1], size, own), past[words[k : end + 1] - words[k]]
+    return blocks.select("docs", "lengths", "codes", F.transform("words", fold_word).alias("folded"), "known")
+
+
+def _encoded(batches):
+    """(doc_ids, all their ids, where each document's begin) of the blocks, some hundred documents at a time."""
+    flat, begin, size, met = np.zeros(4096, np.int32), np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+
+    def room(old: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(old):
+            return old
+        new = np.zeros(max(n, 2 * len(old)), old.dtype)
+        new[: len(old)] = old
+        return new
+
+    for b in batches:
+        for i in range(b.num_rows):
+            folded, known = b.column(3)[i].values, b.column(4)[i].as_py()
+            if known not in (0, met):
+                raise ValueError("blocks of a task came out of order")
+            used = int(begin[known - 1] + size[known - 1]) if known else 0
+            own = pc.utf8_length(folded).to_numpy(zero_copy_only=False).astype(np.int64)
+            n, total = len(own), int(own.sum())
+            met = known + n
+            flat, begin, size = room(flat, used + total), room(begin, known + n), room(size, known + n)
+            if n:
+                edges = np.frombuffer(folded.buffers()[1], "<i4")[folded.offset : folded.offset + n + 1]
+                flat[used : used + total] = unmarked(folded.buffers()[2][int(edges[0]) : int(edges[-1])].to_pybytes())
+            size[known : known + n] = own
+            begin[known : known + n] = used + np.cumsum(own) - own
+            docs, lengths = b.column(0)[i].values.to_pylist(), b.column(1)[i].values.to_numpy().astype(np.int64)
+            codes, words = np.frombuffer(b.column(2)[i].as_py(), dtype="<i4"), np.concatenate([[0], np.cumsum(lengths)])
+            for k in range(0, len(docs), 500):
+                end = min(len(docs), k + 500)
+                part = codes[words[k] : words[end]]
+                past = np.concatenate([[0], np.cumsum(size[part])])
+                yield docs[k:end], gather(flat, begin, size, part), past[words[k : end + 1] - words[k]]
 
 
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
@@ -125,10 +166,8 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     table = rank_table(ranks_path)
 
     def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                for doc_ids, ids, starts in _ids_of(b, i):
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+        for doc_ids, ids, starts in _encoded(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
     return fold_blocks(docs, table).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -168,11 +207,9 @@ def encode_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     def run(batches):
         digits = [str(i) for i in range(len(tokens))]
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
-            for i in range(b.num_rows):
-                for doc_ids, flat, starts in _ids_of(b, i):
-                    rows = [(len(x), sha(" ".join(map(digits.__getitem__, x)).encode()), sha(decode_ids(x, tokens))) for x in _listed(flat, starts)]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for doc_ids, flat, starts in _encoded(batches):
+            rows = [(len(x), sha(" ".join(map(digits.__getitem__, x)).encode()), sha(decode_ids(x, tokens))) for x in _listed(flat, starts)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return fold_blocks(docs, table).mapInArrow(run, DIGEST)
 
@@ -186,11 +223,9 @@ def encode_with_check(docs: DataFrame, ranks_path: str) -> DataFrame:
     tokens = table.tokens
 
     def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                for doc_ids, flat, starts in _ids_of(b, i):
-                    digests = [hashlib.sha256(decode_ids(x, tokens)).hexdigest() for x in _listed(flat, starts)]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32())), pa.array(np.diff(starts), pa.int64()), pa.array(digests, pa.string())],
-                                                     ["doc_id", "ids", "n_tokens", "text_sha256"])
+        for doc_ids, flat, starts in _encoded(batches):
+            digests = [hashlib.sha256(decode_ids(x, tokens)).hexdigest() for x in _listed(flat, starts)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32())), pa.array(np.diff(starts), pa.int64()), pa.array(digests, pa.string())],
+                                             ["doc_id", "ids", "n_tokens", "text_sha256"])
 
     return fold_blocks(docs, table).mapInArrow(run, CHECKED)

@@ -79,6 +79,8 @@ class MergeFinder:
         flat = np.concatenate(hashes)
         order = np.argsort(flat)
         self.hashes, self.ids, self.longest = flat[order], np.array(ids)[order], max(by_length)
+        self.maybe = np.zeros(1 << 20, bool)  # by high bits: most substrings end here
+        self.maybe[(flat >> np.uint64(44)).astype(np.int64)] = True
 
     def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of the merges that each word may need, ascending and once each, flat; and where each word's begin.
@@ -97,8 +99,10 @@ class MergeFinder:
                 if not len(place):
                     break
                 h = (h[open_] + letters[place + (n - 1)]) * _BASE
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                hit = np.flatnonzero(self.hashes[at] == h)
-                keys.append(owner[place[hit]] * MAX_TOKENS + self.ids[at[hit]])
-        flat = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+                some = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
+                same = self.hashes[at] == h[some]
+                keys.append(owner[place[some[same]]] * MAX_TOKENS + self.ids[at[same]])
+        flat = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        flat = flat[np.append(True, flat[1:] != flat[:-1])] if len(flat) else flat
         return (flat % MAX_TOKENS).astype(np.int32), np.searchsorted(flat, np.arange(len(words) + 1) * MAX_TOKENS)
