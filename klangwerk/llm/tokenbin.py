@@ -13,7 +13,7 @@ name per attempt and only those named in the committed index count, so retried o
 lie in the session's shared folder.  Words are encoded once per task and distinct word: byte-level BPE never merges across
 the words of its pattern.
 
-Defined cases: a null or empty text holds the end id alone; null doc_ids come first; repeated rows are each written;
+Defined cases: a null or empty text holds the end id alone; the string of an added token becomes its id, as in the library; null doc_ids come first; repeated rows are each written;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -67,12 +69,14 @@ def byte_letters() -> dict[int, str]:
 class WordIds:
     """Ids of words, kept as one flat array; new words go through the BPE model of the tokenizers library.
 
-    A word is what the tokenizer's pre-tokenizer would hand to its model, so special tokens' strings are ordinary text."""
+    A word is what the tokenizer's pre-tokenizer would hand to its model.  Texts that hold the string of an added token,
+    which the library cuts out before it looks for words, are encoded by the library as a whole."""
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(tokenizer_path).model
+        self.whole = Tokenizer.from_file(tokenizer_path)
+        self.model = self.whole.model
         self.letters = byte_letters()
         self.known: dict[str, int] = {}
         self.begin, self.length, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
@@ -101,8 +105,18 @@ class WordIds:
             self.known.update(zip(fresh, range(k, k + len(fresh))))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
-    def encode(self, lists: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the rows, each row's followed by end_id, and the ids of each row."""
+    def encode(self, lists: pa.Array, end_id: int, texts: list[str | None] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows, each row's followed by end_id, and the number of ids of each row; texts has those to encode as a whole."""
+        out, lengths = self._encode(lists, end_id)
+        special = [i for i, t in enumerate(texts) if t is not None]
+        if special:
+            rows = np.split(out, np.cumsum(lengths)[:-1])
+            for i in special:
+                rows[i] = np.array([*self.whole.encode(texts[i], add_special_tokens=False).ids, end_id], np.uint32)
+            out, lengths = np.concatenate(rows), np.array(list(map(len, rows)), np.int64)
+        return out, lengths
+
+    def _encode(self, lists: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         distinct, codes, starts = list_codes(lists)
         if len(self.known) > MAX_KNOWN:  # bounds a task's memory; words are simply encoded again
             self.known, self.used = {}, 0
@@ -113,15 +127,23 @@ class WordIds:
         return out, np.diff(past) + 1
 
 
+def added_tokens(tokenizer_path: str) -> list[str]:
+    """The strings that the tokenizer takes as one token wherever they stand."""
+    from tokenizers import Tokenizer
+
+    return [t.content for t in Tokenizer.from_file(tokenizer_path).get_added_tokens_decoder().values()]
+
+
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, level: int = 3) -> DataFrame:
     """Writes the files and returns their committed index."""
     spark = docs.sparkSession
     folder = work_path(spark, "ids")
     text = F.coalesce("text", F.lit(""))
+    special = reduce(or_, (F.contains(F.col("text"), F.lit(t)) for t in added_tokens(tokenizer_path)), F.lit(False))
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
                .repartitionByRange(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
                .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
-               .select("doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w")))
+               .select("doc_id", F.when(~special, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"), F.when(special, F.col("text")).alias("whole")))
 
     def run(batches):
         from pyarrow import fs
@@ -147,7 +169,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, level: int
                 out.write(MAGIC)
             for at_row in range(0, b.num_rows, SLICE_DOCS):
                 part_rows = b.slice(at_row, SLICE_DOCS)
-                ids, lengths = encoder.encode(part_rows.column(1), end_id)
+                ids, lengths = encoder.encode(part_rows.column(1), end_id, part_rows.column(2).to_pylist())
                 rows.append((part_rows.column(0).to_pylist(), total + np.cumsum(lengths) - lengths, lengths))
                 total += len(ids)
                 kept = np.concatenate([kept, ids])
@@ -169,18 +191,26 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, level: int
     return settle(ordered.mapInArrow(run, INDEX), "index")
 
 
-def read_file(uri: str, chunks: list[dict]) -> np.ndarray:
-    """All ids of one file."""
+def read_ids(uri: str, chunks: list[dict], docs: list[dict]):
+    """The ids of each document of one file, in order; one block and one document are held at a time."""
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
-    out = []
+    held, at = np.zeros(0, "<u4"), 0  # ids from place at on
     with store.open_input_file(path) as f:
-        for c in chunks:
-            f.seek(c["begin"])
-            planes = [f.read(n) for n in c["planes"]]
-            out.append(from_planes(planes, c["n"]))
-    return np.concatenate(out) if out else np.zeros(0, "<u4")
+        blocks = iter(chunks)
+        for d in docs:
+            begin, end = d["begin"], d["begin"] + d["n"]
+            parts = [held[begin - at :]] if len(held) else []
+            have = at + len(held)
+            at = begin
+            while have < end:
+                c = next(blocks)
+                f.seek(c["begin"])
+                parts.append(from_planes([f.read(n) for n in c["planes"]], c["n"]))
+                have += c["n"]
+            held = np.concatenate(parts) if len(parts) != 1 else parts[0]
+            yield held[: d["n"]]
 
 
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -198,8 +228,7 @@ def read_back(index: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                ids = read_file(r["file"], r["chunks"])
-                rows = [(d["doc_id"], r["base"] + d["begin"], d["n"], zlib.crc32(ids[d["begin"] : d["begin"] + d["n"]].tobytes())) for d in r["docs"]]
+                rows = [(d["doc_id"], r["base"] + d["begin"], d["n"], zlib.crc32(ids.tobytes())) for d, ids in zip(r["docs"], read_ids(r["file"], r["chunks"], r["docs"]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return based.select("file", "chunks", "docs", "base").mapInArrow(run, READ)
