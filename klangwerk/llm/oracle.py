@@ -52,12 +52,19 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM w L
 
 
 OP5 = f"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
-u AS (SELECT doc_id, line, k, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT - length(line) - 1 AS b, len(regexp_extract_all(line, '\\S+')) AS n FROM l),
-h AS (SELECT *, md5(trim(regexp_replace(regexp_replace(lower(line), '\\p{{Nd}}', '0', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) AS d FROM u WHERE n >= {MIN_WORDS}),
-r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY doc_id, k) AS o FROM h),
-x AS (SELECT doc_id, count(*) AS n_removed, sum(n)::BIGINT AS removed_words, string_agg(b::VARCHAR || ':' || (b + length(line))::VARCHAR, ',' ORDER BY k) AS removed FROM r WHERE o > 1 GROUP BY doc_id)
-SELECT doc_id, len(string_split(coalesce(text, ''), chr(10)))::INTEGER AS n_units, coalesce(n_removed, 0)::INTEGER AS n_removed, coalesce(removed_words, 0) AS removed_words, coalesce(removed, '') AS removed FROM documents LEFT JOIN x USING (doc_id)"""
+WITH t AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '(\n|[.!?…] )', '\\1' || chr(31), 'g'), chr(31)) AS us FROM documents),
+l AS (SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) AS i FROM t),
+p AS (SELECT doc_id, i, u, (sum(length(u)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT - length(u) AS b, len(regexp_extract_all(u, '\\S+')) AS n,
+  trim(regexp_replace(regexp_replace(lower(u), '\\p{{Nd}}', '0', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS plain FROM l),
+h AS (SELECT doc_id, b, b + length(u) AS e, n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, md5(plain) AS d FROM p WHERE plain <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY doc_id, k) > 1 AS later, count(*) OVER (PARTITION BY d) AS c, min(doc_id) OVER (PARTITION BY d) <> max(doc_id) OVER (PARTITION BY d) AS shared FROM h),
+g AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM r WHERE c > 1),
+q AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, run) AS run_words FROM g) WHERE run_words >= {MIN_WORDS}),
+x AS (SELECT doc_id, count(*) AS n_repeated, count(*) FILTER (shared) AS n_shared, count(*) FILTER (later) AS n_removed, coalesce(sum(n) FILTER (later), 0)::BIGINT AS removed_words,
+  coalesce(string_agg(b::VARCHAR || ':' || e::VARCHAR, ',' ORDER BY k) FILTER (later), '') AS removed FROM q GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n_units FROM h GROUP BY doc_id)
+SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_shared, 0) AS n_shared, coalesce(n_removed, 0) AS n_removed,
+  coalesce(removed_words, 0) AS removed_words, coalesce(removed, '') AS removed FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)"""
 
 
 def op6(shards: int = 8, seed: int = 20240229) -> str:

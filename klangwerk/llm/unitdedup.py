@@ -1,16 +1,18 @@
 """Line or paragraph deduplication by digests (operator 5).
 
-Every line (or paragraph) with enough words is normalised - lower case, digits to 0, punctuation and white space runs to
-one space - and hashed to 128 bits.  Digests are grouped over the whole corpus, the earliest occurrence by (doc_id,
-checksum, offset) stays, and all later ones are marked for removal with their offsets in the original text.
-
-Only digests and offsets are shuffled, never texts.  The earliest occurrence is a minimum with map-side combining, so a
-line that stands in a third of all documents costs one row per task; digests found once end there.  The join back is a
-plain equi-join that adaptive execution can split.
-
-Defined cases: a null or empty text has no units and loses nothing; units under the word limit are never removed; rows
-that repeat both doc_id and text are one document and get the same result; a null doc_id ranks first; an empty table
-gives an empty result; other columns are ignored.
+Every line, cut further at sentence ends (or every whole line, or every paragraph), is normalised - lower case, digits to
+0, punctuation and white space runs to one space - and hashed to 128 bits.  Digests are grouped over the whole corpus;
+the earliest occurrence by (doc_id, checksum, place) stays.  Single units are often common phrases, so only passages
+count: runs of consecutive repeated units with ``min_words`` words or more.  In them all later occurrences are marked for
+removal, with their offsets in the original text.
+
+The texts are read once; digests, offsets and word counts go to a table in the shared folder and only these are shuffled.
+The earliest occurrence is a minimum with map-side combining, so a line that stands in a third of all documents costs
+one row per task; digests found once end there.  The join back is a plain equi-join that adaptive execution can split.
+
+Defined cases: a null or empty text has no units and loses nothing; units without a letter or digit are passed over, they
+neither end a run nor count; rows that repeat both doc_id and text are one document and each gets its result; a null
+doc_id ranks first; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,81 +20,102 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import settle
+from .wordcodes import slices
 
-#: Shorter units are common phrases rather than copied passages.
-MIN_WORDS = 20
+#: Words of a passage.  A copied passage of 50 words keeps that many in whole sentences wherever it begins and ends.
+MIN_WORDS = 30
+#: Where units end, the separator included.
+CUTS = {"sentence": r"\n|[.!?…] ", "line": r"\n", "paragraph": r"\n\n"}
+SLICE_DOCS, SLICE_BYTES = 1000, 4_000_000
 _NOISE = re.compile(r"[\W_]+")
 _DIGITS = re.compile(r"\d")
 
-UNITS = "doc_id long, text_hash long, n_units int, begin int, end int, n_words int, digest binary"
+UNITS = "doc_id long, text_hash long, units array<struct<begin:int,end:int,n_words:int,digest:binary>>"
 
 
 def normalise(unit: str) -> str:
     return _NOISE.sub(" ", _DIGITS.sub("0", unit.lower())).strip()
 
 
-def split_units(text: str, by: str = "line"):
-    """(begin, end) of the units of a text, in characters."""
-    separator, at = "\n" if by == "line" else "\n\n", 0
-    for unit in text.split(separator):
-        yield at, at + len(unit)
-        at += len(unit) + len(separator)
+def split_units(text: str, by: str = "sentence"):
+    """(begin, end) of the units of a text, in characters; each holds the separator after it."""
+    at = 0
+    for m in re.finditer(CUTS[by], text):
+        yield at, m.end()
+        at = m.end()
+    if at < len(text):
+        yield at, len(text)
 
 
-def units(docs: DataFrame, by: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """A row per eligible unit, and one with null begin per document without any."""
+def units(docs: DataFrame, by: str = "sentence") -> DataFrame:
+    """A row per document with its units that hold a letter or digit."""
 
     def run(batches):
-        for b in batches:
-            rows = []
-            for d, text, h in zip(*(c.to_pylist() for c in b.columns)):
-                spans = list(split_units(text or "", by))
-                own = []
-                for begin, end in spans:
-                    n = len(text[begin:end].split()) if text else 0
-                    if n >= min_words:
-                        own.append((d, h, len(spans), begin, end, n, hashlib.blake2b(normalise(text[begin:end]).encode(), digest_size=16).digest()))
-                rows += own or [(d, h, len(spans), None, None, None, None)]
-            cols = list(zip(*rows)) if rows else [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "text_hash", "n_units", "begin", "end", "n_words", "digest"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, UNITS)
-
-
-def repeated_units(docs: DataFrame, by: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document: n_units, n_removed, removed_words and removed (``begin:end`` of each unit, in order)."""
-    found = units(docs, by, min_words)
-    place = F.struct("doc_id", "text_hash", "begin")
-    first = (found.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-             .where(F.col("first") != F.col("last")).select("digest", "first"))
-    span = F.struct("begin", "end", "n_words").alias("span")
-    repeats = found.where(F.col("digest").isNotNull()).join(first, "digest").where(place != F.col("first")).select("doc_id", "text_hash", "n_units", span)
-    every = found.select("doc_id", "text_hash", "n_units", F.lit(None).cast("struct<begin:int,end:int,n_words:int>").alias("span"))
-    spans = every.unionByName(repeats).groupBy("doc_id", "text_hash").agg(F.max("n_units").alias("n_units"), F.array_sort(F.collect_set("span")).alias("spans"))
-    return spans.select(
-        "doc_id", "text_hash", "n_units", F.size("spans").alias("n_removed"),
-        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["n_words"]).alias("removed_words"),
-        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["begin"].cast("string"), s["end"].cast("string"))), ",").alias("removed"))
+        for part in slices(batches, 1, SLICE_DOCS, SLICE_BYTES):
+            begin, end, words, digests, sizes = [], [], [], [], []
+            for text in part.column(1).to_pylist():
+                before = len(begin)
+                for i, j in split_units(text or "", by):
+                    plain = normalise(text[i:j])
+                    if plain:
+                        begin.append(i)
+                        end.append(j)
+                        words.append(len(text[i:j].split()))
+                        digests.append(hashlib.blake2b(plain.encode(), digest_size=16).digest())
+                sizes.append(len(begin) - before)
+            own = pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(words, pa.int32()), pa.array(digests, pa.binary())], ["begin", "end", "n_words", "digest"])
+            edges = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(edges, own)], ["doc_id", "text_hash", "units"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, UNITS)
+
+
+def repeated_units(docs: DataFrame, by: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+    """A row per document: doc_id, text_hash, n_units; n_repeated (units in repeated passages, the first occurrence
+    included), n_shared (those of them that stand in other documents too); n_removed, removed_words and removed
+    (``begin:end`` of each unit that goes, in order)."""
+    table = settle(units(docs, by), "units")
+    document = ["doc_id", "text_hash"]
+    each = table.select(*document, F.posexplode("units").alias("k", "u")).select(*document, "k", F.col("u.*"))
+    place = F.struct("doc_id", "text_hash", "k")
+    first = each.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last"))
+    first = first.select("digest", "first", F.expr("struct(first.doc_id, first.text_hash) != struct(last.doc_id, last.text_hash)").alias("shared"))
+    found = each.join(first, "digest").select(*document, "k", "begin", "end", "n_words", (place != F.col("first")).alias("later"), "shared")
+    # runs of neighbours: repeated rows first become one
+    found = found.repartition(*document).withColumn("copy", F.row_number().over(Window.partitionBy(*document, "k").orderBy("k"))).where("copy = 1")
+    found = found.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy(*document).orderBy("k")))
+    found = found.withColumn("run_words", F.sum("n_words").over(Window.partitionBy(*document, "run"))).where(F.col("run_words") >= min_words)
+    span = F.when(F.col("later"), F.struct("begin", "end"))
+    passages = found.groupBy(*document).agg(F.count("*").alias("n_repeated"), F.count_if("shared").alias("n_shared"), F.count_if("later").alias("n_removed"),
+                                            F.sum(F.when(F.col("later"), F.col("n_words")).otherwise(0)).alias("removed_words"), F.array_sort(F.collect_list(span)).alias("spans"))
+    d, p = table.select(*document, F.size("units").cast("long").alias("n_units")).alias("d"), passages.alias("p")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["begin"].cast("string"), s["end"].cast("string"))), ",")
+    joined = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash")), "left")
+    return joined.select("d.doc_id", "d.text_hash", "n_units", none("n_repeated"), none("n_shared"), none("n_removed"), none("removed_words"), F.coalesce(listed, F.lit("")).alias("removed"))
 
 
 def remove_spans(text: str | None, removed: str) -> str | None:
-    """A text without its removed units (and the line break after each)."""
+    """A text without its removed units."""
     if not text or not removed:
         return text
     out, at = [], 0
     for begin, end in (map(int, x.split(":")) for x in removed.split(",")):
         out.append(text[at:begin])
-        at = end + (text[end : end + 1] == "\n")
+        at = end
     return "".join(out) + text[at:]
 
 
-def cleaned(docs: DataFrame, by: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def cleaned(docs: DataFrame, by: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with all their columns, text without repeated units; original offsets stay in ``removed``."""
-    marked = repeated_units(docs, by, min_words).where("n_removed > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "removed")
+    marked = repeated_units(docs, by, min_words).where("n_removed > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "removed").distinct()
     cut = F.pandas_udf(lambda t, r: t.combine(r, lambda x, y: remove_spans(x, y or "")), "string")
-    joined = docs.join(marked, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left").drop("_d", "_h")
+    joined = docs.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left").drop("_d", "_h")
     return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut("text", "removed")))
