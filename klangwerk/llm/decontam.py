@@ -46,12 +46,12 @@ _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E
 MATCHES = "doc_id long, item_id long, first_word long, n_words long, similarity double"
 
 
-def shingle_hashes(h: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the five words that begin at each place, mixed so that every bit counts."""
+def shingle_hashes(h: np.ndarray, words: int = SHINGLE) -> np.ndarray:
+    """A 64-bit hash of the five (or fewer) words that begin at each place, mixed so that every bit counts."""
     if not len(h):
         return h
     with np.errstate(over="ignore"):
-        k = min(SHINGLE, len(h))
+        k = min(words, len(h))
         n = len(h) - k + 1
         x = np.zeros(n, np.uint64)
         for i in range(k):
@@ -192,7 +192,7 @@ class Items:
 
         for k, items in self.short.items():
             if len(h) >= k:
-                grams = shingle_hashes(h) if k >= SHINGLE else _grams(h, k)
+                grams = shingle_hashes(h, k)
                 for item, x in items:
                     for at in np.flatnonzero(grams == x).tolist():
                         row = int(np.searchsorted(starts, at, side="right")) - 1
@@ -209,8 +209,9 @@ class Items:
         whole = -(-len(x) // STRIDE) * STRIDE
         bits = np.zeros((whole, 64), np.uint8)
         bits[: len(x)] = _bits(x)
-        sums = np.zeros((whole // STRIDE + 1, 64), np.uint16)  # wraps; differences are below 65,536
-        np.cumsum(bits.reshape(-1, STRIDE, 64).sum(axis=1, dtype=np.uint16), axis=0, dtype=np.uint16, out=sums[1:])
+        width = np.uint16 if max(self.classes) < 1 << 16 else np.uint32
+        sums = np.zeros((whole // STRIDE + 1, 64), width)  # wraps; differences are at most the longest window
+        np.cumsum(bits.reshape(-1, STRIDE, 64).sum(axis=1, dtype=width), axis=0, dtype=width, out=sums[1:])
         del bits
         for w, (index, items) in self.classes.items():
             k = min(w // STRIDE, len(sums) - 1)
@@ -218,22 +219,20 @@ class Items:
             for windows, i in index.within(prints):
                 item, counts, n = items[i]
                 for s in (windows * STRIDE).tolist():
-                    if len(counts.keys() & set(x[max(0, s - STRIDE) : s + max(w, n) + STRIDE].tolist())) < MIN_SIMILARITY * len(counts) * 0.5:
-                        continue
                     row = int(np.searchsorted(starts, min(s + w // 2, len(h) - 1), side="right")) - 1
-                    lo, hi = int(starts[row]), int(starts[row + 1]) - SHINGLE + 1 - n  # places where the item's length fits
-                    for at in range(max(lo, s - STRIDE), max(lo, min(hi, s + STRIDE + max(0, w - n))) + 1):
-                        end = min(at + n, int(starts[row + 1]) - SHINGLE + 1)
+                    lo, stop = int(starts[row]), int(starts[row + 1]) - SHINGLE + 1
+                    last = max(lo, min(stop - n, s + STRIDE + max(0, w - n)))  # places where the item's length fits
+                    first = max(lo, s - STRIDE)
+                    # a similar window holds at least so many of the item's shingles, with repeats
+                    if sum(k in counts for k in x[first : min(last + n, stop)].tolist()) < MIN_SIMILARITY * n:
+                        continue
+                    for at in range(first, last + 1):
+                        end = min(at + n, stop)
                         if end > at and (alike := similarity(x[at:end], counts)) >= MIN_SIMILARITY:
                             put(row, item, (alike, -(at - lo), end - at + SHINGLE - 1))
         return best
 
 
-def _grams(h: np.ndarray, k: int) -> np.ndarray:
-    """shingle_hashes of every k consecutive words, k below SHINGLE."""
-    return np.array([shingle_hashes(h[i : i + k])[0] for i in range(len(h) - k + 1)], np.uint64)
-
-
 def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document and item found in it: place and length (words) of the best window, and its similarity."""
     spark = docs.sparkSession
