@@ -1,7 +1,8 @@
 """Personal data by patterns and by information-theoretic sanitisation (operator 10; DataFrame functions only).
 
-Emails, IP addresses, card numbers and phone numbers are found by pattern and checked (octets, Luhn, digits).  Their
-values are the protected entities.  All words of a document with mentions, wherever they stand, are its terms; corpus co-occurrence
+Emails, IP addresses, card numbers and phone numbers are found by pattern and checked (octets, Luhn, digits); so are
+secrets: access key ids, tokens of well-known forms, long runs of hexadecimal digits, and values assigned to names like
+password.  Their values are the protected entities.  All words of a document with mentions, wherever they stand, are its terms; corpus co-occurrence
 estimates how much a term tells about an entity: with probabilities as shares of documents, the disclosure of term t about
 entity c is PMI(c; t) / IC(c) = log(p(c,t) / (p(c) p(t))) / -log p(c), which is 1 when t never occurs without c.  Every
 occurrence of a term above the threshold is generalised (digits and initials to a class) or removed in the documents of
@@ -9,12 +10,13 @@ that entity.  A pair must occur in MIN_SUPPORT different texts, so exact copies
 count as different texts.
 
 The texts are read for the mentions and terms, for the document frequencies of terms, and to place what was found.  Equal
-texts count as one row with their number of documents, and only entities of MIN_SUPPORT texts are joined with the distinct
+texts count as one row with their number of rows, and only entities of MIN_SUPPORT texts are joined with the distinct
 words of their texts; counts combine before each shuffle, so an entity or term that is in a third of all documents costs a
 row per task; joins are plain equi-joins that adaptive execution may split.
 
-Defined cases: null is an empty text; matches that fail their check are dropped without another try; rows that repeat
-doc_id and text count once and get the same spans; an empty table gives an empty result; other columns are ignored.
+Defined cases: null is an empty text; matches that fail their check are dropped without another try; repeated
+rows count as often as they occur, except as support, and get the same spans; a secret inside a longer base match is part
+of that; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,19 @@ PATTERNS = {
 }
 #: A character or pair that every match holds: texts without it skip the pattern.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+#: Forms of secrets, in the order in which they are tried at a place.
+SECRET_FORMS = (
+    r"(?:AKIA|ASIA|AGPA|AROA|AIDA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    r"gh[pousr]_[A-Za-z0-9]{36,}+",
+    r"xox[abprs]-[A-Za-z0-9-]{10,}+",
+    r"sk-[A-Za-z0-9_-]{20,}+",
+    r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]*+)?",
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]*PRIVATE KEY-----)?",
+    r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
+    r"(?i:password|passwd|pwd|passphrase|secret|api[_-]?key|access[_-]?key|auth[_-]?token|token)[\"']?[\x20\t]?[=:][\x20\t]?[\"']?[^\s\"',;<>]{6,}+",
+)
+SECRET, SECRET_PATTERN = "secret", r"(?<![A-Za-z0-9])(?:" + "|".join(SECRET_FORMS) + ")"
+SECRET_HINT = r"(?i)akia|asia|agpa|aroa|aida|gh[pousr]_|xox|sk-|eyj|private key|[0-9a-f]{32}|passw|pwd|passphrase|secret|key|token"
 WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}'-]*[\p{L}\p{N}]"
 MIN_TERM = 3  # characters of a term
 THRESHOLD = 0.9  # disclosure
@@ -48,7 +63,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def _valid(kind: str, value: Column) -> Column:
-    if kind == "email":
+    if kind in ("email", SECRET):
         return F.lit(True)
     if kind == "ip":
         return F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(F.concat(F.lit("000"), p), F.lit(3)).cast("int") <= 255))
@@ -60,8 +75,8 @@ def _valid(kind: str, value: Column) -> Column:
 
 def _matches(kind: str, text: Column) -> Column:
     """array<struct<kind, begin, end, value>> of valid matches: positions are sums of the lengths before, in code points."""
-    pattern = F.lit(PATTERNS[kind])
-    values, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind])
+    form, hint = (SECRET_PATTERN, SECRET_HINT) if kind == SECRET else (PATTERNS[kind], HINTS[kind])
+    values, between = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form)
     empty = F.struct(F.array().cast(f"array<{_SPAN}>").alias("out"), F.lit(0).alias("at"))
 
     def step(state: Column, pair: Column) -> Column:
@@ -72,7 +87,7 @@ def _matches(kind: str, text: Column) -> Column:
 
     pairs = F.arrays_zip(values.alias("value"), F.slice(between, F.lit(1), F.size(values)).alias("gap"))
     found = F.aggregate(pairs, empty, step, lambda s: s["out"])
-    return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return F.when(text.rlike(hint), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -83,9 +98,19 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(placed)
 
 
+def all_spans(text: Column) -> Column:
+    """base_spans and the secrets outside them, in order of place."""
+    base, rank = base_spans(text), len(KINDS)
+    secrets = F.transform(_matches(SECRET, text), lambda s: F.struct(s["begin"].alias("begin"), F.lit(rank).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
+    own = F.filter(secrets, lambda s: ~F.exists(base, lambda t: (t["begin"] <= s["begin"]) & (s["end"] <= t["end"])))
+    return F.array_sort(F.concat(base, own))
+
+
 def _words(text: Column) -> Column:
-    """The distinct terms of a text, lower case; those inside an email (no other kind holds letters) are left out."""
-    found = F.regexp_extract_all(F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text), F.lit(WORD), F.lit(0))
+    """The distinct terms of a text, lower case; those inside an email or a secret (no other kind holds letters) are left out."""
+    plain = F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    plain = F.when(plain.rlike(SECRET_HINT), F.regexp_replace(plain, SECRET_PATTERN, " ")).otherwise(plain)
+    found = F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
     return F.array_distinct(F.transform(F.filter(F.array_distinct(found), lambda w: F.length(w) >= MIN_TERM), F.lower))
 
 
@@ -108,10 +133,10 @@ def _places(text: Column, terms: Column, found: Column) -> Column:
 def find_mentions(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, text_hash, entities (digests of kind and normalised value) and, if it has any, its terms."""
     text = F.coalesce("text", F.lit(""))
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text.alias("text"), base_spans(text).alias("found"))
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text.alias("text"), all_spans(text).alias("found"))
 
     def entity(s: Column) -> Column:
-        value = F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(F.regexp_replace(s["value"], "[^0-9]", ""))
+        value = F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"].isin("ip", SECRET), s["value"]).otherwise(F.regexp_replace(s["value"], "[^0-9]", ""))
         return F.xxhash64(s["kind"], value)
 
     return one.select("doc_id", "text_hash", F.array_distinct(F.transform("found", entity)).alias("entities"), F.when(F.size("found") > 0, _words(F.col("text"))).alias("terms"))
@@ -131,7 +156,7 @@ def _near(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """entity, text_hash, n_docs and terms of each distinct text and entity; n_entity of the entities of enough texts."""
     mentions = settle(find_mentions(docs), "mentions")
     texts = mentions.where(F.size("entities") > 0).groupBy("text_hash").agg(
-        F.countDistinct(F.struct("doc_id")).alias("n_docs"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+        F.count("*").alias("n_docs"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
     texts = settle(texts, "texts")
     near = texts.select("text_hash", "n_docs", "terms", F.explode("entities").alias("entity"))
     # an entity of fewer texts has no term of enough of them
@@ -159,7 +184,7 @@ def disclosing(docs: DataFrame, near: DataFrame, of_entity: DataFrame) -> DataFr
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, with _found (base spans) and _places (begin, end of every disclosing term).
+    """The documents, all columns, with _found (base spans and secrets) and _places (begin, end of every disclosing term).
 
     Base spans are found again in place, so only the terms of texts that have disclosing ones meet a join."""
     near, of_entity = _near(docs)
@@ -168,19 +193,20 @@ def _placed(docs: DataFrame) -> DataFrame:
     terms = settle(own.groupBy(F.col("text_hash").alias("_h")).agg(F.collect_set("term").alias("_terms")), "terms")
     n = terms.agg(F.sum(F.size("_terms"))).first()[0] or 0
     joined = docs.join(_bounded(terms, n, MAX_BROADCAST_TEXT_TERMS), F.xxhash64(docs["text"]) == F.col("_h"), "left")
-    found = joined.withColumn("_found", base_spans(F.coalesce("text", F.lit(""))))
+    found = joined.withColumn("_found", all_spans(F.coalesce("text", F.lit(""))))
     none = F.array().cast("array<struct<begin:int,end:int>>")
     return found.withColumn("_places", F.when(F.col("_terms").isNotNull(), _places(F.col("text"), F.col("_terms"), F.col("_found"))).otherwise(none)).drop("_h", "_terms")
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, text_hash, base (kind, begin, end) and terms (begin, end)."""
-    base = F.transform("_found", lambda s: F.struct(s["kind"].alias("kind"), s["begin"].alias("begin"), s["end"].alias("end")))
-    return _placed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), base.alias("base"), F.col("_places").alias("terms"))
+    """One row per document: doc_id, text_hash, base and secrets (kind, begin, end), and terms (begin, end)."""
+    shown = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["begin"].alias("begin"), s["end"].alias("end")))
+    base, secrets = (shown(F.filter("_found", lambda s: (s["kind"] == SECRET) == other)) for other in (False, True))
+    return _placed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), base.alias("base"), secrets.alias("secrets"), F.col("_places").alias("terms"))
 
 
 #: What stands in place of a match.
-MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
+MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "secret": "<SECRET>"}
 
 
 def _masked(text: Column, spans: Column) -> Column:

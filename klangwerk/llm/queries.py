@@ -45,7 +45,7 @@ def op3_byte_bpe(docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_ngram_jaccard_join(docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngramjoin.components(docs).drop("class_digest")
+    return ngramjoin.components(docs).drop("class_digest", "text_hash")
 
 
 @_query
@@ -81,10 +81,10 @@ def op10_information_sanitisation(docs: DataFrame, sf_dir: str) -> DataFrame:
     found = pii.detect(docs)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     shown = lambda s, kind: F.concat_ws(":", kind, s["begin"].cast("string"), s["end"].cast("string"))
-    rank = F.create_map(*(x for i, k in enumerate((*pii.KINDS, "term")) for x in (F.lit(k), F.lit(i))))
-    every = F.array_sort(F.concat(
-        F.transform("base", lambda s: F.struct(s["begin"].alias("begin"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))),
-        F.transform("terms", lambda s: F.struct(s["begin"].alias("begin"), F.lit(len(pii.KINDS)).alias("rank"), s["end"].alias("end"), F.lit("term").alias("kind")))))
+    rank = F.create_map(*(x for i, k in enumerate((*pii.KINDS, pii.SECRET, "term")) for x in (F.lit(k), F.lit(i))))
+    placed = lambda c, kind: F.transform(c, lambda s: F.struct(s["begin"].alias("begin"), rank[kind(s)].alias("rank"), s["end"].alias("end"), kind(s).alias("kind")))
+    every = F.array_sort(F.concat(placed("base", lambda s: s["kind"]), placed("secrets", lambda s: s["kind"]), placed("terms", lambda s: F.lit("term"))))
     base = F.array_join(F.transform("base", lambda s: shown(s, s["kind"])), ",")
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(base.cast("binary"), 256).alias("base_sha256"),
-                        F.array_join(F.transform(every, lambda s: shown(s, s["kind"])), ",").alias("spans"))
+                        F.array_join(F.transform(every, lambda s: shown(s, s["kind"])), ",").alias("spans"),
+                        F.size("secrets").cast("long").alias("n_secret"), F.size(every).cast("long").alias("n_spans"))
