@@ -17,8 +17,15 @@ GENERATED_SYMBOLS = {
 }
 #: Artifacts of dictionary displays, first that matches.
 ARTIFACTS = (("wiktionary_numbered_display", r"^\[\d+\]\s*"), ("ellipsis_placeholder", r"\.\.\.|…"), ("markup_fragment", r"\{\{|\}\}|<[^>]+>"), ("pronoun_template", r"(?i)\b(?:er|sie|es)(?:/(?:er|sie|es)){1,2}\b"))
-ROMAN = dict(zip("ii iii iv vi vii viii ix xi xii".split(), "two three four six seven eight nine eleven twelve".split()))
-CARDINALS = dict(zip("0 1 2 3 4 5 6 7 8 9 10 11 12".split(), "zero one two three four five six seven eight nine ten eleven twelve".split()))
+#: Numerals of names and their words.
+ROMAN = {
+    "i": "one", "ii": "two", "iii": "three", "iv": "four", "v": "five", "vi": "six", "vii": "seven", "viii": "eight", "ix": "nine", "x": "ten",
+    "xi": "eleven", "xii": "twelve", "xiii": "thirteen", "xiv": "fourteen", "xv": "fifteen", "xvi": "sixteen", "xvii": "seventeen", "xviii": "eighteen", "xix": "nineteen", "xx": "twenty",
+}
+CARDINALS = {
+    "0": "zero", "1": "one", "2": "two", "3": "three", "4": "four", "5": "five", "6": "six", "7": "seven", "8": "eight", "9": "nine", "10": "ten",
+    "11": "eleven", "12": "twelve", "13": "thirteen", "14": "fourteen", "15": "fifteen", "16": "sixteen", "17": "seventeen", "18": "eighteen", "19": "nineteen", "20": "twenty",
+}
 
 
 def generated_ipa(ipa: Column | str, language: str) -> Column:

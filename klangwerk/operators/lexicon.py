@@ -20,7 +20,9 @@ def lexicon(docs: DataFrame, least: int = 1) -> DataFrame:
     forms = per.groupBy("language", "form").agg(F.sum("n").alias("n"), F.count("*").alias("sources")).where(F.col("n") >= least)
     # ranks within a language, from ordered buckets: by count, then by the form's first letters
     order = [F.asc("language"), F.desc("n"), F.asc("form")]
-    bucket = F.concat(F.col("language"), F.lpad((F.lit(10**15) - F.col("n")).cast("string"), 16, "0"), F.left("form", F.lit(2)))
+    # buckets of bounded number: rare forms by count and first letters, frequent ones by the logarithm of the count alone
+    often = F.lpad((F.lit(20_000) - F.floor(F.log2("n") * 256)).cast("string"), 6, "0")
+    bucket = F.concat(F.col("language"), often, F.when(F.col("n") <= 64, F.left("form", F.lit(2))).otherwise(""))
     ranked = R.ordinals(forms, order, bucket, "_at")
     first = ranked.groupBy("language").agg(F.min("_at").alias("_first"))
     return ranked.join(F.broadcast(first), "language").withColumn("usage_rank", F.col("_at") - F.col("_first") + 1).drop("_at", "_first")

@@ -52,7 +52,7 @@ def tie_percentile_ppm(df: DataFrame, keys: list[str], value: str, name: str = "
     present = F.col(value).isNotNull()
     w = Window.partitionBy(*keys, present.alias("_p"))
     n = F.count("*").over(w)
-    below = F.rank().over(w.orderBy(F.col(value).asc())) - 1
+    below = F.rank().over(w.orderBy(F.col(value).asc())).cast("long") - 1  # times two million: past 32 bits from 1,074 rows on
     return df.withColumn(name, F.when(~present, F.lit(0)).when(n == 1, F.lit(1_000_000)).otherwise(F.floor((below * 2_000_000 + (n - 1)) / (2 * (n - 1)))).cast("long"))
 
 

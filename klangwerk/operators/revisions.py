@@ -6,13 +6,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def common_bars(current: list, previous: list) -> list[tuple[int, int]]:
+    """Places (current, previous) of a longest common subsequence of ids; of equally long ones that which passes over the
+    current bar first."""
+    import numpy as np
+
+    n, m = len(current), len(previous)
+    number = {x: i for i, x in enumerate(dict.fromkeys([*current, *previous]))}
+    a, b = np.array([number[x] for x in current]), np.array([number[x] for x in previous])
+    longest = np.zeros((n + 1, m + 1), np.int32)
+    for i in range(n - 1, -1, -1):
+        step = np.where(b == a[i], longest[i + 1, 1:] + 1, longest[i + 1, :-1])
+        longest[i, :-1] = np.maximum.accumulate(step[::-1])[::-1]
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif longest[i + 1, j] >= longest[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def compare_revisions(current: DataFrame, previous: DataFrame, document: str, bar: str, place: str, text: str) -> DataFrame:
-    """UI-01: what became of each bar by its stable id: changed, moved, same, added or removed; current order first."""
-    c = current.select(document, bar, F.col(place).alias("at"), F.col(text).alias("_text"), F.lit(1).alias("_c"))
-    p = previous.select(document, bar, F.col(place).alias("was_at"), F.col(text).alias("_was"), F.lit(1).alias("_p"))
-    state = (F.when(F.col("_p").isNull(), "added").when(F.col("_c").isNull(), "removed").when(~F.col("_text").eqNullSafe(F.col("_was")), "changed")
-             .when(F.col("at") != F.col("was_at"), "moved").otherwise("same"))
-    return c.join(p, [document, bar], "full").select(document, bar, "at", "was_at", state.alias("state"))
+    """UI-01: what became of each bar by its stable id: document, bar, at, was_at, state and moved.
+
+    Bars of the longest common subsequence are same, or changed where their text is another; others that stand in both
+    revisions have moved (or changed, with moved set); the rest is added or removed.  A bar of the subsequence whose place
+    has shifted counts as moved if its text is the same.  One call per document, whose bars are a bounded list."""
+    kinds = dict(current.dtypes)
+    side = lambda df, name: df.select(F.col(document).alias(document), F.col(bar).alias(bar), F.col(place).alias("at"), F.col(text).alias("text"), F.lit(name).alias("side"))
+
+    def run(pdf):
+        import pandas as pd
+
+        now, was = (pdf[pdf["side"] == x].sort_values("at", kind="stable").reset_index(drop=True) for x in ("now", "was"))
+        kept = {now[bar][i] for i, _ in common_bars(now[bar].tolist(), was[bar].tolist())}
+        before = {b: (i, p, t) for i, (b, p, t) in enumerate(zip(was[bar], was["at"], was["text"]))}
+        rows = []
+        for b, p, t in zip(now[bar], now["at"], now["text"]):
+            if b not in before:
+                rows.append((b, p, None, "added", False))
+                continue
+            j, q, old = before.pop(b)
+            same = old == t or (pd.isna(old) and pd.isna(t))
+            moved = b not in kept or p != q
+            rows.append((b, p, q, "changed" if not same else "moved" if moved else "same", moved))
+        rows += [(b, None, p, "removed", False) for b, (_, p, _) in before.items()]
+        out = pd.DataFrame(rows, columns=[bar, "at", "was_at", "state", "moved"])
+        out.insert(0, document, pdf[document].iloc[0])
+        return out.astype({"at": "Int64", "was_at": "Int64"})
+
+    both = side(current, "now").unionByName(side(previous, "was"))
+    return both.groupBy(document).applyInPandas(run, f"`{document}` {kinds[document]}, `{bar}` {kinds[bar]}, at long, was_at long, state string, moved boolean")
 
 
 def library(rows: DataFrame, folder: str, query: str = "", order: str = "title", descending: bool = False) -> DataFrame:

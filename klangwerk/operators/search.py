@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from klangwerk.functions import phonology as P
@@ -22,11 +22,14 @@ POOL = 250
 def candidates(queries: DataFrame, targets: DataFrame, per_channel: int = CHANNEL_LIMIT) -> DataFrame:
     """JN-01/02: targets that share a key with a query: per channel the nearest in syllables, then the most used.
 
-    Both sides are channel tables.  Spark keeps only per_channel rows of a group before the shuffle (WindowGroupLimit)."""
+    Both sides are channel tables.  Each posting is cut to the most used forms of every syllable count before the join, as
+    many as any query can take of them (one more: itself), so a key of half the lexicon makes no more rows than others;
+    Spark keeps only that many rows of a group before the shuffle (WindowGroupLimit)."""
     q = queries.select("language", F.col("form").alias("query"), F.col("ipa").alias("query_ipa"), F.col("syllables").alias("query_syllables"), F.col("usage_rank").alias("query_rank"), "channel", "channel_order", "key")
-    t = targets.select("form", "ipa", "syllables", "usage_rank", "channel", "key")
+    used = [F.asc_nulls_last("usage_rank"), F.asc("form")]
+    t = O.top_per_group(targets.select("form", "ipa", "syllables", "usage_rank", "channel", "key"), ["channel", "key", "syllables"], used, per_channel + 1).drop("rank")
     hits = q.join(t, ["channel", "key"]).where("query != form")
-    order = [F.abs(F.col("syllables") - F.col("query_syllables")), F.asc("syllables"), F.asc_nulls_last("usage_rank"), F.asc("form")]
+    order = [F.abs(F.col("syllables") - F.col("query_syllables")), F.asc("syllables"), *used]
     bounded = O.top_per_group(hits, ["language", "query", "channel"], order, per_channel)
     return bounded.groupBy("language", "query", "form").agg(
         F.first("query_ipa").alias("query_ipa"), F.first("query_syllables").alias("query_syllables"), F.first("query_rank").alias("query_rank"), F.first("ipa").alias("ipa"),
@@ -48,26 +51,77 @@ def ranked(rows: DataFrame, order: str = "usage", limit: int = POOL) -> DataFram
     return O.top_per_group(rows, ["language", "query"], orders[order], limit)
 
 
-def utility(rows: DataFrame) -> DataFrame:
-    """RK-06: .72 score + .16 syllables + .12 commonness - .16 overlap of spelling."""
-    near = 1.0 - F.least(F.lit(1.0), F.abs(F.col("syllables") - F.col("query_syllables")) / 4.0)
-    overlap = T.common_prefix_length("query", "form") / F.greatest(F.length("query"), F.length("form"))
-    return rows.withColumn("utility", F.round(0.72 * F.col("score") + 0.16 * near + 0.12 * T.commonness("usage_rank", "query_rank") - 0.16 * overlap, 6))
+def _unit(x: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+
+
+def _same(a: str, b: str, rows: DataFrame) -> Column:
+    """Whether two columns hold the same non-empty name; never where the rows lack them."""
+    if a not in rows.columns or b not in rows.columns:
+        return F.lit(False)
+    return F.coalesce((F.col(a) == F.col(b)) & (F.col(a) != ""), F.lit(False))
+
+
+def lexical_overlap(rows: DataFrame, query: str = "query", form: str = "form") -> DataFrame:
+    """RK-06: adds overlap, how much of the query's own wording a form repeats, from lemma, family and spelling.
 
+    Edit distance alone is no evidence, since short rhymes share most letters.  Columns query_lemma, lemma, query_family and
+    family count where the rows have them."""
+    shorter = F.greatest(F.lit(1), F.least(F.length(query), F.length(form)))
+    prefix, suffix, alike = T.common_prefix_length(query, form), T.common_suffix_length(query, form), T.edit_similarity(query, form)
+    lemma, family = _same("query_lemma", "lemma", rows), _same("query_family", "family", rows)
+    overlap = F.greatest(F.when(lemma, 1.0).otherwise(0.0), F.when(family, 0.92).otherwise(0.0),
+                         F.when((prefix >= 6) & (prefix / shorter >= 0.45), _unit(0.50 + 0.45 * prefix / shorter)).otherwise(0.0),
+                         F.when((shorter >= 8) & (alike >= 0.88), alike * 0.90).otherwise(0.0), F.when(suffix >= 7, suffix / shorter * 0.45).otherwise(0.0))
+    cheap = F.when(lemma, 3).when(family | (overlap >= 0.85), 2).when(overlap >= 0.65, 1).otherwise(0)
+    return rows.withColumn("overlap", F.round(_unit(overlap), 4)).withColumn("cheap_tiers", cheap)
 
-def redundancy(a: str, b: str) -> float:
-    """RK-08: 1 for one form inside the other, .92 for a shared prefix of six letters, else bigram overlap."""
-    if a == b:
+
+def commonness_utility(rank: Column, query_rank: Column) -> Column:
+    """RK-06: 1 down to the query's own rank, .15 less for the first power of ten, .30 for each further one; .25 unranked."""
+    delta = F.log10(rank / query_rank)
+    known = F.when(delta <= 0, 1.0).when(delta <= 1, 1 - 0.15 * delta).otherwise(_unit(0.85 - 0.30 * (delta - 1)))
+    return F.when(rank.isNull() | (rank <= 0), 0.25).when(query_rank.isNull() | (query_rank <= 0), _unit(1 - F.log10(F.greatest(rank, F.lit(1))) / 7)).otherwise(known)
+
+
+def utility(rows: DataFrame) -> DataFrame:
+    """RK-06: .72 score + .16 syllables + .12 commonness - .16 overlap with the query - .08 for rare or historical forms.
+
+    writer_tier adds to the tier what cheap rhymes (the query's lemma, family or wording) lose.  A boolean column ``rare``
+    counts where the rows have it."""
+    near = 1.0 / (1.0 + F.abs(F.col("syllables") - F.col("query_syllables")))
+    rare = F.when(F.coalesce(F.col("rare"), F.lit(False)), 0.08).otherwise(0.0) if "rare" in rows.columns else F.lit(0.0)
+    sound = 0.72 * _unit(F.col("score")) + 0.16 * near + 0.12 * commonness_utility(F.col("usage_rank"), F.col("query_rank"))
+    return lexical_overlap(rows).withColumn("utility", F.round(_unit(sound - 0.16 * F.col("overlap") - rare), 4)).withColumn("writer_tier", F.col("tier") + F.col("cheap_tiers"))
+
+
+def _levenshtein(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def redundancy(a: str, b: str, lemmas: tuple = (None, None), families: tuple = (None, None)) -> float:
+    """RK-08: 1 for one form or lemma, .92 for one family; else by a shared beginning of six letters, or spelling at least .84 alike."""
+    if not a or not b:
+        return 0.0
+    if a == b or lemmas[0] and lemmas[0] == lemmas[1]:
         return 1.0
-    shared = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    if shared >= 6:
+    if families[0] and families[0] == families[1]:
         return 0.92
-    x, y = ({s[i : i + 2] for i in range(max(1, len(s) - 1))} for s in (a, b))
-    return 2 * len(x & y) / (len(x) + len(y))
+    shared, shorter, longer = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))), min(len(a), len(b)), max(len(a), len(b))
+    start = min(1.0, 0.50 + 0.45 * shared / shorter) if shared >= 6 and shared / shorter >= 0.45 else 0.0
+    if shorter / longer < max(start, 0.84):  # no spelling so different in length can be more alike
+        return round(start, 4)
+    alike = 1 - _levenshtein(a, b) / longer
+    return round(max(start, alike if alike >= 0.84 else 0.0), 4)
 
 
 def diversified(rows: DataFrame, limit: int = 50, weight: float = 0.18) -> DataFrame:
-    """RK-07: greedy choice by tier, then utility less ``weight`` times the redundancy to what is already chosen.
+    """RK-07: greedy choice by writer tier, then utility less ``weight`` times the redundancy to what is already chosen.
 
     Sequential by definition, so it runs per query, on at most POOL rows each."""
     from pyspark.sql.types import LongType, StructType
@@ -75,8 +129,9 @@ def diversified(rows: DataFrame, limit: int = 50, weight: float = 0.18) -> DataF
     schema = StructType([*rows.schema.fields]).add("position", LongType())
 
     def choose(pdf):
-        left = pdf.sort_values(["tier", "rank"]).reset_index(drop=True)
-        forms, tiers, gains = left["form"].tolist(), left["tier"].tolist(), left["utility"].tolist()
+        left = pdf.sort_values(["writer_tier", "rank"]).reset_index(drop=True)
+        forms, tiers, gains = left["form"].tolist(), left["writer_tier"].tolist(), left["utility"].tolist()
+        lemmas, families = (left[c].tolist() if c in left else [None] * len(left) for c in ("lemma", "family"))
         nearest, chosen, open_ = [0.0] * len(left), [], set(range(len(left)))
         while open_ and len(chosen) < limit:
             # a near copy of a chosen word counts as of a worse tier
@@ -84,7 +139,7 @@ def diversified(rows: DataFrame, limit: int = 50, weight: float = 0.18) -> DataF
             chosen.append(best)
             open_.discard(best)
             for i in open_:
-                nearest[i] = max(nearest[i], redundancy(forms[i], forms[best]))
+                nearest[i] = max(nearest[i], redundancy(forms[i], forms[best], (lemmas[i], lemmas[best]), (families[i], families[best])))
         return left.loc[chosen].assign(position=range(1, len(chosen) + 1))
 
     return rows.groupBy("language", "query").applyInPandas(choose, schema)

@@ -35,7 +35,53 @@ def test_scheme(spark):
     lines = spark.createDataFrame([(1, i, f"word {w}.") for i, w in enumerate(["haus", "baum", "maus", "traum", "tag"])] + [(2, 0, "stein"), (2, 1, None)], "song long, line long, text string")
     words = G.line_words(lines, "song", "line")
     got = {(r.song, r.line): r.label for r in G.scheme(words, G.strongest_pairs(words, "song", "line", "de").where("type in ('perfect', 'multisyllabic_perfect')"), "song", "line").collect()}
-    assert got == {(1, 0): "A", (1, 1): "B", (1, 2): "A", (1, 3): "B", (1, 4): "C", (2, 0): "A"}
+    assert got == {(1, 0): "A", (1, 1): "B", (1, 2): "A", (1, 3): "B", (1, 4): "C", (2, 0): "A", (2, 1): "—"}
+
+
+def test_scheme_looks_at_every_earlier_line(spark):
+    """However far back; an equal end word is closest, of equally close lines the first counts."""
+    ends = ["haus", *["tag", "brief", "mond", "schule"] * 5, "maus", "haus"]
+    lines = spark.createDataFrame([(1, i, f"word {w}") for i, w in enumerate(ends)], "song long, line long, text string")
+    words = G.line_words(lines, "song", "line")
+    m = {r.line: r for r in G.strongest_pairs(words, "song", "line", "de").collect()}
+    assert (m[21].prior, m[21].primary) == (0, True) and m[21].type in ("perfect", "multisyllabic_perfect")
+    assert (m[22].prior, m[22].type, m[22].score) == (0, "identity", 1.0) and m[17].prior == 1 and m[17].type == "identity"
+    labels = [r.label for r in G.scheme(words, G.strongest_pairs(words, "song", "line", "de"), "song", "line").orderBy("line").collect()]
+    assert labels == ["A", *"BCDE" * 5, "A", "A"]
+    assert {(r.label, r.lines, r.first_line, r.last_line, r.widest_gap) for r in G.chains(G.scheme(words, G.strongest_pairs(words, "song", "line", "de"), "song", "line"), "song", "line").collect()} == {
+        ("A", 3, 0, 22, 21), *((x, 5, i + 1, i + 17, 4) for i, x in enumerate("BCDE"))}
+    rel = G.occurrence_relations(words, G.word_relations(words, "song", "de"), "song", "line")
+    got = {(r.left, r.right): r.type for r in rel.collect()}
+    assert got[0, 22] == "identity" and got[0, 21] in ("perfect", "multisyllabic_perfect") and sum(t == "identity" for t in got.values()) == 41
+    assert {(r.type): r.n for r in G.relation_counts(rel, ["song"]).collect()}["identity"] == 41
+
+
+def test_channel_cut_keeps_what_a_query_can_take(spark):
+    """The cut of the postings before the join changes no result."""
+    words = L.channels(L.pronounce(lexicon(spark)))
+    ask = words.where("form IN ('haus', 'reise', 'hand')")
+    for limit in (1, 3, 50):
+        got = {(r["query"], r.form) for r in S.candidates(ask, words, limit).collect()}
+        want = set()
+        rows = [r.asDict() for r in words.collect()]
+        for q in (r for r in rows if r["form"] in ("haus", "reise", "hand")):
+            hits = [r for r in rows if r["channel"] == q["channel"] and r["key"] == q["key"] and r["form"] != q["form"]]
+            hits.sort(key=lambda r: (abs(r["syllables"] - q["syllables"]), r["syllables"], r["usage_rank"], r["form"]))
+            want |= {(q["form"], r["form"]) for r in hits[:limit]}
+        assert got == want
+
+
+def test_redundancy_and_utility(spark):
+    assert S.redundancy("liebe", "diebe") == 0 and S.redundancy("", "a") == 0 and S.redundancy("haus", "haus") == 1
+    assert S.redundancy("arbeitsweise", "arbeitsreise") == round(1 - 1 / 12, 4) and S.redundancy("handlungsort", "handlungsarm") == round(0.5 + 0.45 * 9 / 12, 4)
+    assert S.redundancy("a", "b", ("x", "x")) == 1 and S.redundancy("a", "b", (None, None), ("f", "f")) == 0.92
+    rows = spark.createDataFrame([("nacht", "macht", 1, 1, 100, 1000, 0.9, 0, False, "", ""), ("arbeitsweise", "arbeitsreise", 4, 5, 10, None, 0.8, 1, True, "", ""), ("gehen", "ging", 2, 1, None, 5, 0.7, 2, False, "gehen", "gehen")],
+                                 "query string, form string, query_syllables int, syllables int, query_rank int, usage_rank int, score double, tier int, rare boolean, query_lemma string, lemma string")
+    got = {r["query"]: (r.overlap, r.utility, r.writer_tier) for r in S.utility(rows).collect()}
+    assert got["nacht"] == (0.0, round(0.72 * 0.9 + 0.16 + 0.12 * 0.85, 4), 0)
+    over = round(max(0.5 + 0.45 * 7 / 12, 0.9 * 11 / 12), 4)
+    assert got["arbeitsweise"] == (over, round(0.72 * 0.8 + 0.08 + 0.12 * 0.25 - 0.16 * over - 0.08, 4), 2)
+    assert got["gehen"][0] == 1.0 and got["gehen"][2] == 5
 
 
 def test_near_tie_bands(spark):

@@ -30,5 +30,10 @@ def test_revisions(spark):
     now = spark.createDataFrame([("d", "a", 0, "x"), ("d", "c", 1, "new"), ("d", "b", 2, "y"), ("d", "e", 3, None)], "doc string, bar string, at int, t string")
     was = spark.createDataFrame([("d", "a", 0, "x"), ("d", "b", 1, "y"), ("d", "c", 2, "old"), ("d", "z", 3, "q"), ("d", "e", 3, None)], "doc string, bar string, at int, t string")
     assert {r.bar: r.state for r in V.compare_revisions(now, was, "doc", "bar", "at", "t").collect()} == {"a": "same", "b": "moved", "c": "changed", "e": "same", "z": "removed"}
+    one = spark.createDataFrame([("d", b, i, b) for i, b in enumerate("nabcd")], "doc string, bar string, at int, t string")
+    two = spark.createDataFrame([("d", b, i, b) for i, b in enumerate("abdc")], "doc string, bar string, at int, t string")
+    rows = {r.bar: r for r in V.compare_revisions(one, two, "doc", "bar", "at", "t").collect()}
+    assert rows["n"].state == "added" and [rows[b].moved for b in "abcd"] == [True] * 4 and V.common_bars(list("nabcd"), list("abdc")) == [(1, 0), (2, 1), (4, 2)]
+    assert V.common_bars([], ["a"]) == [] and V.common_bars(list("bac"), list("abc")) == [(1, 0), (2, 2)]
     lib = spark.createDataFrame([("/a", "Song One"), ("/a/b", "song two"), ("/ab", "Song"), ("/a", "Other")], "path string, title string")
     assert [r.title for r in V.library(lib, "/a", "SONG").collect()] == ["Song One", "song two"]
