@@ -21,7 +21,7 @@ components is lost and pairs inside one need not be listed.
 Nothing is collected to the driver; intermediate tables go to the shared folder, so lost executors repeat single tasks.
 
 Defined cases: null or blank texts have no shingles and are their own components; texts under five words have one shingle;
-rows that repeat a text or an id are rows of their own with the same component; a null doc_id is never the smallest; an
+rows that repeat a text or an id are rows of their own, equal texts with the same component; a null doc_id is never the smallest; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -33,13 +33,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import remove, settle, small_side
 from .decontam import SHINGLE, shingle_hashes
-from .wordcodes import hashed_words
+from .wordcodes import hashed_words, slices
 
 PERCENT = 75
-BLOCK_DOCS, BLOCK_BYTES = 4000, 12_000_000
+BLOCK_DOCS, BLOCK_BYTES = 2000, 5_000_000
+BUCKET_BYTES = 16_000_000  # of texts whose counted shingles make up a bucket, some 8 MB
 REPEATED = 0xFFFF  # in place of a document's number: the shingle is in several documents of the block
 
 
@@ -77,58 +79,46 @@ def set_digests(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in out]
 
 
-def _slices(batch: pa.RecordBatch):
-    """Parts of a batch with bounded rows and bytes."""
-    lengths = np.array([len(t) if t is not None else 0 for t in batch.column(1).to_pylist()])
-    past, begin = np.cumsum(lengths), 0
-    while begin < batch.num_rows:
-        full = past[begin - 1] if begin else 0
-        end = min(begin + BLOCK_DOCS, max(begin + 1, int(np.searchsorted(past, full + BLOCK_BYTES, side="right"))))
-        yield batch.slice(begin, end - begin)
-        begin = end
-
-
 def need(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sets of n: how many of the smallest hashes are counted, and how many of these must repeat if there is a partner."""
     part = -(-n // 2)
     return part, np.maximum(1, part - (n + (-PERCENT * n // 100)))
 
 
-_BLOCKS = "block string, bucket int, hashes binary, owners binary, docs array<struct<doc_id:long,n:int,digest:binary,repeats:int>>"
+_BLOCKS = "block string, bucket int, hashes binary, owners binary, docs array<struct<doc_id:long,text_hash:long,n:int,digest:binary,repeats:int>>"
 
 
 def _count_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """A row per block with its documents, and one per block and bucket with its shingles."""
     schema = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()),
-                        ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("repeats", pa.int32())])))])
+                        ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()), ("repeats", pa.int32())])))])
 
     def run(batches):
-        for b in batches:
-            for part in _slices(b):
-                values, owner, sizes = shingle_sets(part.column(1))
-                counted, _ = need(sizes)
-                own = np.arange(len(values)) - (np.cumsum(sizes) - sizes)[owner] < counted[owner]
-                order = np.argsort(values[own], kind="stable")
-                x, o = values[own][order], owner[own][order]
-                new = np.ones(len(x), bool)
-                new[1:] = x[1:] != x[:-1]
-                times = np.diff(np.append(np.flatnonzero(new), len(x)))
-                repeated = np.repeat(times > 1, times)
-                repeats = np.bincount(o[repeated], minlength=len(sizes))
-                x, o = x[new], np.where(times > 1, REPEATED, o[new]).astype("<u2")
-                block = uuid.uuid4().hex
-                digests = set_digests(values, sizes)
-                rows = [{"block": block, "bucket": -1, "docs": [{"doc_id": d, "n": int(n), "digest": g, "repeats": int(r)} for d, n, g, r in zip(part.column(0).to_pylist(), sizes, digests, repeats)]}]
-                where = (x % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                edges = np.searchsorted(where[order], np.arange(buckets + 1))
-                low = (x[order] >> np.uint64(24)).astype("<u4")
-                for k in np.flatnonzero(np.diff(edges)):
-                    i, j = edges[k], edges[k + 1]
-                    rows.append({"block": block, "bucket": int(k), "hashes": low[i:j].tobytes(), "owners": o[order][i:j].tobytes()})
-                yield pa.RecordBatch.from_pylist(rows, schema)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _BLOCKS)
+        for part in slices(batches, 1, BLOCK_DOCS, BLOCK_BYTES):
+            values, owner, sizes = shingle_sets(part.column(1))
+            counted, _ = need(sizes)
+            own = np.arange(len(values)) - (np.cumsum(sizes) - sizes)[owner] < counted[owner]
+            order = np.argsort(values[own], kind="stable")
+            x, o = values[own][order], owner[own][order]
+            new = np.ones(len(x), bool)
+            new[1:] = x[1:] != x[:-1]
+            times = np.diff(np.append(np.flatnonzero(new), len(x)))
+            repeated = np.repeat(times > 1, times)
+            repeats = np.bincount(o[repeated], minlength=len(sizes))
+            x, o = x[new], np.where(times > 1, REPEATED, o[new]).astype("<u2")
+            block = uuid.uuid4().hex
+            digests = set_digests(values, sizes)
+            rows = [{"block": block, "bucket": -1, "docs": [{"doc_id": d, "text_hash": h, "n": int(n), "digest": g, "repeats": int(r)} for d, h, n, g, r in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), sizes, digests, repeats)]}]
+            where = (x % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            edges = np.searchsorted(where[order], np.arange(buckets + 1))
+            low = (x[order] >> np.uint64(24)).astype("<u4")
+            for k in np.flatnonzero(np.diff(edges)):
+                i, j = edges[k], edges[k + 1]
+                rows.append({"block": block, "bucket": int(k), "hashes": low[i:j].tobytes(), "owners": o[order][i:j].tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, _BLOCKS)
 
 
 def _repeats_elsewhere(pdf):
@@ -144,7 +134,7 @@ def _repeats_elsewhere(pdf):
         o = o[found[at : at + len(x)] & (o != REPEATED)]
         at += len(x)
         if len(o):
-            out.append((block, np.bincount(o).astype("<u2").tobytes()))
+            out.append((block, np.bincount(o).astype("<u4").tobytes()))
     return pd.DataFrame(out, columns=["block", "counts"])
 
 
@@ -155,12 +145,12 @@ def _surviving(_, docs, counts):
     rows = list(docs["docs"].iloc[0]) if len(docs) else []
     total = np.zeros(len(rows), np.int64)
     for c in counts["counts"]:
-        c = np.frombuffer(c, "<u2")
+        c = np.frombuffer(c, "<u4")
         total[: len(c)] += c
     n = np.array([r["n"] for r in rows], np.int64)
     total += np.array([r["repeats"] for r in rows], np.int64)
     alive = (n > 0) & (total >= need(n)[1])
-    out = pd.DataFrame({"doc_id": pd.array([r["doc_id"] for r in rows], dtype="Int64"), "n": n, "digest": [r["digest"] for r in rows], "alive": alive})
+    out = pd.DataFrame({"doc_id": pd.array([r["doc_id"] for r in rows], dtype="Int64"), "text_hash": np.array([r["text_hash"] for r in rows], np.int64), "n": n, "digest": [r["digest"] for r in rows], "alive": alive})
     return out
 
 
@@ -171,13 +161,12 @@ def _survivor_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     joined = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_rep"))).select("_digest", "text")
 
     def run(batches):
-        for b in batches:
-            for part in _slices(b):
-                values, owner, sizes = shingle_sets(part.column(1))
-                same = np.array([a == w for a, w in zip(set_digests(values, sizes), part.column(0).to_pylist())], bool)
-                digests = [d for d, ok in zip(part.column(0).to_pylist(), same) if ok]
-                kept = values[same[owner]] if len(owner) else values
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes[same], pa.int32()), _binaries(kept, sizes[same])], ["digest", "n", "shingles"])
+        for part in slices(batches, 1, BLOCK_DOCS, BLOCK_BYTES):
+            values, owner, sizes = shingle_sets(part.column(1))
+            same = np.array([a == w for a, w in zip(set_digests(values, sizes), part.column(0).to_pylist())], bool)
+            digests = [d for d, ok in zip(part.column(0).to_pylist(), same) if ok]
+            kept = values[same[owner]] if len(owner) else values
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes[same], pa.int32()), _binaries(kept, sizes[same])], ["digest", "n", "shingles"])
 
     return joined.mapInArrow(run, "digest binary, n int, shingles binary").dropDuplicates(["digest"])
 
@@ -337,54 +326,75 @@ def _reaches(a: str, b: str):
     return F.expr(f"(1 + least(n_{a} - place_{a}, n_{b} - place_{b}) - 1) * {100 + PERCENT} >= (n_{a} + n_{b}) * {PERCENT}")
 
 
-#: Rounds of stars before pairs across components are listed; a few suffice, and more never change the result.
-STAR_ROUNDS = 4
+#: Of the k-th round of stars: pivots that a shingle names and pivots that a class is compared with.  More rounds never
+#: change the result; they leave fewer pairs to list in the end.
+STARS = ((1, 1), (8, 4), (64, 16))
+
+
+def _parts(prefixes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups (prefix, size) within one component, each named by one member (gid); and their shingles that still stand in
+    several components: gid, n, label, token, place and the component that most groups of the shingle are in (major)."""
+    placed = prefixes.join(small_side(labels), "digest")
+    parts = settle(placed.groupBy("prefix", "n", "label").agg(F.min("digest").alias("gid"), F.min(F.struct("tokens", "places")).alias("t")).select("prefix", "n", "label", "gid", "t.*"), "parts")
+    rows = parts.select("gid", "n", "label", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("gid", "n", "label", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
+    each = rows.groupBy("token", "label").agg(F.count("*").alias("k"))
+    split = each.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1").select("token", "major")
+    return parts, settle(rows.join(split, "token"), "open")
+
+
+def _star_pairs(rows: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) to compare in round k: groups outside a shingle's major component with pivots in other components.
+
+    A shingle names the same pivots to all its groups, the first by a hash that changes from round to round, some in its
+    major component and some outside; a group is compared with those that most of its shingles name."""
+    named, compared = STARS[k]
+    minor = F.col("label") != F.col("major")
+    order = Window.partitionBy("token", minor).orderBy("place", F.xxhash64("gid", F.lit(k)), "gid")
+    pivots = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= named).select(
+        "token", F.col("gid").alias("pivot"), F.col("n").alias("n_p"), F.col("place").alias("place_p"), F.col("label").alias("label_p"))
+    x = rows.where(minor).select("token", "gid", F.col("n").alias("n_x"), F.col("place").alias("place_x"), "label")
+    met = x.join(pivots, "token").where("label != label_p").where(_fits("n_x", "n_p")).where(_reaches("x", "p")).groupBy("gid", "pivot").agg(F.count("*").alias("times"))
+    best = Window.partitionBy("gid").orderBy(F.desc("times"), "pivot")
+    return met.withColumn("at", F.row_number().over(best)).where(F.col("at") <= compared).select(F.col("gid").alias("a"), F.col("pivot").alias("b"))
 
 
 def class_labels(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
     """digest and component label of every class with a prefix.
 
-    In each round every shingle that still joins several components names one class as pivot, another one each time, and a
-    class is compared with the pivot that most of its shingles name: as many pairs a round as there are groups."""
-    groups = settle(prefixes.groupBy("prefix", "n").agg(F.min(F.struct("digest", "tokens", "places")).alias("first")).select("prefix", "n", "first.*"), "groups")
-    rows = groups.select("digest", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("digest", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
+    Stars first: whatever links they find join components, so that groups of near copies need not be compared pair by pair.
+    Then all pairs of groups in different components that pass the filters are expanded to their members and verified."""
     labels = settle(prefixes.select("digest", F.col("digest").alias("label")), "labels")
-    for k in range(STAR_ROUNDS):
-        placed = rows.join(small_side(labels), "digest")
-        pivot = F.min(F.struct(F.xxhash64("digest", F.lit(k)), "digest", "n", "place", "label")).alias("p")
-        pivots = placed.groupBy("token").agg(pivot, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select(
-            "token", F.col("p.digest").alias("pivot"), F.col("p.n").alias("n_p"), F.col("p.place").alias("place_p"), F.col("p.label").alias("label_p"))
-        named = (placed.select("digest", F.col("n").alias("n_x"), "token", F.col("place").alias("place_x"), "label").join(pivots, "token").where("label != label_p")
-                 .where(_fits("n_x", "n_p")).where(_reaches("x", "p")).groupBy("digest", "pivot").agg(F.count("*").alias("times")))
-        pairs = named.groupBy("digest").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("b")).select(F.col("digest").alias("a"), "b")
-        if k == 0:
-            pairs = pairs.unionByName(prefixes.join(groups.select("prefix", "n", F.col("digest").alias("b")), ["prefix", "n"]).where("digest != b").select(F.col("digest").alias("a"), "b"))
-        links = settle(verified(pairs, sets), "star-links")
-        if links.isEmpty():
-            break
-        labels = merged(labels, links, "star")
-    # what is left: pairs of classes in different components, by groups within one component
-    placed = prefixes.join(small_side(labels), "digest")
-    parts = settle(placed.groupBy("prefix", "n", "label").agg(F.min("tokens").alias("tokens"), F.min("places").alias("places"), F.min("digest").alias("gid")), "parts")
-    rows = parts.select("gid", "n", "label", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("gid", "n", "label", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
-    open_tokens = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
-    rows = settle(rows.join(open_tokens, "token", "left_semi"), "open")
-    a, b = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "label", "place")), "token") for s in "ab")
-    pairs = a.join(b, "token").where("label_a < label_b").where(_fits("n_a", "n_b")).where(_reaches("a", "b")).select("gid_a", "gid_b").distinct()
-    member = placed.join(parts.select("prefix", "n", "label", "gid"), ["prefix", "n", "label"]).select("gid", "digest")
-    expanded = (pairs.join(member.select(F.col("gid").alias("gid_a"), F.col("digest").alias("a")), "gid_a")
+    heads = prefixes.groupBy("prefix", "n").agg(F.min("digest").alias("b"))
+    pairs = prefixes.join(heads, ["prefix", "n"]).where("digest != b").select(F.col("digest").alias("a"), "b")
+    links = settle(verified(pairs, sets), "group-links")
+    if not links.isEmpty():
+        labels = merged(labels, links, "group")
+    for k in range(len(STARS)):
+        _, rows = _parts(prefixes, labels)
+        if rows.isEmpty():
+            return labels
+        links = settle(verified(_star_pairs(rows, k), sets), "star-links")
+        if not links.isEmpty():
+            labels = merged(labels, links, "star")
+    # what is left: pairs of classes in different components
+    parts, rows = _parts(prefixes, labels)
+    others = rows.where("label != major")
+    a, b = (t.select(*(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "label", "place")), "token", F.col("major").alias(f"major_{s}")) for t, s in ((others, "a"), (rows, "b")))
+    met = a.join(b, "token").where("label_a < label_b OR label_a > label_b AND label_b = major_b").where(_fits("n_a", "n_b")).where(_reaches("a", "b")).select("gid_a", "gid_b").distinct()
+    member = prefixes.join(small_side(labels), "digest").join(parts.select("prefix", "n", "label", "gid"), ["prefix", "n", "label"]).select("gid", "digest")
+    expanded = (met.join(member.select(F.col("gid").alias("gid_a"), F.col("digest").alias("a")), "gid_a")
                 .join(member.select(F.col("gid").alias("gid_b"), F.col("digest").alias("b")), "gid_b").select("a", "b"))
     links = settle(verified(expanded, sets), "cross-links")
     return labels if links.isEmpty() else merged(labels, links, "cross")
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the component) and class_digest of every row."""
+    """doc_id, n_shingles, component_id (smallest doc_id of the component), class_digest and text_hash of every row."""
     spark = docs.sparkSession
-    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(64, (docs.select(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
     blocks = settle(_count_blocks(docs, buckets), "blocks")
     counts = blocks.where("bucket >= 0").select("bucket", "block", "hashes", "owners").groupBy("bucket").applyInPandas(_repeats_elsewhere, "block string, counts binary")
-    every = settle(blocks.where("bucket < 0").select("block", "docs").groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(_surviving, "doc_id long, n int, digest binary, alive boolean"), "docs")
+    every = settle(blocks.where("bucket < 0").select("block", "docs").groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(_surviving, "doc_id long, text_hash long, n int, digest binary, alive boolean"), "docs")
     remove(spark, blocks)
     classes = settle(every.where("alive").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes")
     sets = settle(_survivor_sets(docs, classes), "sets")
@@ -395,11 +405,13 @@ def components(docs: DataFrame) -> DataFrame:
     placed = classes.select("digest", "rep").join(small_side(labels), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     smallest = placed.groupBy("label").agg(F.min("rep").alias("component"))
     of_class = settle(placed.join(smallest, "label").select("digest", "component"), "components")
-    return every.join(of_class, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.hex("digest").alias("class_digest"))
+    return every.join(of_class, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.hex("digest").alias("class_digest"), "text_hash")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, without those whose component has a smaller doc_id; rows that share a doc_id stay if one does."""
-    fate = components(docs).groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("goes"))
-    gone = settle(fate.where("goes").select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(small_side(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """The documents, all columns, without those whose component has a smaller doc_id.
+
+    Rows of one doc_id and text are one document; one without an id goes if its component has a document with one."""
+    other = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = settle(components(docs).where(other).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct(), "gone")
+    return docs.join(small_side(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
