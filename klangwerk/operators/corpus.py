@@ -100,3 +100,10 @@ def novelty(candidates: DataFrame, sources: DataFrame, key: str) -> DataFrame:
 def shape(tokens: Column | str) -> Column:
     """SF-05: shapes of the tokens, joined."""
     return F.array_join(F.transform(tokens, T.token_shape), " ")
+
+
+def bridges(forward: DataFrame, backward: DataFrame) -> DataFrame:
+    """JN-20: a, z, m and bridge: continuations m of a (probability p) from which z may come (q), with sqrt(p q).
+
+    ``forward``: a, b, p and ``backward``: a, b, q of bounded vocabularies (the model keeps its best continuations)."""
+    return forward.select("a", F.col("b").alias("m"), "p").join(backward.select(F.col("b").alias("z"), F.col("a").alias("m"), "q"), "m").select("a", "z", "m", F.sqrt(F.col("p") * F.col("q")).alias("bridge"))

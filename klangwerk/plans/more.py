@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from klangwerk.functions import text as T
+from klangwerk.operators import aggregates as G
+from klangwerk.operators import policies as Y
 from klangwerk.operators import audit as A
 from klangwerk.operators import corpus as C
 from klangwerk.operators import evaluation as E
@@ -124,26 +126,28 @@ def ag09_phrase_commonness(t) -> DataFrame:
     return H.commonness(pairs, totals, 20).where("in_corpora >= 3").select("phrase", F.round("commonness", 4).alias("commonness"), "in_corpora")
 
 
-@query("""SELECT p_brand, array_to_string(list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))), ',') AS words, min(p_size) AS least, count(*) AS n FROM part GROUP BY p_brand""")
+@query("""SELECT p_brand, array_to_string(list_sort(list(DISTINCT w)), ',') AS words FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY p_brand""")
 def ag24_set_union(t) -> DataFrame:
-    words = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("p_name", " ")))))
-    return t.part.groupBy("p_brand").agg(F.array_join(words, ",").alias("words"), F.min("p_size").alias("least"), F.count("*").alias("n"))
+    words = G.merged_sets(t.part.withColumn("words", F.split("p_name", " ")), ["p_brand"], "words")
+    return words.select("p_brand", F.array_join("words", ",").alias("words"))
 
 
-@query("""SELECT c_custkey, o_orderkey AS variant, variants FROM (SELECT o_custkey AS c_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderpriority, o_totalprice DESC, o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS variants FROM orders) WHERE r = 1""")
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS variant FROM orders)
+SELECT o_custkey, o_orderkey, variant, coalesce(variant = min(CASE WHEN o_orderstatus = 'F' THEN variant END) OVER (PARTITION BY o_custkey), false) AS preferred FROM r""")
 def ag23_preferred_variant(t) -> DataFrame:
-    w = Window.partitionBy("o_custkey")
-    order = [F.when(F.col("o_orderstatus") == "F", 0).otherwise(1), F.col("o_orderpriority"), F.desc("o_totalprice"), F.col("o_orderkey")]
-    ranked = t.orders.withColumn("variants", F.count("*").over(w)).withColumn("r", F.row_number().over(w.orderBy(*order)))
-    return ranked.where("r = 1").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("variant"), "variants")
+    """A customer's orders as variants; the first finished one is preferred."""
+    order = [F.asc("o_orderpriority"), F.desc("o_totalprice"), F.asc("o_orderkey")]
+    return G.ranked_variants(t.orders, ["o_custkey"], order, F.col("o_orderstatus") == "F").select("o_custkey", "o_orderkey", "variant", "preferred")
 
 
-@query("""SELECT p_type, avg(s) AS mean, max(s) AS most, count(DISTINCT a) AS members FROM (SELECT a.p_type, a.p_partkey AS a, 1.0 - abs(a.p_size - b.p_size) / 50.0 AS s FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey) GROUP BY p_type""")
+@query("""WITH p AS (SELECT DISTINCT p_type, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r <= 20),
+ s AS (SELECT a.p_type, 1.0 - abs(a.p_size - b.p_size) / 50.0 AS s FROM p a JOIN p b ON a.p_type = b.p_type AND a.p_size < b.p_size)
+SELECT p_type, items, round(m, 9) AS mean_similarity, round(x, 9) AS max_similarity FROM (SELECT p_type, count(*) AS items FROM p GROUP BY 1) LEFT JOIN (SELECT p_type, avg(s) AS m, max(s) AS x FROM s GROUP BY 1) USING (p_type)""")
 def ag29_pairwise_similarity(t) -> DataFrame:
-    a, b = t.part.alias("a"), t.part.alias("b")
-    pairs = a.join(b, (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    s = 1.0 - F.abs(F.col("a.p_size") - F.col("b.p_size")) / 50.0
-    return pairs.select(F.col("a.p_type").alias("p_type"), F.col("a.p_partkey").alias("a"), s.alias("s")).groupBy("p_type").agg(F.avg("s").alias("mean"), F.max("s").alias("most"), F.countDistinct("a").alias("members"))
+    """The twenty dearest parts of each type as a page: how alike its sizes are."""
+    page = O.top_per_group(t.part, ["p_type"], [F.desc("p_retailprice"), F.asc("p_partkey")], 20)
+    out = G.pairwise_similarity(page, ["p_type"], "p_size", lambda a, b: 1.0 - F.abs(a - b) / 50.0, 20)
+    return out.select("p_type", "items", F.round("mean_similarity", 9).alias("mean_similarity"), F.round("max_similarity", 9).alias("max_similarity"))
 
 
 @query("""WITH e AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), c AS (SELECT a, b, count(*) AS n FROM e WHERE b IS NOT NULL GROUP BY 1, 2),
@@ -151,9 +155,8 @@ def ag29_pairwise_similarity(t) -> DataFrame:
 SELECT a AS start_type, z AS end_type, m AS middle, sqrt(p * q) AS bridge FROM fwd JOIN bwd USING (m)""")
 def jn20_bridge(t) -> DataFrame:
     pairs = t.events.select(F.col("event_type").alias("a"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("b")).where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n"))
-    fwd = pairs.select("a", F.col("b").alias("m"), (F.col("n") / F.sum("n").over(Window.partitionBy("a"))).alias("p"))
-    bwd = pairs.select(F.col("b").alias("z"), F.col("a").alias("m"), (F.col("n") / F.sum("n").over(Window.partitionBy("b"))).alias("q"))
-    return fwd.join(bwd, "m").select(F.col("a").alias("start_type"), F.col("z").alias("end_type"), F.col("m").alias("middle"), F.sqrt(F.col("p") * F.col("q")).alias("bridge"))
+    out = C.bridges(G.shares(pairs, ["a"], "n", "p").select("a", "b", "p"), G.shares(pairs, ["b"], "n", "q").select("a", "b", "q"))
+    return out.select(F.col("a").alias("start_type"), F.col("z").alias("end_type"), F.col("m").alias("middle"), "bridge")
 
 
 @query("""SELECT p_brand, p_partkey, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY tier, floor((1.0 - score + 1e-9) / 0.02), dist, ppm DESC, p_retailprice DESC, score DESC, p_name, p_partkey) AS r FROM
@@ -164,12 +167,12 @@ def rk14_entity_order(t) -> DataFrame:
     return O.top_per_group(rows, ["p_brand"], order, 25).select("p_brand", "p_partkey", "rank")
 
 
-@query("""WITH o AS (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS overall, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS own FROM orders)
-SELECT o_orderkey, o_orderpriority, overall <= 20 AS top_overall FROM o WHERE overall <= 20 OR own <= 10""")
+@query("""WITH o AS (SELECT *, o_custkey % 10 AS query, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_totalprice DESC, o_orderkey) AS a, row_number() OVER (PARTITION BY o_custkey % 10, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS c FROM orders),
+ n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN a <= 20 THEN 0 ELSE 1 END, o_totalprice DESC, o_orderkey) AS task FROM o WHERE a <= 20 OR c <= 10)
+SELECT query, o_orderkey, o_orderpriority, task FROM n WHERE task <= 60""")
 def rk24_stratified_tasks(t) -> DataFrame:
-    top = t.orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_orderpriority", F.lit(True).alias("top_overall"))
-    own = O.top_per_group(t.orders, ["o_orderpriority"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 10).select("o_orderkey", "o_orderpriority", F.lit(False).alias("top_overall"))
-    return top.unionByName(own).groupBy("o_orderkey", "o_orderpriority").agg(F.bool_or("top_overall").alias("top_overall"))
+    rows = t.orders.withColumn("query", F.col("o_custkey") % 10)
+    return Y.stratified_tasks(rows, "query", "o_orderpriority", [F.desc("o_totalprice"), F.asc("o_orderkey")], 20, 10, 60).select("query", "o_orderkey", "o_orderpriority", "task")
 
 
 @query("""SELECT p_partkey, floor((0.60 * (p_size / 50.0) + 0.15 * (p_retailprice / 2100.0) + 0.10 * CASE WHEN p_name LIKE '%e%' THEN 1 ELSE 0 END + 0.05 * 0.5) * 1000 + 0.003)::BIGINT AS popularity, floor(sqrt((p_size * 20000)::DOUBLE * (p_partkey % 1000 * 1000)))::BIGINT AS cut FROM part""")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from klangwerk.functions import text as T
+from klangwerk.operators import aggregates as A
+from klangwerk.operators import filters as X
+from klangwerk.operators import policies as Y
 from klangwerk.operators import ranking as R
 from klangwerk.operators import relational as O
 
@@ -35,7 +38,8 @@ def wn02_nested_quota(t) -> DataFrame:
 
 @query("SELECT o_custkey, arg_min(o_orderpriority, (o_orderpriority, o_orderkey)) AS primary_priority, count(*) AS orders FROM orders GROUP BY o_custkey")
 def wn03_primary_category(t) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(F.min_by("o_orderpriority", F.struct("o_orderpriority", "o_orderkey")).alias("primary_priority"), F.count("*").alias("orders"))
+    first = O.best_per_group(t.orders, ["o_custkey"], [F.asc("o_orderpriority"), F.asc("o_orderkey")]).select("o_custkey", F.col("o_orderpriority").alias("primary_priority"))
+    return first.join(t.orders.groupBy("o_custkey").agg(F.count("*").alias("orders")), "o_custkey")
 
 
 @query("""SELECT l_partkey, l_orderkey, l_linenumber, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey
@@ -64,22 +68,21 @@ def wn08_tie_percentile(t) -> DataFrame:
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, coalesce(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before_quantity FROM lineitem""")
 def wn14_cumulative_offsets(t) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, -1)
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(F.sum("l_quantity").over(w), F.lit(0.0)).alias("before_quantity"))
+    return A.cumulative_offsets(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity", "before_quantity").select("l_orderkey", "l_linenumber", "l_partkey", "before_quantity")
 
 
 @query("""SELECT p_partkey, (max(p_retailprice) OVER (PARTITION BY p_brand, p_type)) - p_retailprice AS delta FROM part""")
 def wn10_delta_to_best(t) -> DataFrame:
-    return t.part.select("p_partkey", (F.max("p_retailprice").over(Window.partitionBy("p_brand", "p_type")) - F.col("p_retailprice")).alias("delta"))
+    return A.delta_to_best(t.part, ["p_brand", "p_type"], "p_retailprice").select("p_partkey", "delta")
 
 
-@query("""WITH e AS (SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
-SELECT event_type AS from_type, nxt AS to_type, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY event_type) AS probability FROM e WHERE nxt IS NOT NULL GROUP BY 1, 2""")
+@query("""WITH w AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+ e AS (SELECT a, b FROM w UNION ALL SELECT NULL, a FROM w WHERE p IS NULL)
+SELECT a AS from_type, b AS to_type, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY a) AS probability FROM e GROUP BY 1, 2""")
 def wn12_transitions(t) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    pairs = t.events.select(F.col("event_type").alias("from_type"), F.lead("event_type").over(w).alias("to_type")).where("to_type IS NOT NULL")
-    counts = pairs.groupBy("from_type", "to_type").agg(F.count("*").alias("n"))
-    return counts.withColumn("probability", F.col("n") / F.sum("n").over(Window.partitionBy("from_type")))
+    """Neighbouring event types of each user, and with which types users begin and end."""
+    out = A.transitions(t.events, ["user_id"], ["ts", "event_id"], "event_type")
+    return out.select(F.col("from_value").alias("from_type"), F.col("to_value").alias("to_type"), "n", "probability")
 
 
 @query("""WITH e AS (SELECT event_id, user_id, event_type, ts FROM events),
@@ -87,17 +90,15 @@ def wn12_transitions(t) -> DataFrame:
   WHEN lead(event_type,3) OVER w = event_type THEN 3 WHEN lead(event_type,4) OVER w = event_type THEN 4 END AS distance FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT distance::INTEGER AS distance, count(*) AS n FROM d WHERE distance IS NOT NULL GROUP BY 1""")
 def wn11_repeat_distance(t) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    d = F.coalesce(*(F.when(F.lead("event_type", k).over(w) == F.col("event_type"), k) for k in range(1, 5)))
-    return t.events.select(d.alias("distance")).where("distance IS NOT NULL").groupBy("distance").agg(F.count("*").alias("n"))
+    found = A.repeat_distance(t.events, ["user_id"], ["ts", "event_id"], "event_type")
+    return found.where("distance IS NOT NULL").groupBy("distance").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT event_id, sum(cents) OVER w AS cents, count(*) OVER w AS n FROM (SELECT *, floor(value * 100)::BIGINT AS cents FROM events)
- WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
+@query("""SELECT event_id, round(avg(floor(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 4) AS rolling_mean FROM events""")
 def ag27_rolling_mean_parts(t) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    cents = F.floor(F.col("value") * 100).cast("long")
-    return t.events.select("event_id", F.sum(cents).over(w).alias("cents"), F.count("*").over(w).alias("n"))
+    """Mean of the last hundred values of each user, in hundredths so that sums are exact."""
+    cents = t.events.withColumn("cents", F.floor(F.col("value") * 100).cast("long"))
+    return A.rolling_mean(cents, ["user_id"], ["ts", "event_id"], "cents").select("event_id", F.round("rolling_mean", 4).alias("rolling_mean"))
 
 
 @query("""SELECT p_brand, arg_min(p_partkey, (-p_retailprice, p_partkey)) AS best, max(p_retailprice) AS price FROM part GROUP BY p_brand""")
@@ -108,47 +109,49 @@ def ag01_best_per_group(t) -> DataFrame:
 @query("""SELECT p_type, count(*) AS n, quantile_cont(p_retailprice, 0.25) AS p25, quantile_cont(p_retailprice, 0.5) AS median, quantile_cont(p_retailprice, 0.75) AS p75,
  quantile_cont(p_retailprice, 0.9) AS p90, quantile_cont(p_retailprice, 0.95) AS p95 FROM part GROUP BY p_type""")
 def ag15_distribution(t) -> DataFrame:
-    q = lambda p, a: F.percentile("p_retailprice", F.lit(p)).alias(a)
-    return t.part.groupBy("p_type").agg(F.count("*").alias("n"), q(0.25, "p25"), q(0.5, "median"), q(0.75, "p75"), q(0.9, "p90"), q(0.95, "p95"))
+    return A.distribution(t.part, ["p_type"], "p_retailprice").drop("mean")
 
 
-@query("""SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS max_value, count(*) AS n FROM events GROUP BY event_type""")
+@query("""SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS max_value, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation FROM events WHERE value IS NOT NULL GROUP BY event_type""")
 def ag16_nearest_rank(t) -> DataFrame:
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return t.events.groupBy("event_type").agg(disc(0.5).alias("p50"), disc(0.95).alias("p95"), F.max("value").alias("max_value"), F.count("*").alias("n"))
+    """Timing summary by event type: nearest-rank quantiles and the population deviation."""
+    out = A.nearest_rank(t.events, ["event_type"], "value")
+    return out.select("event_type", "p50", "p95", F.col("largest").alias("max_value"), "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
 
 
-@query("""SELECT c_mktsegment, count(*) AS n, count(DISTINCT c_nationkey) AS nations, sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END)::BIGINT AS negative, min(c_name) AS lo, max(c_name) AS hi FROM customer GROUP BY c_mktsegment""")
+@query("""SELECT c_mktsegment, count(*) AS n, sum((c_acctbal < 0)::INT)::BIGINT AS negative, sum((c_acctbal > 5000)::INT)::BIGINT AS rich, round(avg(c_nationkey), 6) AS mean_nation FROM customer GROUP BY c_mktsegment""")
 def ag07_catalogue_stats(t) -> DataFrame:
-    return t.customer.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.countDistinct("c_nationkey").alias("nations"), F.sum(F.when(F.col("c_acctbal") < 0, 1).otherwise(0)).alias("negative"), F.min("c_name").alias("lo"), F.max("c_name").alias("hi"))
+    own = A.catalogue_stats(t.customer, {"negative": F.col("c_acctbal") < 0, "rich": F.col("c_acctbal") > 5000}, ["c_nationkey"], ["c_mktsegment"])
+    return own.select("c_mktsegment", "n", "negative", "rich", F.round("mean_c_nationkey", 6).alias("mean_nation"))
 
 
 @query("""SELECT o_custkey, count(*) AS orders, count(DISTINCT o_orderpriority) AS kinds, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders GROUP BY o_custkey HAVING count(*) >= 3""")
 def ag05_grouped_search(t) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("orders"), F.countDistinct("o_orderpriority").alias("kinds"), F.min("o_orderdate").alias("first_date"), F.max("o_orderdate").alias("last_date")).where("orders >= 3")
+    return A.aggregated_search(t.orders, ["o_custkey"], 3, kinds=F.countDistinct("o_orderpriority"), first_date=F.min("o_orderdate"), last_date=F.max("o_orderdate")).withColumnRenamed("n", "orders")
 
 
 @query("""WITH tags AS (SELECT event_id, unnest([event_type, CASE WHEN value > 50 THEN 'high' ELSE 'low' END]) AS type FROM events) SELECT type, count(*) AS n FROM tags GROUP BY type""")
 def ag03_count_by_type(t) -> DataFrame:
     tags = F.array("event_type", F.when(F.col("value") > 50, "high").otherwise("low"))
-    return t.events.select(F.explode(tags).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    return A.count_by_type(t.events.select(tags.alias("types")), "types")
 
 
-@query("""SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS flags, array_to_string(list_sort(list_distinct(list(l_linestatus))), ',') AS statuses,
- CASE WHEN count(DISTINCT l_returnflag) = 1 THEN 'converged' ELSE 'conflict' END AS consensus FROM lineitem GROUP BY l_orderkey""")
+@query("""WITH s AS (SELECT l_orderkey, coalesce(list_sort(list(DISTINCT CASE WHEN l_quantity >= 10 THEN l_returnflag END) FILTER (l_quantity >= 10)), []) AS v FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, array_to_string(v, ',') AS flags, CASE len(v) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'converged' ELSE 'conflict' END AS consensus FROM s""")
 def ag21_consensus_and_set_merge(t) -> DataFrame:
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return t.lineitem.groupBy("l_orderkey").agg(joined("l_returnflag").alias("flags"), joined("l_linestatus").alias("statuses"), F.when(F.countDistinct("l_returnflag") == 1, "converged").otherwise("conflict").alias("consensus"))
+    """Orders by the agreement of their lines' flags; lines of small quantity say nothing, so some orders stay unresolved."""
+    said = t.lineitem.select("l_orderkey", F.when(F.col("l_quantity") >= 10, F.col("l_returnflag")).alias("flag"))
+    return A.consensus(said, ["l_orderkey"], "flag").select("l_orderkey", F.array_join("values", ",").alias("flags"), F.col("state").alias("consensus"))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
 def ag25_summary_counters(t) -> DataFrame:
-    return t.orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+    return A.summary_counts(t.orders, ["o_orderstatus", "o_orderpriority"])
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def ag14_unique_key_invariant(t) -> DataFrame:
-    return t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    return A.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
 @query("""SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)""")
@@ -210,11 +213,13 @@ def st05_consolidate(t) -> DataFrame:
     return O.consolidate(w, e, ["nation"]).select("nation", "kind", "customers", "suppliers")
 
 
-@query("""WITH a AS (SELECT o_custkey AS cust, list(DISTINCT o_orderpriority) AS x FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS cust, list(DISTINCT o_orderpriority) AS y FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
-SELECT cust, len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS jaccard FROM a JOIN b USING (cust)""")
+@query("""WITH a AS (SELECT o_custkey AS cust, list_sort(list(DISTINCT o_orderpriority)) AS x FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS cust, list_sort(list(DISTINCT o_orderpriority)) AS y FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+SELECT cust, len(list_intersect(x, y))::BIGINT AS shared, len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS jaccard,
+ len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[1:i] = y[1:i]))::BIGINT AS common_prefix FROM a JOIN b USING (cust)""")
 def st06_overlap(t) -> DataFrame:
-    side = lambda s, n: t.orders.where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("cust")).agg(F.collect_set("o_orderpriority").alias(n))
-    return side("F", "x").join(side("O", "y"), "cust").select("cust", T.jaccard("x", "y").alias("jaccard"))
+    """Priorities of a customer's finished and open orders: shared ones, Jaccard and common beginning of the sorted lists."""
+    side = lambda s, n: A.merged_sets(t.orders.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("cust"), F.col("o_orderpriority").alias(n)), ["cust"], n)
+    return side("F", "x").join(side("O", "y"), "cust").select("cust", A.result_overlap("x", "y").alias("o")).select("cust", "o.*")
 
 
 @query("""WITH u AS (SELECT p_brand, p_type, p_retailprice AS price, p_partkey AS id, 10 AS authority, 1 AS core, 0 AS generated FROM part WHERE p_size <= 25
@@ -267,9 +272,9 @@ def rk16_rank_violations(t) -> DataFrame:
 
 @query("""SELECT kind, id, rank FROM (SELECT *, row_number() OVER (ORDER BY balance DESC, kind, id) AS rank FROM (SELECT 'c' AS kind, c_custkey AS id, c_acctbal AS balance FROM customer UNION ALL SELECT 's', s_suppkey, s_acctbal FROM supplier)) WHERE rank <= 50""")
 def rk18_merge_limit(t) -> DataFrame:
-    u = t.customer.select(F.lit("c").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance")).unionByName(t.supplier.select(F.lit("s").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")))
-    top = u.orderBy(F.desc("balance"), "kind", "id").limit(50)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("balance"), "kind", "id")).cast("long")).select("kind", "id", "rank")
+    side = lambda df, kind, key, value: df.select(F.lit("all").alias("list"), F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(value).alias("balance"))
+    parts = [side(t.customer, "c", "c_custkey", "c_acctbal"), side(t.supplier, "s", "s_suppkey", "s_acctbal")]
+    return Y.merged_limit(parts, ["list"], [F.desc("balance"), F.asc("kind"), F.asc("id")], 50).select("kind", "id", "rank")
 
 
 @query("""SELECT p_partkey, floor((1.0 - p_size / 50.0 + 1e-9) / 0.02)::BIGINT AS deficit, floor((p_size / 50.0 + 1e-9) / 0.05)::BIGINT AS band FROM part""")
@@ -294,28 +299,33 @@ def sf08_bigram_dice(t) -> DataFrame:
     return j.select("c_custkey", "s_suppkey", T.bigram_dice("c_mktsegment", "s_name").alias("dice"))
 
 
-@query("""SELECT c_custkey, c_acctbal FROM customer WHERE c_name LIKE 'Customer#00000001%'""")
+@query("""SELECT c_name, count(*) AS rows, c_name = 'Customer#00000001' AS exact, max(c_acctbal) AS most FROM customer WHERE starts_with(c_name, 'Customer#00000001') GROUP BY c_name ORDER BY exact DESC, c_name LIMIT 250""")
 def fp03_prefix_search(t) -> DataFrame:
-    return t.customer.where(F.col("c_name").startswith("Customer#00000001")).select("c_custkey", "c_acctbal")
+    return X.prefix_search(t.customer, "c_name", "Customer#00000001", [F.max("c_acctbal").alias("most")], 250).select("c_name", "rows", "exact", "most")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_type LIKE '%' || right(p_type, 5) AND p_name LIKE '%e%' AND p_size BETWEEN 10 AND 20")
+@query("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(p_type, ' '), 'BRASS') AND contains(p_name, 'e') AND p_size BETWEEN 10 AND 20")
 def fp05_contains_filter(t) -> DataFrame:
-    return t.part.where(F.col("p_name").contains("e") & F.col("p_size").between(10, 20)).select("p_partkey", "p_name")
+    """Parts whose name holds an e, of a type one of whose words is BRASS, and of middle size."""
+    parts = t.part.withColumn("types", F.split("p_type", " "))
+    return X.contains_search(parts, "p_name", "e", "types", "BRASS", F.col("p_size").between(10, 20)).select("p_partkey", "p_name")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice >= 200000 AND o_orderstatus = 'F' THEN 'A' WHEN o_totalprice >= 100000 THEN 'B' WHEN o_orderstatus <> 'O' THEN 'C' ELSE 'D' END AS tier FROM orders""")
 def fp16_quality_tier(t) -> DataFrame:
-    return t.orders.select("o_orderkey", F.when((F.col("o_totalprice") >= 200000) & (F.col("o_orderstatus") == "F"), "A").when(F.col("o_totalprice") >= 100000, "B").when(F.col("o_orderstatus") != "O", "C").otherwise("D").alias("tier"))
+    price, status = F.col("o_totalprice"), F.col("o_orderstatus")
+    return t.orders.select("o_orderkey", X.quality_tier((price >= 200000) & (status == "F"), price >= 100000, status != "O").alias("tier"))
 
 
 @query("""SELECT user_id, arg_min(scope, prio) AS decision FROM (SELECT user_id, CASE WHEN event_type = 'purchase' THEN 'admit' WHEN value > 50 THEN 'review' ELSE 'reject' END AS scope,
  CASE WHEN event_type = 'purchase' THEN 0 WHEN value > 50 THEN 1 ELSE 2 END AS prio FROM events) GROUP BY user_id""")
 def fp09_admission(t) -> DataFrame:
-    prio = F.when(F.col("event_type") == "purchase", 0).when(F.col("value") > 50, 1).otherwise(2)
-    return t.events.groupBy("user_id").agg(F.element_at(F.array(F.lit("admit"), F.lit("review"), F.lit("reject")), F.min(prio) + 1).alias("decision"))
+    decision = F.when(F.col("event_type") == "purchase", "admit").when(F.col("value") > 50, "review").otherwise("reject")
+    return X.admitted(t.events.withColumn("scope", decision), ["user_id"], "scope")
 
 
-@query("""SELECT l_partkey, l_suppkey, count(*) AS n, sum(l_quantity)::BIGINT AS quantity, bool_or(l_returnflag = 'R') AS returned, min(l_shipdate) AS first_ship FROM lineitem GROUP BY 1, 2""")
+@query("""SELECT l_partkey, l_suppkey, min(l_shipdate) AS first_ship, min(l_quantity) AS least, array_to_string(list_sort(list(DISTINCT l_linestatus)), ',') AS statuses, bool_or(l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1, 2""")
 def ag30_evidence_merge(t) -> DataFrame:
-    return t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("quantity"), F.bool_or(F.col("l_returnflag") == "R").alias("returned"), F.min("l_shipdate").alias("first_ship"))
+    lines = t.lineitem.withColumn("returned", F.col("l_returnflag") == "R")
+    out = A.merged_evidence(lines, ["l_partkey", "l_suppkey"], ["l_shipdate", "l_quantity"], ["l_linestatus"], ["returned"])
+    return out.select("l_partkey", "l_suppkey", F.col("l_shipdate").alias("first_ship"), F.col("l_quantity").alias("least"), F.array_join("l_linestatus", ",").alias("statuses"), "returned")
