@@ -136,7 +136,7 @@ def commands(df: DataFrame, title: str, keywords: str, query: str) -> DataFrame:
 def ordered_union(*arrays: Column | str) -> Column:
     """ST-03: values of several arrays, each once, where first seen; nulls and blanks left out."""
     every = F.flatten(F.array(*(F.coalesce(as_col(a), F.array().cast("array<string>")) for a in arrays)))
-    return F.array_distinct(F.filter(F.transform(every, F.trim), lambda v: v.isNotNull() & (v != "")))
+    return F.array_distinct(F.filter(F.transform(every, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != "")))
 
 
 def channel_merge(words: list[tuple[str, DataFrame]], others: list[tuple[str, DataFrame]], keys: list[str], order: list[Column], normalized: str) -> DataFrame:
