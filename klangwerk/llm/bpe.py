@@ -27,15 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_ranks import MergeFinder, RankTable, rank_table
-from .tokenbin import WORD
-from .wordcodes import gather, list_codes
+from .tokenbin import WORDS, marked_words
+from .wordcodes import gather, marked_codes, slices
 
 #: Words (with repeats) and bytes of new distinct words after which a block is closed.
 BLOCK_WORDS, BLOCK_BYTES = 700_000, 1_200_000
 #: Distinct words after which a task begins anew.
 MAX_KNOWN = 400_000
-#: Documents whose words are held as arrays at once.
-SLICE_DOCS = 1000
+#: Documents and bytes of text whose words are held as arrays at once.
+SLICE_DOCS, SLICE_BYTES = 1000, 4_000_000
 _BLOCK = "docs array<long>, lengths array<int>, codes binary, words array<struct<bytes:array<int>,merges:array<int>>>, known int, one int"
 
 
@@ -75,7 +75,7 @@ def _words_column(words: list[bytes], finder: MergeFinder) -> pa.StructArray:
 
 
 def _blocks(batches, tokens):
-    """Batches of (doc_id, words) to rows of _BLOCK; codes number the distinct words of the task since it last began anew."""
+    """Batches of (doc_id, marked text, whole text) to rows of _BLOCK; codes number the distinct words of the task since it last began anew."""
     finder = MergeFinder(tokens)
     number, known, words, docs, lengths, codes, n_words, n_bytes = {}, 0, [], [], [], [], 0, 0
     wrap = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if kind else values)
@@ -85,8 +85,8 @@ def _blocks(batches, tokens):
         return pa.RecordBatch.from_arrays([wrap(docs, pa.int64()), wrap(lengths, pa.int32()), pa.array([flat.astype("<i4").tobytes()]), wrap(_words_column(words, finder), None),
                                            pa.array([known], pa.int32()), pa.array([1], pa.int32())], ["docs", "lengths", "codes", "words", "known", "one"])
 
-    for b in (batch.slice(k, SLICE_DOCS) for batch in batches for k in range(0, batch.num_rows, SLICE_DOCS)):
-        distinct, own, starts = list_codes(b.column(1))
+    for b in slices(batches, 1, SLICE_DOCS, SLICE_BYTES):
+        distinct, own, starts = marked_codes(b.column(1), b.column(2), WORDS.findall)
         ids = b.column(0).to_pylist()
         size = np.diff(starts)
         begin = 0
@@ -119,8 +119,7 @@ def _blocks(batches, tokens):
 
 def fold_blocks(docs: DataFrame, table: RankTable) -> DataFrame:
     """Blocks of documents with the marks of the ids of their new words."""
-    text = F.coalesce("text", F.lit(""))
-    listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"))
+    listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *marked_words(F.coalesce("text", F.lit(""))))
     tokens = table.tokens
     blocks = listed.mapInArrow(lambda batches: _blocks(batches, tokens), _BLOCK).join(F.broadcast(rank_row(docs.sparkSession, table)), "one")
     return blocks.select("docs", "lengths", "codes", F.transform("words", fold_word).alias("folded"), "known")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remove, settle
-from .wordcodes import list_codes, slices
+from .wordcodes import list_codes, slices, without_empty
 
 EM_ROUNDS = 2
 FLOOR = 1e-7  # probability of a piece never seen in a language, and of a single letter outside the vocabulary
@@ -179,13 +179,7 @@ class PieceModel:
 
 def letter_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct runs of letters, lower case; the code of every run in order; where each text's begin."""
-    distinct, codes, starts = list_codes(pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL]+"))
-    real = np.array([w != "" for w in distinct], bool)
-    if real.all():
-        return distinct, codes, starts
-    keep = real[codes]
-    number = np.cumsum(real) - 1
-    return [w for w in distinct if w], number[codes[keep]], np.concatenate([[0], np.cumsum(keep)])[starts]
+    return without_empty(*list_codes(pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL]+")))
 
 
 def train(labelled: DataFrame, model_path: str, max_rows: int = 4000) -> PieceModel | None:

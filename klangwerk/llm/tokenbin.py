@@ -26,21 +26,34 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, work_path
-from .wordcodes import gather, list_codes
+from .wordcodes import MARK, gather, marked_codes, slices
 
 MAGIC = b"BPT1"
 BLOCK = 1 << 16
-#: Documents whose words, and words whose ids, are held as arrays at once.
-SLICE_DOCS, ENCODE_WORDS, MAX_KNOWN = 1000, 8192, 400_000
+#: Documents and bytes of text that are encoded at once, and distinct words after which a task begins anew.
+SLICE_DOCS, SLICE_BYTES, MAX_KNOWN = 1000, 4_000_000, 400_000
 #: The pattern by which the tokenizer's own pre-tokenizer splits a text, with white space as Unicode has it.
 WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The same for the texts that are split in Python.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+
+
+def marked_words(text: Column) -> tuple[Column, Column]:
+    """A text with a mark after each of its words, and null; or null and the text, if it holds the mark itself.
+
+    One string costs less on its way to Python than a list of words."""
+    odd = text.contains(MARK)
+    return F.when(~odd, F.regexp_replace(text, WORD, "$0" + MARK)).alias("marked"), F.when(odd, text).alias("whole")
+
+
 INDEX = ("file string, part long, n_ids long, chunks array<struct<begin:long,n:int,planes:array<int>>>, "
          "docs array<struct<doc_id:long,begin:long,n:int>>")
 
@@ -69,8 +82,8 @@ def byte_letters() -> dict[int, str]:
 class WordIds:
     """Ids of words, kept as one flat array; new words go through the BPE model of the tokenizers library.
 
-    A word is what the tokenizer's pre-tokenizer would hand to its model.  Texts that hold the string of an added token,
-    which the library cuts out before it looks for words, are encoded by the library as a whole."""
+    A word is what the tokenizer's pre-tokenizer would hand to its model.  Texts that come whole are encoded by the library
+    as they are: those with the string of an added token, which it cuts out before it looks for words, or with the mark."""
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
@@ -91,40 +104,36 @@ class WordIds:
 
     def add(self, words: list[str]) -> np.ndarray:
         """Codes of the words in self.begin and self.length."""
-        tokenize, letters = self.model.tokenize, self.letters
-        fresh_words = [w for w in words if w not in self.known]
-        for at in range(0, len(fresh_words), ENCODE_WORDS):
-            fresh = fresh_words[at : at + ENCODE_WORDS]
-            ids = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in fresh]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            k, total = len(self.known), int(lengths.sum())
-            self._room("flat", self.used + total)[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
-            self._room("length", k + len(ids))[k : k + len(ids)] = lengths
-            self._room("begin", k + len(ids))[k : k + len(ids)] = self.used + np.cumsum(lengths) - lengths
-            self.used += total
-            self.known.update(zip(fresh, range(k, k + len(fresh))))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-
-    def encode(self, lists: pa.Array, end_id: int, texts: list[str | None] = ()) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the rows, each row's followed by end_id, and the number of ids of each row; texts has those to encode as a whole."""
-        out, lengths = self._encode(lists, end_id)
-        special = [i for i, t in enumerate(texts) if t is not None]
-        if special:
-            rows = np.split(out, np.cumsum(lengths)[:-1])
-            for i in special:
-                rows[i] = np.array([*self.whole.encode(texts[i], add_special_tokens=False).ids, end_id], np.uint32)
-            out, lengths = np.concatenate(rows), np.array(list(map(len, rows)), np.int64)
-        return out, lengths
-
-    def _encode(self, lists: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        distinct, codes, starts = list_codes(lists)
+        tokenize, letters, known = self.model.tokenize, self.letters, self.known
+        ids, lengths, fresh = [], [], [w for w in words if w not in known]
+        for w in fresh:
+            before = len(ids)
+            ids += [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))]
+            lengths.append(len(ids) - before)
+        k, total, size = len(known), len(ids), np.array(lengths, np.int64)
+        self._room("flat", self.used + total)[self.used : self.used + total] = np.array(ids, np.uint32)
+        self._room("length", k + len(size))[k : k + len(size)] = size
+        self._room("begin", k + len(size))[k : k + len(size)] = self.used + np.cumsum(size) - size
+        self.used += total
+        known.update(zip(fresh, range(k, k + len(fresh))))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def encode(self, marked: pa.Array, whole: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each followed by end_id, and the number of ids of each."""
+        distinct, codes, starts = marked_codes(marked, whole, lambda text: [])
         if len(self.known) > MAX_KNOWN:  # bounds a task's memory; words are simply encoded again
             self.known, self.used = {}, 0
         codes = self.add(distinct)[codes] if len(codes) else codes.astype(np.int64)
         ids = gather(self.flat, self.begin, self.length, codes)
         past = np.concatenate([[0], np.cumsum(self.length[codes])])[starts]
-        out = np.insert(ids, past[1:], np.uint32(end_id)) if len(past) > 1 else ids
-        return out, np.diff(past) + 1
+        out, lengths = np.insert(ids, past[1:], np.uint32(end_id)) if len(past) > 1 else ids, np.diff(past) + 1
+        if whole.null_count < len(whole):
+            rows = np.split(out, np.cumsum(lengths)[:-1])
+            for i, text in enumerate(whole.to_pylist()):
+                if text is not None:
+                    rows[i] = np.array([*self.whole.encode(text, add_special_tokens=False).ids, end_id], np.uint32)
+            out, lengths = np.concatenate(rows), np.array(list(map(len, rows)), np.int64)
+        return out, lengths
 
 
 def added_tokens(tokenizer_path: str) -> list[str]:
@@ -139,11 +148,12 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, level: int
     spark = docs.sparkSession
     folder = work_path(spark, "ids")
     text = F.coalesce("text", F.lit(""))
+    marked, whole = marked_words(F.col("text"))
     special = reduce(or_, (F.contains(F.col("text"), F.lit(t)) for t in added_tokens(tokenizer_path)), F.lit(False))
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
                .repartitionByRange(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
                .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
-               .select("doc_id", F.when(~special, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"), F.when(special, F.col("text")).alias("whole")))
+               .select("doc_id", F.when(~special, marked).alias("marked"), F.when(special, F.col("text")).otherwise(whole).alias("whole")))
 
     def run(batches):
         from pyarrow import fs
@@ -160,23 +170,19 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, level: int
             chunks.append({"begin": at, "n": len(ids), "planes": list(map(len, planes))})
             at += sum(map(len, planes))
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches, 1, SLICE_DOCS, SLICE_BYTES):
             if out is None:
                 store.create_dir(path)
                 out = store.open_output_stream(f"{path}/{name}")
                 out.write(MAGIC)
-            for at_row in range(0, b.num_rows, SLICE_DOCS):
-                part_rows = b.slice(at_row, SLICE_DOCS)
-                ids, lengths = encoder.encode(part_rows.column(1), end_id, part_rows.column(2).to_pylist())
-                rows.append((part_rows.column(0).to_pylist(), total + np.cumsum(lengths) - lengths, lengths))
-                total += len(ids)
-                kept = np.concatenate([kept, ids])
-                whole = len(kept) // BLOCK * BLOCK
-                for i in range(0, whole, BLOCK):
-                    put(kept[i : i + BLOCK])
-                kept = kept[whole:]
+            ids, lengths = encoder.encode(b.column(1), b.column(2), end_id)
+            rows.append((b.column(0).to_pylist(), total + np.cumsum(lengths) - lengths, lengths))
+            total += len(ids)
+            kept = np.concatenate([kept, ids])
+            full = len(kept) // BLOCK * BLOCK
+            for i in range(0, full, BLOCK):
+                put(kept[i : i + BLOCK])
+            kept = kept[full:]
         if out is None:
             return
         if len(kept):

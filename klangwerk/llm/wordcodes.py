@@ -19,6 +19,32 @@ def list_codes(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), starts
 
 
+def without_empty(distinct: list[str], codes: np.ndarray, starts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The result of list_codes without empty words."""
+    real = np.array([w != "" for w in distinct], bool)
+    if real.all():
+        return distinct, codes, starts
+    keep = real[codes]
+    number = np.cumsum(real) - 1
+    return [w for w in distinct if w], number[codes[keep]], np.concatenate([[0], np.cumsum(keep)])[starts]
+
+
+#: Put after every word of a marked text.
+MARK = "\x01"
+
+
+def marked_codes(marked: pa.Array, whole: pa.Array, words) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """list_codes of texts whose words are marked; ``words`` splits those that come whole, since they hold the mark."""
+    lists = pc.split_pattern(pc.fill_null(marked, ""), MARK)
+    if whole.null_count < len(whole):
+        rows = lists.to_pylist()
+        for i, text in enumerate(whole.to_pylist()):
+            if text is not None:
+                rows[i] = words(text)
+        lists = pa.array(rows, pa.list_(pa.string()))
+    return without_empty(*list_codes(lists))
+
+
 def gather(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The concatenation of flat[begin[c] : begin[c] + length[c]] over codes."""
     n = length[codes]

@@ -15,11 +15,13 @@ from klangwerk.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, n long, words string"
 LONG = "lorem ipsum dolor " * 20000
+MARKED = "a mark\x01 in a text\x01\x01, and\x1c odd\x85 spaces\u2028 \u3000 \n"
 EDGE = [
     (1, None, None, None, None, "x", 1, "w"), (2, "", "en", "s", 0, None, None, None), (3, " \n\t ", "en", "s", 3, None, None, None),
     (4, "one two", "en", "s", 7, None, None, None), (4, "one two", "en", "s", 7, None, None, None), (None, "a null id", None, None, None, None, None, None),
     (6, LONG, "en", "s", len(LONG), None, None, None), (7, "x" * 3000 + " 1 2 3 " + "9" * 3000, "de", "s", 0, None, None, None),
     (8, "Ünïcödé 漢字 😀😀    don't we'll 123456 !!??\r\n\n\n  end  ", "de", "s", 0, None, None, None),
+    (10, MARKED, "en", "s", 0, None, None, None),
     (9, "Mail a.b+c@x-y.example.org, call +1 (212) 555-0100, pay 4111 1111 1111 1111 from 10.0.0.255 or 10.0.0.256.", "en", "s", 0, None, None, None),
 ]
 
@@ -55,7 +57,7 @@ def test_op7_edge_rows(spark, edge_dir):
     items = spark.createDataFrame([(1, "one two", 9), (2, "lorem ipsum dolor lorem ipsum dolor lorem", 9), (3, None, 9), (None, "a null id", 9), (5, LONG[:1800], 9)], "item_id long, text string, doc_id long")
     found = Counter((r.doc_id, r.item_id, r.first_word, r.similarity) for r in decontam.find_matches(docs, items).collect())
     assert found == Counter({(4, 1, 0, 1.0): 2, (6, 2, 0, 1.0): 1, (None, None, 0, 1.0): 1, (6, 5, 0, 1.0): 1})
-    assert {r.doc_id for r in decontam.remove_contaminated(docs, items).collect()} == {1, 2, 3, 7, 8, 9}
+    assert {r.doc_id for r in decontam.remove_contaminated(docs, items).collect()} == {1, 2, 3, 7, 8, 9, 10}
 
 
 @pytest.mark.parametrize("name", [x for x in QUERIES if not x.startswith("op7")])
@@ -68,7 +70,7 @@ def test_op1_files_match_the_library(spark, edge_dir, sf, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    odd = ["hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b", "<|endoftext", None, "plain"]
+    odd = ["hello <|endoftext|> x", "<|endoftext|>", "the mark\x01 itself \x01\x01 x", "\x1c\x1d  \u3000x", "a<|endoftext|><|endoftext|>  b", "<|endoftext", None, "plain"]
     spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert t.encode(odd[0], add_special_tokens=False).ids == [31373, 220, 50256, 2124]
     for d in (edge_dir, sf, str(tmp_path)):
@@ -161,8 +163,9 @@ def test_op3_blocks_of_a_task(monkeypatch):
 
     table = bpe_ranks.rank_table(P.path("byte_bpe_50k.tiktoken"))
     rng = np.random.default_rng(4)
-    rows = [[f" w{k}é" for k in rng.integers(0, 60, rng.integers(0, 30))] for _ in range(80)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array(rows, pa.list_(pa.string()))], ["doc_id", "w"])
+    rows = [[f" w{'abcdefghij'[k % 10] * (1 + k // 10)}é" for k in rng.integers(0, 60, rng.integers(0, 30))] for _ in range(80)]
+    odd = pa.array([None] * 79 + ["".join(rows[79])], pa.string())  # as if it held the mark
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array([*("".join(w + "\x01" for w in x) for x in rows[:79]), None]), odd], ["doc_id", "marked", "whole"])
     monkeypatch.setattr(bpe, "BLOCK_WORDS", 40), monkeypatch.setattr(bpe, "MAX_KNOWN", 50), monkeypatch.setattr(bpe, "SLICE_DOCS", 7)
     blocks, known, met = list(bpe._blocks([batch], table.tokens)), [], []
     for b in blocks:

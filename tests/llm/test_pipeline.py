@@ -23,7 +23,8 @@ def planted(spark, tmp_path_factory):
     docs = [(i, prose(rng, ("en", "de")[i % 2], 120), ("en", "de")[i % 2]) for i in range(40)]
     item = prose(rng, "en", 40)
     docs += [(100, docs[0][1], "en"), (101, docs[1][1] + " ende", "de"), (102, prose(rng, "en", 60) + " " + item + " " + prose(rng, "en", 30), "en"),
-             (103, docs[2][1][:300] + " write to me.now@mail.example.com or +1 (212) 555-0100 today", "en"), (104, None, "en"), (105, "", None), (106, "12 34 --", "de")]
+             (103, docs[2][1][:300] + " write to me.now@mail.example.com or +1 (212) 555-0100 today", "en"), (104, None, "en"), (105, "", None), (106, "12 34 --", "de"),
+             (107, "qxzvw jkqxz wqjxk zzxqv kjwqx " * 12, None), (108, "漢字仮名交 文章例示文 " * 20, None)]
     d = str(tmp_path_factory.mktemp("planted"))
     rows = [(i, t, g, "s", len(t or ""), "extra") for i, t, g in docs]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, digest string").repartition(3).write.parquet(f"{d}/documents.parquet")
