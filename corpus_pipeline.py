@@ -20,10 +20,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; lang keeps its value, or takes the prediction where it is null."""
+    """Documents whose language is recognised; lang keeps its value, or takes the prediction where it is null.
+
+    Rejected are texts without letters, those that leave the language open, and those that no learned language explains
+    better than pieces drawn without regard to any language (letter noise, scripts that were not learned)."""
     docs = docs.select(*COLUMNS)
     model = langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return langid.with_prediction(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(
+    return langid.with_prediction(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE) & (F.col("gain") > 0)).select(
         "doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 import regex
 from pyspark.sql import functions as F
 
-from .profiles import ARPABET, ARPABET_BY_STRESS, ARPABET_VOWELS, G2P_DEVOICED, G2P_FRONT, G2P_LAST_E, G2P_MULTI, G2P_SINGLE, G2P_SOFT, G2P_STRESSABLE, PROFILES, Profile
+from .profiles import ENGLISH_FOR_GERMAN, ARPABET, ARPABET_BY_STRESS, ARPABET_VOWELS, G2P_DEVOICED, G2P_FRONT, G2P_LAST_E, G2P_MULTI, G2P_SINGLE, G2P_SOFT, G2P_STRESSABLE, PROFILES, Profile
 
 BOUNDARY = "|"
 ANALYSIS = ("struct<ipa:string,phonemes:array<string>,syllables:array<struct<position:int,onset:array<string>,nucleus:string,coda:array<string>,stress:int>>,"
@@ -291,6 +291,85 @@ def score_anchored(a: dict, b: dict, language: str) -> dict:
     return min(found, key=lambda x: x[:3])[3] if found else score(a, b, language)
 
 
+def window_analysis(syllables: list[dict], start: int, end: int, language: str) -> dict:
+    """SQ-02: keys of the syllables start..end-1 as a phrase of their own, whose rhyme begins at the first of them."""
+    p = PROFILES[language]
+    own, nuclei = syllables[start:end], [s["nucleus"] for s in syllables[start:end]]
+    exact = tail(own).replace(" ", "")
+    return {"syllables": own, "syllable_count": len(own), "exact_key": exact, "multi_key": exact if len(own) > 1 else None, "vowel_key": "-".join(nuclei),
+            "vowel_family": "-".join(p.family.get(n, n) for n in nuclei), "final_nucleus": nuclei[-1], "coda_key": " ".join(own[-1]["coda"]), "coda_class": coda_class(own[-1]["coda"], p)}
+
+
+#: Syllables of the windows and of the query's tails that are matched with them.
+WINDOW_SYLLABLES = (2, 6)
+
+
+def query_anchors(a: dict, language: str) -> list[dict]:
+    """SQ-03: the tails by which a query is looked up: from the rhyme's start, from each later stress, and the whole word, of
+    two to six syllables; tails with equal keys once, in that order."""
+    n, first, out, seen = len(a["syllables"]), a["primary_stress"] - 1, [], set()
+    starts = [(i, "primary" if i == first else "secondary") for i in anchors(a["syllables"], first)]
+    for at, kind in [*sorted(starts, key=lambda x: (x[1] != "primary", x[0])), (0, "full_surface")]:
+        if WINDOW_SYLLABLES[0] <= n - at <= WINDOW_SYLLABLES[1]:
+            own = window_analysis(a["syllables"], at, n, language)
+            key = tuple(own[k] for k in ("syllable_count", "exact_key", "vowel_key", "vowel_family", "coda_class"))
+            if key not in seen:
+                seen.add(key)
+                out.append({"anchor": f"{kind}:{at + 1}", "position": at + 1, "kind": kind, **own})
+    return out
+
+
+def clipped_anchors(a: dict, most: int | None = None) -> list[dict]:
+    """PH-27: start, end and kind of the tails of a word; if the rightmost one has more than ``most`` syllables, it comes again
+    with only so many."""
+    n, first = len(a["syllables"]), a["primary_stress"] - 1
+    out = [{"start": i, "end": n, "kind": "primary" if i == first else "secondary"} for i in anchors(a["syllables"], first)]
+    last = out[-1]
+    if most and n - last["start"] > most:
+        out.append({"start": last["start"], "end": last["start"] + most, "kind": last["kind"] + "_clipped"})
+    return out
+
+
+def score_clipped(query: dict, target: dict, language: str, most: int | None = None) -> dict:
+    """PH-26/27: as `score_anchored`, with the query's clipped tail as well."""
+    tier = {"multisyllabic_perfect": 0, "perfect": 0, "multisyllabic_slant": 1, "family": 2, "slant": 3, "weak": 9}
+    found = []
+    for c in clipped_anchors(query, most):
+        own = query["syllables"][: c["end"]]
+        for j in anchors(target["syllables"], target["primary_stress"] - 1):
+            if abs((c["end"] - c["start"]) - (len(target["syllables"]) - j)) <= 1:
+                s = score_vectors(rhyme_vector(own, c["start"]), rhyme_vector(target["syllables"], j), language, tail(own[c["start"] :]) == tail(target["syllables"][j:]))
+                found.append((tier[s["type"]], -s["overall"], c["start"] + j, s))
+    return min(found, key=lambda x: x[:3])[3] if found else score(query, target, language)
+
+
+def to_english(ipa: str | None) -> dict | None:
+    """PH-28: a German pronunciation's rightmost tail that English sounds can say, analysed as English: ipa, position, analysis;
+    the whole pronunciation read as English if none can; None if that fails too."""
+    a = analyze(ipa, "de")
+    for at in sorted(anchors(a["syllables"], a["primary_stress"] - 1), reverse=True) if a else []:
+        parts = ["".join(ENGLISH_FOR_GERMAN.get(x, x) for x in [*(s["onset"] if i else []), s["nucleus"], *s["coda"]]) for i, s in enumerate(a["syllables"][at:])]
+        adapted = "ˈ" + ".".join(parts)
+        found = analyze(adapted, "en")
+        if found:
+            return {"ipa": adapted, "position": at + 1, "analysis": found}
+    plain = unicodedata.normalize("NFC", ipa or "").replace("̯", "").strip()
+    found = analyze(plain, "en")
+    return {"ipa": plain, "position": None, "analysis": found} if found else None
+
+
+def score_bound(a: dict, b: dict, language: str) -> float:
+    """PH-23: no score of two analyses can be above this: vowels and lengths as they are, all else taken as equal."""
+    if a["exact_key"] == b["exact_key"]:
+        return 1.0
+    p = PROFILES[language]
+    x, y = (t["syllables"][t["primary_stress"] - 1 :] for t in (a, b))
+    n = max(len(x), len(y), 1)
+    vowel = sum(vowel_similarity(x[-k]["nucleus"], y[-k]["nucleus"], language, len(x) > k and len(y) > k) for k in range(1, min(len(x), len(y)) + 1)) / n
+    share = min(len(x), len(y)) / n
+    return min(1.0, max(0.0, sum(w * v for w, v in zip(p.score_weights, (vowel, share, share, share, share)))))
+
+
 def spelling(surface: str | None, language: str) -> str:
     s = regex.sub(r"\s+", " ", unicodedata.normalize("NFKC", surface or "").strip()).lower()
     if language == "en":
@@ -388,3 +467,64 @@ def analysis(ipa, language):
 def pair_score(a, b, language):
     """PH-26 as a column of SCORE."""
     return F.pandas_udf(_score, SCORE)(a, b, language)
+
+
+WINDOW_KEYS = "struct<syllable_count:int,exact_key:string,multi_key:string,vowel_key:string,vowel_family:string,final_nucleus:string,coda_key:string,coda_class:string>"
+_KEYS = [x.split(":")[0] for x in WINDOW_KEYS[7:-1].split(",")]
+
+
+def windows(syllables, language, least: int = WINDOW_SYLLABLES[0], most: int = WINDOW_SYLLABLES[1]):
+    """SQ-01/02 as a column: array of (start, end, keys) of all windows of least..most syllables."""
+    kind = "array<struct<start:int,end:int,keys:" + WINDOW_KEYS + ">>"
+
+    def run(rows: pd.Series, languages: pd.Series) -> pd.Series:
+        out = []
+        for own, g in zip(rows, languages):
+            own = [] if own is None or g not in PROFILES else [{**s, "onset": list(s["onset"]), "coda": list(s["coda"])} for s in own]
+            found = []
+            for i in range(len(own)):
+                for j in range(i + least, min(len(own), i + most) + 1):
+                    w = window_analysis(own, i, j, g)
+                    found.append({"start": i, "end": j, "keys": {k: w[k] for k in _KEYS}})
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, kind)(syllables, language)
+
+
+def anchors_of(ipa, language):
+    """SQ-03 as a column: array of (anchor, position, kind, keys)."""
+
+    def one(v, g):
+        a = analyze(v, g) if g in PROFILES else None
+        return [{**{k: x[k] for k in ("anchor", "position", "kind")}, "keys": {k: x[k] for k in _KEYS}} for x in query_anchors(a, g)] if a else []
+
+    return F.pandas_udf(lambda v, g: pd.Series(_once(one, v, g), dtype=object), "array<struct<anchor:string,position:int,kind:string,keys:" + WINDOW_KEYS + ">>")(ipa, language)
+
+
+def window_score(query_ipa, position, ipa, start, end, language):
+    """The SCORE of a query's tail from a syllable on and a window of another pronunciation."""
+    names = [x.split(":")[0] for x in SCORE[7:-1].split(",")]
+
+    def one(v, at, w, i, j, g):
+        a, b = analyze(v, g), analyze(w, g)
+        if not a or not b:
+            return None
+        own, other = a["syllables"][int(at) - 1 :], b["syllables"][int(i) : int(j)]
+        return score_vectors(rhyme_vector(own, 0), rhyme_vector(other, 0), g, tail(own) == tail(other))
+
+    def run(v: pd.Series, at: pd.Series, w: pd.Series, i: pd.Series, j: pd.Series, g: pd.Series) -> pd.DataFrame:
+        rows = _once(one, v, at, w, i, j, g)
+        return pd.DataFrame([[r[n] if r else None for n in names] for r in rows], columns=names)
+
+    return F.pandas_udf(run, SCORE)(query_ipa, position, ipa, start, end, language)
+
+
+def english_bridge(ipa):
+    """PH-28 as a column: (ipa, position)."""
+
+    def run(v: pd.Series) -> pd.DataFrame:
+        rows = _once(to_english, v)
+        return pd.DataFrame({"ipa": [r["ipa"] if r else None for r in rows], "position": pd.array([r["position"] if r else None for r in rows], dtype="Int32")})
+
+    return F.pandas_udf(run, "ipa string, position int")(ipa)

@@ -171,3 +171,9 @@ G2P_SOFT = {"de": {"c": "ts"}, "en": {"c": "s", "g": "dʒ"}}
 G2P_LAST_E = {"de": "ə", "en": ""}
 G2P_DEVOICED = {"b": "p", "d": "t", "g": "k"}
 G2P_STRESSABLE = frozenset("aeiouyøœɛɪʊʏɔəɐɑɒæɚɝ")
+
+#: English symbols for German ones in rhyme tails.
+ENGLISH_FOR_GERMAN = {
+    "R": "ɹ", "R=": "ɚ", "ɔʏ": "ɔɪ", "iː": "i", "uː": "u", "ɑː": "ɑ", "aː": "ɑ", "ɔː": "ɔ", "ɛː": "ɛ", "eː": "eɪ", "oː": "oʊ",
+    "y": "i", "yː": "i", "ʏ": "ɪ", "ø": "eɪ", "øː": "eɪ", "œ": "ɛ", "ts": "ts", "pf": "pf",
+}

@@ -1,6 +1,6 @@
 """Named queries over the driver's tables."""
 
-from . import corpus, more, phonetic, relational, rules
+from . import corpus, more, phonetic, relational, retrieval, rules
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "more", "phonetic", "relational", "rules"]
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "more", "phonetic", "relational", "retrieval", "rules"]
