@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from .common import remove, settle, small_side
 from .decontam import SHINGLE, shingle_hashes
-from .wordcodes import hashed_words, slices
+from .wordcodes import hashed_words, slices, tidy
 
 PERCENT = 75
 BLOCK_DOCS, BLOCK_BYTES = 2000, 5_000_000
@@ -118,7 +118,7 @@ def _count_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 rows.append({"block": block, "bucket": int(k), "hashes": low[i:j].tobytes(), "owners": o[order][i:j].tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, _BLOCKS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(tidy(run), _BLOCKS)
 
 
 def _repeats_elsewhere(pdf):
@@ -166,17 +166,10 @@ def _survivor_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
             same = np.array([a == w for a, w in zip(set_digests(values, sizes), part.column(0).to_pylist())], bool)
             digests = [d for d, ok in zip(part.column(0).to_pylist(), same) if ok]
             kept = values[same[owner]] if len(owner) else values
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes[same], pa.int32()), _binaries(kept, sizes[same])], ["digest", "n", "shingles"])
+            edges = pa.array(np.concatenate([[0], np.cumsum(sizes[same])]), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes[same], pa.int32()), pa.ListArray.from_arrays(edges, pa.array(kept.view(np.int64)))], ["digest", "n", "shingles"])
 
-    return joined.mapInArrow(run, "digest binary, n int, shingles binary").dropDuplicates(["digest"])
-
-
-def _binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    raw, at, out = values.astype("<u8").tobytes(), 0, []
-    for n in sizes.tolist():
-        out.append(raw[8 * at : 8 * (at + n)])
-        at += n
-    return pa.array(out, pa.binary())
+    return joined.mapInArrow(tidy(run), "digest binary, n int, shingles array<long>").dropDuplicates(["digest"])
 
 
 def _set_blocks(sets: DataFrame) -> DataFrame:
@@ -191,16 +184,17 @@ def _set_blocks(sets: DataFrame) -> DataFrame:
                                               pa.schema([("block", pa.string()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("shingles", pa.binary())]))
 
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                rows.append(r)
-                held += len(r[2])
+            lists = b.column(2)
+            for digest, n, shingles in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (lists[i].values for i in range(len(lists)))):
+                rows.append((digest, n, shingles.to_numpy().tobytes()))
+                held += 8 * n
                 if len(rows) >= BLOCK_DOCS or held >= BLOCK_BYTES:
                     yield block()
                     rows, held = [], 0
         if rows:
             yield block()
 
-    return sets.select("digest", "n", "shingles").mapInArrow(run, schema)
+    return sets.select("digest", "n", "shingles").mapInArrow(tidy(run), schema)
 
 
 def _by_bucket(values: np.ndarray, buckets: int):
@@ -234,7 +228,7 @@ def _frequencies(blocks: DataFrame, buckets: int) -> DataFrame:
         cut = np.cumsum([0, *map(len, hashes)])
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "df": [total[i:j].tobytes() for i, j in zip(cut, cut[1:])]})
 
-    sent = blocks.select("block", "shingles").mapInArrow(send, "block string, bucket int, hashes binary, times binary")
+    sent = blocks.select("block", "shingles").mapInArrow(tidy(send), "block string, bucket int, hashes binary, times binary")
     return sent.groupBy("bucket").applyInPandas(add, "block string, bucket int, df binary")
 
 
@@ -275,20 +269,10 @@ def hash_prefix(own: np.ndarray) -> bytes:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
-    left = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("in_a"))
-    right = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("in_b"))
-
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "in_a", "in_b").mapInArrow(run, "a binary, b binary")
+    left = sets.select(F.col("digest").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("in_a"))
+    right = sets.select(F.col("digest").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("in_b"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("in_a", "in_b")))
+    return both.where(F.expr(f"100L * both >= {PERCENT}L * (n_a + n_b - both)")).select("a", "b")
 
 
 def connected(links: DataFrame, name: str) -> DataFrame:

@@ -48,6 +48,8 @@ SECRET_FORMS = (
     r"(?i:password|passwd|pwd|passphrase|secret|api[_-]?key|access[_-]?key|auth[_-]?token|token)[\"']?[\x20\t]?[=:][\x20\t]?[\"']?[^\s\"',;<>]{6,}+",
 )
 SECRET, SECRET_PATTERN = "secret", r"(?<![A-Za-z0-9])(?:" + "|".join(SECRET_FORMS) + ")"
+#: Every secret holds one of these, or is no secret: texts without them skip the patterns.
+SECRET_MARKS = r"[0-9=:]|PRIVATE KEY"
 SECRET_HINT = r"(?i)akia|asia|agpa|aroa|aida|gh[pousr]_|xox|sk-|eyj|private key|[0-9a-f]{32}|passw|pwd|passphrase|secret|key|token"
 WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}'-]*[\p{L}\p{N}]"
 MIN_TERM = 3  # characters of a term
@@ -63,8 +65,10 @@ def _luhn(digits: Column) -> Column:
 
 
 def _valid(kind: str, value: Column) -> Column:
-    if kind in ("email", SECRET):
+    if kind == "email":
         return F.lit(True)
+    if kind == SECRET:
+        return value.rlike(SECRET_MARKS)
     if kind == "ip":
         return F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(F.concat(F.lit("000"), p), F.lit(3)).cast("int") <= 255))
     digits = F.regexp_replace(value, "[^0-9]", "")
@@ -87,7 +91,8 @@ def _matches(kind: str, text: Column) -> Column:
 
     pairs = F.arrays_zip(values.alias("value"), F.slice(between, F.lit(1), F.size(values)).alias("gap"))
     found = F.aggregate(pairs, empty, step, lambda s: s["out"])
-    return F.when(text.rlike(hint), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    maybe = text.rlike(SECRET_MARKS) & text.rlike(hint) if kind == SECRET else text.rlike(hint)
+    return F.when(maybe, found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -109,7 +114,7 @@ def all_spans(text: Column) -> Column:
 def _words(text: Column) -> Column:
     """The distinct terms of a text, lower case; those inside an email or a secret (no other kind holds letters) are left out."""
     plain = F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
-    plain = F.when(plain.rlike(SECRET_HINT), F.regexp_replace(plain, SECRET_PATTERN, " ")).otherwise(plain)
+    plain = F.when(plain.rlike(SECRET_MARKS) & plain.rlike(SECRET_HINT), F.regexp_replace(plain, SECRET_PATTERN, " ")).otherwise(plain)
     found = F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
     return F.array_distinct(F.transform(F.filter(F.array_distinct(found), lambda w: F.length(w) >= MIN_TERM), F.lower))
 

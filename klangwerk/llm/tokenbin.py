@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle, work_path
-from .wordcodes import MARK, gather, marked_codes, slices
+from .wordcodes import MARK, gather, marked_codes, slices, tidy
 
 MAGIC = b"BPT1"
 BLOCK = 1 << 16
@@ -194,7 +194,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, level: int
                             ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("begin", pa.int64()), ("n", pa.int32())])))])
         yield pa.RecordBatch.from_pylist([{"file": f"{folder}/{name}", "part": part, "n_ids": total, "chunks": chunks, "docs": listed}], schema)
 
-    return settle(ordered.mapInArrow(run, INDEX), "index")
+    return settle(ordered.mapInArrow(tidy(run), INDEX), "index")
 
 
 def read_ids(uri: str, chunks: list[dict], docs: list[dict]):
