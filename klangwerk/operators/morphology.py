@@ -60,3 +60,80 @@ def punctuation_aliases(words: DataFrame, lexicon: DataFrame, word: str = "form"
 def best_form(tokens: DataFrame, options: DataFrame, on: str, priority: list[Column]) -> DataFrame:
     """JN-16/26: for each token the option of highest priority."""
     return best_per_group(tokens.select(on).distinct().join(options, on), [on], priority)
+
+
+def prefix_cover(words: DataFrame, lexicon: DataFrame, word: str = "form", least: int = 3, most_parts: int = 6) -> DataFrame:
+    """PH-30: a word that no entry holds, from entries: its longest known proper suffix, and what is before it covered from the
+    left, each time by the longest known beginning; word, parts (in order, the suffix last).  Words that leave a rest have no
+    row.  A beginning must have ``least`` letters; each of the at most ``most_parts`` steps is one equi-join."""
+    tail = longest_known_suffix(words, lexicon, word, least)
+    known = lexicon.select(F.col("form").alias("part"))
+    open_ = tail.withColumn("rest", F.expr(f"left(`{word}`, length(`{word}`) - length(suffix))")).withColumn("parts", F.array().cast("array<string>"))
+    done = None
+    for _ in range(most_parts):
+        cut = F.transform(F.sequence(F.lit(least), F.greatest(F.lit(least), F.length("rest"))), lambda i: F.left("rest", i))
+        each = open_.where(F.length("rest") >= least).select(word, "suffix", "rest", "parts", F.explode(F.array_distinct(cut)).alias("part"))
+        best = each.join(known, "part", "left_semi").groupBy(word, "suffix", "rest", "parts").agg(F.max_by("part", F.length("part")).alias("part"))
+        step = best.select(word, "suffix", F.expr("substr(rest, length(part) + 1)").alias("rest"), F.concat("parts", F.array("part")).alias("parts"))
+        ready = step.where("rest = ''").select(word, F.concat("parts", F.array("suffix")).alias("parts"))
+        done = ready if done is None else done.unionByName(ready)
+        open_ = step.where("rest != ''")
+    return done
+
+
+#: Word classes that take each regular ending.
+ENDING_CLASSES = {"s": ("noun", "verb"), "d": ("verb",), "ing": ("verb",)}
+
+
+def tagged_inflections(words: DataFrame, lexicon: DataFrame, word: str = "form", classes: str = "classes") -> DataFrame:
+    """PH-34: `inflected_from`, for lemmas whose classes (an array in ``lexicon``) take the ending only."""
+    found = inflected_from(words, lexicon, word).join(lexicon.select(F.col("form").alias("lemma"), F.col(classes).alias("_c")), "lemma")
+    fits = F.coalesce(*(F.when(F.col("inflection") == k, F.arrays_overlap("_c", F.array(*map(F.lit, v)))) for k, v in ENDING_CLASSES.items()), F.lit(False))
+    return found.where(fits).select(word, "lemma", "inflection")
+
+
+def compound_evidence(analyses: DataFrame, words: DataFrame, lexicon: DataFrame, analysis: str = "analysis", word: str = "form") -> DataFrame:
+    """AG-33: per form the heads that its analyses say or, where one says none, that attested splits show: state (unresolved,
+    converged, conflict), heads and where they come from.  ``analyses``: form, analysis, head (null if not said)."""
+    attested = compound_heads(words, lexicon, word).select(word, F.col("right").alias("_split"))
+    each = analyses.join(attested, word, "left").withColumn("_head", F.coalesce("head", "_split")).withColumn("_from", F.when(F.col("head").isNotNull(), "stated").when(F.col("_split").isNotNull(), "attested_split"))
+    sets = each.groupBy(word).agg(F.countDistinct(analysis).alias("analyses"), F.array_sort(F.collect_set("_head")).alias("heads"), F.array_sort(F.collect_set("_from")).alias("evidence"))
+    return sets.withColumn("state", F.when(F.size("heads") == 0, "unresolved").when(F.size("heads") == 1, "converged").otherwise("conflict"))
+
+
+#: How well a lexicon form answers a phrase's token, the best first.
+FORM_LEVELS = ("exact_current_ranked", "exact_current", "lower_current_ranked", "lower_current", "alias_current", "exact_historical", "lower_historical", "alias_historical")
+
+
+def token_forms(tokens: DataFrame, lexicon: DataFrame, token: str = "token") -> DataFrame:
+    """JN-16: for each different token the best form: as written before lower case before alias, current before historical,
+    with a usage rank before without; then the better rank, then the form.  ``lexicon``: form, kind (form or alias of the key),
+    key, historical, usage_rank."""
+    t = tokens.select(token).where(F.col(token).isNotNull()).distinct()
+    hits = t.join(lexicon, F.lower(F.col(token)) == F.lower("key"))
+    exact, current, ranked = F.col("form") == F.col(token), ~F.coalesce("historical", F.lit(False)), F.col("usage_rank").isNotNull()
+    alias = F.col("kind") == "alias"
+    level = (F.when(alias & current, 4).when(alias, 7).when(exact & current & ranked, 0).when(exact & current, 1).when(current & ranked, 2).when(current, 3).when(exact, 5).otherwise(6))
+    best = best_per_group(hits.withColumn("level", level), [token], [F.asc("level"), F.asc_nulls_last("usage_rank"), F.asc("form")])
+    return best.select(token, "form", F.element_at(F.array(*map(F.lit, FORM_LEVELS)), F.col("level") + 1).alias("level"), "usage_rank")
+
+
+def dictionary_options(headwords: DataFrame, listed: DataFrame, surface: DataFrame, word: str = "surface") -> DataFrame:
+    """JN-25: dictionary records that answer a surface, as their headword or as a form that they list; surface, record, match_kind.
+
+    ``headwords``: record, headword; ``listed``: record, form."""
+    key = lambda c: T.normalize_surface(c)
+    s = surface.select(word).distinct().withColumn("_k", key(word))
+    own = headwords.select("record", key("headword").alias("_k"), F.lit("headword").alias("match_kind"))
+    other = listed.select("record", key("form").alias("_k"), F.lit("listed_form").alias("match_kind"))
+    return s.join(own.unionByName(other), "_k").groupBy(word, "record").agg(F.min("match_kind").alias("match_kind"))
+
+
+#: Sources of an English name's pronunciation, the first preferred.
+NAME_SOURCES = ("curated", "accepted_en_form", "accepted_en_token_composition", "espeak_ng_generated_secondary")
+
+
+def name_resolution(names: DataFrame, options: DataFrame, name: str = "name") -> DataFrame:
+    """JN-26: for each name the pronunciation of the best source; unknown sources stand last.  ``options``: name, source, ipa."""
+    rank = F.coalesce(*(F.when(F.col("source") == s, i) for i, s in enumerate(NAME_SOURCES)), F.lit(len(NAME_SOURCES)))
+    return best_form(names, options.where(F.col("ipa").isNotNull()).withColumn("_s", rank), name, [F.asc("_s"), F.asc("ipa")]).drop("_s")

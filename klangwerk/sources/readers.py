@@ -248,3 +248,104 @@ def lyrics(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     kept = marked.where((F.col("song") > 0) & ~is_song & F.col("_label").isNull() & ~noise & (F.size(X.word_tokens("line")) > 0))
     return kept.select(key, "song", F.when(F.col("section_type") != "metadata", F.col("section")).alias("section"), F.nullif("section_type", F.lit("metadata")).alias("section_type"), "line_no", "line",
                        F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{M}\p{N}]+", " ")).alias("normalized"), X.end_word("line").alias("last_word"))
+
+
+#: Markers of spelling variants, from equal to wrong, and the regions of a lexicon line.
+VARIANT_LEVELS = {".": 1, "=": 2, "?": 3, "v": 4, "~": 5, "V": 6, "@": 7, "-": 8, "x": 9}
+REGIONS = ("US", "GB", "CA", "AU")
+
+
+def _outside_brackets(text: str, separator: str) -> list[str]:
+    """Parts of a text between separators that stand in no round brackets."""
+    parts, depth = [""], 0
+    for ch in text:
+        depth = max(0, depth + (ch == "(") - (ch == ")"))
+        if ch == separator and not depth:
+            parts.append("")
+        else:
+            parts[-1] += ch
+    return parts
+
+
+def _variants(text: str) -> list[dict] | None:
+    """Spelling variants like ``A Bv +``; None if the text is something else."""
+    import regex
+
+    out = []
+    for token in text.split():
+        if regex.fullmatch(r"\{\d+\}", token):
+            continue
+        m = regex.fullmatch(r"([ABZCD_])([.=?v~V@\-x]?)", token)
+        if token != "+" and not m:
+            return None
+        out.append({"spelling": token[0], "level": VARIANT_LEVELS.get(m[2], 0) if m else 0})
+    return out or None
+
+
+def _plain_word(text: str) -> str:
+    import regex
+
+    return regex.sub(r"[*\-@~!†]+$", "", regex.sub(r"^[-@!](?=\p{L})", "", text.strip())).strip()
+
+
+def lexicon_line(line: str | None) -> dict | None:
+    """SR-05: one line ``size [region]: [variants:] lemma <pos/class> {note} (gloss): derived, (A: x | B: y) # comment``."""
+    import regex
+
+    raw = (line or "").strip()
+    head, sep, rest = raw.partition(": ")
+    first = regex.match(r"\s*([+-]?\d+)", head)
+    if raw.startswith("#") or not sep or not first:
+        return None
+    found = regex.search(r"\s+#(?:!|[^:])", rest)
+    rest = rest[: found.start()].strip() if found else rest
+    before, sep, after = rest.partition(": ")
+    variants = (_variants(before) if sep else None) or []
+    rest = after if variants else rest
+    lemma_text, _, derived_text = rest.partition(": ")
+    marked = lambda m: bool(regex.match(rf"{m}(?=\p{{L}})", lemma_text.strip()) or regex.search(rf"{m}(?:\s+<|\s+\{{|\s+\(|$)", lemma_text))
+    pos = regex.search(r"\s+<([^>]+)>", lemma_text)
+    text = lemma_text[: pos.start()] if pos else regex.sub(r"\s+\([^)]*\)$", "", regex.sub(r"\s+\{[^}]*\}\s*(?:\([^)]*\))?$", "", lemma_text.strip()))
+    lemma, derived = _plain_word(text), []
+    if not lemma or lemma == "-":
+        return None
+    for entry in map(str.strip, _outside_brackets(derived_text, ",")):
+        choices = _outside_brackets(entry[1:-1], "|") if entry.startswith("(") and entry.endswith(")") else [entry]
+        for c in map(str.strip, choices):
+            kind, sep, word = c.partition(": ")
+            word = _plain_word(word if len(choices) > 1 and sep and _variants(kind) or entry.startswith("(") and sep and _variants(kind) else c)
+            derived += [word] if word and word != "-" else []
+    tag = pos[1] if pos else None
+    return {"size": int(first[1]), "region": next((t for t in head.split() if t in REGIONS), None), "variants": variants, "lemma": lemma, "pos": tag, "pos_class": tag.partition("/")[2] if tag and "/" in tag else None,
+            "archaic": marked("@"), "uncommon": marked("-"), "invalid": any(v["level"] >= VARIANT_LEVELS["-"] for v in variants), "derived": derived}
+
+
+LEXICON_LINE = "size int, region string, variants array<struct<spelling:string,level:int>>, lemma string, pos string, pos_class string, archaic boolean, uncommon boolean, invalid boolean, derived array<string>"
+
+
+def derivation_lexicon(rows: DataFrame, value: str = "value") -> DataFrame:
+    """SR-05: a row per line of a spelling and derivation lexicon; comments and malformed lines are skipped."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = pa.schema([("size", pa.int32()), ("region", pa.string()), ("variants", pa.list_(pa.struct([("spelling", pa.string()), ("level", pa.int32())]))), ("lemma", pa.string()), ("pos", pa.string()), ("pos_class", pa.string()),
+                           ("archaic", pa.bool_()), ("uncommon", pa.bool_()), ("invalid", pa.bool_()), ("derived", pa.list_(pa.string()))])
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([r for r in map(lexicon_line, b.column(0).to_pylist()) if r], kinds)
+
+    return rows.select(value).mapInArrow(run, LEXICON_LINE)
+
+
+def database_table(spark: SparkSession, url: str, table: str, key: str | None = None, parts: int = 16, **options: str) -> DataFrame:
+    """SR-14: a table of a relational database; with a whole-number key it is read in parts by ranges of the key."""
+    reader = spark.read.format("jdbc").option("url", url).options(**options)
+    if key is None:
+        return reader.option("dbtable", table).load()
+    low, high = reader.option("query", f"SELECT min({key}) AS lo, max({key}) AS hi FROM {table}").load().first()
+    return reader.option("dbtable", table).option("partitionColumn", key).option("lowerBound", low or 0).option("upperBound", (high or 0) + 1).option("numPartitions", parts).load()
+
+
+def point_lookup(table: DataFrame, key: str, values: list) -> DataFrame:
+    """SR-16: the rows of a few keys; the condition is pushed down, so row groups without them are not read."""
+    return table.where(F.col(key).isin(values))
