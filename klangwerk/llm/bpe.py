@@ -26,9 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import in_arrow
 from .bpe_ranks import MergeFinder, RankTable, rank_table
 from .tokenbin import WORDS, marked_words
-from .wordcodes import gather, marked_codes, slices, tidy
+from .wordcodes import gather, marked_codes, slices
 
 #: Words (with repeats) and bytes of new distinct words after which a block is closed.
 BLOCK_WORDS, BLOCK_BYTES = 700_000, 1_200_000
@@ -121,7 +122,7 @@ def fold_blocks(docs: DataFrame, table: RankTable) -> DataFrame:
     """Blocks of documents with the marks of the ids of their new words."""
     listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *marked_words(F.coalesce("text", F.lit(""))))
     tokens = table.tokens
-    blocks = listed.mapInArrow(tidy(lambda batches: _blocks(batches, tokens)), _BLOCK).join(F.broadcast(rank_row(docs.sparkSession, table)), "one")
+    blocks = in_arrow(listed, lambda batches: _blocks(batches, tokens), _BLOCK).join(F.broadcast(rank_row(docs.sparkSession, table)), "one")
     return blocks.select("docs", "lengths", "codes", F.transform("words", fold_word).alias("folded"), "known")
 
 
@@ -168,7 +169,7 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
         for doc_ids, ids, starts in _encoded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
-    return fold_blocks(docs, table).mapInArrow(tidy(run), "doc_id long, ids array<int>")
+    return in_arrow(fold_blocks(docs, table), run, "doc_id long, ids array<int>")
 
 
 def pieces(ranks_path: str) -> tuple[bytes, ...]:
@@ -187,7 +188,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode_ids(x or [], tokens) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, bytes binary")
+    return in_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, bytes binary")
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -210,7 +211,7 @@ def encode_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
             rows = [(len(x), sha(" ".join(map(digits.__getitem__, x)).encode()), sha(decode_ids(x, tokens))) for x in _listed(flat, starts)]
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return fold_blocks(docs, table).mapInArrow(tidy(run), DIGEST)
+    return in_arrow(fold_blocks(docs, table), run, DIGEST)
 
 
 CHECKED = "doc_id long, ids array<int>, n_tokens long, text_sha256 string"
@@ -227,4 +228,4 @@ def encode_with_check(docs: DataFrame, ranks_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32())), pa.array(np.diff(starts), pa.int64()), pa.array(digests, pa.string())],
                                              ["doc_id", "ids", "n_tokens", "text_sha256"])
 
-    return fold_blocks(docs, table).mapInArrow(tidy(run), CHECKED)
+    return in_arrow(fold_blocks(docs, table), run, CHECKED)

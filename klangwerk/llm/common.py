@@ -3,21 +3,41 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch on its way to a Python worker.  Spark's own limit of 64 MB is held several times by each task, on
+#: both sides, and by allocators that keep what they once had.
+BATCH_BYTES = 8_000_000
+
 #: ASCII white space, the separators of words in every operator that splits on white space.
 SPACE = r"[\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches of bounded size and memory given back at the end of a task.
+
+    The limit on bytes is a setting of the session, so it holds for later queries too; a smaller one is left alone."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(tidy(run), schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one on this machine only where the session names none (tests)."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Only a session on one machine (tests) that names none gets a temporary one; on a cluster the setting is required."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="klangwerk-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -53,6 +73,30 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(run):
+    """A function of batches that gives memory back when its task ends: Python workers outlive their tasks."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return tidied
+
+
+def release_memory() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

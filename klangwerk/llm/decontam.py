@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_side
-from .wordcodes import gather, hashed_words, tidy
+from .common import in_arrow, settle, small_side
+from .wordcodes import gather, hashed_words
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.75
@@ -252,7 +252,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*((doc_ids[row], ids[item], -at, n, alike) for (row, item), (alike, at, n) in sorted(found.items()))),
                                                                                     (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
-        return texts.mapInArrow(tidy(run), MATCHES)
+        return in_arrow(texts, run, MATCHES)
 
     out, rows = None, []
     for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():

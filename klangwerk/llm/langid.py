@@ -31,8 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, settle
-from .wordcodes import list_codes, slices, tidy, without_empty
+from .common import in_arrow, remove, settle
+from .wordcodes import list_codes, slices, without_empty
 
 EM_ROUNDS = 2
 FLOOR = 1e-7  # probability of a piece never seen in a language, and of a single letter outside the vocabulary
@@ -202,7 +202,7 @@ def train(labelled: DataFrame, model_path: str, max_rows: int = 4000) -> PieceMo
                 own = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array([distinct[i] for i in own], pa.string()), pa.array(n[own])], ["lang", "word", "n"])
 
-    summed = rows.where(chosen).select("lang", "text").mapInArrow(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    summed = in_arrow(rows.where(chosen).select("lang", "text"), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = settle(summed, "word-counts")
     model = PieceModel(vocabulary_pieces(model_path), sorted(sizes))
     for _ in range(EM_ROUNDS):
@@ -227,7 +227,7 @@ def _expected(counts: DataFrame, model: PieceModel) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[k, piece])], ["k", "piece", "n"])
 
     out = np.zeros((len(number), model.p.shape[1]))
-    for k, piece, n in counts.select("lang", "word", "n").mapInArrow(tidy(run), "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n")).collect():
+    for k, piece, n in in_arrow(counts.select("lang", "word", "n"), run, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n")).collect():
         out[k, piece] = n  # pieces x languages at most
     return out
 
@@ -259,7 +259,7 @@ def predict(docs: DataFrame, model: PieceModel | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gain, pa.float64()), pa.array(n, pa.int64())],
                                              ["doc_id", "lang_pred", "score", "gain", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), PREDICTION)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PREDICTION)
 
 
 def with_prediction(docs: DataFrame, model: PieceModel | None) -> DataFrame:
@@ -275,4 +275,4 @@ def with_prediction(docs: DataFrame, model: PieceModel | None) -> DataFrame:
                                              [*part.schema.names, "lang_pred", "score", "gain"])
 
     schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()).add("gain", DoubleType())
-    return docs.mapInArrow(tidy(run), schema)
+    return in_arrow(docs, run, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, in_arrow
 from .wordcodes import list_codes
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -142,7 +142,7 @@ def word_weights(docs: DataFrame) -> list[float]:
             n += len(starts) - 1
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.flatnonzero(df), -1)), pa.array(np.append(df[df > 0], n))], ["word", "df"])
 
-    found = dict(_listed(docs).mapInArrow(count, "word long, df long").groupBy("word").agg(F.sum("df")).collect())
+    found = dict(in_arrow(_listed(docs), count, "word long, df long").groupBy("word").agg(F.sum("df")).collect())
     n = found.get(-1, 0)
     return [math.log((n + 1) / (found.get(i, 0) + 1)) for i in range(len(vocabulary))]
 
@@ -167,4 +167,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    return _listed(docs).mapInArrow(run, OUT)
+    return in_arrow(_listed(docs), run, OUT)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 SYMBOLS = "#*$%&|<>"
 #: Characters that may end a sentence, with or without closing quotes and brackets after them.
 SENTENCE_END = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*$")
@@ -110,4 +112,4 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.int64()] * 3 + [pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OUT)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, OUT)

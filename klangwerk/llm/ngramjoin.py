@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import remove, settle, small_side
+from .common import in_arrow, remove, settle, small_side
 from .decontam import SHINGLE, shingle_hashes
-from .wordcodes import hashed_words, slices, tidy
+from .wordcodes import hashed_words, slices
 
 PERCENT = 75
 BLOCK_DOCS, BLOCK_BYTES = 2000, 5_000_000
@@ -118,7 +118,7 @@ def _count_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 rows.append({"block": block, "bucket": int(k), "hashes": low[i:j].tobytes(), "owners": o[order][i:j].tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(tidy(run), _BLOCKS)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")), run, _BLOCKS)
 
 
 def _repeats_elsewhere(pdf):
@@ -169,7 +169,7 @@ def _survivor_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
             edges = pa.array(np.concatenate([[0], np.cumsum(sizes[same])]), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes[same], pa.int32()), pa.ListArray.from_arrays(edges, pa.array(kept.view(np.int64)))], ["digest", "n", "shingles"])
 
-    return joined.mapInArrow(tidy(run), "digest binary, n int, shingles array<long>").dropDuplicates(["digest"])
+    return in_arrow(joined, run, "digest binary, n int, shingles array<long>").dropDuplicates(["digest"])
 
 
 def _set_blocks(sets: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def _set_blocks(sets: DataFrame) -> DataFrame:
         if rows:
             yield block()
 
-    return sets.select("digest", "n", "shingles").mapInArrow(tidy(run), schema)
+    return in_arrow(sets.select("digest", "n", "shingles"), run, schema)
 
 
 def _by_bucket(values: np.ndarray, buckets: int):
@@ -228,7 +228,7 @@ def _frequencies(blocks: DataFrame, buckets: int) -> DataFrame:
         cut = np.cumsum([0, *map(len, hashes)])
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "df": [total[i:j].tobytes() for i, j in zip(cut, cut[1:])]})
 
-    sent = blocks.select("block", "shingles").mapInArrow(tidy(send), "block string, bucket int, hashes binary, times binary")
+    sent = in_arrow(blocks.select("block", "shingles"), send, "block string, bucket int, hashes binary, times binary")
     return sent.groupBy("bucket").applyInPandas(add, "block string, bucket int, df binary")
 
 

@@ -32,8 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, work_path
-from .wordcodes import MARK, gather, marked_codes, slices, tidy
+from .common import in_arrow, settle, work_path
+from .wordcodes import MARK, gather, marked_codes, slices
 
 MAGIC = b"BPT1"
 BLOCK = 1 << 16
@@ -194,7 +194,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, level: int
                             ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("begin", pa.int64()), ("n", pa.int32())])))])
         yield pa.RecordBatch.from_pylist([{"file": f"{folder}/{name}", "part": part, "n_ids": total, "chunks": chunks, "docs": listed}], schema)
 
-    return settle(ordered.mapInArrow(tidy(run), INDEX), "index")
+    return settle(in_arrow(ordered, run, INDEX), "index")
 
 
 def read_ids(uri: str, chunks: list[dict], docs: list[dict]):
@@ -237,7 +237,7 @@ def read_back(index: DataFrame) -> DataFrame:
                 rows = [(d["doc_id"], r["base"] + d["begin"], d["n"], zlib.crc32(ids.tobytes())) for d, ids in zip(r["docs"], read_ids(r["file"], r["chunks"], r["docs"]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return based.select("file", "chunks", "docs", "base").mapInArrow(run, READ)
+    return in_arrow(based.select("file", "chunks", "docs", "base"), run, READ)
 
 
 def tokenize_to_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle
-from .wordcodes import slices, tidy
+from .common import in_arrow, settle
+from .wordcodes import slices
 
 #: Words of a passage.  A copied passage of 50 words keeps that many in whole sentences wherever it begins and ends.
 MIN_WORDS = 30
@@ -74,7 +74,7 @@ def units(docs: DataFrame, by: str = "sentence") -> DataFrame:
             edges = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(edges, own)], ["doc_id", "text_hash", "units"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(tidy(run), UNITS)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")), run, UNITS)
 
 
 def repeated_units(docs: DataFrame, by: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:

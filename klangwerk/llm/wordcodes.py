@@ -7,29 +7,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def tidy(run):
-    """A function of batches that gives memory back when its task ends: Python workers outlive their tasks."""
-
-    def tidied(batches):
-        try:
-            yield from run(batches)
-        finally:
-            release_memory()
-
-    return tidied
-
-
-def release_memory() -> None:
-    import ctypes
-    import gc
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-    if trim:
-        trim(0)
-
-
 def list_codes(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, the code of every word in order, and where each row's words start (rows + 1 entries)."""
     if isinstance(lists, pa.ChunkedArray):
