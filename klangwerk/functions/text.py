@@ -82,12 +82,20 @@ def token_shape(token: Column | str) -> Column:
             .when(F.lower(t) == t, "lower").otherwise("fixed"))
 
 
-def surface_class(surface: Column | str) -> Column:
-    """SF-11: shape of a surface, first rule that holds."""
-    s = as_col(surface)
-    return (F.when(F.trim(s) == "", "empty").when(s.rlike(r"^[0-9]+$"), "numeric").when(s.rlike(r"\s"), "multiword")
-            .when(s.rlike("[0-9]") & s.rlike("[A-Za-z]"), "mixed_alnum").when(s.rlike(r"^[A-Za-z]$"), "single_char")
-            .when(s.rlike(r"^[A-Za-zÀ-ÖØ-öø-ÿ]+(-[A-Za-zÀ-ÖØ-öø-ÿ]+)+$"), "joined").when(s.rlike(r"^[A-Za-zÀ-ÖØ-öø-ÿ]+$"), "word").otherwise("other"))
+def surface_class(surface: Column | str, tokens: Column | int = 1) -> Column:
+    """SF-11: shape of a surface, first rule that holds: letters of other scripts, other punctuation, digits among letters,
+    digits, several words, hyphens or apostrophes inside, one character, nothing lexical, a plain word."""
+    s = F.trim(as_col(surface))
+    count = tokens if isinstance(tokens, Column) else F.lit(tokens)
+    letters, digits = s.rlike(r"\p{L}"), s.rlike(r"\p{N}")
+    return (F.when(s.rlike(r"[\p{L}&&[^\p{IsLatin}]]"), "non_latin_letters").when(s.rlike(r"[^\p{L}\p{M}\p{N}\s'’\-‐‑‒–—]"), "other_punctuation").when(digits & letters, "mixed_alnum").when(digits, "numeric")
+            .when((count > 1) | s.rlike(r"\s"), "multiword").when(s.rlike(r"[-‐‑‒–—'’]"), "joined_lexeme").when(F.length(s) <= 1, "single_character").when(~letters, "nonlexical").otherwise("clean_single"))
+
+
+def length_bucket(surface: Column | str) -> Column:
+    """SF-11: bucket of a surface's length."""
+    n = F.length(F.trim(as_col(surface)))
+    return F.when(n <= 1, "1").when(n <= 3, "2-3").when(n <= 7, "4-7").when(n <= 15, "8-15").when(n <= 31, "16-31").otherwise("32+")
 
 
 def score_band(score: Column | str, width: float = 0.05) -> Column:
@@ -111,6 +119,19 @@ def zipf_utility(zipf: Column | str) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (as_col(zipf) - 1.5) / 5.0))
 
 
+def usage_utility(zipf: Column | str, rank: Column | str) -> Column:
+    """SF-18: by Zipf frequency; without one by rank, 1 - (log10(rank + 9) - 1) / 5.5; .25 without either; within 0..1."""
+    r = as_col(rank)
+    by_rank = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (F.log10(r + 9) - 1) / 5.5))
+    return F.when(as_col(zipf).isNotNull(), zipf_utility(zipf)).when(r > 0, by_rank).otherwise(0.25)
+
+
+def log_scaled(count: Column | str, most: Column | float) -> Column:
+    """SF-18: log1p(count) / log1p(most) within 0..1."""
+    top = most if isinstance(most, Column) else F.lit(float(most))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.log1p(as_col(count)) / F.log1p(top)))
+
+
 #: Weights of the popularity blend.
 POPULARITY_WEIGHTS = {"qrank": 0.60, "sitelinks": 0.15, "bilingual": 0.10, "external": 0.10, "statements": 0.05}
 

@@ -60,6 +60,66 @@ def prune_vocabulary(counts: DataFrame, least: int) -> DataFrame:
     return counts.where((F.col("n") >= least) | F.col("form").isin(START, END))
 
 
+def frequent_states(counts: DataFrame, k: int) -> DataFrame:
+    """AG-13: the transitions of the k contexts of each length that were seen most often."""
+    totals = counts.groupBy("length", "context").agg(F.sum("n").alias("_t"))
+    top = totals.withColumn("_r", F.row_number().over(Window.partitionBy("length").orderBy(F.desc("_t"), "context"))).where(F.col("_r") <= k)
+    return counts.join(F.broadcast(top.select("length", "context")), ["length", "context"])  # k contexts a length
+
+
+def shape_patterns(lines: DataFrame, shape: str, length: str, k: int = 96) -> DataFrame:
+    """MK-04: the k most frequent shape patterns of each length (arrays of classes), with their counts."""
+    n = lines.groupBy(length, shape).agg(F.count("*").alias("n"))
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy(length).orderBy(F.desc("n"), shape)).cast("long")).where(F.col("rank") <= k)
+
+
+def shape_fit(candidates: DataFrame, patterns: DataFrame, key: str, shape: str, length: str) -> DataFrame:
+    """MK-04: how well a line's shape fits the patterns of its length: the best of 1 - (places that differ) / length, weighted
+    towards frequent patterns by a tenth; patterns counts those compared, fit is null without any."""
+    p = patterns.select(length, F.col(shape).alias("_p"), F.col("n").alias("_n"), F.max("n").over(Window.partitionBy(length)).alias("_most"))
+    met = candidates.select(key, shape, length).join(p, length, "left")
+    same = F.size(F.filter(F.zip_with(shape, "_p", lambda a, b: a == b), lambda x: x)) / F.greatest(F.lit(1), F.col(length))
+    fit = same * 0.9 + F.log1p("_n") / F.log1p("_most") * 0.1
+    return met.groupBy(key).agg(F.count("_p").alias("patterns"), F.round(F.max(F.when(F.col("_p").isNotNull(), fit)), 6).alias("fit"))
+
+
+#: Function words of the two languages, by class.
+FUNCTION_WORDS = {
+    "article": ("der", "die", "das", "ein", "eine", "the", "a", "an"),
+    "pronoun": ("ich", "du", "er", "sie", "es", "wir", "ihr", "i", "you", "he", "she", "it", "we", "they"),
+    "preposition": ("in", "an", "auf", "mit", "von", "zu", "of", "on", "at", "to", "with", "from", "by"),
+    "conjunction": ("und", "oder", "aber", "denn", "and", "or", "but", "for"),
+    "negation": ("nicht", "kein", "not", "no", "never"),
+}
+
+
+def token_class(token: Column) -> Column:
+    """SF-05: the class of a function word, else its shape."""
+    t = F.lower(token)
+    named = F.coalesce(*(F.when(t.isin(*words), kind) for kind, words in FUNCTION_WORDS.items()))
+    return F.coalesce(named, T.token_shape(token))
+
+
+def shape_key(tokens: Column | str) -> Column:
+    """SF-05: classes of the tokens in order, joined."""
+    c = F.col(tokens) if isinstance(tokens, str) else tokens
+    return F.array_join(F.transform(c, lambda t: token_class(t)), " ")
+
+
+def preferred_casing(tokens: DataFrame, form: str = "form", least: float = 0.6) -> DataFrame:
+    """SF-04: per lower-case form its number and how it is best written: in capitals or with a capital if at least that share of
+    its uses is, else in small letters."""
+    shaped = tokens.select(F.lower(form).alias("form"), T.token_shape(form).alias("s"))
+    n = shaped.groupBy("form").agg(F.count("*").alias("n"), F.count_if(F.col("s") == "upper").alias("u"), F.count_if(F.col("s") == "title").alias("t"))
+    own = F.when(F.col("u") >= F.col("n") * least, F.upper("form")).when(F.col("t") >= F.col("n") * least, F.concat(F.upper(F.left("form", F.lit(1))), F.expr("substr(form, 2)"))).otherwise(F.col("form"))
+    return n.select("form", "n", own.alias("written"))
+
+
+def usage_evidence(counts: DataFrame, totals: DataFrame, form: str, source: str) -> DataFrame:
+    """AG-10: per form and source uses per million: n, total and per_million."""
+    return counts.join(totals, source).select(form, source, "n", "total", (F.col("n") * 1e6 / F.col("total")).alias("per_million"))
+
+
 def backoff(contexts: DataFrame, model: DataFrame, order: int = 4) -> DataFrame:
     """MK-01: continuations of each context (array ``context``, id ``id``) from the longest of its suffixes that the model knows."""
     suffix = F.transform(F.sequence(F.lit(1), F.least(F.lit(order), F.size("context"))), lambda k: F.struct(k.alias("length"), F.array_join(F.slice("context", F.size("context") - k + 1, k), " ").alias("context")))

@@ -121,3 +121,16 @@ def contained_sequences(sequences: DataFrame, patterns: DataFrame, seq_id: str,
     keyed = at.select(seq_id, "place", "_tokens", F.explode(F.array(F.struct(pair(F.col("_tokens"), F.col("place")).alias("k"), F.lit(True).alias("two")), F.struct(F.col("_first").alias("k"), F.lit(False).alias("two")))).alias("_e"))
     hit = keyed.select(seq_id, "place", "_tokens", F.col("_e.k").alias("_k"), F.col("_e.two").alias("_two")).join(p, ["_k", "_two"])
     return hit.where(F.expr("slice(_tokens, place + 1, size(_pattern)) = _pattern")).select(seq_id, pattern_id, F.col("place").cast("long").alias("place"))
+
+
+def suffix_search(queries: DataFrame, index: DataFrame, query: str, target: str, key: str = "suffix", syllables: str = "syllables", span: int = 1) -> DataFrame:
+    """FP-04: targets whose key ends with the query's, within ``span`` syllables: an equi-join with the exploded suffixes.
+
+    ``queries``: query, key, syllables; ``index``: target, key (a row a suffix), syllables."""
+    q = queries.select(query, key, F.col(syllables).alias("_n"))
+    return q.join(index.select(target, key, syllables).distinct(), key).where(F.abs(F.col(syllables) - F.col("_n")) <= span).drop("_n")
+
+
+def family_head(family: Column | str) -> Column:
+    """JN-03: the first nucleus of a family key; equal heads are what a range lookup on the key's beginning finds."""
+    return F.get(F.split(as_col(family), "-"), F.lit(0))

@@ -68,3 +68,14 @@ def library(rows: DataFrame, folder: str, query: str = "", order: str = "title",
     own = rows.where((F.col("path") == folder) | F.col("path").startswith(folder.rstrip("/") + "/"))
     found = own.where(F.lower("title").contains(query.lower())).withColumn("parts", F.filter(F.split("path", "/"), lambda p: p != ""))
     return found.orderBy(F.desc(order) if descending else F.asc(order), "title")
+
+
+def shared_placements(cues: DataFrame, song: str, bar: str, place: str, step: str) -> DataFrame:
+    """UI-03: per bar its steps, the bar before it that has any, and the steps that both have.  Steps of a bar are a bounded
+    grid."""
+    from pyspark.sql.window import Window
+
+    bars = cues.groupBy(song, bar, place).agg(F.array_sort(F.collect_set(step)).alias("steps"))
+    w = Window.partitionBy(song).orderBy(place)
+    shared = F.coalesce(F.array_sort(F.array_intersect("steps", "_was")), F.array().cast(dict(bars.dtypes)["steps"]))
+    return bars.withColumn("previous", F.lag(bar).over(w)).withColumn("_was", F.lag("steps").over(w)).withColumn("shared", shared).withColumn("shared_count", F.size("shared").cast("long")).drop("_was")

@@ -105,3 +105,14 @@ def scheme(words: DataFrame, matches: DataFrame, song: str, line: str) -> DataFr
 
     placed = joined.groupBy(song).applyInPandas(label, f"{song} {kinds[song]}, {line} {kinds[line]}, `group` int")
     return placed.withColumn("label", F.when(F.col("group") < 0, NO_WORD).otherwise(T.scheme_label("group"))).drop("group")
+
+
+def structure(lines: DataFrame, song: str, line: str, section: str, section_no: str, tokens: str) -> dict[str, DataFrame]:
+    """AG-20: what songs are made of: lines and tokens by section type, the walk of section types with first and last ones, and
+    how far apart equal end words are (one to four lines)."""
+    from .aggregates import distribution, repeat_distance, transitions
+
+    sections = lines.groupBy(song, section_no, section).agg(F.count("*").alias("lines"), F.avg(tokens).alias("tokens"))
+    ends = repeat_distance(lines.where("word IS NOT NULL"), [song], [line], "word")
+    return {"lines": distribution(sections, [section], "lines"), "tokens": distribution(lines, [section], tokens), "walk": transitions(sections, [song], [section_no], section),
+            "distance": ends.where("distance IS NOT NULL").groupBy("distance").agg(F.count("*").alias("n"))}

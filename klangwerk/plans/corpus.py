@@ -40,15 +40,6 @@ def ph33_rhyme_groups(t) -> DataFrame:
     return w.groupBy(T.rhyme_proxy("form").alias("rhyme")).agg(F.count("*").alias("words"), F.min("form").alias("first_word"), F.max("form").alias("last_word"))
 
 
-@query(f"""WITH w AS (SELECT form, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '{_W}')) AS form FROM documents) GROUP BY form)
-SELECT CASE WHEN trim(form) = '' THEN 'empty' WHEN regexp_matches(form, '^[0-9]+$') THEN 'numeric' WHEN regexp_matches(form, '\\s') THEN 'multiword'
- WHEN regexp_matches(form, '[0-9]') AND regexp_matches(form, '[A-Za-z]') THEN 'mixed_alnum' WHEN regexp_matches(form, '^[A-Za-z]$') THEN 'single_char'
- WHEN regexp_matches(form, '^[A-Za-zÀ-ÖØ-öø-ÿ]+(-[A-Za-zÀ-ÖØ-öø-ÿ]+)+$') THEN 'joined' WHEN regexp_matches(form, '^[A-Za-zÀ-ÖØ-öø-ÿ]+$') THEN 'word' ELSE 'other' END AS shape, count(*) AS forms, sum(n)::BIGINT AS n FROM w GROUP BY 1""")
-def sf11_surface_classes(t) -> DataFrame:
-    w = t.documents.select(F.explode(T.word_tokens("text")).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
-    return w.groupBy(T.surface_class("form").alias("shape")).agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
-
-
 _LINES = f"""(SELECT doc_id, line_no, tokens FROM (SELECT doc_id, line_no, line, list_transform(regexp_extract_all(line, '{_W}'), lambda x: lower(x)) AS tokens
  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents))
  WHERE NOT regexp_matches(line, '(?i)https?://|www\\.') AND len(tokens) BETWEEN 3 AND 48 AND length(regexp_replace(line, '[^0-9]', '', 'g')) * 4 <= length(line))"""
@@ -64,21 +55,34 @@ def ag11_bigram_census(t) -> DataFrame:
     return C.gram_counts(C.sentence_tokens(t.documents), 2).where("n >= 3")
 
 
-_PAIRS = f"""(SELECT list_concat(['<s>', '<s>'], tokens, ['</s>']) AS p FROM {_LINES})"""
-_TRANS = f"""(SELECT length, context, nxt AS next, count(*) AS n FROM (
-  SELECT 1 AS length, p[i - 1] AS context, p[i] AS nxt FROM (SELECT p, unnest(range(3, len(p) + 1)) AS i FROM {_PAIRS}) UNION ALL
-  SELECT 2, p[i - 2] || ' ' || p[i - 1], p[i] FROM (SELECT p, unnest(range(3, len(p) + 1)) AS i FROM {_PAIRS})) GROUP BY 1, 2, 3)"""
+_ORDER = 4
+_PAIRS = f"""(SELECT list_concat({["<s>"] * _ORDER}, tokens, ['</s>']) AS p FROM {_LINES})"""
+_TRANS = "(SELECT length, context, nxt AS next, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT {k} AS length, array_to_string(p[i - {k}:i - 1], ' ') AS context, p[i] AS nxt FROM (SELECT p, unnest(range({_ORDER + 1}, len(p) + 1)) AS i FROM {_PAIRS})" for k in range(1, _ORDER + 1)) + ") GROUP BY 1, 2, 3)"
 
 
 @query(f"""SELECT length, context, next, n, rank, total FROM (SELECT *, sum(n) OVER (PARTITION BY length, context)::BIGINT AS total FROM
- (SELECT *, row_number() OVER (PARTITION BY length, context ORDER BY n DESC, next) AS rank FROM {_TRANS}) WHERE rank <= 3)""")
+ (SELECT *, row_number() OVER (PARTITION BY length, context ORDER BY n DESC, next) AS rank FROM {_TRANS} WHERE n >= 2) WHERE rank <= 128)""")
 def wn04_top_transitions(t) -> DataFrame:
-    return C.top_transitions(C.transitions(C.sentence_tokens(t.documents), 2), 3).select("length", "context", "next", "n", "rank", "total")
+    """The model: contexts of one to four words, transitions seen twice, the 128 best of each context."""
+    counts = C.transitions(C.sentence_tokens(t.documents), _ORDER).where("n >= 2")
+    return C.top_transitions(counts, 128).select("length", "context", "next", "n", "rank", "total")
 
 
 @query(f"SELECT length, count(*) AS states, sum(n)::BIGINT AS n FROM {_TRANS} GROUP BY length")
 def ag12_transition_census(t) -> DataFrame:
-    return C.transitions(C.sentence_tokens(t.documents), 2).groupBy("length").agg(F.count("*").alias("states"), F.sum("n").alias("n"))
+    return C.transitions(C.sentence_tokens(t.documents), _ORDER).groupBy("length").agg(F.count("*").alias("states"), F.sum("n").alias("n"))
+
+
+_KEPT = f"""(SELECT length, context, nxt, n FROM (SELECT length, context, next AS nxt, n, dense_rank() OVER (PARTITION BY length ORDER BY t DESC, context) AS state, row_number() OVER (PARTITION BY length, context ORDER BY n DESC, next) AS r
+ FROM (SELECT *, sum(n) OVER (PARTITION BY length, context) AS t FROM {_TRANS})) WHERE state <= 500 AND r <= 128)"""
+
+
+@query(f"SELECT length, context, nxt AS next, n FROM {_KEPT}")
+def ag13_frequent_states(t) -> DataFrame:
+    """The five hundred most frequent states of each length, with their continuations."""
+    counts = C.transitions(C.sentence_tokens(t.documents), _ORDER)
+    return C.top_transitions(C.frequent_states(counts, 500), 128).select("length", "context", "next", "n")
 
 
 def _windows_sql(table: str) -> str:
@@ -93,10 +97,13 @@ def mk03_source_novelty(t) -> DataFrame:
     return C.novelty(items, docs, "item_id")
 
 
-@query(f"""WITH p AS (SELECT item_id, tokens[1:6] AS pat FROM {_tokens('benchmark')} WHERE len(tokens) >= 6), d AS (SELECT doc_id, tokens, unnest(range(1, len(tokens) - 4)) AS i FROM {_tokens('documents')} WHERE len(tokens) >= 6)
-SELECT doc_id, item_id, (i - 1)::BIGINT AS place FROM (SELECT doc_id, i, tokens[i:i + 5] AS g FROM d) JOIN p ON g = pat""")
+@query(f"""WITH p AS (SELECT item_id, tokens AS pat, array_to_string(tokens[1:2], ' ') AS k, len(tokens) AS n FROM {_tokens('benchmark')} WHERE len(tokens) > 0),
+ d AS (SELECT doc_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM {_tokens('documents')} WHERE len(tokens) > 0),
+ h AS (SELECT doc_id, item_id, i, tokens, pat, n FROM d JOIN p ON p.n > 1 AND array_to_string(d.tokens[i:i + 1], ' ') = p.k UNION ALL SELECT doc_id, item_id, i, tokens, pat, n FROM d JOIN p ON p.n = 1 AND d.tokens[i] = p.k)
+SELECT doc_id, item_id, (i - 1)::BIGINT AS place FROM h WHERE tokens[i:i + n - 1] = pat""")
 def jn15_containment(t) -> DataFrame:
-    items = t.benchmark.select("item_id", F.transform(T.word_tokens("text"), F.lower).alias("all")).where(F.size("all") >= 6).select("item_id", F.slice("all", 1, 6).alias("pattern"))
+    """Every place where a whole benchmark item stands in a document."""
+    items = t.benchmark.select("item_id", F.transform(T.word_tokens("text"), F.lower).alias("pattern"))
     docs = t.documents.select("doc_id", F.transform(T.word_tokens("text"), F.lower).alias("tokens"))
     return O.contained_sequences(docs, items, "doc_id", "tokens", "item_id", "pattern")
 

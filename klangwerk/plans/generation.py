@@ -76,6 +76,22 @@ def mk11_draft_scores(t) -> DataFrame:
     return D.draft_scores(rows).select("o_orderkey", "copied", F.round("utility", 9).alias("utility"))
 
 
+@query("""WITH l AS (SELECT o_orderkey AS line, o_custkey AS song, list(l_returnflag || l_linestatus ORDER BY l_linenumber, l_returnflag || l_linestatus) AS shape, count(*) AS length FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+ p AS (SELECT * FROM (SELECT length, shape, count(*) AS n, row_number() OVER (PARTITION BY length ORDER BY count(*) DESC, shape) AS r FROM l GROUP BY 1, 2) WHERE r <= 5), m AS (SELECT *, max(n) OVER (PARTITION BY length) AS most FROM p)
+SELECT line, count(m.shape) AS patterns, round(max(len(list_filter(range(1, l.length + 1), lambda i: l.shape[i] = m.shape[i]))::DOUBLE / l.length * 0.9 + ln(1 + n) / ln(1 + most) * 0.1), 6) AS fit FROM l LEFT JOIN m USING (length) GROUP BY line""")
+def mk04_shape_fit(t) -> DataFrame:
+    """Orders as lines and the states of their items as shapes, against the five commonest shapes of each length."""
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("line")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("s")))), lambda x: x["s"]).alias("shape"), F.count("*").alias("length"))
+    return C.shape_fit(lines, C.shape_patterns(lines, "shape", "length", 5), "line", "shape", "length")
+
+
+@query("""WITH t AS (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS w FROM documents WHERE lang = 'en'), s AS (SELECT lower(w) AS form, w = upper(w) AND length(w) > 1 AS u, left(w, 1) = upper(left(w, 1)) AND substr(w, 2) = lower(substr(w, 2)) AND NOT (w = upper(w) AND length(w) > 1) AS t FROM t),
+ n AS (SELECT form, count(*) AS n, sum(u::INT) AS u, sum(t::INT) AS t FROM s GROUP BY 1) SELECT form, n, CASE WHEN u >= n * 0.6 THEN upper(form) WHEN t >= n * 0.6 THEN upper(left(form, 1)) || substr(form, 2) ELSE form END AS written FROM n""")
+def sf04_preferred_casing(t) -> DataFrame:
+    words = t.documents.where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))).alias("form"))
+    return C.preferred_casing(words)
+
+
 @query()
 def mk14_generated_lines(t) -> DataFrame:
     """Lines of six words that end in frequent line ends of each language; the model is pruned to words seen ten times."""

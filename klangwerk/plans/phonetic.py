@@ -65,8 +65,8 @@ def wn09_near_tie_bands(t) -> DataFrame:
 
 @query()
 def mk01_backoff(t) -> DataFrame:
-    """The best continuation of each line's last words, from contexts of up to three."""
+    """The best continuation of each line's last words, from contexts of up to four and their 128 best continuations."""
     lines = C.sentence_tokens(t.documents, "doc_id").withColumn("id", F.concat_ws(":", "doc_id", "line_no"))
-    model = C.top_transitions(C.transitions(lines, 3), 1)
-    contexts = lines.select("id", F.slice("tokens", F.greatest(F.lit(1), F.size("tokens") - 3), 3).alias("context"))
-    return C.backoff(contexts, model, 3).where("rank = 1").select("id", "length", "next", "n", "total")
+    model = C.top_transitions(C.transitions(lines, 4), 128)
+    contexts = lines.select("id", F.slice("tokens", F.greatest(F.lit(1), F.size("tokens") - 4), 4).alias("context"))
+    return C.backoff(contexts, model, 4).where("rank = 1").select("id", "length", "next", "n", "total")

@@ -135,3 +135,96 @@ def sf26_collated_order(t) -> DataFrame:
     from klangwerk.operators.policies import collated_order, numbered
 
     return numbered(t.part, ["p_brand"], [*collated_order("p_name", "de"), F.asc("p_partkey")], "r").select("p_partkey", "r")
+
+
+_SHAPE = r"""CASE WHEN regexp_matches(s, '[^\x00-\x{24F}]') AND regexp_matches(s, '\p{L}') AND regexp_matches(regexp_replace(s, '\p{Latin}', '', 'g'), '\p{L}') THEN 'non_latin_letters' WHEN regexp_matches(s, '[^\p{L}\p{M}\p{N}\s''’\-‐‑‒–—]') THEN 'other_punctuation'
+ WHEN regexp_matches(s, '\p{N}') AND regexp_matches(s, '\p{L}') THEN 'mixed_alnum' WHEN regexp_matches(s, '\p{N}') THEN 'numeric' WHEN regexp_matches(s, '\s') THEN 'multiword' WHEN regexp_matches(s, '[-‐‑‒–—''’]') THEN 'joined_lexeme'
+ WHEN length(s) <= 1 THEN 'single_character' WHEN NOT regexp_matches(s, '\p{L}') THEN 'nonlexical' ELSE 'clean_single' END"""
+_SURFACES = "(SELECT trim(x) AS s FROM (SELECT unnest(list_concat(string_split(coalesce(text, ''), ' '), string_split(coalesce(text, ''), chr(10)))) AS x FROM documents))"
+
+
+@query(f"SELECT shape, bucket, count(*) AS n FROM (SELECT {_SHAPE} AS shape, CASE WHEN length(s) <= 1 THEN '1' WHEN length(s) <= 3 THEN '2-3' WHEN length(s) <= 7 THEN '4-7' WHEN length(s) <= 15 THEN '8-15' WHEN length(s) <= 31 THEN '16-31' ELSE '32+' END AS bucket FROM {_SURFACES}) GROUP BY 1, 2")
+def sf11_surface_shapes(t) -> DataFrame:
+    """Shapes and lengths of the words and lines of all documents."""
+    from klangwerk.functions import text as T
+
+    text = F.coalesce("text", F.lit(""))
+    rows = t.documents.select(F.explode(F.concat(F.split(text, " "), F.split(text, "\n"))).alias("s"))
+    return rows.groupBy(T.surface_class("s").alias("shape"), T.length_bucket("s").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, round(CASE WHEN p_size % 3 = 0 THEN least(1.0, greatest(0.0, (p_size / 6.0 - 1.5) / 5)) WHEN p_size % 3 = 1 THEN least(1.0, greatest(0.0, 1 - (log10(p_partkey + 9) - 1) / 5.5)) ELSE 0.25 END, 9) AS usage,
+ round(least(1.0, greatest(0.0, ln(1 + p_size) / ln(51))), 9) AS scaled FROM part""")
+def sf18_usage_utility(t) -> DataFrame:
+    from klangwerk.functions import text as T
+
+    zipf, rank = F.when(F.col("p_size") % 3 == 0, F.col("p_size") / 6.0), F.when(F.col("p_size") % 3 == 1, F.col("p_partkey"))
+    return t.part.select("p_partkey", F.round(T.usage_utility(zipf, rank), 9).alias("usage"), F.round(T.log_scaled("p_size", 50), 9).alias("scaled"))
+
+
+@query("""WITH q AS (SELECT DISTINCT p_partkey AS query, replace(p_name, ' ', '-') AS k, p_size AS n FROM part WHERE p_partkey % 50 = 0)
+SELECT q.query, x.p_partkey AS target FROM q JOIN part x ON replace(x.p_type || '-' || x.p_name, ' ', '-') LIKE '%' || q.k AND abs(x.p_size - q.n) <= 1""")
+def fp04_suffix_search(t) -> DataFrame:
+    """Parts whose type and name end with another's name, of nearly its size; the ids that 50 divides ask."""
+    from klangwerk.functions import text as T
+
+    index = t.part.select(F.col("p_partkey").alias("target"), F.explode(F.array_distinct(T.suffix_keys(F.replace(F.concat_ws("-", "p_type", "p_name"), F.lit(" "), F.lit("-"))))).alias("suffix"), F.col("p_size").alias("syllables"))
+    asked = t.part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query"), F.replace("p_name", F.lit(" "), F.lit("-")).alias("suffix"), F.col("p_size").alias("syllables"))
+    return O.suffix_search(asked, index, "query", "target").select("query", "target")
+
+
+@query("""WITH k AS (SELECT p_partkey AS id, p_size AS n, 'exact' AS channel, p_name AS key FROM part UNION ALL SELECT p_partkey, p_size, 'head', split_part(p_name, ' ', 1) FROM part), q AS (SELECT * FROM k WHERE id % 50 = 0),
+ h AS (SELECT q.id AS query, x.id AS target, x.channel, row_number() OVER (PARTITION BY q.id, x.channel ORDER BY x.n, x.id) AS r FROM q JOIN k x USING (channel, key) WHERE q.id <> x.id)
+SELECT query, target, array_to_string(list_sort(list(channel)), ',') AS channels FROM h WHERE r <= 15 GROUP BY 1, 2""")
+def jn03_family_heads(t) -> DataFrame:
+    """The older lookups: whole keys, and keys that begin alike, as equal first parts."""
+    from klangwerk.operators import names as N
+
+    keys = O.postings(t.part.withColumn("head", O.family_head(F.replace("p_name", F.lit(" "), F.lit("-")))), "p_partkey", {"exact": "p_name", "head": "head"})
+    x = keys.join(t.part.select("p_partkey", F.col("p_size").alias("n")), "p_partkey").select(F.col("p_partkey").alias("target"), "channel", "key", "n")
+    q = keys.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query"), "channel", "key", F.col("p_partkey").alias("target"))
+    return N.limited_channels(q, x, "query", "target", {"exact": 15, "head": 15}, [F.asc("n")], 1000, "target").select("query", "target", F.array_join("channels", ",").alias("channels"))
+
+
+@query("""WITH b AS (SELECT o_custkey, o_orderkey, list_sort(list(DISTINCT l_linenumber)) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), p AS (SELECT *, lag(o_orderkey) OVER w AS previous, lag(s) OVER w AS was FROM b WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT o_custkey, o_orderkey, previous, len(list_intersect(s, coalesce(was, [])))::BIGINT AS shared_count, array_to_string(list_sort(list_intersect(s, coalesce(was, []))), ',') AS shared FROM p""")
+def ui03_shared_placements(t) -> DataFrame:
+    """A customer's orders as bars and their line numbers as steps."""
+    from klangwerk.operators.revisions import shared_placements
+
+    cues = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").withColumn("o_orderkey", F.col("l_orderkey"))
+    out = shared_placements(cues, "o_custkey", "o_orderkey", "l_orderkey", "l_linenumber")
+    return out.select("o_custkey", "o_orderkey", "previous", "shared_count", F.array_join(F.transform("shared", lambda x: x.cast("string")), ",").alias("shared"))
+
+
+@query("""WITH e AS (SELECT p_partkey, p_brand, p_size % 4 AS tier, (p_partkey % 97) / 97.0::DOUBLE AS phonetic, (p_partkey % 11) / 11.0::DOUBLE AS syllable, CASE WHEN p_size % 3 = 0 THEN p_size / 6.0 END AS zipf, CASE WHEN p_size % 3 = 1 THEN p_partkey END AS usage_rank FROM part)
+SELECT p_partkey, round(0.80 * phonetic + 0.14 * syllable + 0.06 * CASE WHEN zipf IS NOT NULL THEN least(1.0, greatest(0.0, (zipf - 1.5) / 5)) WHEN usage_rank > 0 THEN least(1.0, greatest(0.0, 1 - (log10(usage_rank + 9) - 1) / 5.5)) ELSE 0.25 END - CASE WHEN zipf IS NULL AND usage_rank IS NULL THEN 0.015 ELSE 0 END, 8) AS utility FROM e""")
+def rk09_quality(t) -> DataFrame:
+    from klangwerk.operators.english import quality
+
+    k, n = F.col("p_partkey"), F.col("p_size")
+    rows = t.part.select("p_partkey", (k % 97 / 97.0).alias("phonetic"), (k % 11 / 11.0).alias("syllable"), F.when(n % 3 == 0, n / 6.0).alias("zipf"), F.when(n % 3 == 1, k).alias("usage_rank"))
+    return quality(rows).select("p_partkey", "utility")
+
+
+@query("""SELECT p_partkey, round(CASE p_size % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.82 WHEN 2 THEN 0.78 ELSE 0.25 END + round(0.45 * ((p_partkey % 97) / 97.0), 6) + round(0.03 * least(6, p_size % 9) / 6.0, 6) + round(0.03 * (p_size % 4) / 3.0, 6) + round(0.07 * least(6.0, p_size / 7.0) / 6.0, 6)
+ + CASE WHEN p_size % 5 = 0 THEN 0.025 WHEN p_size % 5 = 1 THEN 0.02 ELSE 0 END - round(0.08 * ((p_partkey % 13) / 13.0), 6) - CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN 0.35 ELSE 0.5 END, 6) AS utility FROM part""")
+def rk11_phrase_utility(t) -> DataFrame:
+    from klangwerk.operators.phrases import utility
+
+    k, n = F.col("p_partkey"), F.col("p_size")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    types = F.when(n % 5 == 0, F.array(F.lit("phrase"), F.lit("proverb"))).when(n % 5 == 1, F.array(F.lit("idiom")))
+    u = utility(pick(("perfect", "multisyllabic_slant", "family", "none"), n % 4), k % 97 / 97.0, (n % 9).cast("double"), (n % 4).cast("double"), n / 7.0, types, k % 13 / 13.0, pick(("safe", "marked", "restricted"), n % 3))
+    return t.part.select("p_partkey", u.alias("utility"))
+
+
+@query("""WITH s AS (SELECT conv_id, role, count(*) AS lines FROM conversations GROUP BY 1, 2) SELECT role, count(*) AS n, round(avg(lines), 6) AS mean, quantile_cont(lines, 0.25) AS p25, quantile_cont(lines, 0.5) AS median, quantile_cont(lines, 0.75) AS p75 FROM s GROUP BY 1""")
+def ag20_structure_lines(t) -> DataFrame:
+    """Conversations as songs and roles as sections: how many lines a section has."""
+    from klangwerk.functions import text as T
+    from klangwerk.operators.song import structure
+
+    lines = t.conversations.select("conv_id", "turn", "role", F.col("role").alias("section"), F.size(T.word_tokens("text")).alias("tokens"), T.end_word(F.coalesce("text", F.lit(""))).alias("word"))
+    out = structure(lines, "conv_id", "turn", "section", "role", "tokens")["lines"]
+    return out.select(F.col("section").alias("role"), "n", F.round("mean", 6).alias("mean"), "p25", "median", "p75")

@@ -304,11 +304,11 @@ def fp03_prefix_search(t) -> DataFrame:
     return X.prefix_search(t.customer, "c_name", "Customer#00000001", [F.max("c_acctbal").alias("most")], 250).select("c_name", "rows", "exact", "most")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(p_type, ' '), 'BRASS') AND contains(p_name, 'e') AND p_size BETWEEN 10 AND 20")
+@query("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(p_name, ' '), 'rod') AND contains(p_type, 'M') AND p_size BETWEEN 10 AND 20")
 def fp05_contains_filter(t) -> DataFrame:
-    """Parts whose name holds an e, of a type one of whose words is BRASS, and of middle size."""
-    parts = t.part.withColumn("types", F.split("p_type", " "))
-    return X.contains_search(parts, "p_name", "e", "types", "BRASS", F.col("p_size").between(10, 20)).select("p_partkey", "p_name")
+    """Parts whose type holds an M, whose name names a rod, and of middle size."""
+    parts = t.part.withColumn("types", F.split("p_name", " "))
+    return X.contains_search(parts, "p_type", "M", "types", "rod", F.col("p_size").between(10, 20)).select("p_partkey", "p_name")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice >= 200000 AND o_orderstatus = 'F' THEN 'A' WHEN o_totalprice >= 100000 THEN 'B' WHEN o_orderstatus <> 'O' THEN 'C' ELSE 'D' END AS tier FROM orders""")

@@ -109,3 +109,15 @@ def test_orders_and_summaries(spark):
     assert one.q == 1.5 and one.n == 100
     with pytest.raises(Exception, match="too many"):
         A.pairwise_similarity(spark.range(60).select(F.lit(1).alias("k"), "id"), ["k"], "id", lambda a, b: F.lit(0.0)).collect()
+
+
+def test_english_order(spark):
+    from klangwerk.operators import english as En
+
+    rows = [("q", i, f, 0, p, ["x"] if f in ("cats", "cat") else [f]) for i, (f, p) in enumerate([("cat", 0.95), ("cats", 0.94), ("hat", 0.93), ("mat", 0.90), ("zzz", 0.50)])] + [("q", 9, "best", 1, 1.0, None)]
+    df = spark.createDataFrame(rows, "query string, id long, form string, tier int, phonetic double, lemmas array<string>").withColumns({"syllable": F.lit(1.0), "zipf": F.lit(4.0), "usage_rank": F.lit(None).cast("long")})
+    ranked = En.banded(En.quality(df), "query")
+    assert [(r.form, r.band) for r in ranked.orderBy("rank").collect()] == [("cat", 0), ("cats", 0), ("hat", 0), ("mat", 1), ("zzz", 2), ("best", 0)]
+    got = En.diversified(ranked, "query", 4).orderBy("position").collect()
+    assert [r.form for r in got] == ["cat", "hat", "cats", "mat"] and got[2].max_redundancy == 0.95
+    assert En.redundancy({"form": "a", "lemmas": []}, {"form": "a", "lemmas": []}) == 1.0 and En.redundancy({"form": "", "lemmas": []}, {"form": "a", "lemmas": []}) == 0.0
