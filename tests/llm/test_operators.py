@@ -502,7 +502,46 @@ def test_op9_base(spark, sf, edge_dir):
         assert got == want
 
 
+def brute_labels(words):
+    """Labels by comparing every template at every place."""
+    found = {label for phrase, label in licenses.BASE_PHRASES if any(words[i : i + len(phrase.split())] == phrase.split() for i in range(len(words)))}
+    for t in licenses.TEMPLATES:
+        want = t.text.split()
+        for start in range(-len(want), len(words)):
+            near = lambda k, w: w in words[max(0, start + k - licenses.SLACK) : max(0, start + k + licenses.SLACK + 1)]  # noqa: B023, E731
+            if t.label not in found and sum(near(k, w) for k, w in enumerate(want)) >= licenses.MIN_SCORE * len(want):
+                around = words[max(0, start - licenses.SLACK) : start + len(want) + licenses.SLACK + 8]
+                if all(any(around[i : i + len(key.split())] == key.split() for i in range(len(around))) for key in t.keys):
+                    found.add(t.label)
+    return found
+
+
+def test_op9_labels_against_brute_force(spark):
+    """Licences with edits among other text: the index finds what a comparison at every place finds."""
+    rng = np.random.default_rng(41)
+    prose = "the software of this work and any person may use it in the form of a copy that is free to all".split()
+    rows, want = [], {}
+    for i in range(120):
+        own = mutated(rng, licenses.TEMPLATES[i % len(licenses.TEMPLATES)].text.split(), int(rng.integers(0, 5))) if i % 6 else []
+        body = [prose[k] for k in rng.integers(0, len(prose), 30)]
+        at = int(rng.integers(0, 31))
+        words = body[:at] + own + body[at:]
+        rows.append((i, " ".join(words)))
+        want[i] = brute_labels(words)
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits, extra = sum(len(got[i] & want[i]) for i in got), sum(len(got[i] - want[i]) for i in got)
+    assert hits >= 0.97 * sum(map(len, want.values())) and extra <= 2 and sum(map(len, want.values())) > 60
+
+
+def test_op9_method_columns_on_edge_rows(spark, edge_dir):
+    rows = {r.doc_id: r for r in QUERIES["op9_license_index"](spark, edge_dir).collect()}
+    assert all((r.labels, r.score) == ("", 0.0) for r in rows.values()) and rows[1].n_words == 0 and rows[6].n_words == 60000
+
+
 def test_op9_templates(spark):
+    import pyarrow as pa
+
+    assert licenses.scanned_words(pa.array(["Ab-c_d é'X9", None, ""]))[0] == ["ab", "c", "d", "é", "x9"]
     rows = [(i, f"Some code.\n{t.text}.") for i, t in enumerate(licenses.TEMPLATES)] + [(99, "The license of the free person is not here, and the software is granted to none.")]
     got = {r.doc_id: r.labels.split(",") for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(t.label in got[i] for i, t in enumerate(licenses.TEMPLATES)) and got[99] == [""]
