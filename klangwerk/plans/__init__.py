@@ -1,6 +1,6 @@
 """Named queries over the driver's tables."""
 
-from . import corpus, generation, more, phonetic, quality, relational, retrieval, rules
+from . import corpus, functions, generation, more, phonetic, quality, relational, retrieval, rules
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "generation", "more", "phonetic", "quality", "relational", "retrieval", "rules"]
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "functions", "generation", "more", "phonetic", "quality", "relational", "retrieval", "rules"]
