@@ -32,11 +32,11 @@ from .tokenbin import WORDS, marked_words
 from .wordcodes import gather, marked_codes, slices
 
 #: Words (with repeats) and bytes of new distinct words after which a block is closed.
-BLOCK_WORDS, BLOCK_BYTES = 700_000, 1_200_000
+BLOCK_WORDS, BLOCK_BYTES = 300_000, 600_000
 #: Distinct words after which a task begins anew.
-MAX_KNOWN = 400_000
+MAX_KNOWN = 250_000
 #: Documents and bytes of text whose words are held as arrays at once.
-SLICE_DOCS, SLICE_BYTES = 1000, 4_000_000
+SLICE_DOCS, SLICE_BYTES = 500, 1_500_000
 _BLOCK = "docs array<long>, lengths array<int>, codes binary, words array<struct<bytes:array<int>,merges:array<int>>>, known int, one int"
 
 
@@ -68,7 +68,7 @@ def fold_word(word: Column) -> Column:
 def _words_column(words: list[bytes], finder: MergeFinder) -> pa.StructArray:
     """Words as their bytes and the merges that they may need."""
     raw = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int32)
-    found = [finder.find(words[k : k + 50_000]) for k in range(0, len(words), 50_000)]
+    found = [finder.find(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
     merges = np.concatenate([m for m, _ in found]) if found else np.zeros(0, np.int32)
     edges = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(e) for _, e in found]))]) if found else [0]
     return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(w) for w in words])]), pa.int32()), pa.array(raw)),
@@ -127,7 +127,7 @@ def fold_blocks(docs: DataFrame, table: RankTable) -> DataFrame:
 
 
 def _encoded(batches):
-    """(doc_ids, all their ids, where each document's begin) of the blocks, some hundred documents at a time."""
+    """(doc_ids, all their ids, where each document's begin) of the blocks, a hundred documents at a time."""
     flat, begin, size, met = np.zeros(4096, np.int32), np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
 
     def room(old: np.ndarray, n: int) -> np.ndarray:
@@ -154,8 +154,8 @@ def _encoded(batches):
             begin[known : known + n] = used + np.cumsum(own) - own
             docs, lengths = b.column(0)[i].values.to_pylist(), b.column(1)[i].values.to_numpy().astype(np.int64)
             codes, words = np.frombuffer(b.column(2)[i].as_py(), dtype="<i4"), np.concatenate([[0], np.cumsum(lengths)])
-            for k in range(0, len(docs), 500):
-                end = min(len(docs), k + 500)
+            for k in range(0, len(docs), 100):
+                end = min(len(docs), k + 100)
                 part = codes[words[k] : words[end]]
                 past = np.concatenate([[0], np.cumsum(size[part])])
                 yield docs[k:end], gather(flat, begin, size, part), past[words[k : end + 1] - words[k]]

@@ -29,6 +29,8 @@ ROUND_KEYS = (1103515245, 1664525, 69069, 1566083941, 742938285, 950706376)
 MAX_WALK = 64
 ROWS_PER_BUCKET = 4096
 MAX_BUCKETS = 65536
+#: Repeated rows that are told apart at once.
+RUN_STEP = 65536
 
 
 def domain(n: int) -> tuple[int, int]:
@@ -79,8 +81,12 @@ def number_rows(docs: DataFrame) -> tuple[DataFrame, int]:
     within = Window.partitionBy("bucket").orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "size")
     placed = runs.withColumn("past", F.sum("run").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("run"))
     numbered = placed.join(F.broadcast(shifts), "bucket").select(
-        "doc_id", "size", "text_crc32", (F.col("shift") + F.col("past")).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("run") - 1)).alias("i"))
-    return numbered.select("doc_id", "size", "text_crc32", (F.col("first") + F.col("i")).alias("row_no")), n
+        "doc_id", "size", "text_crc32", "run", (F.col("shift") + F.col("past")).alias("first"))
+    # two steps, so that no array holds a whole run
+    whole = F.expr(f"sequence(0L, (run - 1) div {RUN_STEP})")
+    part = numbered.select("doc_id", "size", "text_crc32", "run", "first", F.explode(whole).alias("step"))
+    each = F.expr(f"sequence(step * {RUN_STEP}L, least(run, (step + 1) * {RUN_STEP}L) - 1)")
+    return part.select("doc_id", "size", "text_crc32", "first", F.explode(each).alias("i")).select("doc_id", "size", "text_crc32", (F.col("first") + F.col("i")).alias("row_no")), n
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 20240229) -> DataFrame:

@@ -150,6 +150,8 @@ def find_mentions(docs: DataFrame) -> DataFrame:
 #: Terms (or terms of all documents that have disclosing ones) up to which their set is broadcast; beyond it the join is a
 #: shuffle join.
 MAX_BROADCAST_TERMS = 100_000
+#: Terms up to which they stand in the plan.
+MAX_LITERAL_TERMS = 2_000
 MAX_BROADCAST_TEXT_TERMS = 1_000_000
 
 
@@ -177,7 +179,12 @@ def disclosing(docs: DataFrame, near: DataFrame, of_entity: DataFrame) -> DataFr
     wanted = of_pair.select("term").distinct()
     n_terms = wanted.count()
     counts = of_pair.sparkSession.createDataFrame([], "term string, n_term long")
-    if n_terms:
+    if 0 < n_terms <= MAX_LITERAL_TERMS:
+        # few terms are picked inside each row, so that only their counts are shuffled
+        known = [r[0] for r in wanted.collect()]
+        own = F.filter(_words(F.coalesce("text", F.lit(""))), lambda w: w.isin(known))
+        counts = docs.select(F.explode(own).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    elif n_terms:
         # counted before they are chosen: a join below the count would carry a row for every document of a frequent term
         counted = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
         counts = counted.join(_bounded(wanted, n_terms), "term")

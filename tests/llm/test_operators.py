@@ -327,6 +327,14 @@ def test_op6_is_a_permutation(spark, sf, edge_dir):
         assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, QUERIES["op6_feistel_shards"](spark, d).collect()), key=str)
 
 
+def test_op6_long_runs(spark, monkeypatch):
+    monkeypatch.setattr(feistel, "RUN_STEP", 4)
+    docs = spark.createDataFrame([(1, "a")] * 11 + [(None, None)] * 8 + [(2, "b")], "doc_id long, text string")
+    rows, n = feistel.number_rows(docs)
+    got = rows.collect()
+    assert n == 20 and sorted(r.row_no for r in got) == list(range(20)) and Counter(r.doc_id for r in got) == {1: 11, None: 8, 2: 1}
+
+
 def test_op7_finds_all_verified_windows(spark):
     rng = np.random.default_rng(5)
     word = lambda: f"v{rng.integers(3000)}"
@@ -642,7 +650,7 @@ def brute_disclosure(rows):
     return {rows[i][0]: t for i, t in out.items()}
 
 
-def test_op10_equals_brute_force(spark):
+def test_op10_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(17)
     common, names = [f"common{'abcdefghij'[k]}" for k in range(10)], [f"name{'abcdef'[k]}" for k in range(6)]
     rows = []
@@ -654,6 +662,9 @@ def test_op10_equals_brute_force(spark):
     got = {r.doc_id: {dict(rows)[r.doc_id][s.begin : s.end].lower() for s in r.terms} for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.terms}
     want = brute_disclosure(rows)
     assert want and got == want
+    monkeypatch.setattr(pii, "MAX_LITERAL_TERMS", 0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: {dict(rows)[r.doc_id][s.begin : s.end].lower() for s in r.terms} for r in pii.detect(docs).collect() if r.terms} == want
 
 
 def test_op10_disclosure(spark):
