@@ -190,13 +190,15 @@ def st01_postings(t) -> DataFrame:
     return p.groupBy("channel").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"))
 
 
-@query(f"""WITH h AS (SELECT q.id AS query_id, x.id AS target_id, min(q.channel_order) AS channel_order, count(*) AS channels
- FROM {_POSTINGS} q JOIN {_POSTINGS} x ON q.channel = x.channel AND q.key = x.key WHERE q.id <> x.id AND q.id % 50 = 0 GROUP BY 1, 2)
+@query(f"""WITH x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel, key ORDER BY id) AS r FROM {_POSTINGS}) WHERE r <= 50),
+ h AS (SELECT q.id AS query_id, x.id AS target_id, min(q.channel_order) AS channel_order, count(*) AS channels FROM {_POSTINGS} q JOIN x ON q.channel = x.channel AND q.key = x.key WHERE q.id <> x.id AND q.id % 50 = 0 GROUP BY 1, 2)
 SELECT query_id, target_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY channels DESC, channel_order, target_id) AS rank FROM h) WHERE rank <= 10""")
 def jn01_multi_channel_retrieval(t) -> DataFrame:
+    """The stated query set, ids divisible by 50, against the fifty first rows of every posting: each lookup is bounded."""
     p = O.postings(t.part, "p_partkey", {"brand": "p_brand", "type": "p_type", "size": "p_size"})
-    asked = p.where("p_partkey % 50 = 0")  # the stated query set: ids divisible by 50, against all rows
-    hits = O.retrieve(asked.withColumnRenamed("p_partkey", "query_id"), p.withColumnRenamed("p_partkey", "target_id"), "query_id", "target_id").where("query_id <> target_id")
+    asked = p.where("p_partkey % 50 = 0")
+    bounded = O.top_per_group(p, ["channel", "key"], [F.asc("p_partkey")], 50).drop("rank")
+    hits = O.retrieve(asked.withColumnRenamed("p_partkey", "query_id"), bounded.withColumnRenamed("p_partkey", "target_id"), "query_id", "target_id").where("query_id <> target_id")
     return O.top_per_group(hits, ["query_id"], [F.desc(F.size("channels")), F.asc("channel_order"), F.asc("target_id")], 10).select("query_id", "target_id", "rank")
 
 
@@ -283,20 +285,22 @@ def sf17_bands(t) -> DataFrame:
     return t.part.select("p_partkey", T.deficit_band(share).alias("deficit"), T.score_band(share).alias("band"))
 
 
-@query("""SELECT a.p_partkey AS a, b.p_partkey AS b, 1.0 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) AS similarity
- FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
+@query("""WITH n AS (SELECT DISTINCT p_type, p_name FROM part) SELECT a.p_type, a.p_name AS a, b.p_name AS b, 1.0 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) AS similarity
+ FROM n a JOIN n b ON a.p_type = b.p_type AND a.p_name < b.p_name""")
 def sf06_edit_similarity(t) -> DataFrame:
-    a, b = t.part.alias("a"), t.part.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("p_brand", "p_type", "p_size")]
-    return a.join(b, same[0] & same[1] & same[2] & (F.col("a.p_partkey") < F.col("b.p_partkey"))).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), T.edit_similarity("a.p_name", "b.p_name").alias("similarity"))
+    """The different names of each type, a bounded vocabulary, with each other."""
+    n = t.part.select("p_type", "p_name").distinct()
+    pairs = n.select("p_type", F.col("p_name").alias("a")).join(n.select("p_type", F.col("p_name").alias("b")), "p_type").where("a < b")
+    return pairs.select("p_type", "a", "b", T.edit_similarity("a", "b").alias("similarity"))
 
 
-@query("""SELECT c_custkey, s_suppkey, 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) AS dice FROM
- (SELECT c_custkey, c_nationkey, list_distinct(list_transform(range(1, greatest(2, length(c_mktsegment))), lambda i: substr(c_mktsegment, i, 2))) AS x FROM customer) JOIN
+@query("""SELECT c_mktsegment, s_suppkey, 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) AS dice FROM
+ (SELECT DISTINCT c_mktsegment, c_nationkey, list_distinct(list_transform(range(1, greatest(2, length(c_mktsegment))), lambda i: substr(c_mktsegment, i, 2))) AS x FROM customer) JOIN
  (SELECT s_suppkey, s_nationkey, list_distinct(list_transform(range(1, greatest(2, length(s_name))), lambda i: substr(s_name, i, 2))) AS y FROM supplier) ON c_nationkey = s_nationkey""")
 def sf08_bigram_dice(t) -> DataFrame:
-    j = t.customer.join(t.supplier, F.col("c_nationkey") == F.col("s_nationkey"))
-    return j.select("c_custkey", "s_suppkey", T.bigram_dice("c_mktsegment", "s_name").alias("dice"))
+    """Suppliers with the different segments of their nation: a supplier meets each value once, not each customer."""
+    j = t.customer.select("c_mktsegment", "c_nationkey").distinct().join(t.supplier, F.col("c_nationkey") == F.col("s_nationkey"))
+    return j.select("c_mktsegment", "s_suppkey", T.bigram_dice("c_mktsegment", "s_name").alias("dice"))
 
 
 @query("""SELECT c_name, count(*) AS rows, c_name = 'Customer#00000001' AS exact, max(c_acctbal) AS most FROM customer WHERE starts_with(c_name, 'Customer#00000001') GROUP BY c_name ORDER BY exact DESC, c_name LIMIT 250""")
