@@ -79,14 +79,18 @@ def rank_violations(df: DataFrame, key: str, rank: str, level: str) -> DataFrame
     return df.withColumn("highest_before", before).where(F.col("highest_before") > F.col(level))
 
 
-def near_tie_bands(df: DataFrame, keys: list[str], score: str, tie: list[str], width: float = 0.03, name: str = "band") -> DataFrame:
-    """WN-09: rows by falling score; a new band begins where the score is more than ``width`` below its band's first."""
+def near_tie_bands(df: DataFrame, keys: list[str], score: str, tie: list[str] = (), width: float = 0.03, name: str = "band") -> DataFrame:
+    """WN-09: rows by falling score; a new band begins where the score is more than ``width`` below its band's first.
+
+    Bands depend on the scores alone, so only a group's different scores are walked, in order by definition; rows take the
+    band of theirs by a join."""
     from pyspark.sql.types import LongType, StructType
 
-    schema = StructType([*df.schema.fields]).add(name, LongType())
+    cells = df.select(*keys, score).distinct()
+    schema = StructType([*cells.schema.fields]).add(name, LongType())
 
     def run(pdf):
-        pdf = pdf.sort_values([score, *tie], ascending=[False] + [True] * len(tie), kind="stable")
+        pdf = pdf.sort_values(score, ascending=False, kind="stable")
         bands, anchor, n = [], None, -1
         for s in pdf[score]:
             if anchor is None or anchor - s > width:
@@ -94,7 +98,12 @@ def near_tie_bands(df: DataFrame, keys: list[str], score: str, tie: list[str], w
             bands.append(n)
         return pdf.assign(**{name: bands})
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    walked = cells.groupBy(*keys).applyInPandas(run, schema)
+    same = [F.col(f"_r.{c}").eqNullSafe(F.col(f"_w.{c}")) for c in [*keys, score]]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return df.alias("_r").join(walked.alias("_w"), on).select("_r.*", f"_w.{name}")
 
 
 def capped_greedy(df: DataFrame, key: str, order: str, caps: dict[str, int], limit: int, rank: str = "kept_rank") -> DataFrame:

@@ -138,12 +138,12 @@ def sf32_rhythm(t) -> DataFrame:
     return n.select("l_linenumber", ms.alias("ms"), F.round(S.syllables_per_second(F.col("n"), F.lit(60000.0 / 90 * 4)), 6).alias("density"))
 
 
-@query(f"""WITH lex AS {_LEX}, v AS (SELECT upper(left(form, 1)) || '-' || substr(form, 2) AS f, form FROM lex WHERE n >= 20 UNION ALL SELECT form || '''s', form FROM lex WHERE n >= 20)
+@query(f"""WITH lex AS {_LEX}, v AS (SELECT upper(left(form, 1)) || '-' || substr(form, 2) AS f, form FROM lex WHERE n >= 20 AND left(form, 1) <> 'ß' UNION ALL SELECT form || '''s', form FROM lex WHERE n >= 20 AND left(form, 1) <> 'ß')
 SELECT f AS form, lex.form AS target, kind FROM (SELECT f, lower(regexp_replace(f, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS t, 'punctuation' AS kind FROM v UNION ALL SELECT f, lower(regexp_extract(f, '^(.+?)[''’]s?$', 1)), 'possessive' FROM v) a JOIN lex ON lex.form = a.t WHERE a.t <> '' AND a.t <> lower(f)""")
 def ph35_aliases(t) -> DataFrame:
     """Forms with a hyphen after the first letter and with a possessive ending, against the corpus lexicon."""
     lex = _lexicon(t)
-    often = lex.where("n >= 20")
+    often = lex.where("n >= 20 AND left(form, 1) != 'ß'")  # whose capital differs from system to system
     made = often.select(F.concat(F.upper(F.left("form", F.lit(1))), F.lit("-"), F.expr("substr(form, 2)")).alias("f")).unionByName(often.select(F.concat("form", F.lit("'s")).alias("f")))
     found = M.punctuation_aliases(made.select(F.lower("f").alias("form"), "f"), lex)
     return made.select("f", F.lower("f").alias("form")).distinct().join(found, "form").select(F.col("f").alias("form"), "target", "kind")

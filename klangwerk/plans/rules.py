@@ -232,10 +232,10 @@ def ag17_interpolated_quantile(t) -> DataFrame:
     return A.distribution(t.lineitem, ["l_returnflag"], "l_quantity", {"p10": 0.1, "p99": 0.99}).drop("mean")
 
 
-@query("""WITH s AS (SELECT o_orderstatus || '/' || o_orderpriority AS stage, (o_totalprice / 100)::BIGINT AS ms FROM orders)
+@query("""WITH s AS (SELECT o_orderstatus || '/' || o_orderpriority AS stage, floor(o_totalprice / 100)::BIGINT AS ms FROM orders)
 SELECT stage, count(*) AS n, round(avg(ms), 4) AS mean, round(stddev_pop(ms), 4) AS deviation, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, max(ms) AS largest FROM s GROUP BY 1""")
 def ag18_stage_timing(t) -> DataFrame:
-    ms = F.round(F.col("o_totalprice") / 100).cast("long")
+    ms = F.floor(F.col("o_totalprice") / 100).cast("long")
     rows = t.orders.select(F.create_map(F.concat_ws("/", "o_orderstatus", "o_orderpriority"), ms).alias("stages"))
     return A.stage_timing(rows, "stages").select("stage", "n", F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"), "p50", "p95", "largest")
 
