@@ -34,7 +34,7 @@ from .wordcodes import gather, marked_codes, slices
 #: Words (with repeats) and bytes of new distinct words after which a block is closed.
 BLOCK_WORDS, BLOCK_BYTES = 300_000, 600_000
 #: Distinct words after which a task begins anew.
-MAX_KNOWN = 250_000
+MAX_KNOWN = 150_000
 #: Documents and bytes of text whose words are held as arrays at once.
 SLICE_DOCS, SLICE_BYTES = 500, 1_500_000
 _BLOCK = "docs array<long>, lengths array<int>, codes binary, words array<struct<bytes:array<int>,merges:array<int>>>, known int, one int"

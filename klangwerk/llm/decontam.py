@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_arrow, settle, small_side
-from .wordcodes import gather, hashed_words
+from .wordcodes import gather, hashed_words, slices
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.75
@@ -243,14 +243,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches):
             items = Items(ids, items_texts)
-            for b in batches:
-                for begin in range(0, b.num_rows, 1000):  # bounds the bit sums held at once
-                    part = b.slice(begin, 1000)
-                    found = items.matches(part.column(1))
-                    if found:
-                        doc_ids = part.column(0).to_pylist()
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*((doc_ids[row], ids[item], -at, n, alike) for (row, item), (alike, at, n) in sorted(found.items()))),
-                                                                                    (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
+            for part in slices(batches, 1, 300, 1_000_000):  # bounds the bit sums held at once
+                found = items.matches(part.column(1))
+                if found:
+                    doc_ids = part.column(0).to_pylist()
+                    rows = ((doc_ids[row], ids[item], -at, n, alike) for (row, item), (alike, at, n) in sorted(found.items()))
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
         return in_arrow(texts, run, MATCHES)
 

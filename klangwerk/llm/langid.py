@@ -36,8 +36,8 @@ from .wordcodes import list_codes, slices, without_empty
 
 EM_ROUNDS = 2
 FLOOR = 1e-7  # probability of a piece never seen in a language, and of a single letter outside the vocabulary
-SLICE_DOCS, SLICE_CHARS = 1000, 4_000_000
-CHUNK_LETTERS = 400_000  # letters of equally long words that are scored together
+SLICE_DOCS, SLICE_CHARS = 500, 1_500_000
+CHUNK_LETTERS = 100_000  # letters of equally long words that are scored together
 RESCALE = 16  # letters after which the sums of a word are brought back into range
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 

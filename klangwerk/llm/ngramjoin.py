@@ -40,7 +40,7 @@ from .decontam import SHINGLE, shingle_hashes
 from .wordcodes import hashed_words, slices
 
 PERCENT = 75
-BLOCK_DOCS, BLOCK_BYTES = 2000, 5_000_000
+BLOCK_DOCS, BLOCK_BYTES = 1500, 3_000_000
 BUCKET_BYTES = 16_000_000  # of texts whose counted shingles make up a bucket, some 8 MB
 REPEATED = 0xFFFF  # in place of a document's number: the shingle is in several documents of the block
 
