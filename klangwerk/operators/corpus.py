@@ -149,10 +149,19 @@ def windows(tokens: DataFrame, *keys: str, lengths: range = range(4, 9)) -> Data
     return tokens.select(*keys, F.explode(grams).alias("w")).select(*keys, "w.length", "w.h")
 
 
+#: Windows of the candidates up to which they are broadcast; beyond it the same join is a shuffle join.
+MAX_BROADCAST_WINDOWS = 2_000_000
+
+
 def novelty(candidates: DataFrame, sources: DataFrame, key: str) -> DataFrame:
-    """MK-03: the longest window that each candidate shares with the sources; 0 if none."""
+    """MK-03: the longest window that each candidate shares with the sources; 0 if none.
+
+    The sources' windows are kept only if a candidate has them, before anything is shuffled, while the candidates are few
+    (counted)."""
     own = windows(candidates, key).distinct()
-    known = windows(sources).distinct()
+    asked = own.select("length", "h").distinct()
+    few = asked.limit(MAX_BROADCAST_WINDOWS + 1).count() <= MAX_BROADCAST_WINDOWS
+    known = windows(sources).join(F.broadcast(asked) if few else asked, ["length", "h"], "left_semi").distinct()
     longest = own.join(known, ["length", "h"], "left_semi").groupBy(key).agg(F.max("length").alias("longest"))
     return candidates.select(key).distinct().join(longest, key, "left").select(key, F.coalesce("longest", F.lit(0)).alias("longest"))
 
