@@ -23,9 +23,9 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow with batches of bounded size and memory given back at the end of a task.
 
     The limit on bytes is a setting of the session, so it holds for later queries too; a smaller one is left alone."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(conf.get(key).rstrip("b")) <= BATCH_BYTES:
-        conf.set(key, f"{BATCH_BYTES}b")
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
     return df.mapInArrow(tidy(run), schema)
 
 

@@ -42,6 +42,24 @@ def empty_dir(spark, tmp_path_factory):
     return str(d)
 
 
+def test_batches_of_python_functions_are_bounded(spark):
+    from klangwerk.llm.common import BATCH_BYTES, in_arrow
+
+    key, df = "spark.sql.execution.arrow.maxBytesPerBatch", spark.createDataFrame([("x" * 1_000_000,)] * 30, "text string").coalesce(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    before = spark.conf.get(key)
+    for value, most in (("64m", BATCH_BYTES), ("2m", 2 << 20)):
+        spark.conf.set(key, value)
+        assert max(r.n for r in in_arrow(df, sizes, "n long").collect()) <= most + 1_100_000
+    spark.conf.set(key, before)
+
+
 def texts(spark, sf):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
 
