@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch on its way to a Python worker.  Spark's own limit of 64 MB is held several times by each task, on
 #: both sides, and by allocators that keep what they once had.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 
 #: ASCII white space, the separators of words in every operator that splits on white space.
 SPACE = r"[\x20\x09-\x0D]+"
