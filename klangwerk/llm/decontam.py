@@ -140,14 +140,14 @@ class ShingleLookup:
             if len(part):
                 yield int(owner[part[0]]), at[part]
 
-    def windows(self, x: np.ndarray, starts: np.ndarray):
+    def windows(self, x: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         """(row, item, similarity, first word, words) of each similar window."""
         for i, at in self._hits(x):
             item, counts, n = self.items[i]
             least = int(np.ceil(MIN_SIMILARITY * n))  # similar windows hold so many hits, also where the text is shorter
             for j in np.flatnonzero(at[least - 1 :] - at[: max(0, len(at) - least + 1)] < n).tolist():
                 row = int(np.searchsorted(starts, at[j], side="right")) - 1
-                lo, end = int(starts[row]), int(starts[row + 1]) - SHINGLE + 1
+                lo, end = int(starts[row]), int(ends[row]) - SHINGLE + 1
                 before = int(at[j - 1]) if j else -1
                 if end - lo < n:
                     places = [lo] if before < lo else []
@@ -159,6 +159,16 @@ class ShingleLookup:
                         yield row, item, alike, p - lo, stop - p + SHINGLE - 1
 
 
+def aligned(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with gaps between the texts, so that each text begins at a multiple of STRIDE and the windows inside it are the
+    same in whatever company it comes; where the texts begin and end."""
+    n = np.diff(starts)
+    begin = np.concatenate([[0], np.cumsum(-(-n // STRIDE) * STRIDE)])
+    out = np.zeros(int(begin[-1]), np.uint64)
+    out[np.arange(len(h)) + np.repeat(begin[:-1] - starts[:-1], n)] = h
+    return out, begin, begin[:-1] + n
+
+
 class Items:
     """A block of benchmark items, by window length."""
 
@@ -183,7 +193,7 @@ class Items:
 
     def matches(self, texts: pa.Array) -> dict[tuple[int, int], tuple[float, int, int]]:
         """(row, place of the item in ids) to (similarity, first word, words) of the best window."""
-        h, starts = hashed_words(texts)
+        h, starts, ends = aligned(*hashed_words(texts))
         best = {}
 
         def put(row, item, found):
@@ -196,13 +206,13 @@ class Items:
                 for item, x in items:
                     for at in np.flatnonzero(grams == x).tolist():
                         row = int(np.searchsorted(starts, at, side="right")) - 1
-                        if at + k <= starts[row + 1]:
+                        if at + k <= ends[row]:
                             put(row, item, (1.0, -(at - int(starts[row])), k))
         if len(h) < SHINGLE:
             return best
         x = shingle_hashes(h)
         if self.looked_up:
-            for row, item, alike, first, n in self.looked_up.windows(x, starts):
+            for row, item, alike, first, n in self.looked_up.windows(x, starts, ends):
                 put(row, item, (alike, -first, n))
         if not self.classes:
             return best
@@ -220,7 +230,7 @@ class Items:
                 item, counts, n = items[i]
                 for s in (windows * STRIDE).tolist():
                     row = int(np.searchsorted(starts, min(s + w // 2, len(h) - 1), side="right")) - 1
-                    lo, stop = int(starts[row]), int(starts[row + 1]) - SHINGLE + 1
+                    lo, stop = int(starts[row]), int(ends[row]) - SHINGLE + 1
                     last = max(lo, min(stop - n, s + STRIDE + max(0, w - n)))  # places where the item's length fits
                     first = max(lo, s - STRIDE)
                     # a similar window holds at least so many of the item's shingles, with repeats

@@ -383,6 +383,23 @@ def test_op7_finds_all_verified_windows(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_op7_results_do_not_depend_on_the_batch():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(14)
+    items = [[f"i{k}x{rng.integers(500)}" for _ in range(rng.integers(35, 90))] for k in range(12)]
+    texts = [None, "", "one"]
+    for i in range(60):
+        body = [f"v{rng.integers(500)}" for _ in range(rng.integers(0, 90))]
+        at = int(rng.integers(0, len(body) + 1))
+        texts.append(" ".join(body[:at] + mutated(rng, items[i % 12], int(rng.integers(0, 3))) + body[at:]))
+    find = decontam.Items(list(range(12)), [" ".join(x) for x in items])
+    alone = {(i, item): v for i, t in enumerate(texts) for (_, item), v in find.matches(pa.array([t], pa.string())).items()}
+    assert len(alone) > 30 and find.matches(pa.array(texts, pa.string())) == alone
+    back = find.matches(pa.array(texts[::-1], pa.string()))
+    assert {(len(texts) - 1 - i, item): v for (i, item), v in back.items()} == alone
+
+
 def test_op7_repeated_passages_count_with_their_repeats():
     """The limit is on weighted similarity: few distinct shingles may make up most of an item."""
     import pyarrow as pa
