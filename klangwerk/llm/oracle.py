@@ -1,11 +1,12 @@
 """DuckDB SQL for the queries of this package that SQL can express.
 
-Not expressed: operators 1 and 3 (tokenizers), 7 (fingerprints), 8 (trained pieces), 9 and 10 (positional index and
+Not expressed: operators 1, 3 and 12 (tokenizers), 7 (fingerprints), 8 (trained pieces), 9 and 10 (positional index and
 disclosure); tests compare these with brute force, libraries or held-out labels.
 """
 
 from __future__ import annotations
 
+from .chat import END, LEARNED, LINE, PROBE, START
 from .feistel import MAX_BUCKETS, PRIME, ROUND_KEYS, ROWS_PER_BUCKET
 from .lineclean import BOILERPLATE, SYMBOLS, Rules
 from .unitdedup import MIN_WORDS
@@ -92,4 +93,28 @@ walk AS (SELECT doc_id, size, text_crc32, row_no, n, a, b, l + r * a AS pos FROM
 SELECT doc_id, size, text_crc32, 'rows' AS law, (pos % {shards})::INTEGER AS shard, pos // {shards} AS slot, NULL::INTEGER AS grown_shard FROM walk WHERE pos < n"""
 
 
-ORACLE_SQL = {"op2_line_first_cleaning": op2(), "op4_ngram_jaccard_join": OP4, "op5_line_hash_dedup": OP5, "op6_feistel_shards": op6()}
+OP11 = r"""
+WITH t AS (SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+p AS (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT r, count(*) AS n FROM t GROUP BY r),
+s AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM d),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, big_n),
+c AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::BIGINT AS score FROM i JOIN p USING (term) JOIN w USING (term) JOIN d USING (r), s GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST, r))::INTEGER AS rank, doc_id, score FROM c WHERE score > 0) WHERE rank <= 10"""
+
+
+def op13() -> str:
+    def escaped(value: str, names: str) -> str:
+        return rf"regexp_replace({value}, '<(\\*)\|({names})\|>', '<\1\\|\2|>', 'g')"
+
+    order, constant = "ORDER BY turn NULLS FIRST, role, text", len(START) + len(END) + 2
+    role = f"replace({escaped('role', 'im_start|im_end|nl')}, chr(10), '{LINE}')"
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, * FROM (VALUES (0, 'user', '{PROBE}'), (1, 'assistant', '{PROBE}'))),
+e AS (SELECT *, {role} AS r, {escaped('text', 'im_start|im_end')} AS t FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = '{LEARNED}'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' {order}) FILTER (role = '{LEARNED}'), '')) AS loss_sha256, sum({constant} + length(r) + length(t))::BIGINT AS formatted_chars, count(*) FILTER (r <> role OR t <> text) AS n_escaped FROM e GROUP BY conv_id"""
+
+
+ORACLE_SQL = {"op2_line_first_cleaning": op2(), "op4_ngram_jaccard_join": OP4, "op5_line_hash_dedup": OP5, "op6_feistel_shards": op6(), "op11_ranked_search": OP11, "op13_chat_round_trip": op13()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, feistel, langid, licenses, lineclean, ngramjoin, pii, tokenbin, unitdedup
+from . import align, bpe, chat, decontam, feistel, langid, lexical, licenses, lineclean, ngramjoin, pii, tokenbin, unitdedup
 from .common import read_table
 from .oracle import ORACLE_SQL
 
@@ -88,3 +88,20 @@ def op10_information_sanitisation(docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(base.cast("binary"), 256).alias("base_sha256"),
                         F.array_join(F.transform(every, lambda s: shown(s, s["kind"])), ",").alias("spans"),
                         F.size("secrets").cast("long").alias("n_secret"), F.size(every).cast("long").alias("n_spans"))
+
+
+@_query
+def op11_ranked_search(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(docs, read_table(docs.sparkSession, sf_dir, "benchmark"))
+
+
+@_query
+def op12_tokenizer_alignment(docs: DataFrame, sf_dir: str) -> DataFrame:
+    return align.alignment(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_and_read(chat.with_probe(read_table(spark, sf_dir, "conversations")))
+
+
+QUERIES["op13_chat_round_trip"] = op13_chat_round_trip
