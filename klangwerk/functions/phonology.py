@@ -370,6 +370,91 @@ def score_bound(a: dict, b: dict, language: str) -> float:
     return min(1.0, max(0.0, sum(w * v for w, v in zip(p.score_weights, (vowel, share, share, share, share)))))
 
 
+def _length_bound(a, b, both_empty: float) -> float:
+    """What `sequence_similarity` cannot exceed: sequences of unequal length lose an edit for each symbol too many."""
+    return min(len(a), len(b)) / max(len(a), len(b)) if a or b else both_empty
+
+
+#: Tiers of primary classes; relations follow with 4 and 5.
+TIER_OF = {"multisyllabic_perfect": 0, "perfect": 0, "multisyllabic_slant": 1, "family": 2, "slant": 3}
+
+
+def possible(a: dict, b: dict, language: str, exact: bool) -> tuple[int, float] | None:
+    """PH-23 for two rhyme vectors: the best tier and score that `score_vectors` may give them, None if it must reject them.
+
+    Vowels, stress and lengths are as in the score; consonant sequences count as alike as their lengths allow."""
+    if exact:
+        return 0, 1.0
+    p = PROFILES[language]
+    x, y = a["syllables"], b["syllables"]
+    n, multi = max(len(x), len(y), 1), len(x) > 1 and len(y) > 1
+    vowel = coda = onset = 0.0
+    for k in range(1, min(len(x), len(y)) + 1):
+        s, t = x[-k], y[-k]
+        vowel += vowel_similarity(s["nucleus"], t["nucleus"], language, len(x) > k and len(y) > k)
+        coda += _length_bound(s["coda"], t["coda"], 0.6)
+        onset += _length_bound(s["onset"], t["onset"], 0.6)
+    vowel, coda, onset = vowel / n, coda / n, onset / n
+    parts = (vowel, coda, stress_similarity(a["stress"], b["stress"], p.adjacent_stress), 1 - abs(len(x) - len(y)) / n, onset)
+    most = min(1.0, max(0.0, sum(w * v for w, v in zip(p.score_weights, parts)))) + 1e-9  # sums may round the other way
+    tier = TIER_OF.get(primary_class(language, multi, most, vowel + 1e-9, coda + 1e-9, bool(a["codas"] & b["codas"])), 9)
+    if tier > 3:
+        alike = lambda v, w: vowel_similarity(v, w, language, True)
+        t, u = p.assonance, p.consonance
+        first = alike(a["vowels"][0], b["vowels"][0]) if a["vowels"] and b["vowels"] else 0.0
+        cover = _length_bound(a["vowels"], b["vowels"], 0.0)
+        covered = _length_bound(a["consonants"], b["consonants"], 0.0) if a["consonants"] and b["consonants"] else -1.0
+        if first >= t["nucleus"] and cover >= t["coverage"] and cover >= t["sequence"]:
+            tier = 4
+        elif covered >= min(u["coverage"], u["strong_coverage"]) and covered >= min(u["sequence"], u["strong"]) and first <= max(u["nucleus"], u["strong_nucleus"]):
+            tier = 5
+    return (tier, most) if tier < 9 else None
+
+
+def spell_sound(syllables: list[dict], primary_stress: int) -> str:
+    """Syllables in one text: where the rhyme begins, then onset, nucleus, coda and stress of each, as `hear_sound` reads it."""
+    return "\t".join([str(primary_stress), *("|".join([" ".join(s["onset"]), s["nucleus"], " ".join(s["coda"]), str(s["stress"])]) for s in syllables)])
+
+
+def hear_sound(sound: str) -> dict:
+    """What scoring needs of an analysis, from `spell_sound`'s text."""
+    start, *parts = sound.split("\t")
+    syllables = []
+    for i, part in enumerate(parts):
+        onset, nucleus, coda, stress = part.split("|")
+        syllables.append({"position": i + 1, "onset": onset.split(), "nucleus": nucleus, "coda": coda.split(), "stress": int(stress)})
+    return {"syllables": syllables, "primary_stress": int(start)}
+
+
+def anchored_vectors(a: dict) -> list[tuple[int, int, str, dict]]:
+    """PH-24: every anchor of an analysis with its number of syllables, its sounds and its rhyme vector."""
+    own = a["syllables"]
+    return [(i, len(own) - i, tail(own[i:]), rhyme_vector(own, i)) for i in anchors(own, a["primary_stress"] - 1)]
+
+
+def _anchor_pairs(a: list, b: list):
+    """Pairs that `score_anchored` compares: tails that differ by at most a syllable, else the first ones."""
+    near = [(x, y) for x in a for y in b if abs(x[1] - y[1]) <= 1]
+    return near or [(a[0], b[0])]
+
+
+def possible_anchored(a: list, b: list, language: str) -> tuple[int, float] | None:
+    """PH-23 for anchored vectors: the best tier and the best score of all pairs, None if every pair must be rejected."""
+    found = [f for x, y in _anchor_pairs(a, b) if (f := possible(x[3], y[3], language, x[2] == y[2]))]
+    return (min(f[0] for f in found), max(f[1] for f in found)) if found else None
+
+
+def score_prepared(a: list, b: list, language: str) -> dict:
+    """PH-26 for anchored vectors."""
+    best = None
+    for x, y in _anchor_pairs(a, b):
+        s = score_vectors(x[3], y[3], language, x[2] == y[2])
+        key = (TIER_OF.get(s["type"], 9), -s["overall"], x[0] + y[0])
+        if best is None or key < best[0]:
+            best = (key, s)
+    return best[1]
+
+
 def spelling(surface: str | None, language: str) -> str:
     s = regex.sub(r"\s+", " ", unicodedata.normalize("NFKC", surface or "").strip()).lower()
     if language == "en":
@@ -464,6 +549,28 @@ def analysis(ipa, language):
     return F.pandas_udf(_analysis, ANALYSIS)(ipa, language)
 
 
+def spoken(surface, language):
+    """PH-29 and PH-04/08 in one pass over Python: (ipa, a)."""
+    names = ("ipa phonemes syllables syllable_count stress_pattern primary_stress stressed_tail final_tail exact_key multi_key vowel_key vowel_family coda_key coda_class rhyme_syllables").split()
+
+    def one(s, g):
+        ipa = grapheme_to_ipa(s, g) if g in PROFILES else None
+        found = analyze(ipa, g) if ipa is not None else None
+        return ipa, {n: found[n] for n in names} if found else None
+
+    def run(s: pd.Series, g: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(_once(one, s, g), columns=["ipa", "a"])
+
+    # marked, or a filter on the result would be pushed below it as a second run of the rules
+    return F.pandas_udf(run, f"struct<ipa:string,a:{ANALYSIS}>").asNondeterministic()(surface, language)
+
+
+def sound(syllables, primary_stress):
+    """`spell_sound` as a column."""
+    each = F.transform(syllables, lambda s: F.concat_ws("|", F.array_join(s["onset"], " "), s["nucleus"], F.array_join(s["coda"], " "), s["stress"].cast("string")))
+    return F.concat_ws("\t", primary_stress.cast("string"), F.array_join(each, "\t"))
+
+
 def pair_score(a, b, language):
     """PH-26 as a column of SCORE."""
     return F.pandas_udf(_score, SCORE)(a, b, language)

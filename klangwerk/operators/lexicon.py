@@ -30,17 +30,18 @@ def lexicon(docs: DataFrame, least: int = 1) -> DataFrame:
 
 def pronounce(lexicon_rows: DataFrame) -> DataFrame:
     """Adds ipa (by rule) and its analysis; forms without a nucleus are dropped."""
-    return (lexicon_rows.withColumn("ipa", P.g2p(F.col("form"), F.col("language"))).withColumn("a", P.analysis(F.col("ipa"), F.col("language"))).where("a IS NOT NULL"))
+    spoken = lexicon_rows.withColumn("s", P.spoken(F.col("form"), F.col("language")))
+    return spoken.where("s.a IS NOT NULL").select(*lexicon_rows.columns, "s.ipa", "s.a")
 
 
-def channels(pronounced: DataFrame) -> DataFrame:
-    """ST-01, JN-01: a row per retrieval key of each form, with what bounded lookups order by."""
+def channels(pronounced: DataFrame, *more: str) -> DataFrame:
+    """ST-01, JN-01: a row per retrieval key of each form, with what bounded lookups order by, and further columns."""
     a = lambda c: F.col(f"a.{c}")
     keys = {"exact": a("exact_key"), "multi": a("multi_key"), "vowel": a("vowel_key"), "family": a("vowel_family"), "family_coda": F.concat_ws("/", a("vowel_family"), a("coda_class")),
             "final": F.concat_ws("/", F.get(F.split(a("final_tail"), " "), F.lit(0)), a("coda_class")), "coda": F.when(a("coda_key") != "", a("coda_key"))}
     entries = F.array(*(F.struct(F.lit(c).alias("channel"), F.lit(i).alias("channel_order"), F.concat_ws(":", F.col("language"), k).alias("key"), k.isNotNull().alias("ok")) for i, (c, k) in enumerate(keys.items())))
-    return pronounced.select("language", "form", "ipa", "usage_rank", a("syllable_count").alias("syllables"), F.explode(F.filter(entries, lambda e: e["ok"])).alias("e")).select(
-        "language", "form", "ipa", "usage_rank", "syllables", "e.channel", "e.channel_order", "e.key")
+    return pronounced.select("language", "form", "ipa", "usage_rank", *more, a("syllable_count").alias("syllables"), F.explode(F.filter(entries, lambda e: e["ok"])).alias("e")).select(
+        "language", "form", "ipa", "usage_rank", *more, "syllables", "e.channel", "e.channel_order", "e.key")
 
 
 def right_edge_suffixes(pronounced: DataFrame) -> DataFrame:

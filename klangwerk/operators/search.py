@@ -51,6 +51,79 @@ def ranked(rows: DataFrame, order: str = "usage", limit: int = POOL) -> DataFram
     return O.top_per_group(rows, ["language", "query"], orders[order], limit)
 
 
+SCORED = "types array<string>, tier int, score double, rank long, n_candidates int, n_scored int"
+
+
+def best_scored(cands: DataFrame, order: str = "usage", limit: int = POOL) -> DataFrame:
+    """The rows of ``ranked(scored(..))``, scored only as far as needed (PH-23): candidates are taken by the best rank that
+    their bounds allow, and a query is done when no other can reach its ``limit`` best.
+
+    ``cands`` has the sounds of both sides (`index.lookup`), at most CHANNEL_LIMIT a channel for each query.  n_candidates and
+    n_scored tell what the bounds have saved."""
+    from decimal import ROUND_HALF_UP, Decimal
+    from heapq import heappush, heapreplace
+
+    import pandas as pd
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cands.schema.fields if not f.name.endswith("sound")) + ", " + SCORED
+    kept = [f.name for f in cands.schema.fields if not f.name.endswith("sound")]
+    names = [x.split(" ")[0] for x in SCORED.split(", ")]
+
+    def rounded(x: float) -> float:  # as F.round does
+        return float(Decimal(repr(x)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+
+    class Late:
+        """A key in reverse, so that the smallest of the heap is the last of the kept rows."""
+
+        def __init__(self, key):
+            self.key = key
+
+        def __lt__(self, other):
+            return self.key > other.key
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        heard = {}
+
+        def vectors(sound):
+            if sound not in heard:
+                heard[sound] = P.anchored_vectors(P.hear_sound(sound))
+            return heard[sound]
+
+        language, waiting = pdf["language"].iloc[0], []
+        own = vectors(pdf["query_sound"].iloc[0])
+        asked = int(pdf["query_syllables"].iloc[0])
+        for i, (form, sound, syllables, used) in enumerate(zip(pdf["form"], pdf["sound"], pdf["syllables"], pdf["usage_rank"])):
+            other = vectors(sound)
+            bound = P.possible_anchored(own, other, language)
+            if bound:
+                delta = abs(int(syllables) - asked)
+                rest = (delta, (1, 0) if pd.isna(used) else (0, int(used)))
+                at = (lambda tier, score, d=rest[0], u=rest[1], f=form: (tier, d, u, -score, f)) if order == "usage" else (lambda tier, score, d=rest[0], f=form: (tier, -score, d, f))
+                waiting.append((at(bound[0], rounded(bound[1])), i, other, at))
+        best, n_scored = [], 0
+        for earliest, i, other, at in sorted(waiting, key=lambda w: w[:2]):
+            if len(best) == limit and earliest > best[0].key:
+                break
+            s = P.score_prepared(own, other, language)
+            n_scored += 1
+            types = [t for t in (s["type"] if s["type"] != "weak" else None, s["assonance"] and "assonance", s["consonance_relation"] and "consonance") if t]
+            if types:
+                tier, score = min(TIERS[t] for t in types), rounded(s["overall"])
+                row = Late(at(tier, score))
+                row.out = (i, types, tier, score)
+                if len(best) < limit:
+                    heappush(best, row)
+                elif row.key < best[0].key:
+                    heapreplace(best, row)
+        rows = [r.out for r in sorted(best, key=lambda r: r.key)]
+        out = pdf.iloc[[r[0] for r in rows]][kept].reset_index(drop=True)
+        for name, values in zip(names, ([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], range(1, len(rows) + 1), [len(pdf)] * len(rows), [n_scored] * len(rows))):
+            out[name] = pd.Series(values, dtype=object if name == "types" else None)
+        return out
+
+    return cands.groupBy("language", "query").applyInPandas(run, schema)
+
+
 def _unit(x: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from klangwerk.functions import text as T
 from klangwerk.operators import corpus as C
 from klangwerk.operators import entities as N
+from klangwerk.operators import index as I
 from klangwerk.operators import lexicon as L
 from klangwerk.operators import ranking as R
 from klangwerk.operators import relational as O
@@ -23,12 +24,28 @@ def ph29_lexicon_pronunciations(t) -> DataFrame:
     return p.select("language", "form", "n", "usage_rank", "ipa", "a.exact_key", "a.vowel_key", "a.vowel_family", "a.coda_class", "a.stress_pattern", "a.syllable_count")
 
 
+def _index(t) -> I.Index:
+    """The built index of the corpus lexicon; built by the first query that asks, read by all others."""
+    return I.open_or_build(t.spark, "lexicon", I.files_of(t.documents), lambda: L.lexicon(t.documents))
+
+
+def _frequent(index: I.Index) -> DataFrame:
+    return O.top_per_group(index.words.select("language", "form", "usage_rank").where(F.length("form") >= 5), ["language"], [F.asc("usage_rank")], 20).drop("rank")
+
+
 @query()
 def search_frequent_words(t) -> DataFrame:
     """Rhymes of the 20 most used words of five letters and more of each language."""
-    words = L.lexicon(t.documents)
-    asked = O.top_per_group(words.where(F.length("form") >= 5), ["language"], [F.asc("usage_rank")], 20).drop("rank")
-    return S.search(asked, words)
+    index = _index(t)
+    return I.search(_frequent(index), index)
+
+
+@query()
+def ph23_bounded_scoring(t) -> DataFrame:
+    """How many candidates of these words the bounds leave to be scored."""
+    index = _index(t)
+    best = S.best_scored(I.lookup(I.asked(_frequent(index)), index))
+    return best.groupBy("language", "query").agg(F.max("n_candidates").alias("candidates"), F.max("n_scored").alias("scored"), F.count("*").alias("kept"))
 
 
 @query()
