@@ -35,7 +35,9 @@ from .tokenbin import byte_letters
 from .wordcodes import gather, slices
 
 #: Documents and bytes of text that are aligned at once, and distinct chunks after which a task begins anew.
-SLICE_DOCS, SLICE_BYTES, MAX_KNOWN = 1000, 4_000_000, 300_000
+SLICE_DOCS, SLICE_BYTES, MAX_KNOWN = 1000, 2_000_000, 200_000
+#: Chunks that go to the tokenizers at once; their results are large while they are held.
+ENCODED = 8192
 #: Pairs of ids up to which their counts are broadcast; beyond it only pairs in more than 1 / MAX_BROADCAST_PAIRS of all rows.
 MAX_BROADCAST_PAIRS = 500_000
 SPACE = "▁"
@@ -91,7 +93,9 @@ def chunks_of(texts: pa.Array, whole: bool = False) -> tuple[pa.Array, np.ndarra
     # fixed values: white space beyond ASCII, in UTF-8
     wide = ((y == 0xC2) & ((z == 0x85) | (z == 0xA0))) | ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80)) | (
         (x == 0xE2) & (((y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F))))
-    offsets = np.unique(np.concatenate([ends, cut[(z > 32) & ~wide]]))
+    edge = np.zeros(ends[-1] + 1, bool)
+    edge[ends], edge[cut[(z > 32) & ~wide]] = True, True
+    offsets = np.flatnonzero(edge)
     flat = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), texts.buffers()[2] or pa.py_buffer(b""))
     coded = flat.dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.searchsorted(offsets, ends)
@@ -118,7 +122,8 @@ class Chunks:
             self.reset()
         new = [c for c in chunks if c not in self.code]
         if new:
-            self._learn(new)
+            for i in range(0, len(new), ENCODED):
+                self._learn(new[i : i + ENCODED])
             self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
         return np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
 
