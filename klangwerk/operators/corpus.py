@@ -41,11 +41,28 @@ def gram_counts(tokens: DataFrame, n: int) -> DataFrame:
     return tokens.select(F.explode(T.ngrams("tokens", n)).alias("g")).groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("n"))
 
 
-def transitions(tokens: DataFrame, order: int) -> DataFrame:
-    """AG-12: counts of (context, next) for all context lengths 1..order, from padded sequences, in one pass."""
-    pairs = tokens.select(F.explode(T.padded_contexts("tokens", order)).alias("p"))
+def transitions(tokens: DataFrame, order: int, *keys: str, gaps: bool = False) -> DataFrame:
+    """AG-12: counts of (context, next) for all context lengths 1..order, from padded sequences, in one pass; of each group by keys.
+
+    With ``gaps``, null tokens stand for words outside the vocabulary: what has one is not counted, so that no words become
+    neighbours that were none."""
+    pairs = tokens.select(*keys, F.explode(T.padded_contexts("tokens", order)).alias("p"))
     each = F.transform(F.sequence(F.lit(1), F.lit(order)), lambda k: F.struct(k.alias("length"), F.array_join(F.slice(F.col("p.context"), order - k + 1, k), " ").alias("context")))
-    return pairs.select(F.col("p.next").alias("next"), F.explode(each).alias("c")).groupBy("c.length", "c.context", "next").agg(F.count("*").alias("n"))
+    if gaps:
+        # the context reaches back to the nearest gap
+        known = F.col("p.context")
+        free = F.coalesce(F.array_position(F.transform(F.reverse(known), lambda x: x.isNull()), True).cast("int") - 1, F.lit(-1))
+        most = F.when(free < 0, order).otherwise(free)
+        pairs, each = pairs.where(F.col("p.next").isNotNull()), F.filter(each, lambda c: c["length"] <= most)
+    return pairs.select(*keys, F.col("p.next").alias("next"), F.explode(each).alias("c")).groupBy(*keys, "c.length", "c.context", "next").agg(F.count("*").alias("n"))
+
+
+def within_vocabulary(lines: DataFrame, line: str, tokens: str, vocabulary: DataFrame, *keys: str) -> DataFrame:
+    """AG-13: the lines with null in place of words outside the vocabulary (keys, form), in their places."""
+    each = lines.select(line, *keys, F.posexplode(tokens).alias("at", "form"))
+    known = each.join(vocabulary.select(*keys, "form", F.lit(True).alias("_known")), [*keys, "form"], "left")
+    kept = F.struct("at", F.when(F.col("_known"), F.col("form")).alias("form"))
+    return known.groupBy(line, *keys).agg(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["form"]).alias(tokens))
 
 
 def top_transitions(counts: DataFrame, k: int = 128) -> DataFrame:

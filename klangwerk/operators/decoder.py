@@ -1,14 +1,13 @@
 """Line generation over an n-gram model (MK-06..15, SF-25).
 
-Pools, reservoirs, length fits and draft scores are columns of DataFrames.  What is sequential by definition - seeded draws,
-the beam, the choice of diverse drafts - runs per request in `generate`, which deals requests out over the cluster and sends
-each task a model of bounded size (checked)."""
+Pools, reservoirs, length fits and draft scores are columns of DataFrames; the beam over the model's tables is in `beam`.  What
+is sequential by definition - seeded draws, the choice of diverse drafts, plans - is a function of one request's bounded rows."""
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from dataclasses import dataclass, field
+import zlib
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,63 +127,6 @@ def draft_scores(drafts: DataFrame, naturalness: float = 0.72, weirdness: float
     return out.withColumn("copied", F.col("exact_source") | (F.col("longest_run") >= most)).withColumn("utility", _unit(total / sum(weights.values()) + bonus))
 
 
-@dataclass
-class Model:
-    """Continuations of contexts in both directions, in memory."""
-
-    order: int
-    rows: dict = field(default_factory=lambda: defaultdict(dict))  # (direction, context) to {next: n}
-    counts: dict = field(default_factory=lambda: defaultdict(int))
-
-    @classmethod
-    def of(cls, forward: DataFrame, backward: DataFrame, order: int, most: int = 2_000_000) -> Model:
-        """From two tables of best continuations (context, next, n; words parted by spaces; backward contexts in reading order);
-        refuses more than ``most`` rows, since every task gets them all."""
-        model = cls(order)
-        for direction, df in (("forward", forward), ("reverse", backward)):
-            if df.count() > most:
-                raise ValueError("the model has too many rows for one task; prune its vocabulary or keep fewer continuations")
-            for context, nxt, n in df.select("context", "next", "n").toLocalIterator():
-                model.add(direction, context, nxt, n)
-        return model
-
-    def add(self, direction: str, context: str, nxt: str, n: int) -> None:
-        self.rows[direction, context][nxt] = n
-        self.counts[nxt] += n
-
-    def choices(self, direction: str, context: list[str], most: int = 96) -> tuple[list[tuple[str, int]], int]:
-        own = self.rows.get((direction, " ".join(context)), {})
-        return sorted(own.items(), key=lambda x: (-x[1], x[0]))[:most], sum(own.values())
-
-    def contexts(self, direction: str, around: list[str]):
-        """The context nearest to the open place, from the longest to one word."""
-        for k in range(min(self.order, len(around)), 0, -1):
-            yield k, around[-k:] if direction == "forward" else around[:k]
-
-    def probability(self, direction: str, around: list[str], nxt: str) -> tuple[float, int]:
-        for k, context in self.contexts(direction, around):
-            own = self.rows.get((direction, " ".join(context)), {})
-            if nxt in own:
-                return own[nxt] / sum(own.values()), k
-        return 0.0, 0
-
-    def support(self, token: str) -> float:
-        return _unit(math.log1p(self.counts.get(token, 0)) / math.log(1024))
-
-    def bridges(self, left: list[str], right: list[str], most: int = 96) -> list[tuple[str, float, int]]:
-        """JN-20: tokens seen after the left and before the right context, with sqrt(p q) and the shorter context's length."""
-        ahead = next((c for c in (({t: n / total for t, n in rows}, k) for k, context in self.contexts("forward", left) for rows, total in [self.choices("forward", context, most)] if rows)), ({}, 0))
-        behind = next((c for c in (({t: n / total for t, n in rows}, k) for k, context in self.contexts("reverse", right) for rows, total in [self.choices("reverse", context, most)] if rows)), ({}, 0))
-        found = [(t, math.sqrt(p * behind[0][t]), min(ahead[1], behind[1])) for t, p in ahead[0].items() if t in behind[0]]
-        return sorted(found, key=lambda x: (-x[1], x[0]))
-
-    def forward_score(self, tokens: list[str]) -> tuple[float, float]:
-        """MK-05 of a line: geometric mean of the transitions and the share of unseen ones."""
-        padded = [START] * self.order + tokens
-        p = [self.probability("forward", padded[: self.order + i], t)[0] for i, t in enumerate([*tokens, END])]
-        return math.exp(sum(math.log(max(x, 1e-9)) for x in p) / len(p)), sum(x == 0 for x in p) / len(p)
-
-
 @dataclass
 class Controls:
     target: int = DEFAULT
@@ -212,80 +154,6 @@ def choose(reservoir: list[dict], draw, c: Controls, used: dict) -> dict | None:
     return chosen
 
 
-def _repetition(prefix: list[str], token: str) -> float:
-    n = prefix.count(token)
-    return math.inf if n > 1 else (0.65 if n else 0.0) + (1.2 if len(prefix) > 1 and prefix[-1] == token else 0.0)
-
-
-def _openings(model: Model, around: list[str], prefix: list[str], draw, c: Controls) -> list[tuple[str, float, int]]:
-    """Tokens that may stand before a context, with probability and context length: the longest context first; if it knows
-    few, one shorter adds others.  Far less likely ones than the best are left out."""
-    found = {}
-    for k, context in model.contexts("reverse", around):
-        rows, total = model.choices("reverse", context)
-        rows = [(t, n) for t, n in rows if t not in (START, END) and _repetition(prefix, t) < math.inf]
-        if not rows:
-            continue
-        least = rows[0][1] / total * (0.015 + c.naturalness * 0.12)
-        for t, n in rows:
-            p = n / total
-            if p >= least:
-                base = max(1e-9, p) * (0.78 + k / model.order * (0.32 + c.naturalness * 0.52)) * (0.85 + model.support(t) * 0.3) * math.exp(-_repetition(prefix, t))
-                if t not in found or k > found[t][1] or base > found[t][3]:
-                    found[t] = (p, k, n, base)
-        if len(found) >= 10:
-            break
-    scored = [(t, p, k, math.log(max(base, 1e-12)) + c.weirdness * (draw() - 0.5) * 0.7, n) for t, (p, k, n, base) in found.items()]
-    scored.sort(key=lambda x: (-x[3], -x[2], -x[4], x[0]))
-    return [(t, p, k) for t, p, k, *_ in scored[: max(5, min(20, math.floor(7 + c.weirdness * 13 + 0.5)))]]
-
-
-def reverse_beam(model: Model, tail: list[str], draw, c: Controls) -> list[dict]:
-    """MK-09: lines of the target length that end in ``tail``, built from right to left; the word next to a fixed opening must
-    have been seen on both sides.  The best states by mean score stay, one for each beginning."""
-    length = max(COMPACT, min(LONGEST, c.target))
-    missing = length - len(c.opening) - len(tail)
-    if missing <= 0:
-        return [] if missing < 0 else [{"tokens": [*c.opening, *tail], "prefix": [], "context_mean": 0.0}]
-    width = max(10, min(36, math.floor(14 + c.weirdness * 22 + 0.5)))
-    beam = [([], 0.0, 0)]
-    for step in range(missing):
-        grown = []
-        for prefix, score, depth in beam:
-            around = [*prefix, *tail, END]
-            options = _openings(model, around, prefix, draw, c)
-            if c.opening and step == missing - 1:
-                options = [x for x in model.bridges(list(c.opening), around) if x[0] not in (START, END)] or options
-            grown += [([t, *prefix], score + math.log(max(p, 1e-9)) + k / model.order * 0.24, depth + k) for t, p, k in options]
-        grown.sort(key=lambda x: (-x[1], -x[2], " ".join(x[0])))
-        beam, seen = [], set()
-        for state in grown:
-            key = tuple(state[0][: model.order + 1])
-            if key not in seen and len(beam) < width:
-                seen.add(key)
-                beam.append(state)
-        if not beam:
-            return []
-    return [{"tokens": [*c.opening, *prefix, *tail], "prefix": prefix, "context_mean": depth / missing} for prefix, _, depth in beam]
-
-
-def with_entities(model: Model, line: dict, entities: list[dict], draw, most: int = 6) -> list[dict]:
-    """MK-10: the line, and variants in which an entity (tokens, quality) takes the place of as many words of its beginning,
-    if few transitions of the new line are unseen."""
-    out = []
-    for e in sorted(entities, key=lambda e: (-e["quality"], " ".join(e["tokens"])))[:24]:
-        n = len(e["tokens"])
-        for i in range(len(line["prefix"]) - n + 1) if 1 <= n <= min(4, len(line["prefix"])) else ():
-            prefix = [*line["prefix"][:i], *e["tokens"], *line["prefix"][i + n :]]
-            lead = len(line["tokens"]) - len(line["prefix"])
-            at = next(k for k in range(lead + 1) if line["tokens"][k : k + len(line["prefix"])] == line["prefix"])
-            tokens = [*line["tokens"][:at], *prefix, *line["tokens"][at + len(line["prefix"]) :]]
-            unseen = model.forward_score(tokens)[1]
-            if unseen <= 0.18:
-                out.append({**line, "tokens": tokens, "prefix": prefix, "entity": e["quality"] * 0.58 + (1 - unseen) * 0.34 + draw() * 0.08, "entity_at": i})
-    return [line, *sorted(out, key=lambda x: -x["entity"])[: most - 1]]
-
-
 def draft_similarity(a: dict, b: dict) -> float:
     """MK-12: of two drafts (tokens, form, family of the tail): shared words, equal endings of one to three words, equal tails."""
     x, y = set(a["tokens"]), set(b["tokens"])
@@ -345,55 +213,21 @@ def plan_song(profile: dict, sections: int, seed=0, scheme: str = "ABAB", langua
     return [{"index": i + 1, "type": k, "lines": plan_section(k, size(k)["lines"], size(k)["tokens"], scheme, f"{seed}|{i}", language)} for i, k in enumerate(kinds)]
 
 
-def generate_lines(model: Model, reservoir: list[dict], c: Controls, count: int = 8, attempts: int = 128, seed=1337) -> list[dict]:
-    """MK-14: diverse lines that end in tails of the reservoir (form, final, family, tokens, quality, phonetic, usage, support)."""
-    draw, used, drafts = seeded_random(seed), {}, {}
-    for _ in range(attempts):
-        tail = choose(reservoir, draw, c, used)
-        if tail is None:
-            break
-        for line in reverse_beam(model, tail["tokens"], draw, c)[:2]:
-            forward, zero = model.forward_score(line["tokens"])
-            transition = _unit(max(forward, 1e-9) ** 0.24 * (1 - zero))
-            start = math.sqrt(model.probability("reverse", line["prefix"], START)[0]) if line["prefix"] else 0.0
-            end = model.probability("forward", tail["tokens"], END)[0] ** 0.35
-            natural = _unit(transition * 0.42 + _unit(line["context_mean"] / model.order) * 0.18 + 0.5 * 0.15 + _unit(start) * 0.09 + _unit(end) * 0.06 + tail["usage"] * 0.05)
-            w = (0.38 + c.naturalness * 0.3, 0.22 + c.pressure * 0.32, 0.08)
-            utility = (natural * w[0] + tail["phonetic"] * w[1] + tail["support"] * w[2]) / sum(w)
-            key = " ".join(line["tokens"])
-            if key not in drafts or drafts[key]["utility"] < utility:
-                drafts[key] = {"tokens": line["tokens"], "form": tail["form"], "family": tail["family"], "utility": round(utility, 6), "natural": round(natural, 6)}
-        if len(drafts) >= 4 * count:
-            break
-    return diverse_drafts(list(drafts.values()), count, c.weirdness)
-
-
-def generate(model: Model, reservoirs: DataFrame, request: str, controls: Controls = Controls(), count: int = 8, seed=1337) -> DataFrame:
-    """MK-14: request, rank, line, form, utility, natural of every request.  ``reservoirs``: the rows of `tail_reservoir` with
-    request, surface, tokens, place; a bounded list for each request."""
-    kind = dict(reservoirs.dtypes)[request]
-
-    def run(pdf):
-        import pandas as pd
-
-        rows = pdf.sort_values("place").to_dict("records")
-        tails = [{"form": r["normalized"], "final": list(r["tokens"])[-1], "family": " ".join(list(r["tokens"])[-2:]), "tokens": list(r["tokens"]), **{k: r[k] for k in ("quality", "phonetic", "usage", "support")}} for r in rows if len(r["tokens"])]
-        out = generate_lines(model, tails, controls, count, seed=f"{seed}|{pdf[request].iloc[0]}")
-        return pd.DataFrame([(pdf[request].iloc[0], d["rank"], " ".join(d["tokens"]), d["form"], d["utility"], d["natural"]) for d in out], columns=[request, "rank", "line", "form", "utility", "natural"])
-
-    return reservoirs.groupBy(request).applyInPandas(run, f"`{request}` {kind}, rank long, line string, form string, utility double, natural double")
+def noise(seed: str, prefix: list[str], token: str) -> float:
+    """A number in [0, 1) that a seed, the words so far and the next word determine, in whatever order states are grown."""
+    return zlib.crc32("\x01".join([seed, " ".join(prefix), token]).encode()) / 4294967296
 
 
-def continuations(counts: DataFrame, k: int = 128) -> DataFrame:
-    """context, next, n of the k best continuations of every context (as `corpus.transitions` counts them)."""
-    own = Window.partitionBy("length", "context").orderBy(F.desc("n"), "next")
-    return counts.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= k).select("context", "next", "n")
+def continuations(counts: DataFrame, k: int = 128, *keys: str) -> DataFrame:
+    """context, next, n of the k best continuations of every context (as `corpus.transitions` counts them) of each model (keys)."""
+    own = Window.partitionBy(*keys, "length", "context").orderBy(F.desc("n"), "next")
+    return counts.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= k).select(*keys, "context", "next", "n")
 
 
-def backward_counts(tokens: DataFrame, order: int) -> DataFrame:
+def backward_counts(tokens: DataFrame, order: int, *keys: str, gaps: bool = False) -> DataFrame:
     """AG-12: counts of (following words, word before them), contexts in reading order; what ends a line follows its last word."""
     from .corpus import transitions
 
     swap = lambda x: F.when(x == START, END).when(x == END, START).otherwise(x)
-    counts = transitions(tokens.select(F.reverse("tokens").alias("tokens")), order)
-    return counts.select("length", F.array_join(F.reverse(F.transform(F.split("context", " "), swap)), " ").alias("context"), swap(F.col("next")).alias("next"), "n")
+    counts = transitions(tokens.select(*keys, F.reverse("tokens").alias("tokens")), order, *keys, gaps=gaps)
+    return counts.select(*keys, "length", F.array_join(F.reverse(F.transform(F.split("context", " "), swap)), " ").alias("context"), swap(F.col("next")).alias("next"), "n")

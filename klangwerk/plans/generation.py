@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from klangwerk.operators import beam as B
 from klangwerk.operators import corpus as C
 from klangwerk.operators import decoder as D
-from klangwerk.operators import relational as O
+from klangwerk.operators import workspace as W
 
 from .registry import query
 
@@ -92,15 +95,35 @@ def sf04_preferred_casing(t) -> DataFrame:
     return C.preferred_casing(words)
 
 
+#: Uses from which a word belongs to the model's vocabulary.
+VOCABULARY = 10
+_LINES = """(SELECT row_number() OVER () AS line, lang AS model, tokens FROM (SELECT lang, list_transform(regexp_extract_all(l, '[\\p{L}\\p{N}]+(?:[-''\u2019][\\p{L}\\p{N}]+)*'), lambda x: lower(x)) AS tokens, l FROM
+ (SELECT lang, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents) WHERE NOT regexp_matches(l, '(?i)https?://|www\\.') AND length(regexp_replace(l, '[^0-9]', '', 'g')) * 4 <= length(l)) WHERE len(tokens) BETWEEN 3 AND 48 AND lang IS NOT NULL)"""
+
+
+def _known_lines(t) -> DataFrame:
+    """line, model (language) and tokens, null where a word is rare."""
+    lines = C.sentence_tokens(t.documents, "doc_id", "lang").where("lang IS NOT NULL").select(F.monotonically_increasing_id().alias("line"), F.col("lang").alias("model"), "tokens")
+    counts = lines.select("model", F.explode("tokens").alias("form")).groupBy("model", "form").agg(F.count("*").alias("n"))
+    return C.within_vocabulary(lines, "line", "tokens", C.prune_vocabulary(counts, VOCABULARY), "model")
+
+
+@query(f"""WITH l AS {_LINES}, w AS (SELECT line, model, unnest(tokens) AS form, generate_subscripts(tokens, 1) AS pos FROM l), v AS (SELECT model, form FROM w GROUP BY 1, 2 HAVING count(*) >= {VOCABULARY}),
+ k AS (SELECT w.line, w.model, ['<s>', '<s>'] || list(v.form ORDER BY pos) || ['</s>'] AS p FROM w LEFT JOIN v ON v.model = w.model AND v.form = w.form GROUP BY 1, 2),
+ i AS (SELECT model, p, unnest(range(3, len(p) + 1)) AS i FROM k), e AS (SELECT model, k AS length, p[i - k:i - 1] AS c, p[i] AS next FROM i, (VALUES (1), (2)) x(k))
+SELECT model, length::INTEGER AS length, array_to_string(c, ' ') AS context, next, count(*) AS n FROM e WHERE next IS NOT NULL AND len(list_filter(c, lambda x: x IS NULL)) = 0 GROUP BY ALL""")
+def ag12_gap_transitions(t) -> DataFrame:
+    """Each language's transitions between words of its vocabulary that stand side by side in the text."""
+    return C.transitions(_known_lines(t), 2, "model", gaps=True)
+
+
 @query()
 def mk14_generated_lines(t) -> DataFrame:
-    """Lines of six words that end in frequent line ends of each language; the model is pruned to words seen ten times."""
-    lines = C.sentence_tokens(t.documents, "doc_id", "lang").where("lang = 'en'")
-    known = C.prune_vocabulary(lines.select(F.explode("tokens").alias("form")).groupBy("form").agg(F.count("*").alias("n")), 10)
-    words = F.broadcast(O.top_per_group(known.withColumn("g", F.lit(0)), ["g"], [F.desc("n"), F.asc("form")], 2000).select("form"))
-    own = lines.withColumn("line", F.monotonically_increasing_id()).select("line", F.posexplode("tokens").alias("at", "form")).join(words, "form", "left_semi")
-    kept = own.groupBy("line").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "form"))), lambda x: x["form"]).alias("tokens")).where(F.size("tokens") >= 3)
-    model = D.Model.of(D.continuations(C.transitions(kept, 2), 16), D.continuations(D.backward_counts(kept, 2), 16), 2)
-    ends = kept.groupBy(F.element_at("tokens", -1).alias("surface")).agg(F.count("*").alias("n")).withColumn("query", F.left("surface", F.lit(1)))
-    pool = ends.select("query", "surface", F.col("surface").alias("normalized"), F.lit("word").alias("kind"), F.array("surface").alias("tokens"), D.usage_quality(*(F.lit(None).cast("double"),) * 3, F.col("n")).alias("usage"), F.lit(1.0).alias("phonetic"), F.lit(1.0).alias("support"))
-    return D.generate(model, D.tail_reservoir(pool, "query"), "query", count=3)
+    """Lines of six words that end in frequent line ends of each language, one request for each first letter."""
+    lines = W.settled(_known_lines(t), f"{W.shared_dir(t.spark)}/klangwerk-lines-{uuid.uuid4().hex}")
+    counts = lambda df: C.transitions(df, 2, "model", gaps=True)
+    back = D.backward_counts(lines, 2, "model", gaps=True)
+    tables = B.build(D.continuations(counts(lines), 16, "model"), D.continuations(back, 16, "model"), 2)
+    ends = lines.groupBy("model", F.element_at("tokens", -1).alias("surface")).agg(F.count("*").alias("n")).where("surface IS NOT NULL").withColumn("query", F.concat_ws(":", "model", F.left("surface", F.lit(1))))
+    pool = ends.select("query", "model", "surface", F.col("surface").alias("normalized"), F.lit("word").alias("kind"), F.array("surface").alias("tokens"), D.usage_quality(*(F.lit(None).cast("double"),) * 3, F.col("n")).alias("usage"), F.lit(1.0).alias("phonetic"), F.lit(1.0).alias("support"))
+    return B.generate(tables, D.tail_reservoir(pool, "query"), "query", count=3)
