@@ -168,19 +168,76 @@ def windows(tokens: DataFrame, *keys: str, lengths: range = range(4, 9)) -> Data
 
 #: Windows of the candidates up to which they are broadcast; beyond it the same join is a shuffle join.
 MAX_BROADCAST_WINDOWS = 2_000_000
+#: Tokens of the shortest and the longest window.
+SHORTEST, WIDEST = 4, 8
+#: Fixed value: the kind of sources that support a line; all other kinds make it a copy.
+PHRASE = "phrase"
+
+
+def _shortest_windows(tokens: DataFrame, *keys: str) -> DataFrame:
+    """keys, place and hash of every window of four tokens."""
+    t = F.col("tokens")
+    each = F.arrays_zip(*(F.slice(t, F.lit(i + 1), F.greatest(F.lit(0), F.size(t) - SHORTEST + 1)).alias(f"t{i}") for i in range(SHORTEST)))
+    hashed = F.transform(each, lambda z: F.xxhash64(*(z[f"t{i}"] for i in range(SHORTEST))))
+    return tokens.where(F.size(t) >= SHORTEST).select(*keys, F.posexplode(hashed).alias("place", "h"))
+
+
+def _all_windows(shortest: DataFrame, sequence: str) -> DataFrame:
+    """All windows from those of four tokens: where the next ones stand at the next places, their hashes tell the longer window."""
+    own = Window.partitionBy(sequence).orderBy("place")
+    df, keys, whole = shortest, [F.col("h")], F.lit(True)
+    entries = [F.struct(F.lit(SHORTEST).alias("length"), F.xxhash64("h").alias("w"), whole.alias("ok"))]
+    for j in range(1, WIDEST - SHORTEST + 1):
+        df = df.withColumn(f"_p{j}", F.lead("place", j).over(own)).withColumn(f"_h{j}", F.lead("h", j).over(own))
+        whole = whole & (F.col(f"_p{j}") == F.col("place") + j)
+        keys.append(F.col(f"_h{j}"))
+        entries.append(F.struct(F.lit(SHORTEST + j).alias("length"), F.xxhash64(*keys).alias("w"), F.coalesce(whole, F.lit(False)).alias("ok")))
+    return df.withColumn("_w", F.explode(F.filter(F.array(*entries), lambda e: e["ok"]))).select(*shortest.columns, F.col("_w.length").alias("length"), F.col("_w.w").alias("w"))
+
+
+def novelty_by_kind(candidates: DataFrame, sources: DataFrame, key: str, kind: str) -> DataFrame:
+    """MK-03: key, kind, exact (a source is the same token sequence), longest (of the windows of four to eight tokens that the
+    candidate shares with the kind's sources) and matched (how many of its windows are shared); a row for each kind found.
+
+    Both sides have ``tokens``.  Sources are cut to windows of four tokens, and only those that a candidate has are shuffled;
+    longer windows are made of these hits alone."""
+    sequence = candidates.select(key, "tokens").withColumn("_id", F.xxhash64(F.col(key).cast("string")))
+    shortest = _shortest_windows(sequence, key, "_id")
+    own = _all_windows(shortest, "_id").select(key, "length", "w")
+    asked = shortest.select("h").distinct()
+    few = asked.limit(MAX_BROADCAST_WINDOWS + 1).count() <= MAX_BROADCAST_WINDOWS
+    numbered = sources.select(F.col(kind).alias("kind"), "tokens").withColumn("_sid", F.monotonically_increasing_id())
+    hits = _shortest_windows(numbered, "kind", "_sid").join(F.broadcast(asked) if few else asked, "h", "left_semi").select("kind", "_sid", "place", "h")
+    known = _all_windows(hits, "_sid").select("kind", "length", "w").distinct()
+    shared = own.join(known, ["length", "w"]).groupBy(key, "kind").agg(F.max("length").alias("longest"), F.count("*").alias("matched"))
+    line = F.xxhash64(F.array_join("tokens", "\u0001"), F.size("tokens"))
+    lines = candidates.where(F.size("tokens") > 0).select(key, line.alias("_line")).distinct()
+    wanted = lines.select("_line").distinct()
+    same = sources.where(F.size("tokens") > 0).select(F.col(kind).alias("kind"), line.alias("_line")).join(F.broadcast(wanted) if few else wanted, "_line", "left_semi").distinct()
+    exact = lines.join(same, "_line").select(key, "kind", F.lit(True).alias("exact")).distinct()
+    both = shared.join(exact, [key, "kind"], "full")
+    return both.select(key, "kind", F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"))
+
+
+def source_novelty(candidates: DataFrame, by_kind: DataFrame, key: str) -> DataFrame:
+    """MK-03: key, exact_source, longest_run, matched_windows, novelty, phrase_run and phrase_support of every candidate.
+
+    Phrases support a line, other kinds make it less new: novelty is the part of the line beyond the longest copied run."""
+    n = F.size("tokens")
+    strict, phrase = F.col("kind") != PHRASE, F.col("kind") == PHRASE
+    summed = by_kind.groupBy(key).agg(F.max(F.when(strict, F.col("exact"))).alias("e"), F.max(F.when(strict, F.col("longest"))).alias("l"), F.sum(F.when(strict, F.col("matched"))).alias("m"), F.max(F.when(phrase, F.col("longest"))).alias("p"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    share = lambda c, most: F.least(F.lit(1.0), zero(c) / F.greatest(F.lit(1), most))
+    return candidates.select(key, F.coalesce(n, F.lit(0)).alias("_n")).join(summed, key, "left").select(
+        key, F.coalesce("e", F.lit(False)).alias("exact_source"), zero("l").alias("longest_run"), zero("m").alias("matched_windows"),
+        F.when(F.col("_n") > 0, F.round(1.0 - share("l", F.col("_n")), 6)).otherwise(1.0).alias("novelty"), zero("p").alias("phrase_run"),
+        F.when(F.col("_n") > 0, F.round(share("p", F.least(F.lit(WIDEST), F.col("_n"))), 6)).otherwise(0.0).alias("phrase_support"))
 
 
 def novelty(candidates: DataFrame, sources: DataFrame, key: str) -> DataFrame:
-    """MK-03: the longest window that each candidate shares with the sources; 0 if none.
-
-    The sources' windows are kept only if a candidate has them, before anything is shuffled, while the candidates are few
-    (counted)."""
-    own = windows(candidates, key).distinct()
-    asked = own.select("length", "h").distinct()
-    few = asked.limit(MAX_BROADCAST_WINDOWS + 1).count() <= MAX_BROADCAST_WINDOWS
-    known = windows(sources).join(F.broadcast(asked) if few else asked, ["length", "h"], "left_semi").distinct()
-    longest = own.join(known, ["length", "h"], "left_semi").groupBy(key).agg(F.max("length").alias("longest"))
-    return candidates.select(key).distinct().join(longest, key, "left").select(key, F.coalesce("longest", F.lit(0)).alias("longest"))
+    """MK-03: the longest window that each candidate shares with the sources; 0 if none."""
+    by_kind = novelty_by_kind(candidates, sources.withColumn("kind", F.lit("")), key, "kind")
+    return candidates.select(key).distinct().join(by_kind.select(key, "longest"), key, "left").select(key, F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
 def shape(tokens: Column | str) -> Column:

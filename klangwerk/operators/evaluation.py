@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranges
+
 
 def confusion(df: DataFrame, predicted: Column, gold: Column, *keys: str) -> DataFrame:
     """EV-01/04: tp, fp, fn, tn with precision, recall, F1 and false rates; a ratio without a base is null."""
@@ -36,13 +38,21 @@ def ndcg(df: DataFrame, key: str, rank_order: list[Column], relevance: str, cuto
 
 
 def concordance(df: DataFrame, key: str, score: str, gold: str) -> DataFrame:
-    """EV-03/05: concordant and discordant pairs inside each group, from counts per (score, gold) value instead of row pairs."""
-    cells = df.groupBy(key, score, gold).agg(F.count("*").alias("n"))
-    a, b = cells.alias("a"), cells.alias("b")
-    pairs = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}")).where(F.col(f"a.{gold}") > F.col(f"b.{gold}"))
-    n = F.col("a.n") * F.col("b.n")
-    s, t = F.col(f"a.{score}"), F.col(f"b.{score}")
-    return pairs.groupBy(F.col(f"a.{key}").alias(key)).agg(F.sum(F.when(s > t, n).otherwise(0)).alias("concordant"), F.sum(F.when(s < t, n).otherwise(0)).alias("discordant"), F.sum(F.when(s == t, n).otherwise(0)).alias("tied"))
+    """EV-03: pairs of a group whose scores agree with their gold (concordant), contradict it (discordant) or are equal (tied).
+
+    Pairs are counted, not made.  Golds get dense ranks; two of them part at one bit of their ranks, the highest that differs,
+    so at each bit the rows with 1 are compared with those with 0 that share the bits above: running sums over the scores of
+    as many cells as values times bits.  A group with one gold only has no pairs and no row."""
+    cells = df.where(F.col(score).isNotNull() & F.col(gold).isNotNull()).groupBy(key, score, gold).agg(F.count("*").alias("n"))
+    golds = ranges.group_positions(cells.select(key, gold).distinct(), [key], [F.asc(gold)], "_rank", "_golds")
+    renamed = golds.select(F.col(key).alias("_k"), F.col(gold).alias("_g"), "_rank", "_golds")
+    ranked = cells.join(renamed, cells[key].eqNullSafe(F.col("_k")) & (cells[gold] == F.col("_g"))).where("_golds > 1").select(key, score, "n", "_rank", F.length(F.bin(F.col("_golds") - 1)).alias("_bits"))
+    level = ranked.select(key, score, "n", "_rank", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)).alias("_level"))
+    bit = F.expr("shiftright(_rank, _level) & 1")
+    parted = level.groupBy(key, "_level", F.expr("shiftright(_rank, _level + 1)").alias("_prefix"), score).agg(F.sum(F.when(bit == 0, F.col("n")).otherwise(0)).alias("_low"), F.sum(F.when(bit == 1, F.col("n")).otherwise(0)).alias("_high"))
+    met = ranges.running(parted, [key, "_level", "_prefix"], [F.asc(score)], {"_below": (F.col("_low"), "sum")}, {"_all": F.col("_low")}).withColumn("_below", F.coalesce("_below", F.lit(0)))
+    high = F.col("_high")
+    return met.groupBy(key).agg(F.sum(high * F.col("_below")).alias("concordant"), F.sum(high * (F.col("_all") - F.col("_below") - F.col("_low"))).alias("discordant"), F.sum(high * F.col("_low")).alias("tied"))
 
 
 def ordered_difference(left: DataFrame, right: DataFrame, key: str, rank: str, item: str) -> DataFrame:
@@ -63,9 +73,22 @@ def refresh_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) ->
 
 def discordant_pairs(df: DataFrame, key: str, item: str, score: str, gold: str, most: int = 50) -> DataFrame:
     """EV-05: key, worse, better, gold_gap, score_gap, rank: pairs of a group whose scores contradict their gold, the widest gold
-    gaps first, then the widest score gaps; ``most`` a group are reported.  Groups are one query's judged results."""
-    a, b = (df.select(key, F.col(item).alias(f"i_{x}"), F.col(score).alias(f"s_{x}"), F.col(gold).alias(f"g_{x}")) for x in "ab")
-    pairs = a.join(b, key).where("g_a > g_b AND s_a < s_b").select(key, F.col("i_b").alias("worse"), F.col("i_a").alias("better"), (F.col("g_a") - F.col("g_b")).alias("gold_gap"), (F.col("s_b") - F.col("s_a")).alias("score_gap"))
+    gaps first, then the widest score gaps, then better and worse; ``most`` a group are reported.
+
+    Best first: the widest pair of each better row is found by running minima, and only the ``most`` rows with the widest
+    ones can have pairs in the report; only these meet the group's other rows."""
+    rows = df.where(F.col(score).isNotNull() & F.col(gold).isNotNull()).select(F.col(key).alias("_k"), F.col(item).alias("_i"), F.col(score).alias("_s"), F.col(gold).alias("_g"))
+    cells = rows.groupBy("_k", "_s").agg(F.min("_g").alias("_least"))
+    # the least gold among higher scores
+    above = ranges.running(cells, ["_k"], [F.desc("_s")], {"_low": (F.col("_least"), "min")}).where("_low IS NOT NULL").select(F.col("_k").alias("_ka"), F.col("_s").alias("_sa"), "_low")
+    wrong = rows.join(above, F.col("_k").eqNullSafe(F.col("_ka")) & (F.col("_s") == F.col("_sa"))).where(F.col("_low") < F.col("_g"))
+    # of that gold, the row with the highest score, the first by item
+    top = rows.groupBy("_k", "_g").agg(F.max(F.struct(F.col("_s"))).alias("_t")).select(F.col("_k").alias("_kb"), F.col("_g").alias("_gb"), F.col("_t._s").alias("_sb"))
+    widest = wrong.join(top, F.col("_k").eqNullSafe(F.col("_kb")) & (F.col("_low") == F.col("_gb")))
+    first = Window.partitionBy("_k").orderBy(F.desc(F.col("_g") - F.col("_low")), F.desc(F.col("_sb") - F.col("_s")), "_i")
+    better = widest.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select("_k", "_i", "_s", "_g")
+    a, b = (x.select(F.col("_k").alias(f"k_{n}"), F.col("_i").alias(f"i_{n}"), F.col("_s").alias(f"s_{n}"), F.col("_g").alias(f"g_{n}")) for x, n in ((better, "a"), (rows, "b")))
+    pairs = b.join(a, F.col("k_a").eqNullSafe(F.col("k_b"))).where("g_a > g_b AND s_a < s_b").select(F.col("k_a").alias(key), F.col("i_b").alias("worse"), F.col("i_a").alias("better"), (F.col("g_a") - F.col("g_b")).alias("gold_gap"), (F.col("s_b") - F.col("s_a")).alias("score_gap"))
     w = Window.partitionBy(key).orderBy(F.desc("gold_gap"), F.desc("score_gap"), "better", "worse")
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most)
 

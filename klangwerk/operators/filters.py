@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from klangwerk.functions import text as T
 
+from . import positional
 from .base import as_col
 
 #: The relation types in the order in which they are listed.
@@ -61,22 +62,21 @@ def contains_search(df: DataFrame, surface: str, needle: str, types: str | None
     return df.where(keep & evidence if evidence is not None else keep)
 
 
-def name_search(names: DataFrame, name: str, queries: DataFrame, query: str, order: list[Column], limit: int = 20) -> DataFrame:
-    """FP-06: names that hold the query's words side by side, in order of popularity, up to ``limit`` a query.
+def name_index(names: DataFrame, key: str, name: str) -> DataFrame:
+    """FP-06: the positional index of names: key, place, word, next; it can be kept as a table and asked again."""
+    return positional.postings(names, key, F.transform(T.word_tokens(name), F.lower))
 
-    Both sides are split to words; names are found by the query's rarest word and compared at its place, so a frequent word
-    alone fans out for one-word queries only."""
-    tokens = lambda c: F.transform(T.word_tokens(c), F.lower)
-    n = names.withColumn("_tokens", tokens(name)).withColumn("_id", F.xxhash64(*names.columns))
-    words = n.select(F.explode("_tokens").alias("_word")).groupBy("_word").agg(F.count("*").alias("_df"))
-    asked = queries.select(F.col(query).alias("query"), tokens(query).alias("_want")).where(F.size("_want") > 0).distinct()
-    places = asked.select("query", "_want", F.posexplode("_want").alias("_at", "_word")).join(words, "_word", "left")
-    key = places.groupBy("query", "_want").agg(F.min_by(F.struct("_word", "_at"), F.struct(F.coalesce("_df", F.lit(0)), "_at")).alias("k")).select("query", "_want", F.col("k._word").alias("_word"), F.col("k._at").alias("_at"))
-    met = n.select("*", F.posexplode("_tokens").alias("_place", "_word")).join(key, "_word")
-    hits = met.where((F.col("_place") >= F.col("_at")) & F.expr("slice(_tokens, greatest(1, _place - _at + 1), size(_want)) = _want")).dropDuplicates(["query", "_id"])
+
+def name_search(names: DataFrame, key: str, name: str, queries: DataFrame, query: str, order: list[Column], limit: int = 20, index: DataFrame | None = None) -> DataFrame:
+    """FP-06: names that hold the query's words side by side, in order of popularity (``order``, total), up to ``limit`` a query.
+
+    The index is asked for keys and places alone; ``order`` columns join what was found, all columns what is left."""
+    words = F.transform(T.word_tokens(query), F.lower)
+    asked = queries.select(F.col(query).alias("query"), words.alias("_want")).where(F.size("_want") > 0).distinct()
+    found = positional.occurrences(name_index(names, key, name) if index is None else index, key, asked, "query", "_want").select("query", key).distinct()
     from .relational import top_per_group
 
-    return top_per_group(hits, ["query"], [*order, F.asc("_id")], clamp(limit, 20, 100)).select("query", *names.columns, "rank")
+    return top_per_group(found.join(names, key), ["query"], order, clamp(limit, 20, 100)).select("query", *names.columns, "rank")
 
 
 def result_types(primary: Column | str, relations: Column | str) -> Column:

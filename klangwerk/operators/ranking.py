@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranges
 from .base import as_col
 
 
@@ -34,11 +35,9 @@ def quota_fill(df: DataFrame, keys: list[str], order: list[Column], quota: int,
 
 
 def rank_percentile(df: DataFrame, keys: list[str], order: list[Column], name: str = "percentile") -> DataFrame:
-    """WN-07: 1 - i / (n - 1) by rank in the group, 1 for a single row."""
-    w = Window.partitionBy(*keys)
-    n = F.count("*").over(w)
-    i = F.row_number().over(w.orderBy(*order)) - 1
-    return df.withColumn(name, F.when(n == 1, F.lit(1.0)).otherwise(1.0 - i / (n - 1)))
+    """WN-07: 1 - i / (n - 1) by rank in the group, 1 for a single row; groups may be of any size (see `ranges`)."""
+    i, n = F.col("_i"), F.col("_n")
+    return ranges.group_positions(df, keys, order, "_i", "_n").withColumn(name, F.when(n == 1, F.lit(1.0)).otherwise(1.0 - i / (n - 1))).drop("_i", "_n")
 
 
 def popularity_tier(percentile: Column | str) -> Column:
@@ -48,12 +47,12 @@ def popularity_tier(percentile: Column | str) -> Column:
 
 
 def tie_percentile_ppm(df: DataFrame, keys: list[str], value: str, name: str = "ppm") -> DataFrame:
-    """WN-08: share of strictly smaller values in millionths; ties equal, a single row 1e6, missing values 0 and not counted."""
-    present = F.col(value).isNotNull()
-    w = Window.partitionBy(*keys, present.alias("_p"))
-    n = F.count("*").over(w)
-    below = F.rank().over(w.orderBy(F.col(value).asc())).cast("long") - 1  # times two million: past 32 bits from 1,074 rows on
-    return df.withColumn(name, F.when(~present, F.lit(0)).when(n == 1, F.lit(1_000_000)).otherwise(F.floor((below * 2_000_000 + (n - 1)) / (2 * (n - 1)))).cast("long"))
+    """WN-08: share of strictly smaller values in millionths; ties equal, a single row 1e6, missing values 0 and not counted.
+
+    Groups and ties may be of any size (see `ranges`)."""
+    below, n = F.col("_below"), F.col("_n")  # long: times two million they pass 32 bits from 1,074 rows on
+    ppm = F.when(F.col(value).isNull(), F.lit(0)).when(n == 1, F.lit(1_000_000)).otherwise(F.floor((below * 2_000_000 + (n - 1)) / (2 * (n - 1))))
+    return ranges.smaller_values(df, keys, value, "_below", "_n").withColumn(name, ppm.cast("long")).drop("_below", "_n")
 
 
 def type_coverage(df: DataFrame, key: str, type_col: str, order: list[Column], floor: int, limit: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import positional
 from .base import as_col
 
 
@@ -110,17 +111,8 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def contained_sequences(sequences: DataFrame, patterns: DataFrame, seq_id: str, tokens: str, pattern_id: str, pattern: str) -> DataFrame:
-    """JN-15: places where a pattern's tokens stand consecutively in a sequence.
-
-    Joined on the pattern's first two tokens (one for one-token patterns), so a frequent word alone does not fan out;
-    the rest is compared at the place."""
-    pair = lambda c, i: F.concat_ws(" ", F.get(c, i), F.get(c, i + 1))
-    p = patterns.where(F.size(pattern) > 0).select(pattern_id, F.col(pattern).alias("_pattern"), pair(F.col(pattern), F.lit(0)).alias("_k"), (F.size(pattern) > 1).alias("_two"))
-    s = sequences.select(seq_id, F.col(tokens).alias("_tokens"))
-    at = s.select(seq_id, "_tokens", F.posexplode("_tokens").alias("place", "_first"))
-    keyed = at.select(seq_id, "place", "_tokens", F.explode(F.array(F.struct(pair(F.col("_tokens"), F.col("place")).alias("k"), F.lit(True).alias("two")), F.struct(F.col("_first").alias("k"), F.lit(False).alias("two")))).alias("_e"))
-    hit = keyed.select(seq_id, "place", "_tokens", F.col("_e.k").alias("_k"), F.col("_e.two").alias("_two")).join(p, ["_k", "_two"])
-    return hit.where(F.expr("slice(_tokens, place + 1, size(_pattern)) = _pattern")).select(seq_id, pattern_id, F.col("place").cast("long").alias("place"))
+    """JN-15: places where a pattern's tokens stand consecutively in a sequence (see `positional`)."""
+    return positional.occurrences(positional.postings(sequences, seq_id, tokens), seq_id, patterns, pattern_id, pattern)
 
 
 def suffix_search(queries: DataFrame, index: DataFrame, query: str, target: str, key: str = "suffix", syllables: str = "syllables", span: int = 1) -> DataFrame:

@@ -97,6 +97,24 @@ def mk03_source_novelty(t) -> DataFrame:
     return C.novelty(items, docs, "item_id")
 
 
+_KINDS = f"""(SELECT 'sentence' AS kind, tokens FROM {_tokens('documents')} UNION ALL SELECT 'lyric', tokens FROM {_tokens('conversations')} UNION ALL SELECT 'phrase', tokens[1:6] FROM {_tokens('documents')} WHERE doc_id % 3 = 0)"""
+
+
+@query(f"""WITH c AS (SELECT item_id, tokens FROM {_tokens('benchmark')} UNION ALL SELECT -1 - conv_id, tokens FROM {_tokens('conversations')} WHERE turn = 0),
+ s AS (SELECT kind, tokens FROM {_KINDS}), k AS (SELECT DISTINCT kind, length, w FROM ({_windows_sql('s')})), b AS (SELECT item_id, length, w FROM ({_windows_sql('c')})),
+ h AS (SELECT item_id, kind, max(length) AS l, count(*) AS m FROM b JOIN k USING (length, w) GROUP BY ALL), x AS (SELECT DISTINCT item_id, kind, true AS e FROM c JOIN s USING (tokens) WHERE len(tokens) > 0),
+ g AS (SELECT item_id, bool_or(e) FILTER (kind <> 'phrase') AS e, max(l) FILTER (kind <> 'phrase') AS l, sum(m) FILTER (kind <> 'phrase') AS m, max(l) FILTER (kind = 'phrase') AS p FROM h FULL JOIN x USING (item_id, kind) GROUP BY item_id)
+SELECT item_id, coalesce(e, false) AS exact_source, coalesce(l, 0)::INTEGER AS longest_run, coalesce(m, 0)::BIGINT AS matched_windows, CASE WHEN len(tokens) > 0 THEN round(1.0 - least(1.0, coalesce(l, 0) / greatest(1, len(tokens))::DOUBLE), 6) ELSE 1.0 END AS novelty,
+ coalesce(p, 0)::INTEGER AS phrase_run, CASE WHEN len(tokens) > 0 THEN round(least(1.0, coalesce(p, 0) / greatest(1, least(8, len(tokens)))::DOUBLE), 6) ELSE 0.0 END AS phrase_support FROM c LEFT JOIN g USING (item_id)""")
+def mk03_novelty_by_kind(t) -> DataFrame:
+    """Benchmark items and first turns against documents, turns and the beginnings of every third document as phrases."""
+    tokens = F.transform(T.word_tokens("text"), F.lower).alias("tokens")
+    c = t.benchmark.select("item_id", tokens).unionByName(t.conversations.where("turn = 0").select((-1 - F.col("conv_id")).alias("item_id"), tokens))
+    docs = t.documents.select("doc_id", tokens)
+    sources = docs.select(F.lit("sentence").alias("kind"), "tokens").unionByName(t.conversations.select(F.lit("lyric").alias("kind"), tokens)).unionByName(docs.where("doc_id % 3 = 0").select(F.lit("phrase").alias("kind"), F.slice("tokens", 1, 6).alias("tokens")))
+    return C.source_novelty(c, C.novelty_by_kind(c, sources, "item_id", "kind"), "item_id")
+
+
 @query(f"""WITH p AS (SELECT item_id, tokens AS pat, array_to_string(tokens[1:2], ' ') AS k, len(tokens) AS n FROM {_tokens('benchmark')} WHERE len(tokens) > 0),
  d AS (SELECT doc_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM {_tokens('documents')} WHERE len(tokens) > 0),
  h AS (SELECT doc_id, item_id, i, tokens, pat, n FROM d JOIN p ON p.n > 1 AND array_to_string(d.tokens[i:i + 1], ' ') = p.k UNION ALL SELECT doc_id, item_id, i, tokens, pat, n FROM d JOIN p ON p.n = 1 AND d.tokens[i] = p.k)

@@ -38,7 +38,7 @@ SELECT query, p_partkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY qu
 def fp06_name_search(t) -> DataFrame:
     """The first two words of every fiftieth part's name, as a phrase against all names."""
     asked = t.part.where("p_partkey % 50 = 0").select(F.array_join(F.slice(F.transform(T.word_tokens("p_name"), F.lower), 1, 2), " ").alias("q")).distinct()
-    return X.name_search(t.part, "p_name", asked, "q", [F.desc("p_retailprice"), F.asc("p_partkey")]).select("query", "p_partkey", "rank")
+    return X.name_search(t.part.select("p_partkey", "p_name", "p_retailprice"), "p_partkey", "p_name", asked, "q", [F.desc("p_retailprice"), F.asc("p_partkey")]).select("query", "p_partkey", "rank")
 
 
 _TYPED = """(SELECT *, CASE p_size % 7 WHEN 0 THEN 'perfect' WHEN 1 THEN 'multisyllabic_perfect' WHEN 2 THEN 'family' WHEN 3 THEN 'slant' WHEN 4 THEN 'assonance' END AS prim,
