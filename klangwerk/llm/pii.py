@@ -15,7 +15,8 @@ words of their texts; counts combine before each shuffle, so an entity or term t
 row per task; joins are plain equi-joins that adaptive execution may split.
 
 Defined cases: null is an empty text; matches that fail their check are dropped without another try; repeated
-rows count as often as they occur, except as support, and get the same spans; a secret inside a longer base match is part
+rows count as often as they occur, except as support, and get the same spans; a text with very many matches costs little more than
+in proportion; a secret inside a longer base match is part
 of that; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -77,24 +78,65 @@ def _valid(kind: str, value: Column) -> Column:
     return F.length(digits).between(14, 19) & _luhn(digits)
 
 
-def _matches(kind: str, text: Column) -> Column:
-    """array<struct<kind, begin, end, value>> of valid matches: positions are sums of the lengths before, in code points."""
-    form, hint = (SECRET_PATTERN, SECRET_HINT) if kind == SECRET else (PATTERNS[kind], HINTS[kind])
-    values, between = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form)
-    empty = F.struct(F.array().cast(f"array<{_SPAN}>").alias("out"), F.lit(0).alias("at"))
+def _bind(value: Column, f) -> Column:
+    """f(value) with the value computed once, whatever f does with it."""
+    return F.element_at(F.transform(F.array(value), lambda v: f(v)), 1)
+
+
+def _running(values: Column, zero: Column, op) -> Column:
+    """What op makes of zero and the values before each place.
+
+    A fold that appends copies what it has at each step, so the values are cut into about as many runs as a run has values: runs
+    are summed up, the sums are folded, and every run is folded from its own start."""
+    empty = lambda at: F.struct(F.array().cast("array<int>").alias("out"), at.alias("at"))
+    step = lambda s, x: F.struct(F.concat(s["out"], F.array(s["at"])).alias("out"), op(s["at"], x).alias("at"))
+    fold = lambda xs, at: F.aggregate(xs, empty(at), step, lambda s: s["out"])
+
+    def run(xs: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        runs = F.transform(F.sequence(F.lit(0), F.size(xs) - 1, width), lambda i: F.slice(xs, i + 1, width))
+        return _bind(runs, lambda r: F.flatten(F.zip_with(r, fold(F.transform(r, lambda x: F.aggregate(x, zero, op)), zero), lambda x, at: fold(x, at))))
+
+    return _bind(values, lambda xs: F.when(F.size(xs) > 0, run(xs)).otherwise(F.array().cast("array<int>")))
 
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("begin"), (begin + F.length(pair["value"])).alias("end"), pair["value"].alias("value"))
-        return F.struct(F.when(_valid(kind, pair["value"]), F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"),
-                        (begin + F.length(pair["value"])).alias("at"))
 
+def _placed_values(text: Column, form: str) -> Column:
+    """array<struct<value, begin>> of all matches of a pattern: positions are sums of the lengths before, in code points."""
+    values, between = F.regexp_extract_all(text, F.lit(form), F.lit(0)), F.split(text, form)
     pairs = F.arrays_zip(values.alias("value"), F.slice(between, F.lit(1), F.size(values)).alias("gap"))
-    found = F.aggregate(pairs, empty, step, lambda s: s["out"])
+
+    def place(ps: Column) -> Column:
+        before = _running(F.transform(ps, lambda p: F.length(p["gap"]) + F.length(p["value"])), F.lit(0), lambda a, b: a + b)
+        return F.zip_with(ps, before, lambda p, at: F.struct(p["value"].alias("value"), (at + F.length(p["gap"])).alias("begin")))
+
+    return _bind(pairs, place)
+
+
+def _matches(kind: str, text: Column) -> Column:
+    """array<struct<kind, begin, end, value>> of valid matches."""
+    form, hint = (SECRET_PATTERN, SECRET_HINT) if kind == SECRET else (PATTERNS[kind], HINTS[kind])
+    valid = F.filter(_placed_values(text, form), lambda m: _valid(kind, m["value"]))
+    found = F.transform(valid, lambda m: F.struct(F.lit(kind).alias("kind"), m["begin"].alias("begin"), (m["begin"] + F.length(m["value"])).alias("end"), m["value"].alias("value")))
     maybe = text.rlike(SECRET_MARKS) & text.rlike(hint) if kind == SECRET else text.rlike(hint)
     return F.when(maybe, found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
+def _reached(at: Column, spans: Column, rows: Column, inclusive: bool) -> Column:
+    """array<struct<row, reach>>: each row with the furthest end of the spans that begin before ``at(row)`` (or there, if inclusive).
+
+    Spans and rows are sorted by place together, and the furthest end runs along."""
+    first = 0 if inclusive else 1  # of spans and rows at one place, which comes first
+    marks = F.transform(spans, lambda s: F.struct(s["begin"].alias("at"), F.lit(first).alias("order"), s["end"].alias("end"), F.try_element_at(rows, F.lit(1)).alias("row"), F.lit(False).alias("own")))
+    asked = F.transform(rows, lambda r: F.struct(at(r).alias("at"), F.lit(1 - first).alias("order"), F.lit(-1).alias("end"), r.alias("row"), F.lit(True).alias("own")))
+
+    def run(events: Column) -> Column:
+        reach = _running(F.transform(events, lambda e: e["end"]), F.lit(-1), lambda a, b: F.greatest(a, b))
+        both = F.zip_with(events, reach, lambda e, far: F.struct(e["row"].alias("row"), e["own"].alias("own"), far.alias("reach")))
+        return F.transform(F.filter(both, lambda e: e["own"]), lambda e: F.struct(e["row"].alias("row"), e["reach"].alias("reach")))
+
+    return _bind(F.array_sort(F.concat(marks, asked)), run)
+
+
 def base_spans(text: Column) -> Column:
     """All valid matches in order of place, then kind as listed."""
     rank = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
@@ -105,10 +147,14 @@ def base_spans(text: Column) -> Column:
 
 def all_spans(text: Column) -> Column:
     """base_spans and the secrets outside them, in order of place."""
-    base, rank = base_spans(text), len(KINDS)
+    rank = len(KINDS)
     secrets = F.transform(_matches(SECRET, text), lambda s: F.struct(s["begin"].alias("begin"), F.lit(rank).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
-    own = F.filter(secrets, lambda s: ~F.exists(base, lambda t: (t["begin"] <= s["begin"]) & (s["end"] <= t["end"])))
-    return F.array_sort(F.concat(base, own))
+
+    def both(base: Column, found: Column) -> Column:
+        own = F.transform(F.filter(_reached(lambda s: s["begin"], base, found, True), lambda x: x["reach"] < x["row"]["end"]), lambda x: x["row"])
+        return F.when(F.size(found) > 0, F.array_sort(F.concat(base, own))).otherwise(base)
+
+    return _bind(base_spans(text), lambda base: _bind(secrets, lambda found: both(base, found)))
 
 
 def _words(text: Column) -> Column:
@@ -121,18 +167,10 @@ def _words(text: Column) -> Column:
 
 def _places(text: Column, terms: Column, found: Column) -> Column:
     """array<struct<begin, end>> of all occurrences of terms outside the mentions."""
-    values, between = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD)
-    empty = F.struct(F.array().cast("array<struct<begin:int,end:int>>").alias("out"), F.lit(0).alias("at"))
-
-    def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["value"])
-        hit = F.array_contains(terms, F.lower(pair["value"]))
-        return F.struct(F.when(hit, F.concat(state["out"], F.array(F.struct(begin.alias("begin"), end.alias("end"))))).otherwise(state["out"]).alias("out"), end.alias("at"))
-
-    pairs = F.arrays_zip(values.alias("value"), F.slice(between, F.lit(1), F.size(values)).alias("gap"))
-    every = F.aggregate(pairs, empty, step, lambda s: s["out"])
-    return F.filter(every, lambda t: ~F.exists(found, lambda s: (s["begin"] < t["end"]) & (t["begin"] < s["end"])))
+    hits = F.filter(_placed_values(text, WORD), lambda m: F.array_contains(terms, F.lower(m["value"])))
+    spans = F.transform(hits, lambda m: F.struct(m["begin"].alias("begin"), (m["begin"] + F.length(m["value"])).alias("end")))
+    free = lambda rows: F.filter(_reached(lambda t: t["end"], found, rows, False), lambda x: x["reach"] <= x["row"]["begin"])
+    return _bind(spans, lambda rows: F.transform(free(rows), lambda x: x["row"]))
 
 
 def find_mentions(docs: DataFrame) -> DataFrame:
@@ -196,49 +234,64 @@ def disclosing(docs: DataFrame, near: DataFrame, of_entity: DataFrame) -> DataFr
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, with _found (base spans and secrets) and _places (begin, end of every disclosing term).
+    """row (the document, all columns), found (base spans and secrets) and places (begin, end of every disclosing term).
 
     Base spans are found again in place, so only the terms of texts that have disclosing ones meet a join."""
     near, of_entity = _near(docs)
     pairs = settle(disclosing(docs, near, of_entity).select("entity", "term"), "disclosing")
     own = near.select("text_hash", "entity", F.explode("terms").alias("term")).join(_bounded(pairs, pairs.count()), ["entity", "term"], "left_semi")
-    terms = settle(own.groupBy(F.col("text_hash").alias("_h")).agg(F.collect_set("term").alias("_terms")), "terms")
-    n = terms.agg(F.sum(F.size("_terms"))).first()[0] or 0
-    joined = docs.join(_bounded(terms, n, MAX_BROADCAST_TEXT_TERMS), F.xxhash64(docs["text"]) == F.col("_h"), "left")
-    found = joined.withColumn("_found", all_spans(F.coalesce("text", F.lit(""))))
+    terms = settle(own.groupBy("text_hash").agg(F.collect_set("term").alias("terms")), "terms")
+    n = terms.agg(F.sum(F.size("terms"))).first()[0] or 0
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # whatever the columns are called
+    joined = rows.join(_bounded(terms, n, MAX_BROADCAST_TEXT_TERMS), F.xxhash64("row.text") == F.col("text_hash"), "left")
+    found = joined.withColumn("found", all_spans(F.coalesce("row.text", F.lit(""))))
     none = F.array().cast("array<struct<begin:int,end:int>>")
-    return found.withColumn("_places", F.when(F.col("_terms").isNotNull(), _places(F.col("text"), F.col("_terms"), F.col("_found"))).otherwise(none)).drop("_h", "_terms")
+    return found.select("row", "found", F.when(F.col("terms").isNotNull(), _places(F.col("row.text"), F.col("terms"), F.col("found"))).otherwise(none).alias("places"))
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_hash, base and secrets (kind, begin, end), and terms (begin, end)."""
     shown = lambda c: F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["begin"].alias("begin"), s["end"].alias("end")))
-    base, secrets = (shown(F.filter("_found", lambda s: (s["kind"] == SECRET) == other)) for other in (False, True))
-    return _placed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), base.alias("base"), secrets.alias("secrets"), F.col("_places").alias("terms"))
+    base, secrets = (shown(F.filter("found", lambda s: (s["kind"] == SECRET) == other)) for other in (False, True))
+    return _placed(docs.select("doc_id", "text")).select(F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("text_hash"), base.alias("base"), secrets.alias("secrets"), F.col("places").alias("terms"))
 
 
 #: What stands in place of a match.
 MASKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "secret": "<SECRET>"}
 
 
+#: Code points of the parts in which a text is cut, so that no piece is counted from the text's beginning.
+PART = 4096
+
+
 def _masked(text: Column, spans: Column) -> Column:
     """The text with each span (begin, end, kind, in order) replaced; a span that overlaps an earlier one extends it."""
     mask = F.create_map(*(x for k, v in MASKS.items() for x in (F.lit(k), F.lit(v))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+
+    def masked(of: Column, rows: Column) -> Column:
+        def piece(begin: Column, end: Column) -> Column:
+            first = F.floor(begin / PART).cast("int")
+            near = F.array_join(F.slice(of, first + 1, F.floor(F.greatest(begin, end - 1) / PART).cast("int") - first + 1), "")
+            return F.when(end > begin, F.substring(near, begin - first * PART + 1, end - begin)).otherwise("")
+
+        def shown(x: Column, at: Column) -> Column:
+            # generalised to a class if it is a name or a code, else removed
+            word = F.when(x["kind"] == "term", piece(x["begin"], x["end"]))
+            put = F.coalesce(mask[x["kind"]], F.when(word.rlike(r"^\p{Lu}|[0-9]"), F.lit("<TERM>")).otherwise(F.lit("")))
+            return F.when(x["begin"] >= at, F.concat(piece(at, x["begin"]), put)).otherwise("")
 
-    def step(s: Column, x: Column) -> Column:
-        # generalised to a class if it is a name or a code, else removed
-        word = F.substring(text, x["begin"] + 1, x["end"] - x["begin"])
-        put = F.coalesce(mask[x["kind"]], F.when(word.rlike(r"^\p{Lu}|[0-9]"), F.lit("<TERM>")).otherwise(F.lit("")))
-        new = F.concat(s["out"], F.substring(text, s["at"] + 1, x["begin"] - s["at"]), put)
-        return F.struct(F.when(x["begin"] >= s["at"], new).otherwise(s["out"]).alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
+        ends = _running(F.transform(rows, lambda x: x["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+        body = F.zip_with(rows, ends, lambda x, at: shown(x, at))
+        return F.concat(F.array_join(body, ""), piece(F.array_max(F.transform(rows, lambda x: x["end"])), F.length(text)))
 
-    return F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return _bind(parts, lambda of: _bind(spans, lambda rows: masked(of, rows)))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with personal data masked and disclosing terms generalised or removed."""
-    base = F.transform("_found", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["kind"].alias("kind")))
-    extra = F.transform("_places", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), F.lit("term").alias("kind")))
-    every = _placed(docs).withColumn("_every", F.array_sort(F.concat(base, extra)))
-    return every.withColumn("text", F.when(F.size("_every") > 0, _masked(F.col("text"), F.col("_every"))).otherwise(F.col("text"))).drop("_found", "_places", "_every")
+    base = F.transform("found", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), s["kind"].alias("kind")))
+    extra = F.transform("places", lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"), F.lit("term").alias("kind")))
+    every = _placed(docs).select("row", F.array_sort(F.concat(base, extra)).alias("every"))
+    text = F.when(F.size("every") > 0, _masked(F.col("row.text"), F.col("every"))).otherwise(F.col("row.text"))
+    return every.select(*((text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
