@@ -8,25 +8,38 @@ from pyspark.sql import functions as F
 
 def common_bars(current: list, previous: list) -> list[tuple[int, int]]:
     """Places (current, previous) of a longest common subsequence of ids; of equally long ones that which passes over the
-    current bar first."""
-    import numpy as np
-
-    n, m = len(current), len(previous)
-    number = {x: i for i, x in enumerate(dict.fromkeys([*current, *previous]))}
-    a, b = np.array([number[x] for x in current]), np.array([number[x] for x in previous])
-    longest = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n - 1, -1, -1):
-        step = np.where(b == a[i], longest[i + 1, 1:] + 1, longest[i + 1, :-1])
-        longest[i, :-1] = np.maximum.accumulate(step[::-1])[::-1]
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i] == b[j]:
+    current bar first.
+
+    Ids are unique in a revision (of repeated ones the first is met with the first, and so on), so the subsequence is a longest
+    run of increasing places: found in n log n steps and linear memory."""
+    from bisect import bisect_left
+    from collections import Counter
+
+    def numbered(ids):
+        seen = Counter()
+        for x in ids:
+            yield x, seen[x]
+            seen[x] += 1
+
+    was = {x: j for j, x in enumerate(numbered(previous))}
+    places = [was.get(x) for x in numbered(current)]
+    # how many bars a common run that begins with a bar can have: ends[n] is the greatest place where one of n + 1 begins, negated
+    ends, length, after, latest = [], [0] * len(places), [None] * len(places), {}
+    for i in range(len(places) - 1, -1, -1):
+        if places[i] is not None:
+            at = bisect_left(ends, -places[i])
+            ends[at : at + 1] = [-places[i]]
+            length[i] = at + 1
+            after[i] = latest.get(at + 1)  # the next bar from which the run is as long; it was before this one
+            latest[at + 1] = i
+    out, need, least = [], len(ends), 0
+    for i, j in enumerate(places):
+        if j is None or j < least or length[i] != need:
+            continue
+        # passed over if a later bar begins as long a run, unless it stands at once in both
+        if j == least or after[i] is None or places[after[i]] < least:
             out.append((i, j))
-            i, j = i + 1, j + 1
-        elif longest[i + 1, j] >= longest[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+            need, least = need - 1, j + 1
     return out
 
 
@@ -35,7 +48,7 @@ def compare_revisions(current: DataFrame, previous: DataFrame, document: str, ba
 
     Bars of the longest common subsequence are same, or changed where their text is another; others that stand in both
     revisions have moved (or changed, with moved set); the rest is added or removed.  A bar of the subsequence whose place
-    has shifted counts as moved if its text is the same.  One call per document, whose bars are a bounded list."""
+    has shifted counts as moved if its text is the same.  One call per document, in n log n steps of its bars."""
     kinds = dict(current.dtypes)
     side = lambda df, name: df.select(F.col(document).alias(document), F.col(bar).alias(bar), F.col(place).alias("at"), F.col(text).alias("text"), F.lit(name).alias("side"))
 
