@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from klangwerk.functions import text as T
+from klangwerk.operators import aggregates as A
 from klangwerk.operators import corpus as C
 from klangwerk.operators import evaluation as E
 from klangwerk.operators import relational as O
+from klangwerk.operators import song as G
 
 from .registry import query
 
@@ -150,7 +152,8 @@ def sc02_word_pairs(t) -> DataFrame:
 
 @query("""SELECT role AS from_role, nxt AS to_role, count(*) AS n FROM (SELECT role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role) AS nxt FROM conversations) WHERE nxt IS NOT NULL GROUP BY 1, 2""")
 def ag20_section_transitions(t) -> DataFrame:
-    return t.conversations.select(F.col("role").alias("from_role"), F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn", "role")).alias("to_role")).where("to_role IS NOT NULL").groupBy("from_role", "to_role").agg(F.count("*").alias("n"))
+    walk = A.transitions(t.conversations, ["conv_id"], ["turn", "role"], "role")
+    return walk.where("from_value IS NOT NULL AND to_value IS NOT NULL").select(F.col("from_value").alias("from_role"), F.col("to_value").alias("to_role"), "n")
 
 
 _EVAL = "(SELECT d.source, d.lang, l.quality = 1 AS gold, d.n_chars >= 1500 AS predicted, d.n_chars AS score, l.quality, d.doc_id FROM documents d JOIN labels l USING (doc_id))"
@@ -210,4 +213,28 @@ def sf22_sequence_hash(t) -> DataFrame:
 
 @query("""SELECT lang, count(*) AS docs, count(DISTINCT source) AS sources, sum(n_chars)::BIGINT AS chars, sum(CASE WHEN text IS NULL OR trim(text) = '' THEN 1 ELSE 0 END)::BIGINT AS blank FROM documents GROUP BY lang""")
 def ag26_census(t) -> DataFrame:
-    return t.documents.groupBy("lang").agg(F.count("*").alias("docs"), F.countDistinct("source").alias("sources"), F.sum("n_chars").alias("chars"), F.sum(F.when(F.col("text").isNull() | (F.trim("text") == ""), 1).otherwise(0)).alias("blank"))
+    counted = A.census(t.documents, ["lang"], "source", "n_chars", F.col("text").isNull() | (F.trim("text") == ""))
+    return counted.withColumnsRenamed({"n": "docs", "size": "chars"})
+
+
+@query("""SELECT lang, source, count(DISTINCT doc_id // 100) AS sources, sum(n_chars)::BIGINT AS n_chars, sum(length(coalesce(text, '')))::BIGINT AS size FROM documents GROUP BY 1, 2""")
+def ag06_grouped_evidence(t) -> DataFrame:
+    """Evidence of each language and source: hundreds of ids as what it comes from."""
+    rows = t.documents.withColumns({"part": F.floor(F.col("doc_id") / 100), "size": F.length(F.coalesce("text", F.lit(""))).cast("long")})
+    return A.evidence_in_groups(rows, ["lang", "source"], "part", ["n_chars", "size"])
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, nullif({_END}, '') AS w FROM conversations), f AS (SELECT conv_id, w, min(turn) AS prior FROM w WHERE w IS NOT NULL GROUP BY 1, 2)
+SELECT conv_id, turn, prior, 1.0::DOUBLE AS score FROM w JOIN f USING (conv_id, w) WHERE prior < turn""")
+def sc04_identity_pairs(t) -> DataFrame:
+    """Turns whose closest earlier turn ends in the same word, which no other relation can beat."""
+    words = G.line_words(t.conversations, "conv_id", "turn")
+    return G.strongest_pairs(words, "conv_id", "turn", "en").where("type = 'identity'").select("conv_id", "turn", "prior", "score")
+
+
+@query(f"""WITH w AS (SELECT DISTINCT conv_id, turn, nullif({_END}, '') AS w FROM conversations) SELECT a.conv_id, count(*) AS n FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.w = b.w AND a.turn < b.turn GROUP BY 1""")
+def sc06_identity_counts(t) -> DataFrame:
+    """How many pairs of turns of a conversation end in the same word, among all relations of its end words."""
+    words = G.line_words(t.conversations, "conv_id", "turn")
+    related = G.occurrence_relations(words, G.word_relations(words, "conv_id", "en"), "conv_id", "turn")
+    return G.relation_counts(related, ["conv_id"]).where("type = 'identity'").select("conv_id", "n")

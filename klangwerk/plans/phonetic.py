@@ -40,6 +40,13 @@ def search_frequent_words(t) -> DataFrame:
     return I.search(_frequent(index), index)
 
 
+@query()
+def sc01_end_word_search(t) -> DataFrame:
+    """The five best rhymes of the corpus lexicon for every end word of a turn, one search for all words of all conversations."""
+    ends = G.line_words(t.conversations, "conv_id", "turn").where("word IS NOT NULL").select(F.lit("en").alias("language"), F.col("word").alias("form")).distinct()
+    return I.search(ends, _index(t), 5)
+
+
 @query()
 def ph23_bounded_scoring(t) -> DataFrame:
     """How many candidates of these words the bounds leave to be scored."""
