@@ -111,6 +111,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that columns of ``docs`` have."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
 #: Rows of ids up to which a settled table of ids is broadcast; beyond it the same join is a shuffle join.
 MAX_BROADCAST_IDS = 500_000
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, settle, small_side
+from .common import in_arrow, settle, small_side, unused
 from .wordcodes import gather, hashed_words, slices
 
 SHINGLE = 5
@@ -280,5 +280,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, in which no item was found."""
-    found = settle(contaminated(docs, benchmark).select(F.col("doc_id").alias("_found")), "contaminated")
-    return docs.join(small_side(found), docs["doc_id"].cast("long").eqNullSafe(F.col("_found")), "left_anti")
+    (name,) = unused(docs, "_found")
+    found = settle(contaminated(docs, benchmark).select(F.col("doc_id").alias(name)), "contaminated")
+    return docs.join(small_side(found), docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -263,9 +263,11 @@ def predict(docs: DataFrame, model: PieceModel | None) -> DataFrame:
 
 
 def with_prediction(docs: DataFrame, model: PieceModel | None) -> DataFrame:
-    """The documents, all columns, with lang_pred, score and gain; the words never leave the task that reads the text."""
+    """The documents, all columns, with lang_pred, score and gain, which take the place of columns of these names; the words
+    never leave the task that reads the text."""
     from pyspark.sql.types import DoubleType, StringType, StructType
 
+    docs = docs.drop("lang_pred", "score", "gain")
     at = docs.columns.index("text")
 
     def run(batches):

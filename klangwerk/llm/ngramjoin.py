@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_arrow, remove, settle, small_side
+from .common import in_arrow, remove, settle, small_side, unused
 from .decontam import SHINGLE, shingle_hashes
 from .wordcodes import hashed_words, slices
 
@@ -396,6 +396,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, all columns, without those whose component has a smaller doc_id.
 
     Rows of one doc_id and text are one document; one without an id goes if its component has a document with one."""
-    other = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = settle(components(docs).where(other).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct(), "gone")
-    return docs.join(small_side(gone), docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    other, (gone_id, gone_hash) = ~F.col("doc_id").eqNullSafe(F.col("component_id")), unused(docs, "_gone", "_hash")
+    gone = settle(components(docs).where(other).select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct(), "gone")
+    return docs.join(small_side(gone), docs["doc_id"].cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64(docs["text"]) == F.col(gone_hash)), "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_arrow, settle
+from .common import in_arrow, settle, unused
 from .wordcodes import slices
 
 #: Words of a passage.  A copied passage of 50 words keeps that many in whole sentences wherever it begins and ends.
@@ -114,8 +114,11 @@ def remove_spans(text: str | None, removed: str) -> str | None:
 
 
 def cleaned(docs: DataFrame, by: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with all their columns, text without repeated units; original offsets stay in ``removed``."""
-    marked = repeated_units(docs, by, min_words).where("n_removed > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "removed").distinct()
+    """The documents with all their columns, text without repeated units; original offsets stay in ``removed``, in place of a
+    column of that name."""
+    docs = docs.drop("removed")
+    d, h = unused(docs, "_d", "_h")
+    marked = repeated_units(docs, by, min_words).where("n_removed > 0").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h), "removed").distinct()
     cut = F.pandas_udf(lambda t, r: t.combine(r, lambda x, y: remove_spans(x, y or "")), "string")
-    joined = docs.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left").drop("_d", "_h")
+    joined = docs.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h)), "left").drop(d, h)
     return joined.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut("text", "removed")))
