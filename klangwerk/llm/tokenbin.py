@@ -237,7 +237,8 @@ def read_back(index: DataFrame) -> DataFrame:
                 rows = [(d["doc_id"], r["base"] + d["begin"], d["n"], zlib.crc32(ids.tobytes())) for d, ids in zip(r["docs"], read_ids(r["file"], r["chunks"], r["docs"]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return in_arrow(based.select("file", "chunks", "docs", "base"), run, READ)
+    # a task for each file, however few tasks the index itself would be read in
+    return in_arrow(based.select("file", "chunks", "docs", "base").repartition(max(1, len(bases))), run, READ)
 
 
 def tokenize_to_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
