@@ -63,15 +63,16 @@ def entity_candidates(queries: DataFrame, anchors: DataFrame, names: DataFrame,
     """JN-08: for each query and anchor the most popular names, of the query's categories if it names any: query,
     pronunciation, channels.
 
-    ``queries``: query, channel, key.  ``anchors``: pronunciation, channel, key.  ``categories``: query, category; the entities
-    of a category are a semi-join before the cut.  Without categories postings are cut before the join."""
+    ``queries``: query, channel, key.  ``anchors``: pronunciation, channel, key.  ``categories``: query, category.  Postings are
+    cut before the join to what a query can take of them, those of each category apart if queries name categories."""
     ranked = anchors.join(names, pronunciation)
     if categories is None:
         ranked = top_per_group(ranked, ["channel", "key"], order, per_channel, "_at").drop("_at")
         hits = queries.select(query, "channel", "key").join(ranked, ["channel", "key"])
     else:
-        hits = queries.select(query, "channel", "key").join(ranked, ["channel", "key"])
-        hits = hits.join(categories.select(query, F.col("category")), [query, "category"], "left_semi")
+        ranked = top_per_group(ranked, ["channel", "key", "category"], order, per_channel, "_at").drop("_at")
+        asked = queries.select(query, "channel", "key").join(categories.select(query, "category").distinct(), query)
+        hits = asked.join(ranked, ["channel", "key", "category"])
         hits = top_per_group(hits, [query, "channel", "key"], order, per_channel, "_at").drop("_at")
     return hits.groupBy(query, pronunciation).agg(F.array_sort(F.collect_set("channel")).alias("channels"))
 

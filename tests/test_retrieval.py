@@ -103,3 +103,19 @@ def test_resolved_names(spark):
     got = {r.name: (r.status, r.tokens, list(r.unresolved), r.ipa) for r in N.resolved_names(names, lex, "name").collect()}
     assert got == {"Am See": ("exact_source_backed", 2, [], "am zeː"), "Haus am Wald": ("bounded_token_composition", 3, [], "haʊs am valt"), "Haus X": ("unresolved_token", 2, ["x"], None),
                    "": ("unresolved_empty_surface", 0, [], None), "--": ("unresolved_empty_surface", 0, [], None), "am am am am am am am": ("unresolved_too_many_tokens", 7, ["am"] * 7, None)}
+
+
+def test_candidates_of_categories_are_cut_as_they_would_be_after_the_join(spark):
+    names = [(i, "c%d" % (i % 3), (i * 37) % 101) for i in range(120)] + [(i, "c2", (i * 37) % 101) for i in range(0, 30, 3)]
+    anchors = [(i, ch, k) for i in range(120) for ch, k in (("exact", f"k{i % 4}"), ("vowel", f"v{i % 2}"))]
+    asked = [("q1", "exact", "k1"), ("q1", "vowel", "v0"), ("q2", "vowel", "v1"), ("q3", "vowel", "v1")]
+    wanted = [("q1", "c0"), ("q1", "c2"), ("q1", "c2"), ("q2", "c1"), ("q3", "nothing")]
+    n = spark.createDataFrame(names, "id long, category string, pop long")
+    got = N.entity_candidates(spark.createDataFrame(asked, "q string, channel string, key string"), spark.createDataFrame(anchors, "id long, channel string, key string"), n, "q", "id",
+                              [F.desc("pop"), F.asc("id"), F.asc("category")], spark.createDataFrame(wanted, "q string, category string"), per_channel=7)
+    want = {}
+    for q, ch, k in asked:
+        rows = sorted(((-pop, i, c) for i, c, pop in names if (q, c) in wanted and (i, ch, k) in anchors))[:7]
+        for _, i, _ in rows:
+            want.setdefault((q, i), set()).add(ch)
+    assert {(r.q, r.id): set(r.channels) for r in got.collect()} == want and want
