@@ -119,11 +119,11 @@ def ag12_gap_transitions(t) -> DataFrame:
 
 @query()
 def mk14_generated_lines(t) -> DataFrame:
-    """Lines of six words that end in frequent line ends of each language, one request for each first letter."""
+    """Lines of six words that end in frequent line ends of each language, one request for each first letter, thirty draws each."""
     lines = W.settled(_known_lines(t), f"{W.shared_dir(t.spark)}/klangwerk-lines-{uuid.uuid4().hex}")
     counts = lambda df: C.transitions(df, 2, "model", gaps=True)
     back = D.backward_counts(lines, 2, "model", gaps=True)
     tables = B.build(D.continuations(counts(lines), 16, "model"), D.continuations(back, 16, "model"), 2)
     ends = lines.groupBy("model", F.element_at("tokens", -1).alias("surface")).agg(F.count("*").alias("n")).where("surface IS NOT NULL").withColumn("query", F.concat_ws(":", "model", F.left("surface", F.lit(1))))
     pool = ends.select("query", "model", "surface", F.col("surface").alias("normalized"), F.lit("word").alias("kind"), F.array("surface").alias("tokens"), D.usage_quality(*(F.lit(None).cast("double"),) * 3, F.col("n")).alias("usage"), F.lit(1.0).alias("phonetic"), F.lit(1.0).alias("support"))
-    return B.generate(tables, D.tail_reservoir(pool, "query"), "query", count=3)
+    return B.generate(tables, D.tail_reservoir(pool, "query"), "query", count=3, most=30)
