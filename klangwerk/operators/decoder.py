@@ -77,14 +77,15 @@ def candidate_pool(rows: DataFrame, query: str, order: list[Column], target: str
     return rows.where(keep).withColumn("_n", first).where("_n = 1").drop("_n")
 
 
-def tail_reservoir(pool: DataFrame, query: str, naturalness: float = 0.72, weirdness: float = 0.38, pressure: float = 0.65, mosaic: bool = False) -> DataFrame:
+def tail_reservoir(pool: DataFrame, query: str, naturalness: float = 0.72, weirdness: float = 0.38, pressure: float = 0.65, mosaic: bool = False, ties: tuple = ("kind", "normalized")) -> DataFrame:
     """MK-07: pool rows (phonetic, usage, support within 0..1) with quality and place: at least 24, at most 48 and 80 times the
-    weirdness more, of those whose quality is not too far below the best."""
+    weirdness more, of those whose quality is not too far below the best.  Qualities are compared to nine decimals, so that the
+    last bits of a sum do not order equal rows; what is equal in surface too goes by ``ties``."""
     n, w, r = naturalness, weirdness, pressure
     bonus = F.when(F.col("kind") == "phrase", 0.08).otherwise(0.0) if mosaic else F.lit(0.0)
     quality = _unit(F.col("phonetic") * (0.5 + r * 0.32) + F.col("usage") * (0.16 + n * 0.12) + F.col("support") * (0.18 + n * 0.18) + bonus)
     own = Window.partitionBy(query)
-    placed = pool.withColumn("quality", quality).withColumn("place", F.row_number().over(own.orderBy(F.desc("quality"), F.desc("phonetic"), "surface")).cast("long"))
+    placed = pool.withColumn("quality", quality).withColumn("place", F.row_number().over(own.orderBy(F.desc(F.round("quality", 9)), F.desc("phonetic"), "surface", *ties)).cast("long"))
     best = F.max("quality").over(own)
     floor = F.when(best > 0, best).otherwise(1.0) * (0.44 + n * 0.18)
     good = F.count_if(F.col("quality") >= floor).over(own)

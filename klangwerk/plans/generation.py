@@ -55,7 +55,7 @@ def mk06_candidate_pool(t) -> DataFrame:
  c AS (SELECT *, count(*) FILTER (quality >= CASE WHEN best > 0 THEN best ELSE 1 END * (0.44 + 0.72 * 0.18)) OVER (PARTITION BY query) AS good FROM p)
 SELECT query, p_partkey, place FROM c WHERE place <= greatest(24, least(floor(48 + 0.38 * 80 + 0.5)::INTEGER, good))""")
 def mk07_tail_reservoir(t) -> DataFrame:
-    return D.tail_reservoir(_pool(t), "query").select("query", "p_partkey", "place")
+    return D.tail_reservoir(_pool(t), "query", ties=("p_partkey",)).select("query", "p_partkey", "place")
 
 
 @query("""WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_quantity % 16)::INTEGER AS a, greatest(3, least(28, (l_quantity % 31)::INTEGER)) AS t FROM lineitem)

@@ -158,3 +158,12 @@ def test_gaps_make_no_neighbours(spark):
         for i in range(2, len(t)):
             want.update((model, " ".join(t[i - k : i]), t[i]) for k in (1, 2) if None not in t[i - k : i + 1])
     assert got == want and ("g", "b", "c") not in got
+
+
+def test_reservoir_compares_to_nine_decimals(spark):
+    """Last bits of a sum order nothing; of rows that are equal in all that is compared, the ties decide."""
+    rows = [("q", "word", "b", "b", 0.5, 0.5, 0.5), ("q", "word", "a", "a", 0.5, 0.5 - 1e-12, 0.5), ("q", "phrase", "c", "c", 0.4, 0.9, 0.9), ("q", "word", "c", "c", 0.4, 0.9, 0.9)]
+    for own in (rows, rows[::-1]):
+        pool = spark.createDataFrame(own, "query string, kind string, normalized string, surface string, phonetic double, usage double, support double").repartition(3)
+        got = [(r["surface"], r["kind"]) for r in D.tail_reservoir(pool, "query").orderBy("place").collect()]
+        assert got == [("c", "phrase"), ("c", "word"), ("a", "word"), ("b", "word")]
