@@ -77,3 +77,25 @@ def test_tables_cover_their_symbols():
     for p in (GERMAN, ENGLISH):
         assert set(p.vowels) == set(p.family) == set(p.nuclei)
         assert all(c[0] in p.places and c[1] in p.manners for c in p.consonants.values())
+
+
+def test_cross_word_windows_are_made_where_the_line_stands(spark):
+    """SQ-01: windows and their counts against brute force; no window is shuffled."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from klangwerk.functions import phonology as P
+    from klangwerk.operators import lexicon as L
+
+    lines = [(1, "de", "der mond geht auf"), (2, "en", "the moon the moon goes up"), (3, "en", "x"), (4, None, "no language here"), (5, "fr", "pas de regles ici"), (6, "de", None)]
+    df = spark.createDataFrame(lines, "id long, lang string, text string").select("id", "lang", F.split("text", " ").alias("words"))
+    want = []
+    for i, g, text in lines:
+        s = [(k, x["nucleus"]) for k, w in enumerate((text or "").split()) if g in ("de", "en") for x in (P.analyze(P.grapheme_to_ipa(w, g), g) or {"syllables": []})["syllables"]]
+        want += [(i, g, a, n, "-".join(x for _, x in s[a : a + n])) for a in range(len(s)) for n in range(2, 7) if a + n <= len(s) and s[a][0] != s[a + n - 1][0]]
+    got = L.syllable_windows(df, "id", "words", "lang")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    n, phrases = Counter((g, k) for _, g, _, _, k in want), Counter((g, k) for _, g, k in {(i, g, k) for i, g, _, _, k in want})
+    counts = L.window_counts(df.repartition(3), "words", "lang").collect()
+    assert {(r["lang"], r["vowel_key"]): (r["n"], r["phrases"]) for r in counts} == {k: (n[k], phrases[k]) for k in n}
