@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows that a task hands on at once; more if a single document has more.
+BATCH = 20_000
+
+
 def common_bars(current: list, previous: list) -> list[tuple[int, int]]:
     """Places (current, previous) of a longest common subsequence of ids; of equally long ones that which passes over the
     current bar first.
@@ -48,32 +52,51 @@ def compare_revisions(current: DataFrame, previous: DataFrame, document: str, ba
 
     Bars of the longest common subsequence are same, or changed where their text is another; others that stand in both
     revisions have moved (or changed, with moved set); the rest is added or removed.  A bar of the subsequence whose place
-    has shifted counts as moved if its text is the same.  One call per document, in n log n steps of its bars."""
+    has shifted counts as moved if its text is the same.  A document is compared in n log n steps of its bars."""
     kinds = dict(current.dtypes)
-    side = lambda df, name: df.select(F.col(document).alias(document), F.col(bar).alias(bar), F.col(place).alias("at"), F.col(text).alias("text"), F.lit(name).alias("side"))
-
-    def run(pdf):
-        import pandas as pd
+    side = lambda df, name: df.select(F.col(document).alias("document"), F.col(bar).alias("bar"), F.col(place).cast("long").alias("at"), F.col(text).alias("text"), F.lit(name).alias("now"))
 
-        now, was = (pdf[pdf["side"] == x].sort_values("at", kind="stable").reset_index(drop=True) for x in ("now", "was"))
-        kept = {now[bar][i] for i, _ in common_bars(now[bar].tolist(), was[bar].tolist())}
-        before = {b: (i, p, t) for i, (b, p, t) in enumerate(zip(was[bar], was["at"], was["text"]))}
-        rows = []
-        for b, p, t in zip(now[bar], now["at"], now["text"]):
+    def compared(key, now, was, out):
+        kept = {now[i][0] for i, _ in common_bars([b for b, _, _ in now], [b for b, _, _ in was])}
+        before = {b: (p, t) for b, p, t in was}
+        for b, p, t in now:
             if b not in before:
-                rows.append((b, p, None, "added", False))
+                out.append((key, b, p, None, "added", False))
                 continue
-            j, q, old = before.pop(b)
-            same = old == t or (pd.isna(old) and pd.isna(t))
+            q, old = before.pop(b)
             moved = b not in kept or p != q
-            rows.append((b, p, q, "changed" if not same else "moved" if moved else "same", moved))
-        rows += [(b, None, p, "removed", False) for b, (_, p, _) in before.items()]
-        out = pd.DataFrame(rows, columns=[bar, "at", "was_at", "state", "moved"])
-        out.insert(0, document, pdf[document].iloc[0])
-        return out.astype({"at": "Int64", "was_at": "Int64"})
-
-    both = side(current, "now").unionByName(side(previous, "was"))
-    return both.groupBy(document).applyInPandas(run, f"`{document}` {kinds[document]}, `{bar}` {kinds[bar]}, at long, was_at long, state string, moved boolean")
+            out.append((key, b, p, q, "changed" if old != t else "moved" if moved else "same", moved))
+        out += [(key, b, None, p, "removed", False) for b, (p, _) in before.items()]
+
+    def run(batches):
+        import pyarrow as pa
+
+        names, kind = (document, bar, "at", "was_at", "state", "moved"), None
+
+        def table(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kind)], names=names)
+
+        key, now, was, out, begun = None, [], [], [], False
+        for batch in batches:
+            columns = [batch.column(x) for x in ("document", "bar")]
+            kind = [*(c.type for c in columns), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+            for d, b, p, t, new in zip(*(c.to_pylist() for c in columns), *(batch.column(x).to_pylist() for x in ("at", "text", "now"))):
+                if not begun or d != key and (d == d or key == key):  # not a number is one document too
+                    if begun:
+                        compared(key, now, was, out)
+                        if len(out) >= BATCH:
+                            yield table(out)
+                            out = []
+                    key, now, was, begun = d, [], [], True
+                (now if new else was).append((b, p, t))
+        if begun:
+            compared(key, now, was, out)
+        if out:
+            yield table(out)
+
+    # the documents of a partition stand one after the other, so a pass over its rows serves them all
+    both = side(current, True).unionByName(side(previous, False)).repartition("document").sortWithinPartitions("document", "now", F.asc_nulls_last("at"))
+    return both.mapInArrow(run, f"`{document}` {kinds[document]}, `{bar}` {kinds[bar]}, at long, was_at long, state string, moved boolean")
 
 
 def library(rows: DataFrame, folder: str, query: str = "", order: str = "title", descending: bool = False) -> DataFrame:

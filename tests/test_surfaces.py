@@ -37,3 +37,14 @@ def test_revisions(spark):
     assert V.common_bars([], ["a"]) == [] and V.common_bars(list("bac"), list("abc")) == [(1, 0), (2, 2)]
     lib = spark.createDataFrame([("/a", "Song One"), ("/a/b", "song two"), ("/ab", "Song"), ("/a", "Other")], "path string, title string")
     assert [r.title for r in V.library(lib, "/a", "SONG").collect()] == ["Song One", "song two"]
+
+
+def test_revisions_of_many_documents_in_one_pass(spark):
+    """Documents that end and begin inside batches, a null one among them; a pass over a partition serves all its documents."""
+    size = lambda d: 1 + d * 7 % 23
+    rows = lambda keep: [(d if d else None, b, b, f"{b % 4}") for d in range(3000) for b in range(size(d)) if keep(b)]
+    make = lambda r: spark.createDataFrame(r, "doc long, bar int, at int, t string").repartition(3)
+    got = V.compare_revisions(make(rows(lambda b: b % 5)), make(rows(lambda b: b % 3)), "doc", "bar", "at", "t")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    want = [(d if d else None, b, "same" if b % 5 and b % 3 else "added" if b % 5 else "removed") for d in range(3000) for b in range(size(d)) if b % 5 or b % 3]
+    assert sorted(((r.doc, r.bar, r.state) for r in got.collect()), key=str) == sorted(want, key=str) and "FlatMapGroups" not in plan
