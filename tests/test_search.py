@@ -127,3 +127,15 @@ def test_text_functions(spark):
                      T.left_variants(F.lit("arbeits")).alias("l")).first()
     assert (row.a, row.b, row.c, row.d, row.p, row.s, row.z) == ("A", "AA", "AB", "AAA", 2, 3, 0)
     assert row.k == ["aɪ-ə", "ɪ-ə"] and (row.t, row.u, row.f) == ("title", "upper", "fixed") and "arbeit" in row.l
+
+
+def test_padded_contexts_of_a_long_text(spark):
+    """The words of a text are read once, not again for each of its words: 6,000 words take no time to speak of."""
+    import time
+
+    long = spark.createDataFrame([(" ".join(f"w{i}" for i in range(6000)),)], "text string").repartition(1)
+    began = time.perf_counter()
+    pairs = long.select(F.explode(T.padded_contexts(T.word_tokens("text"))).alias("p")).select("p.*").collect()
+    assert len(pairs) == 6001 and list(pairs[0].context) == ["<s>"] * 4 and list(pairs[-1].context) == [f"w{i}" for i in range(5996, 6000)] and time.perf_counter() - began < 15
+    grams = long.select(F.explode(T.ngrams(T.word_tokens("text"), 5)).alias("g")).collect()
+    assert len(grams) == 5996 and list(grams[7].g) == [f"w{i}" for i in range(7, 12)]
