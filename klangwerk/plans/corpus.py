@@ -67,8 +67,7 @@ _TRANS = "(SELECT length, context, nxt AS next, count(*) AS n FROM (" + " UNION
  (SELECT *, row_number() OVER (PARTITION BY length, context ORDER BY n DESC, next) AS rank FROM {_TRANS} WHERE n >= 2) WHERE rank <= 128)""")
 def wn04_top_transitions(t) -> DataFrame:
     """The model: contexts of one to four words, transitions seen twice, the 128 best of each context."""
-    counts = C.transitions(C.sentence_tokens(t.documents), _ORDER).where("n >= 2")
-    return C.top_transitions(counts, 128).select("length", "context", "next", "n", "rank", "total")
+    return C.model(C.sentence_tokens(t.documents), _ORDER, least=2).select("length", "context", "next", "n", "rank", "total")
 
 
 @query(f"SELECT length, count(*) AS states, sum(n)::BIGINT AS n FROM {_TRANS} GROUP BY length")
@@ -83,8 +82,7 @@ _KEPT = f"""(SELECT length, context, nxt, n FROM (SELECT length, context, next A
 @query(f"SELECT length, context, nxt AS next, n FROM {_KEPT}")
 def ag13_frequent_states(t) -> DataFrame:
     """The five hundred most frequent states of each length, with their continuations."""
-    counts = C.transitions(C.sentence_tokens(t.documents), _ORDER)
-    return C.top_transitions(C.frequent_states(counts, 500), 128).select("length", "context", "next", "n")
+    return C.model(C.sentence_tokens(t.documents), _ORDER, states=500).select("length", "context", "next", "n")
 
 
 def _windows_sql(table: str) -> str:

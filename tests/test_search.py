@@ -129,6 +129,31 @@ def test_text_functions(spark):
     assert row.k == ["aɪ-ə", "ɪ-ə"] and (row.t, row.u, row.f) == ("title", "upper", "fixed") and "arbeit" in row.l
 
 
+def test_transitions_shuffle_a_word_once(spark):
+    """Counts, models and asked contexts against brute force; all lengths read one shuffle of the grams."""
+    from collections import Counter
+
+    lines = ["a b a b c", "a b a c", "b a b", "c"]
+    tokens = spark.createDataFrame([(x.split(),) for x in lines], "tokens array<string>")
+    n = Counter()
+    for x in lines:
+        p = ["<s>"] * 3 + x.split() + ["</s>"]
+        n.update((k, " ".join(p[i - k : i]), p[i]) for i in range(3, len(p)) for k in (1, 2, 3))
+    counts = C.transitions(tokens, 3)
+    assert {(r.length, r.context, r.next): r.n for r in counts.collect()} == dict(n)
+    asked = spark.createDataFrame([(["x", "a", "b"],), (["c"],), (["b", "b"],), ([],)], "context array<string>")
+    whole = {(r.length, r.context, r.next, r.n, r["rank"], r.total) for r in C.top_transitions(counts, 2).collect()}
+    model = C.model(tokens, 3, most=2, asked=asked)
+    assert {tuple(r) for r in C.model(tokens, 3, most=2).collect()} == whole
+    assert {tuple(r) for r in model.collect()} == {r for r in whole if (r[0], r[1]) in {(1, "b"), (2, "a b"), (1, "c")}}
+    frequent = {tuple(r)[:4] for r in C.top_transitions(C.frequent_states(counts, 2), 128).select("length", "context", "next", "n").collect()}
+    assert {(r.length, r.context, r.next, r.n) for r in C.model(tokens, 3, states=2).collect()} == frequent
+    for df in (counts, model):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Generate explode(arrays_zip") <= 1 or "ReusedExchange" in plan
+
+
 def test_padded_contexts_of_a_long_text(spark):
     """The words of a text are read once, not again for each of its words: 6,000 words take no time to speak of."""
     import time
