@@ -45,6 +45,8 @@ def build(forward: DataFrame, backward: DataFrame, order: int, folder: str | Non
     support tells how often a word follows any context: log(1 + n) / log(1024)."""
     spark = forward.sparkSession
     folder = folder or f"{W.shared_dir(spark)}/klangwerk-model-{uuid.uuid4().hex}"
+    # each side is read three times below, and is made of the whole corpus
+    forward, backward = W.settled(forward, f"{folder}/counted-forward"), W.settled(backward, f"{folder}/counted-backward")
     uses = forward.unionByName(backward).groupBy("model", "next").agg(F.least(F.lit(1.0), F.log1p(F.sum("n")) / math.log(1024)).alias("support"))
     out = []
     for name, df in (("forward", forward), ("backward", backward)):

@@ -167,3 +167,17 @@ def test_reservoir_compares_to_nine_decimals(spark):
         pool = spark.createDataFrame(own, "query string, kind string, normalized string, surface string, phonetic double, usage double, support double").repartition(3)
         got = [(r["surface"], r["kind"]) for r in D.tail_reservoir(pool, "query").orderBy("place").collect()]
         assert got == [("c", "phrase"), ("c", "word"), ("a", "word"), ("b", "word")]
+
+
+def test_model_is_counted_once(spark):
+    """What the tables are made of is worked out once, however often their rows are read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    mark = F.udf(seen, "string").asNondeterministic()
+    rows = spark.createDataFrame([("m", "a", "b", 2), ("m", "a", "c", 1), ("m", "b", "a", 1)], "model string, context string, next string, n long").withColumn("model", mark("model"))
+    tables = B.build(rows, rows.select("model", F.col("next").alias("context"), F.col("context").alias("next"), "n"), 1, buckets=2)
+    assert sorted((r.context, r.next, r.n, r.total, r.place) for r in tables.forward.collect()) == [("a", "b", 2, 3, 1), ("a", "c", 1, 3, 2), ("b", "a", 1, 1, 1)] and read.value == 6
