@@ -73,10 +73,10 @@ def name_search(names: DataFrame, key: str, name: str, queries: DataFrame, query
     The index is asked for keys and places alone; ``order`` columns join what was found, all columns what is left."""
     words = F.transform(T.word_tokens(query), F.lower)
     asked = queries.select(F.col(query).alias("query"), words.alias("_want")).where(F.size("_want") > 0).distinct()
-    found = positional.occurrences(name_index(names, key, name) if index is None else index, key, asked, "query", "_want").select("query", key).distinct()
+    found = positional.holders(name_index(names, key, name) if index is None else index, key, asked, "query", "_want")
     from .relational import top_per_group
 
-    return top_per_group(found.join(names, key), ["query"], order, clamp(limit, 20, 100)).select("query", *names.columns, "rank")
+    return top_per_group(found.join(names.hint("merge"), key), ["query"], order, clamp(limit, 20, 100)).select("query", *names.columns, "rank")
 
 
 def result_types(primary: Column | str, relations: Column | str) -> Column:
