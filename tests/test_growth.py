@@ -1,8 +1,14 @@
 """Steps whose memory or work once grew with the largest group, key or scan task."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from klangwerk.functions import text as T
 from klangwerk.operators import filters as X
+from klangwerk.operators import positional as Z
+from klangwerk.operators import relational as O
 
 
 def executed(df) -> str:
@@ -10,6 +16,25 @@ def executed(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_suffix_search_joins_by_syllables_and_collects_no_index(spark, monkeypatch, most):
+    monkeypatch.setattr(Z, "MAX_BROADCAST_PAIRS", most)
+    rng = random.Random(4)
+    words = [(i, "-".join(rng.choices("abc", k=rng.randint(1, 4))), rng.randint(1, 6)) for i in range(200)] + [(900, None, 2), (901, "", 2), (902, "a-b", None)]
+    df = spark.createDataFrame(words, "id long, k string, n int")
+    index = df.select(F.col("id").alias("target"), F.explode(T.suffix_keys("k")).alias("suffix"), F.col("n").alias("syllables"))
+    asked = df.where("id % 7 = 0 OR id >= 900").select(F.col("id").alias("query"), F.col("k").alias("suffix"), F.col("n").alias("syllables"))
+    found = O.suffix_search(asked.unionByName(asked), index, "query", "target").select("query", "target")
+    want = sorted((q, i) for q, a, m in words for i, b, n in words if (q % 7 == 0 or q >= 900) and a and b and "-" in a and None not in (m, n) and b.endswith(a) and abs(m - n) <= 1)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 50
+    assert not [line for line in executed(found).splitlines() if "HashAggregate" in line and "target" in line]
+
+
+def test_suffix_keys_of_odd_keys(spark):
+    df = spark.createDataFrame([("a-bc-d",), ("-a-b",), ("ab",), ("a-",), ("-",), ("",), (None,)], "k string")
+    assert [r[0] for r in df.select(T.suffix_keys("k")).collect()] == [["a-bc-d", "bc-d", "c-d"], ["a-b"], [], ["a-"], [], [], None]
+
+
 def test_names_are_neither_broadcast_nor_collected_by_a_scan(spark):
     names = spark.createDataFrame([(i, "old man old man", i % 5) for i in range(50)] + [(99, "man old", 1)], "id long, name string, pop long")
     found = X.name_search(names, "id", "name", spark.createDataFrame([("old man",)], "q string"), "q", [F.desc("pop"), F.asc("id")], limit=100)
