@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,13 @@ from klangwerk.functions import phonology as P
 from klangwerk.functions import text as T
 
 from . import lexicon as L
+from . import workspace as W
+from .grouped import by_group
+
+
+def settled_words(lines: DataFrame, song: str, line: str, text: str = "text") -> DataFrame:
+    """`line_words`, written once for plans that read the words again and again."""
+    return W.settled(line_words(lines, song, line, text), f"{W.shared_dir(lines.sparkSession)}/klangwerk-words-{uuid.uuid4().hex}")
 
 
 def line_words(lines: DataFrame, song: str, line: str, text: str = "text") -> DataFrame:
@@ -88,22 +97,19 @@ def scheme(words: DataFrame, matches: DataFrame, song: str, line: str) -> DataFr
     joined = words.select(song, line, "word").join(rhymes.select(song, line, "prior"), [song, line], "left")
     kinds = dict(joined.dtypes)
 
-    def label(pdf):
-        names, out, n = {}, [], 0
-        for at, word, prior in pdf.sort_values(line)[[line, "word", "prior"]].itertuples(index=False):
-            if word is None or word != word:
-                out.append((pdf[song].iloc[0], at, -1))
+    def label(rows):
+        names, n = {}, 0
+        for own, at, word, prior in rows:
+            if word is None:
+                yield own, at, -1
                 continue
-            if prior == prior and prior is not None and int(prior) in names:
-                names[int(at)] = names[int(prior)]
+            if prior is not None and prior in names:
+                names[at] = names[prior]
             else:
-                names[int(at)], n = n, n + 1
-            out.append((pdf[song].iloc[0], at, names[int(at)]))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=[song, line, "group"])
+                names[at], n = n, n + 1
+            yield own, at, names[at]
 
-    placed = joined.groupBy(song).applyInPandas(label, f"{song} {kinds[song]}, {line} {kinds[line]}, `group` int")
+    placed = by_group(joined.select(song, line, "word", "prior"), [song], label, f"`{song}` {kinds[song]}, `{line}` {kinds[line]}, `group` int", (line,))
     return placed.withColumn("label", F.when(F.col("group") < 0, NO_WORD).otherwise(T.scheme_label("group"))).drop("group")
 
 

@@ -226,13 +226,13 @@ def ag06_grouped_evidence(t) -> DataFrame:
 SELECT conv_id, turn, prior, 1.0::DOUBLE AS score FROM w JOIN f USING (conv_id, w) WHERE prior < turn""")
 def sc04_identity_pairs(t) -> DataFrame:
     """Turns whose closest earlier turn ends in the same word, which no other relation can beat."""
-    words = G.line_words(t.conversations, "conv_id", "turn")
+    words = G.settled_words(t.conversations, "conv_id", "turn")
     return G.strongest_pairs(words, "conv_id", "turn", "en").where("type = 'identity'").select("conv_id", "turn", "prior", "score")
 
 
 @query(f"""WITH w AS (SELECT DISTINCT conv_id, turn, nullif({_END}, '') AS w FROM conversations) SELECT a.conv_id, count(*) AS n FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.w = b.w AND a.turn < b.turn GROUP BY 1""")
 def sc06_identity_counts(t) -> DataFrame:
     """How many pairs of turns of a conversation end in the same word, among all relations of its end words."""
-    words = G.line_words(t.conversations, "conv_id", "turn")
+    words = G.settled_words(t.conversations, "conv_id", "turn")
     related = G.occurrence_relations(words, G.word_relations(words, "conv_id", "en"), "conv_id", "turn")
     return G.relation_counts(related, ["conv_id"]).where("type = 'identity'").select("conv_id", "n")
