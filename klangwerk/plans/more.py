@@ -121,7 +121,7 @@ def ph34_inflections(t) -> DataFrame:
  s AS (SELECT source, count(*) AS total FROM documents GROUP BY 1) SELECT phrase, round(sum(ln(1 + n * 1000000.0 / total)) / 20, 4) AS commonness, count(*) AS in_corpora FROM c JOIN s USING (source) GROUP BY phrase HAVING count(*) >= 3""")
 def ag09_phrase_commonness(t) -> DataFrame:
     tokens = t.documents.select("source", F.transform(T.word_tokens("text"), F.lower).alias("tokens"))
-    pairs = tokens.select("source", F.explode(T.ngrams("tokens", 2)).alias("g")).groupBy("source", F.array_join("g", " ").alias("phrase")).agg(F.count("*").alias("n"))
+    pairs = tokens.select("source", F.explode(T.neighbours("tokens")).alias("phrase")).groupBy("source", "phrase").agg(F.count("*").alias("n"))
     totals = t.documents.groupBy("source").agg(F.count("*").alias("total"))
     return H.commonness(pairs, totals, 20).where("in_corpora >= 3").select("phrase", F.round("commonness", 4).alias("commonness"), "in_corpora")
 
