@@ -1,6 +1,6 @@
 """Beam search over n-gram tables of any size (MK-05, MK-09, MK-10, MK-14, JN-20).
 
-The model is two tables of continuations, forward and backward, bucketed by context.  The frontier of all beams of all
+The model is two tables of continuations, forward and backward, bucketed by model and context.  The frontier of all beams of all
 requests is one DataFrame; a step joins the contexts of its states with the backward table, which does not move, weighs the
 continuations of each state, and keeps the best states of each beam.  Beams are spread by their id, a beam has at most
 ``width`` states of at most 96 continuations a context, and every step is written to the shared folder, so that a lost
@@ -32,30 +32,42 @@ ROW = "model string, context string, next string, n long, total long, support do
 
 @dataclass
 class Tables:
-    """Continuations (model, context, next, n, total, support, place) in both directions, bucketed by context."""
+    """Continuations (model, context, next, n, total, support, place) in both directions, bucketed by model and context."""
 
     forward: DataFrame
     backward: DataFrame
     order: int
 
 
-def build(forward: DataFrame, backward: DataFrame, order: int, folder: str | None = None, buckets: int = 16) -> Tables:
-    """Writes the tables of a model from `decoder.continuations` of both directions (model, context, next, n).
+#: Words up to which their support is sent to the tasks.
+MAX_BROADCAST_WORDS = 500_000
 
-    support tells how often a word follows any context: log(1 + n) / log(1024)."""
+
+def build(forward: DataFrame, backward: DataFrame, order: int, folder: str | None = None, buckets: int = 16, most: int | None = None) -> Tables:
+    """Writes the tables of a model from `decoder.continuations` of both directions (model, context, next, n), or from all
+    transitions and the number of continuations that each context keeps (``most``).
+
+    support tells how often a word follows any context: log(1 + n) / log(1024).  Rows are dealt to their bucket once, before
+    they are placed."""
     spark = forward.sparkSession
     folder = folder or f"{W.shared_dir(spark)}/klangwerk-model-{uuid.uuid4().hex}"
-    # each side is read three times below, and is made of the whole corpus
-    forward, backward = W.settled(forward, f"{folder}/counted-forward"), W.settled(backward, f"{folder}/counted-backward")
-    uses = forward.unionByName(backward).groupBy("model", "next").agg(F.least(F.lit(1.0), F.log1p(F.sum("n")) / math.log(1024)).alias("support"))
-    out = []
-    for name, df in (("forward", forward), ("backward", backward)):
-        own = Window.partitionBy("model", "context")
-        rows = df.withColumn("total", F.sum("n").over(own)).withColumn("place", F.row_number().over(own.orderBy(F.desc("n"), "next")))
+    own, counted, out = Window.partitionBy("model", "context"), {}, []
+    for name, df in (("forward", forward), ("backward", backward)):  # each is read three times below, and is made of the whole corpus
+        placed = df.select("model", "context", "next", "n").repartition(buckets, "model", "context").withColumn("place", F.row_number().over(own.orderBy(F.desc("n"), "next")))
+        placed = placed if most is None else placed.where(F.col("place") <= most)
+        counted[name] = W.settled(placed.withColumn("total", F.sum("n").over(own)), f"{folder}/counted-{name}")
+        W.released(spark)
+    uses = counted["forward"].unionByName(counted["backward"]).groupBy("model", "next").agg(F.least(F.lit(1.0), F.log1p(F.sum("n")) / math.log(1024)).alias("support"))
+    uses = W.settled(uses, f"{folder}/uses")
+    few = uses.count() <= MAX_BROADCAST_WORDS
+    for name, df in counted.items():
         table = f"klangwerk_{name}_{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
         spark.sql(f"DROP TABLE IF EXISTS {table}")
-        (rows.join(uses, ["model", "next"]).select(*(x.split(" ")[0] for x in ROW.split(", "))).repartition(buckets, "context").write.format("parquet").mode("overwrite")
-         .option("path", f"{folder}/{name}").bucketBy(buckets, "context").sortBy("context", "place").saveAsTable(table))
+        # a file that was counted has rows of one bucket, and where nothing is shuffled they stay together
+        rows = df.join(F.broadcast(uses), ["model", "next"]) if few else df.join(uses, ["model", "next"]).repartition(buckets, "model", "context")
+        (rows.select(*(x.split(" ")[0] for x in ROW.split(", "))).write.format("parquet").mode("overwrite")
+         .option("path", f"{folder}/{name}").bucketBy(buckets, "model", "context").sortBy("model", "context", "place").saveAsTable(table))
+        W.released(spark, f"{folder}/counted-{name}")
         out.append(spark.table(table))
     return Tables(*out, order)
 
@@ -70,7 +82,9 @@ def _nearest(around: Column, order: int, direction: str) -> Column:
 def probabilities(asked: DataFrame, table: DataFrame, order: int, direction: str, *keys: str) -> DataFrame:
     """MK-02: keys and p of every row (keys, model, around, next): n / total of the longest context that was followed by next, else 0."""
     each = asked.select(*keys, "model", "next", F.explode_outer(_nearest(F.col("around"), order, direction)).alias("c")).select(*keys, "model", "next", "c.k", "c.context")
-    met = each.join(table.select("model", "context", "next", (F.col("n") / F.col("total")).alias("p")), ["model", "context", "next"], "left")
+    # the table stays in its buckets; what is asked of it is little, and is moved
+    asked_of = table.join(each.select("model", "context").distinct(), ["model", "context"], "left_semi")
+    met = each.join(asked_of.select("model", "context", "next", (F.col("n") / F.col("total")).alias("p")), ["model", "context", "next"], "left")
     return met.groupBy(*keys).agg(F.coalesce(F.max_by("p", F.when(F.col("p").isNotNull(), F.col("k"))), F.lit(0.0)).alias("p"))
 
 
@@ -161,6 +175,7 @@ def search(beams: DataFrame, tables: Tables, c: Controls = Controls()) -> DataFr
         alike = Window.partitionBy("beam", F.array_join(F.slice("prefix", 1, order + 1), " ")).orderBy(*first)
         kept = grown.withColumn("_n", F.row_number().over(alike)).where("_n = 1").withColumn("place", F.row_number().over(Window.partitionBy("beam").orderBy(*first))).where(F.col("place") <= width)
         frontier = W.settled(kept.select(*columns, "place"), f"{folder}/{step + 1}")
+        W.released(spark)
         done.append(frontier.where(F.col("missing") == step + 1))
         frontier = frontier.drop("place")
     out = done[0]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from klangwerk.operators import beam as B
 from klangwerk.operators import corpus as C
 from klangwerk.operators import decoder as D
+from klangwerk.operators import workspace as W
 from tests import local_decoder as LD
 
 LINES = ["the cat sat on the mat", "the dog sat on the hat", "a cat ran to the mat", "a dog ran to the hat", "the cat ran on"]
@@ -181,3 +182,47 @@ def test_model_is_counted_once(spark):
     rows = spark.createDataFrame([("m", "a", "b", 2), ("m", "a", "c", 1), ("m", "b", "a", 1)], "model string, context string, next string, n long").withColumn("model", mark("model"))
     tables = B.build(rows, rows.select("model", F.col("next").alias("context"), F.col("context").alias("next"), "n"), 1, buckets=2)
     assert sorted((r.context, r.next, r.n, r.total, r.place) for r in tables.forward.collect()) == [("a", "b", 2, 3, 1), ("a", "c", 1, 3, 2), ("b", "a", 1, 1, 1)] and read.value == 6
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_grams_give_both_directions(spark, order):
+    """Grams that are counted once give what each direction counts by itself."""
+    rows = [("g", "a b a b c".split()), ("g", ["a", None, "b", "c"]), ("g", [None, None, "a"]), ("g", ["a"]), ("g", [None]), ("h", "a b".split()), ("h", ["b", "b", None])]
+    tokens = spark.createDataFrame(rows, "model string, tokens array<string>").repartition(3)
+    found = lambda df: Counter({(r.model, r.length, r.context, r.next): r.n for r in df.collect()})
+    ahead, behind = C.both_transitions(C.both_counts(tokens, order, "model", gaps=True), order, "model")
+    assert found(ahead) == found(C.transitions(tokens, order, "model", gaps=True))
+    assert found(behind) == found(D.backward_counts(tokens, order, "model", gaps=True))
+
+
+def test_vocabulary_sent_or_joined(spark, monkeypatch):
+    rows = [(i, None if i % 7 == 0 else "gh"[i % 2], [None if j % 5 == 4 else f"w{(i * j) % 9}" for j in range(i % 6)]) for i in range(200)]
+    lines = spark.createDataFrame(rows, "line long, model string, tokens array<string>").repartition(3)
+    known = spark.createDataFrame([("g", f"w{j}") for j in range(0, 9, 2)] + [("h", "w1"), ("h", "w8"), (None, "w2")], "model string, form string")
+    found = []
+    for most in (500_000, 0):
+        monkeypatch.setattr(C, "MAX_BROADCAST_WORDS", most)
+        df = C.within_vocabulary(lines, "line", "tokens", known, "model")
+        assert ("MapInArrow" in df._jdf.queryExecution().toString()) == bool(most)
+        found.append((df.dtypes, sorted((r.line, r.model or "", [x or "" for x in r.tokens]) for r in df.collect())))
+    assert found[0] == found[1] and len(found[0][1]) > 100
+
+
+def test_model_stays_in_its_buckets(spark, tables, monkeypatch):
+    """A step moves what it asks for, not the model; and what the tables were made of is gone."""
+    monkeypatch.setattr(B, "MAX_BROADCAST_WORDS", 0)
+    for t in (tables, tables_of(spark, LINES, 3)):
+        asked = spark.createDataFrame([("m", "the")], "model string, context string").repartition(5)
+        plan = asked.hint("merge").join(t.backward, ["model", "context"])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        folder = t.backward.inputFiles()[0].rsplit("/", 2)[0]
+        assert not any(W.exists(spark, f"{folder}/counted-{x}") for x in ("forward", "backward"))
+    assert sorted(t.backward.collect()) == sorted(tables.backward.collect())
+
+
+def test_most_cuts_before_totals(spark):
+    tokens = spark.createDataFrame([("m", x.split()) for x in LINES], "model string, tokens array<string>")
+    cut = tables_of(spark, LINES, 2, 2)
+    whole = B.build(*C.both_transitions(C.both_counts(tokens, 2, "model"), 2, "model"), 2, buckets=3, most=2)
+    for x, y in ((cut.forward, whole.forward), (cut.backward, whole.backward)):
+        assert sorted(x.collect()) == sorted(y.collect()) and x.count()
