@@ -41,6 +41,8 @@ class Tables:
 
 #: Words up to which their support is sent to the tasks.
 MAX_BROADCAST_WORDS = 500_000
+#: Parts, by context, in which all transitions of a corpus are dealt to their buckets.
+PARTS = 4
 
 
 def build(forward: DataFrame, backward: DataFrame, order: int, folder: str | None = None, buckets: int = 16, most: int | None = None) -> Tables:
@@ -52,11 +54,18 @@ def build(forward: DataFrame, backward: DataFrame, order: int, folder: str | Non
     spark = forward.sparkSession
     folder = folder or f"{W.shared_dir(spark)}/klangwerk-model-{uuid.uuid4().hex}"
     own, counted, out = Window.partitionBy("model", "context"), {}, []
+    parts = 1 if most is None else PARTS
     for name, df in (("forward", forward), ("backward", backward)):  # each is read three times below, and is made of the whole corpus
-        placed = df.select("model", "context", "next", "n").repartition(buckets, "model", "context").withColumn("place", F.row_number().over(own.orderBy(F.desc("n"), "next")))
-        placed = placed if most is None else placed.where(F.col("place") <= most)
-        counted[name] = W.settled(placed.withColumn("total", F.sum("n").over(own)), f"{folder}/counted-{name}")
-        W.released(spark)
+        W.released(spark, path := f"{folder}/counted-{name}")
+        for part in range(parts):  # one after the other, so that disk holds the shuffle of one
+            some = df.select("model", "context", "next", "n").where(F.pmod(F.xxhash64("model", "context"), F.lit(parts)) == part)
+            placed = some.repartition(buckets, "model", "context").withColumn("place", F.row_number().over(own.orderBy(F.desc("n"), "next")))
+            placed = (placed if most is None else placed.where(F.col("place") <= most)).withColumn("total", F.sum("n").over(own))
+            placed.write.mode("append").parquet(path)
+            schema = placed.schema
+            del some, placed
+            W.released(spark)
+        counted[name] = spark.read.schema(schema).parquet(path)
     uses = counted["forward"].unionByName(counted["backward"]).groupBy("model", "next").agg(F.least(F.lit(1.0), F.log1p(F.sum("n")) / math.log(1024)).alias("support"))
     uses = W.settled(uses, f"{folder}/uses")
     few = uses.count() <= MAX_BROADCAST_WORDS

@@ -120,13 +120,13 @@ def ag12_gap_transitions(t) -> DataFrame:
 @query()
 def mk14_generated_lines(t) -> DataFrame:
     """Lines of six words that end in frequent line ends of each language, one request for each first letter, thirty draws each."""
-    shared = W.shared_dir(t.spark)
-    lines = W.settled(_known_lines(t), f"{shared}/klangwerk-lines-{uuid.uuid4().hex}")
-    W.released(t.spark)
-    grams = W.settled(C.both_counts(lines, 2, "model", gaps=True), counted := f"{shared}/klangwerk-grams-{uuid.uuid4().hex}")
-    W.released(t.spark)
-    tables = B.build(*C.both_transitions(grams, 2, "model"), 2, buckets=max(16, grams.count() // 500_000), most=16)
-    W.released(t.spark, counted)
+    shared, run = W.shared_dir(t.spark), uuid.uuid4().hex
+    lines = W.settled(_known_lines(t), f"{shared}/klangwerk-lines-{run}")
     ends = lines.groupBy("model", F.element_at("tokens", -1).alias("surface")).agg(F.count("*").alias("n")).where("surface IS NOT NULL").withColumn("query", F.concat_ws(":", "model", F.left("surface", F.lit(1))))
+    ends = W.settled(ends, f"{shared}/klangwerk-ends-{run}")
+    grams = W.settled(C.both_counts(lines, 2, "model", gaps=True), f"{shared}/klangwerk-grams-{run}")
+    W.released(t.spark, f"{shared}/klangwerk-lines-{run}")
+    tables = B.build(*C.both_transitions(grams, 2, "model"), 2, buckets=max(16, grams.count() // 500_000), most=16)
+    W.released(t.spark, f"{shared}/klangwerk-grams-{run}")
     pool = ends.select("query", "model", "surface", F.col("surface").alias("normalized"), F.lit("word").alias("kind"), F.array("surface").alias("tokens"), D.usage_quality(*(F.lit(None).cast("double"),) * 3, F.col("n")).alias("usage"), F.lit(1.0).alias("phonetic"), F.lit(1.0).alias("support"))
     return B.generate(tables, D.tail_reservoir(pool, "query"), "query", count=3, most=30)
