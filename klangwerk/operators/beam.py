@@ -4,7 +4,7 @@ The model is two tables of continuations, forward and backward, bucketed by mode
 requests is one DataFrame; a step joins the contexts of its states with the backward table, which does not move, weighs the
 continuations of each state, and keeps the best states of each beam.  Beams are spread by their id, a beam has at most
 ``width`` states of at most 96 continuations a context, and every step is written to the shared folder, so that a lost
-executor costs one step.  Nothing of the model passes the driver.
+executor costs one step.  Of the model only the support of words passes the driver, and only if they are few.
 
 Equal seeds give equal lines: the noise of a state is a hash of the seed and its words, and scores are compared to nine
 decimals, so that the last bits of logarithms decide nothing.
